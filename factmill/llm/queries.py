@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.llm.sharding import hilbert_shards
+from factmill.llm.simhash import fingerprint_hex, near_groups
+from factmill.llm.sketch import fingerprint_edits
+from factmill.llm.urlfilter import judge_urls, page_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +24,27 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding,)}
+#: Host, path and verdict of the rules that op2 is told to apply.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages under URL_RULES, with verdicts spread over redirects and canonical links."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(pages, rules, page_links(pages)).select("page_id", "host", "path", "rule", "verdict", "alias_group", "basis")
+
+
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text of documents and of its edited text."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
