@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factmill.llm.ctw import score_documents
 from factmill.llm.sharding import hilbert_shards
 from factmill.llm.simhash import fingerprint_hex, near_groups
 from factmill.llm.sketch import fingerprint_edits
@@ -82,5 +83,10 @@ SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k)}
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model learnt from nine tenths of them."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting)}
 ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL}
