@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.llm.ctw import score_documents
+from factmill.llm.mixing import mix
 from factmill.llm.sharding import hilbert_shards
 from factmill.llm.simhash import fingerprint_hex, near_groups
 from factmill.llm.sketch import fingerprint_edits
@@ -88,5 +89,11 @@ def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting)}
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed, the sources weighing 5, 2, 1 in turn."""
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("take") * F.col("size")).alias("taken"), "copies")
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing)}
 ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL}
