@@ -120,3 +120,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -
     met = rows.join(targets, F.col("source").eqNullSafe(F.col("t"))).drop("t")
     out = pareto_sample(expected_copies(met, most))
     return out.select("doc_id", "source", "digest", "size", "source_size", "target", "copies", F.col("take").cast("long").alias("take"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of docs, all columns, as often as mix takes them. Rows alike in doc_id, source and text are one
+    document that is taken as often as all of them together."""
+    key = lambda id_, source: F.to_json(F.struct(id_.alias("i"), source.alias("s")))
+    taken = mix(docs, weights, most).groupBy(key(F.col("doc_id"), F.col("source")).alias("key"), "digest").agg(F.sum("take").alias("take"))
+    taken = materialize(taken.where("take > 0"), "taken")
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.select(whole.alias("row"), key(docs["doc_id"], docs["source"]).alias("key"), F.xxhash64(docs["text"]).alias("digest")).join(taken, ["key", "digest"])
+    first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("digest"))
+    one = rows.withColumn("nth", first).where("nth = 1")
+    return one.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))).alias("copy")).select("row.*")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.llm.ctw import score_documents
+from factmill.llm import pieces
+from factmill.llm.langid import identify_documents
 from factmill.llm.mixing import mix
 from factmill.llm.sharding import hilbert_shards
 from factmill.llm.simhash import fingerprint_hex, near_groups
@@ -95,5 +97,16 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("take") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing)}
+def op9_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, from text, declared language and source."""
+    docs = table(spark, sf_dir, "documents")
+    return identify_documents(docs.select("doc_id", "text", "lang", "source")).select("row.doc_id", "language.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion)}
 ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL}

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factmill.llm.common import materialize, shuffle_partitions, small_batches
@@ -44,13 +44,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(found, pa.int64())], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the bits of the fingerprint as a long) of every row; null text has no words."""
+    """doc_id, digest (of the text) and fp (the bits of the fingerprint as a long) of every row; null text has no words."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_print_batches, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return slim.mapInArrow(_print_batches, "doc_id long, digest long, fp long")
 
 
 def _masks(open_bits: list[int], blocks: int) -> list[int]:
@@ -173,25 +174,36 @@ def hamming_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text (other columns are ignored). Returns per row doc_id, fp and component_id, the smallest doc_id
-    that can be reached over links of DISTANCE bits or fewer, itself included.
+    """docs: doc_id, text (other columns are ignored). Returns per row doc_id, digest (of the text), fp, c (the least
+    fingerprint of its component) and component_id, the smallest doc_id that can be reached over links of DISTANCE
+    bits or fewer, itself included.
 
     Null or wordless texts have fingerprint zero and link like any other. A null doc_id never names a component
     unless it has no other member. Repeated rows get a row each. No documents: no rows.
 
     Documents of one fingerprint are one node, so copies are never paired with each other.
     """
-    return grouped(materialize(fingerprints(docs), "fingerprints"))
-
-
-def grouped(prints: DataFrame) -> DataFrame:
+    prints = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     parts = connected_components(hamming_links(nodes.select("fp")))
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     named = materialize(named.select("fp", "least", "c"), "members")
     tops = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    ids = materialize(named.join(tops, "c").select("fp", "component_id"), "groups")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = materialize(named.join(tops, "c").select("fp", "c", "component_id"), "groups")
+    return prints.join(ids, "fp").select("doc_id", "digest", "fp", "c", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component of near_groups, with all columns of docs: that of the smallest doc_id; of rows
+    that share it the least by hash of the text, and of rows alike in both any one."""
+    groups = near_groups(docs)
+    ident = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
+    kept = materialize(kept.select(ident(F.col("k.doc_id")).alias("ident"), F.col("k.digest").alias("digest")), "kept")
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.select(whole.alias("row"), ident(docs["doc_id"]).alias("ident"), F.xxhash64(docs["text"]).alias("digest")).join(kept, ["ident", "digest"])
+    first = F.row_number().over(Window.partitionBy("ident", "digest").orderBy("digest"))
+    return rows.withColumn("nth", first).where("nth = 1").select("row.*")
 
 
 def fingerprint_hex(fp):
