@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -50,6 +52,7 @@ class Pieces:
         if max(map(len, self.rank)) > REACH or any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("pieces are too long, or hold a space after other characters")
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.words = Words(proto)
 
     def merged(self, text: str) -> list[str]:
         """Pairs merged best first, the leftmost of equals, as the model defines."""
@@ -87,6 +90,49 @@ class Pieces:
         return out
 
 
+#: Distinct words whose ids a task remembers; then it starts anew.
+REMEMBERED = 300_000
+
+
+class Words:
+    """Encodes texts word by word, as no piece crosses from a character to a space: each distinct word, with the
+    spaces before it, goes through the library once."""
+
+    def __init__(self, proto: bytes) -> None:
+        self.sp = processor(proto)
+        self.one = self.sp.piece_to_id(SPACE)
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.values, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        found = self.sp.encode([w[1:] for w in words], num_threads=1)
+        found = [[self.one] if w == " " else ids for w, ids in zip(words, found, strict=True)]
+        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in found], np.int64)])
+        self.values = np.concatenate([self.values, np.array([i for x in found for i in x], np.int32)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and end."""
+        if len(self.codes) > REMEMBERED:
+            self.clear()
+        known, codes, ends = self.codes, [], []
+        for text in texts:
+            if text:
+                for w in re.findall(" +[^ ]*", " " + text.replace(SPACE, " ")):
+                    codes.append(known.setdefault(w, len(known)))
+            ends.append(len(codes))
+        if len(known) > len(self.sizes):
+            self._learn(list(islice(known, len(self.sizes), None)))
+        at = np.array(codes, np.int64)
+        size = self.sizes[at]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        values = self.values[np.repeat(self.starts[at] - upto[:-1], size) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.int32)
+        return values, upto[np.array([0, *ends])]
+
+
 def spaced(text: str) -> str:
     """The text as the model reads it: a space in front, spaces as SPACE."""
     return SPACE + text.replace(" ", SPACE)
@@ -143,7 +189,7 @@ class Chunk:
 
     def __init__(self, vocabulary: Pieces, text: str, begin: int, end: int, first: bool, last: bool) -> None:
         self.v, self.text, self.begin, self.end = vocabulary, text, begin, end
-        self.first, self.last = first, last
+        self.first, self.last, self.words = first, last, vocabulary.words
         self.before = [START] if first else states_at(vocabulary, text, begin)
         self.after = [(0, "")] if last else states_at(vocabulary, text, end)
         # An edge that every piece from before the cut has ended at.
@@ -188,7 +234,7 @@ class Chunk:
         into = paths(self.v, self.text, entry, a)
         at = next((i for i, (s, p, x, back) in enumerate(into) if s + (len(p) if back >= 0 else 0) == a and x[0] > NONE), -1)
         out = paths(self.v, self.text, [(b, "", np.zeros(1))], self.end)
-        middle = self.v.sp.encode(self.text[a + 1 : b].replace(SPACE, " ")) if b > a else []
+        middle = self.words.encode([self.text[a + 1 : b].replace(SPACE, " ")])[0].tolist() if b > a else []
         return [*self.v.ids(trace(into, at)), *middle, *self.v.ids(trace(out, self._last_node(out, target)))]
 
 
@@ -256,11 +302,12 @@ def _backtrace(proto: bytes):
 
 def _encode_short(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(proto)
+        words = Words(proto)
         for batch in batches:
-            ids = sp.encode(batch.column("text").to_pylist(), num_threads=1) if batch.num_rows else []
+            values, ends = words.encode(batch.column("text").to_pylist())
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
 
     return run
 
@@ -300,11 +347,25 @@ def encode(docs: DataFrame, proto: bytes, chunk: int = CHUNK) -> DataFrame:
     return short.unionByName(giant)
 
 
+@lru_cache(maxsize=2)
+def surfaces(proto: bytes) -> np.ndarray:
+    """What each id stands for, in bytes."""
+    sp = processor(proto)
+    out = np.empty(sp.get_piece_size(), object)
+    for i in range(len(out)):
+        piece = sp.id_to_piece(i)
+        out[i] = bytes([int(piece[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " \u2047 ".encode() if sp.is_unknown(i) else piece.replace(SPACE, " ").encode()
+    return out
+
+
 def _decode(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(proto)
+        table = surfaces(proto)
         for batch in batches:
-            texts = [sp.decode(i) if i else "" for i in batch.column("ids").to_pylist()]
+            texts = []
+            for ids in batch.column("ids"):
+                raw = b"".join(table[ids.values.to_numpy()].tolist()) if ids.is_valid and len(ids.values) else b""
+                texts.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
