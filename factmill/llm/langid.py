@@ -26,17 +26,26 @@ NONE_PRIOR, STRENGTH, LEAST = 0.001, 20.0, 0.5
 BYTES = 1 << 20
 
 
+_LETTER, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(97, 123), *range(128, 256)]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 def trigram_cells(raw: np.ndarray) -> np.ndarray:
-    """Cell of each three neighbouring bytes."""
-    x = raw.astype(np.uint32)
-    return ((x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
+    """Cell of each three neighbouring bytes that are letters or white space, one a letter at least: numbers, signs and
+    addresses belong to no language."""
+    letter = _LETTER[raw]
+    fine = letter | _SPACE[raw]
+    kept = np.flatnonzero(fine[:-2] & fine[1:-1] & fine[2:] & (letter[:-2] | letter[1:-1] | letter[2:]))
+    y = raw.astype(np.uint32)
+    x = (y[kept], y[kept + 1], y[kept + 2])
+    return ((x[0] * np.uint32(0x9E3779B1)) ^ (x[1] * np.uint32(0x85EBCA77)) ^ (x[2] * np.uint32(0xC2B2AE3D))) >> np.uint32(16)
 
 
 def text_bytes(text: str | None) -> np.ndarray:
     """Lower-cased bytes between spaces; none for a text without a letter."""
     raw = np.frombuffer(f" {text or ''} ".encode("utf-8", "surrogatepass").lower(), np.uint8)
-    lettered = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
-    return raw if lettered.any() else raw[:0]
+    return raw if _LETTER[raw].any() else raw[:0]
 
 
 @dataclass
