@@ -150,7 +150,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/factmill/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
-    seen = materialize(assemble(read_warc(spark, path, with_payload=False)), "captures")
+    records = materialize(read_warc(spark, path, with_payload=False), "records")
+    seen = materialize(assemble(records), "captures")
     page = F.nullif(F.regexp_extract("metadata.head", r"(?m)^page_id: (-?\d+)", 1), F.lit("")).cast("long")
     line = F.regexp_extract("request.head", r"^[^\r\n]*", 0)
     flat = seen.select(page.alias("page_id"), F.col("response.type").alias("record_type"), F.col("response.payload_bytes").alias("n"), F.col("response.payload_digest").alias("own"), F.substring_index("response.stated_digest", ":", -1).alias("stated"), F.col("response.target_uri").alias("target_uri"), line.alias("request_line"))
