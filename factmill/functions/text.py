@@ -16,7 +16,15 @@ UNSAFE_WORDS = r"(?i)\b(?:quote|member|client|patient|dob|ssn|date\s*of\s*birth|
 PLACEHOLDER_PHONE = r"(?i)\b(?:\(?\d{3}\)?\D*)?555\D*\d{4}\b|\b555\D*010\D*\d{4}\b|\b(?:\(?\d{3}\)?\D*)?123\D*4567\b"
 PLACEHOLDER_WHOLE = r"(?i)^(?:string(?:\s+optional)?|unknown|n/a)$"
 PLACEHOLDER_WORDS = r"(?i)\b(?:mock|fake|dummy|sample|placeholder|demo|test)\b"
-PLACEHOLDER_ANYWHERE = r"(?i)lorem\s*ipsum|source|public address unavailable"
+PLACEHOLDER_ANYWHERE = r"(?i)\blorem\s*ipsum\b|loremipsum|source|public address unavailable"
+
+#: Java's word boundary counts letters beyond ASCII as letters; this one does not.
+ASCII_BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """Whether a pattern with ASCII word boundaries is found."""
+    return c.rlike(pattern.replace(r"\b", ASCII_BOUND))
 
 
 def any_of(*tests: Column) -> Column:
@@ -34,12 +42,12 @@ def clean_public_text(c: Column, most: int) -> Column:
 
 
 def contains_unsafe(c: Column) -> Column:
-    return any_of(c.rlike(URL), c.rlike(CITATION), c.rlike(UNSAFE_WORDS), c.contains("@"))
+    return any_of(matches(c, URL), matches(c, CITATION), matches(c, UNSAFE_WORDS), c.contains("@"))
 
 
 def contains_placeholder(c: Column) -> Column:
     s = squeeze(c)
-    return any_of(*(s.rlike(p) for p in (PLACEHOLDER_PHONE, PLACEHOLDER_WHOLE, PLACEHOLDER_WORDS, PLACEHOLDER_ANYWHERE)))
+    return any_of(*(matches(s, p) for p in (PLACEHOLDER_PHONE, PLACEHOLDER_WHOLE, PLACEHOLDER_WORDS, PLACEHOLDER_ANYWHERE)))
 
 
 def safe_fact(c: Column, most: int = 500) -> Column:
