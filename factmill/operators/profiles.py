@@ -120,14 +120,21 @@ def prioritized(df: DataFrame, name: Column, zip_: Column, city: Column, state:
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, each passed once through a generator. Catalyst does not copy expressions across one, so columns
+    that later steps use many times are planned and computed once; no row moves."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
+
 PROFILE = ["providerId", "npi", "providerName", "specialties", "locations", "phoneNumbers", "ratings", "websites", "publicInsuranceMentions", "sources"]
 
 
 def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None = None) -> DataFrame:
     """keys of df and, for each row, its profile (a struct as coerce.profile makes it) cleaned, as columns. Facts keep
     only sources of public domains; contact facts only professional ones; profiles without contact facts go."""
-    p = df.select(*keys, typed.alias("p"), *([cited.alias("cited")] if cited is not None else []))
+    p = settled(df.select(*keys, typed.alias("p"), *([cited.alias("cited")] if cited is not None else [])))
     p = p.withColumn("kept", clean_sources(F.col("p.sources"), F.col("cited") if cited is not None else None)).withColumn("name", F.coalesce(safe_fact(F.col("p.providerName"), 255), F.lit("Provider")))
+    p = settled(p)
     kept, name, none = F.col("kept"), F.col("name"), F.lit(None).cast("string")
     fact = lambda f, s: F.struct(safe_fact(f["value"]).alias("value"), s["id"].alias("sourceId"), s["title"].alias("sourceName"))
     said = lambda f, s: safe_fact(f["value"]).isNotNull()
@@ -147,10 +154,11 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
         _resolved(F.col("p.websites"), kept, site, lambda f, s: looks_official(s, name) & (safe_public_url(f["value"], s["domain"]) == s["url"])).alias("websites"),
         _resolved(F.col("p.publicInsuranceMentions"), kept, fact, said).alias("publicInsuranceMentions"), "kept",
     )
+    made = settled(made)
     used = F.array_distinct(F.concat(*(F.transform(c, lambda f: f["sourceId"]) for c in PROFILE[3:9])))
     shown = F.filter(distinct_sources(kept), lambda s: F.array_contains(used, s["id"]))
     made = made.withColumn("sources", F.transform(shown, lambda s: s.dropFields("raw", "at"))).drop("kept")
-    made = made.where((F.size("phoneNumbers") > 0) | (F.size("locations") > 0) | (F.size("ratings") > 0) | (F.size("websites") > 0))
+    made = settled(made).where((F.size("phoneNumbers") > 0) | (F.size("locations") > 0) | (F.size("ratings") > 0) | (F.size("websites") > 0))
     return prioritized(made, F.col("providerName"), none, none, none)
 
 
@@ -192,8 +200,8 @@ def dedupe_ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 def parse_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One row per profile in raw response texts, sanitised; sources must be cited by the response."""
-    v = raw.select(*keys, F.try_parse_json(column).alias("v"))
-    body = v.select(*keys, coerce.citations(F.col("v")).alias("cited"), F.try_parse_json(coerce.json_text(coerce.response_text(F.col("v")))).alias("j"))
+    v = settled(raw.select(*keys, F.try_parse_json(column).alias("v")))
+    body = settled(v.select(*keys, coerce.citations(F.col("v")).alias("cited"), F.try_parse_json(coerce.json_text(coerce.response_text(F.col("v")))).alias("j")))
     many = F.when(coerce.kind(F.col("j")).startswith("ARRAY"), coerce.items(F.col("j"))).otherwise(coerce.items(coerce.part(F.col("j"), "profiles")))
     each = body.select(*keys, "cited", F.posexplode(many).alias("profile_ordinal", "profile"))
     return sanitize(each, coerce.profile(F.col("profile")), [*keys, "profile_ordinal"], F.col("cited"))
