@@ -66,7 +66,7 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -91,7 +91,7 @@ class Pieces:
 
 
 #: Distinct words whose ids a task remembers; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class Words:
