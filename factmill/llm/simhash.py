@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factmill.llm.common import materialize, shuffle_partitions, small_batches
 from factmill.llm.components import connected_components
+from factmill.llm.jaccard import jaccard_groups
 
 DISTANCE = 3
 #: Blocks of a fingerprint. Pairs within DISTANCE agree on BLOCKS - DISTANCE whole blocks at least.
@@ -194,9 +195,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component of near_groups, with all columns of docs: that of the smallest doc_id; of rows
-    that share it the least by hash of the text, and of rows alike in both any one."""
-    groups = near_groups(docs)
+    """One document of each component of jaccard_groups (five-word shingles, similarity 0.8 or more; op4's distance of
+    3 would leave most such copies), with all columns of docs: that of the smallest doc_id; of rows that share it the
+    least by hash of the text, and of rows alike in both any one."""
+    groups = jaccard_groups(docs)
     ident = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
     kept = materialize(kept.select(ident(F.col("k.doc_id")).alias("ident"), F.col("k.digest").alias("digest")), "kept")
