@@ -17,13 +17,15 @@ from factmill.llm.common import ascii_lower, materialize, small_batches
 CELLS = 1 << 16
 #: The text model is fitted on about so many labelled documents of each language, and all if there are fewer.
 SAMPLE = 2000
-#: Languages with a model: the most frequent labels.
-MOST_LANGUAGES = 32
+#: Languages whose counts a task holds, or the driver fetches, at a time; there is a model for every label.
+BLOCK = 64
 #: Weight of one trigram's evidence: three neighbours share each byte.
 TRIGRAM_WEIGHT = 1 / 3
 #: Prior of text in no known language, strength of each step of smoothing, and least probability of an answer.
 NONE_PRIOR, STRENGTH, LEAST = 0.001, 20.0, 0.5
 BYTES = 1 << 20
+#: Log probabilities looked up at a time.
+LOOKUPS = 1 << 23
 
 
 _LETTER, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
@@ -61,45 +63,63 @@ class TextModel:
         if len(raw) < 3:
             return None
         out = np.zeros(self.table.shape[1])
-        for k in range(0, len(raw) - 2, BYTES):
-            out += self.table[trigram_cells(raw[k : k + BYTES + 2])].sum(0, dtype=np.float64)
+        step = max(1, min(BYTES, LOOKUPS // len(out)))
+        for k in range(0, len(raw) - 2, step):
+            out += self.table[trigram_cells(raw[k : k + step + 2])].sum(0, dtype=np.float64)
         return out * TRIGRAM_WEIGHT
 
 
-def _count_cells(languages: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), CELLS), np.int64)
-        for batch in batches:
-            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-                raw = text_bytes(text.as_py())
-                if len(raw) >= 3:
-                    counts[languages.index(lang)] += np.bincount(trigram_cells(raw), minlength=CELLS)
-        lang, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[lang, cell])], ["lang", "cell", "n"])
+def folded(label: Column) -> Column:
+    """A label or declared language as it is compared: lower-cased, without region; null for none."""
+    return F.nullif(F.substring_index(ascii_lower(F.trim(label)), "-", 1), F.lit(""))
 
-    return run
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            cell = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), lang, np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[cell])], ["at", "cell", "n"])
+        held.clear()
+
+    for batch in batches:
+        for text, lang in zip(batch.column("text"), batch.column("at").to_pylist(), strict=True):
+            raw = text_bytes(text.as_py())
+            if len(raw) >= 3:
+                if lang not in held and len(held) == BLOCK:
+                    yield from out()
+                found = np.bincount(trigram_cells(raw), minlength=CELLS)
+                held[lang] = held[lang] + found if lang in held else found
+    yield from out()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """docs: doc_id, text, lang (the label). Counts come from all labelled documents; the trigrams from those whose
-    hash of doc_id and source of labels falls in the share that makes about ``sample`` documents of a language."""
-    small_batches(docs.sparkSession)
-    labelled = docs.where("lang is not null").select("text", "lang", "doc_id")
-    found = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r[0] for r in found)
-    table = np.full((CELLS, len(languages) + 1), 0.5)
+    hash of doc_id and source of labels falls in the share that makes about ``sample`` documents of a language.
+
+    Labels are folded as declared languages are, and each has a model: a column of CELLS floats (256 KB).
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    labelled = docs.select("text", folded(docs["lang"]).alias("lang"), "doc_id").where("lang is not null")
+    found = dict(tuple(r) for r in labelled.groupBy("lang").count().collect())
+    languages = sorted(found)
+    table = np.empty((CELLS, len(languages) + 1), np.float32)
+    table[:, -1] = -np.log(CELLS)
     if languages:
-        share = F.lit(0.0)
-        for lang, n in found:
-            share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
+        shares = spark.createDataFrame([(lang, at, min(1.0, sample / found[lang])) for at, lang in enumerate(languages)], "lang string, at int, share double")
         place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-        chosen = labelled.where(place < share).select("text", "lang")
-        counted = chosen.mapInArrow(_count_cells(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n"))
-        # MOST_LANGUAGES times CELLS rows at most.
-        for lang, cell, n in counted.collect():
-            table[cell, lang] += n
-    table[:, -1] = 1
-    return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32))
+        chosen = labelled.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("text", "at")
+        counted = chosen.mapInArrow(_count_cells, "at int, cell int, n long").groupBy("at", "cell").agg(F.sum("n").alias("n"))
+        counted = materialize(counted, "trigrams")
+        for k in range(0, len(languages), BLOCK):
+            # BLOCK times CELLS rows at most.
+            rows = counted.where((F.col("at") >= k) & (F.col("at") < k + BLOCK)).toArrow()
+            counts = np.full((CELLS, min(BLOCK, len(languages) - k)), 0.5)
+            counts[rows["cell"].to_numpy(), rows["at"].to_numpy() - k] += rows["n"].to_numpy()
+            table[:, k : k + counts.shape[1]] = np.log(counts / counts.sum(0))
+    return TextModel(languages, table)
 
 
 def _scorer(model: TextModel):
@@ -123,12 +143,13 @@ def host_levels(host: Column) -> list[Column]:
     return [F.coalesce(c, F.lit("")) for c in (suffix, domain, host)]
 
 
-def _smoothed(cube: DataFrame, keys: list[str], parent: DataFrame | Column, size: int) -> DataFrame:
+def _smoothed(cube: DataFrame, keys: list[str], parent: DataFrame | Column) -> DataFrame:
     """prior (array by language) for each key: counts plus STRENGTH times the prior of the key without its last part."""
-    counts = cube.groupBy(*keys).agg(*(F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(size)))
+    each = cube.groupBy(*keys, "best").agg(F.sum("n").alias("n"))
+    counts = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("found"), F.sum("n").alias("all"))
     met = counts.withColumn("above", parent) if isinstance(parent, Column) else counts.join(parent.withColumnRenamed("prior", "above"), keys[:-1])
-    total = sum((F.col(f"c{i}") for i in range(size)), F.lit(0.0)) + STRENGTH
-    return met.select(*keys, F.array(*((F.col(f"c{i}") + STRENGTH * F.col("above")[i]) / total for i in range(size))).alias("prior"))
+    chance = lambda p, i: (F.coalesce(F.try_element_at("found", i), F.lit(0)) + STRENGTH * p) / (F.col("all") + STRENGTH)
+    return met.select(*keys, F.transform("above", chance).alias("prior"))
 
 
 def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column, host: Column) -> DataFrame:
@@ -147,16 +168,17 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     score = _scorer(model)
     whole = F.struct(*(docs[c] for c in docs.columns))
     level = host_levels(F.coalesce(ascii_lower(host), F.lit("")))
-    said = F.substring_index(ascii_lower(F.trim(declared)), "-", 1)
+    said = folded(declared)
     said = F.when(said.isin(*names), said) if names else F.lit(None).cast("string")
     rows = docs.select(whole.alias("row"), said.alias("declared"), level[0].alias("suffix"), level[1].alias("domain"), level[2].alias("host"), score(text).alias("scores"))
     cube = rows.where("scores is not null").groupBy("suffix", "domain", "host", "declared", _best(F.col("scores")).alias("best")).agg(F.count(F.lit(1)).alias("n"))
     cube = materialize(cube, "evidence")
 
     # Languages squared at most.
+    place = {name: i for i, name in enumerate(names)}
     seen = np.zeros((size, len(names) + 1))
     for best, lang, n in cube.groupBy("best", "declared").agg(F.sum("n")).collect():
-        seen[best, names.index(lang) if lang is not None else -1] += n
+        seen[best, place[lang] if lang is not None else -1] += n
     known = seen[:, :-1] + 0.5
     told = np.log(known / known.sum(1, keepdims=True)) if names else known
     overall = seen.sum(1) + 1
@@ -164,15 +186,15 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     overall = np.append(overall[:-1] / max(overall.sum(), 1) * (1 - NONE_PRIOR), NONE_PRIOR) if names else np.ones(1)
 
     array = lambda x: F.array(*(F.lit(float(v)) for v in x))
-    suffix = _smoothed(cube, ["suffix"], array(overall), size)
-    domain = _smoothed(cube, ["suffix", "domain"], suffix, size)
-    hosts = materialize(_smoothed(cube, ["suffix", "domain", "host"], domain, size).select("host", "prior"), "hosts")
-
-    evidence = array(np.zeros(size))
-    for i, name in enumerate(names):
-        evidence = F.when(F.col("declared") == name, array(told[:, i])).otherwise(evidence)
-    met = rows.join(hosts, "host", "left").withColumn("prior", F.coalesce("prior", array(overall))).withColumn("told", evidence)
-    total = F.array(*(F.col("scores")[i] + F.ln(F.col("prior")[i]) + F.col("told")[i] for i in range(size)))
+    suffix = _smoothed(cube, ["suffix"], array(overall))
+    domain = _smoothed(cube, ["suffix", "domain"], suffix)
+    hosts = materialize(_smoothed(cube, ["suffix", "domain", "host"], domain).select("host", "prior"), "hosts")
+
+    # A row for each language.
+    evidence = docs.sparkSession.createDataFrame([(name, told[:, i].tolist()) for i, name in enumerate(names)], "declared string, told array<double>")
+    met = rows.join(hosts, "host", "left").join(F.broadcast(evidence), "declared", "left")
+    met = met.withColumn("prior", F.coalesce("prior", array(overall))).withColumn("told", F.coalesce("told", array(np.zeros(size))))
+    total = F.zip_with(F.zip_with("scores", "prior", lambda s, p: s + F.ln(p)), "told", lambda s, t: s + t)
     met = met.withColumn("total", F.when(F.col("scores").isNotNull(), total)).withColumn("top", F.array_max("total")).withColumn("best", _best(F.col("total")))
     chance = 1 / F.aggregate(F.transform("total", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     labels = F.array(*(F.lit(n) for n in names), F.lit(None).cast("string"))
