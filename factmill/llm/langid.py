@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html as markup
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,8 +12,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factmill.llm.common import ascii_lower, materialize, small_batches
+from factmill.llm.urlfilter import host_of
 
 #: Cells of the table of byte trigrams.
 CELLS = 1 << 16
@@ -214,3 +218,23 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 def markup_language(html: Column) -> Column:
     """The language that a page's html element declares."""
     return F.nullif(F.regexp_extract(html, r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([a-z]{2,3}(?:-[a-z0-9]+)*)""", 1), F.lit(""))
+
+
+_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+
+
+@F.pandas_udf(StringType())
+def visible_text(html: pd.Series) -> pd.Series:
+    """What a page shows: without scripts, styles, comments and tags, entities read."""
+    return pd.Series([None if h is None else markup.unescape(_HIDDEN.sub(" ", h)) for h in html], dtype=object)
+
+
+def page_host(url: Column) -> Column:
+    """Host of a url without user and port; null where it has none."""
+    return F.nullif(F.regexp_replace(host_of(url), r"^.*@|:\d*$", ""), F.lit(""))
+
+
+def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
+    """pages: page_id, url, html. Returns row and language as identify does, from the visible text, the language that
+    the markup declares and the levels of the url's host."""
+    return identify(pages, model, visible_text(pages["html"]), markup_language(pages["html"]), page_host(pages["url"]))

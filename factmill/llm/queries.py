@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factmill.llm.ctw import score_documents
 from factmill.llm import pieces
-from factmill.llm.langid import identify_documents
+from factmill.llm.langid import fit, identify_documents, identify_pages
 from factmill.llm.mixing import mix
 from factmill.llm.sharding import hilbert_shards
 from factmill.llm.simhash import fingerprint_hex, near_groups
@@ -108,5 +108,11 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(docs.select("doc_id", "text", "lang", "source")).select("row.doc_id", "language.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion)}
+def op10_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all pages, from visible text, the markup's language and the url's host; labels are documents'."""
+    model = fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model).select("row.page_id", "language.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op10_page_languages)}
 ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL}

@@ -1,8 +1,12 @@
-"""Languages: every label has a model."""
+"""Languages: every label has a model, and pages are judged by markup and by each level of the host."""
 
 import random
 
-from factmill.llm import langid
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factmill.llm import langid, queries
 
 
 def prose(lang, seed, n=30):
@@ -21,3 +25,36 @@ def test_forty_labels_are_all_modelled(spark):
     got = langid.identify_documents(docs).select("row.lang", "language.*").toDF("label", *"lang probability text_lang declared accepted".split()).collect()
     assert len(got) == len(rows)
     assert all(r["declared"] == r["label"][:2].lower() == r["lang"] and r["accepted"] for r in got)
+
+
+@pytest.fixture(scope="module")
+def model():
+    texts = {"de": "der hund und die katze " * 20, "en": "the dog with this cat " * 20}
+    table = np.full((langid.CELLS, 3), 0.5)
+    for k, t in enumerate(texts.values()):
+        table[:, k] += np.bincount(langid.trigram_cells(langid.text_bytes(t)), minlength=langid.CELLS)
+    table[:, -1] = 1
+    return langid.TextModel(list(texts), np.log(table / table.sum(0)).astype(np.float32))
+
+
+def test_host_levels_and_markup_change_verdicts(spark, model):
+    """The same doubtful text everywhere: only the address, or the markup, tells its language."""
+    clear = {"de": "der hund und die katze", "en": "the dog with this cat"}
+    hosts = [("a.one.xx", "de"), ("a.two.xx", "en"), ("d.three.xx", "de"), ("e.three.xx", "en"), ("k.four.yy", "en"), ("k.five.zz", "de")]
+    rows = [(0, f"http://{h}/{k}", f'<html lang="{w}"><script>the the</script><p>{clear[w]}</p></html>') for h, w in hosts for k in range(60)]
+    doubtful = {1: "m.one.xx", 2: "m.two.xx", 3: "d.three.xx", 4: "e.three.xx:80", 5: "n.six.yy", 6: "n.six.zz", 7: "n.six.ww", 8: "n.six.ww"}
+    rows += [(i, f"https://{h}/", f'<html{" lang=de" if i == 7 else " lang=en-GB" if i == 8 else ""}><p>qxq</p></html>') for i, h in doubtful.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["lang"] for r in langid.identify_pages(pages, model).select("row.page_id", "language.lang").where("page_id > 0").collect()}
+    assert (got[1], got[2]) == ("de", "en"), "domain"
+    assert (got[3], got[4]) == ("de", "en"), "host"
+    assert (got[5], got[6]) == ("en", "de"), "suffix"
+    assert (got[7], got[8]) == ("de", "en"), "markup"
+
+
+def test_pages_query(spark, sf):
+    got = queries.op10_page_languages(spark, sf)
+    declared = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", langid.markup_language(F.col("html")).alias("said"))
+    rows = got.join(declared, "page_id").collect()
+    assert len(rows) == declared.count()
+    assert sum(r["lang"] == r["said"] for r in rows) / len(rows) > 0.9
