@@ -7,22 +7,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm.common import materialize, small_batches
 
-#: Bytes of context. Contexts end at the token's start, so a token's code length depends on the token alone.
+#: Bytes of context. They run across spaces.
 DEPTH = 5
 END = b"\n"
-#: Distinct words that a task holds before it hands its counts on, and bytes of words taken at a time.
-HELD_WORDS, RUN_BYTES = 200_000, 4 << 20
-#: Words scored by one task at a time; rows of context counts taken at a time (whole two-byte contexts).
-GROUP_WORDS, TREE_ROWS = 65_536, 200_000
-#: Frequent words whose scores every task holds: this many at most, none longer than HEAD_BYTES. The rest is joined.
-HEAD_WORDS, HEAD_BYTES = 100_000, 64
+#: Distinct words, and keys, that a task holds before it hands its counts on, and bytes of texts taken at a time.
+HELD_WORDS, HELD_KEYS, RUN_BYTES = 200_000, 1 << 20, 2 << 20
+#: Rows of context counts taken at a time (whole two-byte contexts).
+TREE_ROWS = 200_000
+#: Frequent words and keys whose scores every task holds: so many at most, no word longer than HEAD_BYTES. The rest is joined.
+HEAD_WORDS, HEAD_BYTES, HEAD_KEYS = 100_000, 64, 1 << 20
 #: Bits of a key below its two nearest bytes of context.
 NEAR = 8 * (DEPTH - 1)
 LN_HALF = math.log(0.5)
@@ -35,10 +34,11 @@ def tokens(text: str | None) -> list[bytes]:
 
 def gram_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of every word, closed by a space (the end has none): the DEPTH bytes before it, the nearest
-    highest, then the byte itself, as one number; spaces stand before a word. And the count for each word."""
+    highest, then the byte itself, as one number; spaces stand before a word. And the count for each word. Whole
+    running texts, closed by END, may stand in place of words."""
     pad = b" " * DEPTH
-    raw = np.frombuffer(b"".join(pad + w if w == END else pad + w + b" " for w in words), np.uint8).astype(np.int64)
-    counts = np.array([len(w) + (w != END) for w in words], np.int64)
+    raw = np.frombuffer(b"".join(pad + w if w.endswith(END) else pad + w + b" " for w in words), np.uint8).astype(np.int64)
+    counts = np.array([len(w) + (not w.endswith(END)) for w in words], np.int64)
     starts = np.cumsum(counts + DEPTH) - counts - DEPTH
     at = np.arange(len(raw))
     at = at[at - np.repeat(starts, counts + DEPTH) >= DEPTH]
@@ -140,25 +140,41 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-        for a, b in _runs(words):
-            keys, counts = gram_keys(words[a:b])
-            found, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, np.repeat(c[a:b], counts), len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
+def running(text: str | None) -> bytes:
+    """The tokens of a text with a space after each word."""
+    return b" ".join(tokens(text))
 
 
-def _runs(words: list[bytes]) -> Iterator[tuple[int, int]]:
+def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, w in enumerate(words):
+    for i, t in enumerate(texts):
         if size > RUN_BYTES:
             yield start, i
             start, size = i, 0
-        size += len(w) + DEPTH + 1
-    if start < len(words):
-        yield start, len(words)
+        size += len(t) + DEPTH + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys with their counts in texts not held out; those of the others with zero."""
+    keys, n = np.zeros(0, np.int64), np.zeros(0)
+    for batch in batches:
+        texts = [running(t.as_py()) for t in batch.column("text")]
+        learnt = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in _runs(texts):
+            own, counts = gram_keys(texts[a:b])
+            own, c = _summed(own, np.repeat(learnt[a:b], counts).astype(float))
+            keys, n = _summed(np.concatenate([keys, own]), np.concatenate([n, c]))
+            if len(keys) > HELD_KEYS:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+                keys, n = keys[:0], n[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
 
 def _by_context(work):
@@ -187,88 +203,82 @@ def _level_two(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array((ids >> 16).astype(np.int32)), pa.array((ids & 255).astype(np.int32)), *(pa.array(last[k]) for k in ("weighted", "zeros", "ones"))], ["near", "node", "weighted", "zeros", "ones"])
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct keys of each group's words; rows come sorted by group."""
-    for batch in batches:
-        groups, words = batch.column("g").to_numpy(), batch.column("word").to_pylist()
-        for a, b in _runs(words):
-            keys, counts = gram_keys(words[a:b])
-            pairs = np.unique(np.stack([np.repeat(groups[a:b], counts), keys]), axis=1) if groups[a] != groups[b - 1] else np.stack([np.full(len(u := np.unique(keys)), groups[a]), u])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["g", "key"])
-
-
-def _score_words(words: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-    names = words["word"].tolist()
-    order = np.argsort(bits["key"].to_numpy())
-    keys, cost = bits["key"].to_numpy()[order], bits["bits"].to_numpy()[order]
-    out = np.zeros(len(names))
-    for a, b in _runs(names):
-        own, counts = gram_keys(names[a:b])
-        out[a:b] = np.add.reduceat(cost[np.searchsorted(keys, own)], np.cumsum(counts) - counts)
-    return pd.DataFrame({"word": names, "c": words["c"].to_numpy(), "bits": out})
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """docs: text, held_out. Returns (word, c, bits) for every distinct token of all documents, with its count in
-    those not held out and its code length under the model that these give; also their tokens and distinct tokens.
-
-    A word's code covers its bytes and the space that closes it. Counts of bytes under contexts of DEPTH bytes are
-    summed over the vocabulary; everything below a two-byte context is weighted by the task that holds it, the two
-    levels above (256 contexts at most) on the driver. The model has as many contexts as the corpus shows.
+def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """docs: text, held_out. Returns (word, c) for every distinct token of all documents, with its count in those not
+    held out; (key, n, bits) for every byte after its context, with the code length under the model that those not held
+    out give; and their count of tokens and of distinct tokens.
+
+    Everything below a two-byte context is weighted by the task that holds it, the two levels above (256 contexts at
+    most) on the driver. The model has as many contexts as the corpus shows.
     """
     small_batches(docs.sparkSession)
     vocabulary = docs.select("text", "held_out").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     vocabulary = materialize(vocabulary, "vocabulary")
-    size, total, distinct = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    grams = materialize(vocabulary.mapInArrow(_grams, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    grams = materialize(docs.select("text", "held_out").mapInArrow(_grams, "key long, n double").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     dealt = grams.repartition(F.shiftright("key", NEAR)).sortWithinPartitions("key")
     second = dealt.mapInArrow(_by_context(_level_two), "near int, node int, weighted double, zeros double, ones double")
     # 256 contexts of 255 nodes at most.
     top = top_levels([tuple(r) for r in second.groupBy("near", "node").agg(F.sum("weighted"), F.sum("zeros"), F.sum("ones")).collect()])
-    costs = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(code_bits(keys, n, top))], ["key", "bits"])
-    bits = materialize(dealt.mapInArrow(_by_context(costs), "key long, bits double"), "bits")
-    groups = max(1, -(-size // GROUP_WORDS))
-    named = vocabulary.withColumn("g", F.pmod(F.xxhash64("word"), F.lit(groups)).cast("long"))
-    wanted = named.select("word", "g").repartition("g").sortWithinPartitions("g").mapInArrow(_wanted, "g long, key long").distinct()
-    priced = wanted.join(bits, "key")
-    scored = named.groupBy("g").cogroup(priced.groupBy("g")).applyInPandas(lambda w, b: _score_words(w, b), "word binary, c long, bits double")
-    return materialize(scored, "words"), total, distinct
-
-
-def head_words(words: DataFrame, limit: int = HEAD_WORDS) -> dict[bytes, tuple[int, float]]:
-    """The most frequent words, limit at most: those above a count that a histogram of eighths of powers of two gives."""
-    short = words.where((F.col("c") > 0) & (F.octet_length("word") <= HEAD_BYTES))
-    step = F.floor(F.log2("c") * 8)
-    seen = sorted(((r[0], r[1]) for r in short.groupBy(step.alias("s")).count().collect()), reverse=True)
+    costs = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(code_bits(keys, n, top))], ["key", "n", "bits"])
+    return vocabulary, materialize(dealt.mapInArrow(_by_context(costs), "key long, n double, bits double"), "bits"), total, distinct
+
+
+def _frequent(rows: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of the greatest counts, limit at most: those above one that a histogram of eighths of powers of two gives."""
+    some = rows.where(F.col(count) > 0)
+    step = F.floor(F.log2(count) * 8)
     kept, least = 0, None
-    for s, n in seen:
+    for s, n in sorted(((r[0], r[1]) for r in some.groupBy(step.alias("s")).count().collect()), reverse=True):
         if kept + n > limit:
             break
         kept, least = kept + n, s
-    if least is None:
-        return {}
-    return {bytes(r[0]): (r[1], r[2]) for r in short.where(step >= least).select("word", "c", "bits").collect()}
+    return some.where(step >= least) if least is not None else some.limit(0)
+
+
+def head_words(words: DataFrame, limit: int = HEAD_WORDS) -> dict[bytes, int]:
+    """The most frequent words with their counts."""
+    return {bytes(r[0]): r[1] for r in _frequent(words.where(F.octet_length("word") <= HEAD_BYTES), "c", limit).select("word", "c").collect()}
+
+
+def _score_keys(head: np.ndarray, cost: np.ndarray):
+    """Per text the bits of its keys in head, and its other keys with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rids = [running(t.as_py()) for t in batch.column("text")], batch.column("rid").to_numpy()
+            for a, b in _runs(texts):
+                keys, counts = gram_keys(texts[a:b])
+                starts = np.cumsum(counts) - counts
+                at = np.minimum(np.searchsorted(head, keys), max(len(head) - 1, 0))
+                hit = head[at] == keys if len(head) else np.zeros(len(keys), bool)
+                bits = np.add.reduceat(np.where(hit, cost[at], 0.0) if len(head) else np.zeros(len(keys)), starts)
+                others = [np.unique(keys[s : s + n][~hit[s : s + n]], return_counts=True) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+                ends = np.cumsum([0, *(len(k) for k, _ in others)]).astype(np.int32)
+                rest = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in others])) for k in (0, 1)], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(rids[a:b]), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends), rest)], ["rid", "bits", "rest"])
+
+    return run
 
 
-PART = "rid long, n_tokens long, n_known long, base double, bits double, n_bytes long, rest array<struct<word: binary, n: int>>"
+PART = "rid long, n_tokens long, n_known long, base double, n_bytes long, rest array<struct<word: binary, n: int>>"
 
 
-def _score_docs(head: dict[bytes, tuple[float, float]], schema: pa.Schema):
+def _score_docs(head: dict[bytes, float], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
                 found = tokens(text.as_py())
-                known, base, bits, size, rest = 0, 0.0, 0.0, 0, []
+                known, base, size, rest = 0, 0.0, 0, []
                 for w, n in Counter(found).items():
                     size += n * len(w)
                     if (x := head.get(w)) is None:
                         rest.append((w, n))
                     else:
                         known += n
-                        base += n * x[0]
-                        bits += n * x[1]
-                rows.append((rid, len(found), known, base, bits, size + len(found) - 1, [{"word": w, "n": n} for w, n in rest]))
+                        base += n * x
+                rows.append((rid, len(found), known, base, size + len(found) - 1, [{"word": w, "n": n} for w, n in rest]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -285,11 +295,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     rows = docs.select(F.col("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    words, total, distinct = train(rows)
+    words, bits, total, distinct = train(rows)
     under = total + 0.1 * (distinct + 1)
     base = lambda c: math.log10((c + 0.1) / under)
-    head = {w: (base(c), bits) for w, (c, bits) in head_words(words).items()}
-    schema = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()), ("n_bytes", pa.int64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
+    head = {w: base(c) for w, c in head_words(words).items()}
+    schema = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
     # The id of a row stands for it in the join, as doc_id may repeat: same files, same splits, same ids.
     ids = rows.withColumn("rid", F.monotonically_increasing_id())
     parts = materialize(ids.select("rid", "text").mapInArrow(_score_docs(head, schema), PART), "parts")
@@ -297,8 +307,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rest = parts.select("rid", F.explode("rest").alias("t")).select("rid", "t.word", "t.n").join(words, "word")
     log10 = F.log10((F.col("c") + 0.1) / F.lit(under))
     zero = F.lit(0).cast("long")
-    late = rest.select("rid", zero, F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long"), F.col("n") * log10, F.col("n") * F.col("bits"), zero)
-    both = parts.select("rid", "n_tokens", "n_known", "base", "bits", "n_bytes").union(late)
+    known = F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long")
+    none = F.lit(0.0)
+    late = rest.select("rid", zero, known, F.col("n") * log10, none, zero)
+    # HEAD_KEYS rows at most.
+    frequent = _frequent(bits, "n", HEAD_KEYS).select("key", "bits").toArrow().sort_by("key")
+    coded = ids.select("rid", "text").mapInArrow(_score_keys(frequent["key"].to_numpy(), frequent["bits"].to_numpy()), "rid long, bits double, rest array<struct<key: bigint, n: bigint>>")
+    coded = materialize(coded, "coded")
+    rare = coded.select("rid", F.explode("rest").alias("t")).select("rid", "t.key", "t.n").join(bits.select("key", F.col("bits").alias("b")), "key")
+    both = parts.select("rid", "n_tokens", "n_known", "base", none.alias("bits"), "n_bytes").union(late)
+    both = both.union(coded.select("rid", zero, zero, none, "bits", zero)).union(rare.select("rid", zero, zero, none, F.col("n") * F.col("b"), zero))
     sums = both.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "bits", "n_bytes")))
     out = named.join(sums, "rid")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("bits") * -math.log10(2)).alias("score"), "n_bytes", (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
