@@ -14,7 +14,7 @@ from factmill.llm.common import shuffle_partitions, small_batches
 
 WORDS = 5
 #: One hash in so many is kept.
-SCALE = 16
+SCALE = 2
 #: Bytes hashed at a time; a longer text makes a longer run.
 RUN_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -118,6 +118,19 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
+def is_fallback(a: np.ndarray, scale: int = SCALE) -> bool:
+    """Whether the sketch is a least hash alone, which says nothing against one of hashes below the limit."""
+    return len(a) == 1 and a[0] >= np.uint64((1 << 64) // scale)
+
+
+def near(a: np.ndarray, b: np.ndarray, text: str, other: str) -> float:
+    """containment of two sketches; from all shingles of the two texts where one of the sketches is a fallback."""
+    if is_fallback(a) or is_fallback(b):
+        whole = [np.unique(shingle_hashes([t.encode("utf-8", "surrogatepass")])[0]) for t in (text, other)]
+        return containment(*whole)
+    return containment(a, b)
+
+
 def as_text(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 
@@ -150,9 +163,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             half = len(text) // 2
             edited.append(text[: len(text) - half] + after[:half])
         out = []
-        for ((doc_id, text, own_sketch, _), (_, _, next_sketch, _)), new, sketch in zip(pairs, edited, sketches(edited), strict=True):
+        for ((doc_id, text, own_sketch, _), (_, after, next_sketch, _)), new, sketch in zip(pairs, edited, sketches(edited), strict=True):
             sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc_id, len(text), sha, as_text(own_sketch), as_text(sketch), containment(own_sketch, sketch), containment(own_sketch, next_sketch)))
+            out.append((doc_id, len(text), sha, as_text(own_sketch), as_text(sketch), near(own_sketch, sketch, text, new), near(own_sketch, next_sketch, text, after)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], NAMES)
 
 
