@@ -36,9 +36,10 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, CONTROL, " "), JS_SPACE + "+", " "))
 
 
-def clean_public_text(c: Column, most: int) -> Column:
-    """Squeezed text cut to ``most`` characters, not trimmed again; null for nothing."""
-    return F.left(F.nullif(squeeze(c), F.lit("")), F.lit(most))
+def clean_public_text(c: Column, most: int | None) -> Column:
+    """Squeezed text cut to ``most`` characters (None: whole), not trimmed again; null for nothing."""
+    text = F.nullif(squeeze(c), F.lit(""))
+    return text if most is None else F.left(text, F.lit(most))
 
 
 def contains_unsafe(c: Column) -> Column:
@@ -50,7 +51,7 @@ def contains_placeholder(c: Column) -> Column:
     return any_of(*(matches(s, p) for p in (PLACEHOLDER_PHONE, PLACEHOLDER_WHOLE, PLACEHOLDER_WORDS, PLACEHOLDER_ANYWHERE)))
 
 
-def safe_fact(c: Column, most: int = 500) -> Column:
+def safe_fact(c: Column, most: int | None = 500) -> Column:
     """Clean text, null where it is unsafe or a placeholder."""
     text = clean_public_text(c, most)
     return F.when(~contains_unsafe(text) & ~contains_placeholder(text), text)

@@ -57,13 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FROM (SELECT lang, {_clean('text', 1_000_000)} AS t FROM documents) GROUP BY lang""")
 def safe_documents_by_lang(spark, sf_dir):
     """Documents of each language that hold nothing unsafe or made up."""
-    docs = table(spark, sf_dir, "documents").select("lang", text.safe_fact(F.col("text"), 1_000_000).alias("t"))
+    docs = table(spark, sf_dir, "documents").select("lang", text.safe_fact(F.col("text"), None).alias("t"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count("t").alias("safe"))
 
 
 @query(f"SELECT doc_id, {_clean('text', 1_000_000)} AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_public_text(F.col("text"), 1_000_000).alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_public_text(F.col("text"), None).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, {_unsafe('text')} AS unsafe, contains(text, '@') AS has_address FROM documents")
