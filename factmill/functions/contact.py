@@ -55,7 +55,13 @@ def aggregation_key(*dims: Column) -> Column:
 
 
 def owner_scope(owner: Column) -> Column:
-    return F.sha2(F.lower(F.trim(owner)), 256)
+    """Hash of an owner; an owner that is null or blank fails the job."""
+    name = F.lower(F.trim(owner))
+    return F.sha2(F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(F.raise_error(F.lit("a job needs an owner")).cast("string")), 256)
+
+
+def job_key(prefix: str, owner: Column, request_id: Column) -> Column:
+    return F.concat_ws(":", F.lit(prefix), owner_scope(owner), request_id)
 
 
 def hmac_sha256(c: Column, key: str) -> Column:

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values. White space as JavaScript's \s has it, control characters, and patterns of unsafe or made-up content.
-JS_SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
-CONTROL = r"[\x00-\x1f\x7f]"
-URL = r"(?i)\b(?:https?://|www\.)[^\t\n\x0B\f\r    -     　﻿]"
-CITATION = r'(?i)"(?:url|annotations|citation)"[\s]*:'
-UNSAFE_WORDS = r"(?i)\b(?:quote|member|client|patient|dob|ssn|date\s*of\s*birth|birth\s*date|diagnos\w*|medication\w*|prescription\w*)\b"
-PLACEHOLDER_PHONE = r"(?i)\b(?:\(?\d{3}\)?\D*)?555\D*\d{4}\b|\b555\D*010\D*\d{4}\b|\b(?:\(?\d{3}\)?\D*)?123\D*4567\b"
+SPACES = r"\t\n\x0B\f\r    -     　﻿"
+CONTROLS = r"\x00-\x1f\x7f"
+UNSAFE_WORDS = ["quote", "member", "client", "patient", "dob", r"date\s*of\s*birth", r"birth\s*date", r"diagnos\w*", r"medication\w*", r"prescription\w*", "ssn"]
+PLACEHOLDER_WORDS = ["mock", "fake", "dummy", "sample", "placeholder", "demo", "test", r"lorem\s*ipsum"]
+PLACEHOLDER_ANYWHERE = ["loremipsum", "source", "public address unavailable"]
 PLACEHOLDER_WHOLE = r"(?i)^(?:string(?:\s+optional)?|unknown|n/a)$"
-PLACEHOLDER_WORDS = r"(?i)\b(?:mock|fake|dummy|sample|placeholder|demo|test)\b"
-PLACEHOLDER_ANYWHERE = r"(?i)\blorem\s*ipsum\b|loremipsum|source|public address unavailable"
 
-#: Java's word boundary counts letters beyond ASCII as letters; this one does not.
-ASCII_BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: Java's own word boundary counts letters beyond ASCII as letters; these two do not. Each is cheaper than a boundary.
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+SPACE = f"[{SPACES}]"
+URL = rf"(?i){BEGIN}(?:https?://|www\.)[^{SPACES}]"
+CITATION = rf'(?i)"(?:url|annotations|citation)"{SPACE}*:'
+#: A word that may go on ends anywhere.
+_UNSAFE = "|".join(w.removesuffix(r"\w*") if w.endswith(r"\w*") else w.replace(r"\s", SPACE) + END for w in UNSAFE_WORDS)
+UNSAFE = f"(?i){BEGIN}(?=[qmcpdbs])(?:{_UNSAFE})"
+_WORDS = "|".join(w.replace(r"\s", SPACE) for w in PLACEHOLDER_WORDS)
+PLACEHOLDER = f"(?i){BEGIN}(?=[mfdsptl])(?:{_WORDS}){END}|(?=[lsp])(?:{'|'.join(PLACEHOLDER_ANYWHERE)})"
+#: What is no digit ends at the next digit, so nothing is tried twice.
+PLACEHOLDER_PHONE = rf"{BEGIN}(?:\d{{3}}\D*+)?(?:555\D*+\d{{4}}|123\D*+4567){END}|{BEGIN}555\D*+010\D*+\d{{4}}{END}"
+#: White space and control characters that are not one space alone.
+_LOOSE = rf"[{SPACES}{CONTROLS}&&[^ ]][{SPACES}{CONTROLS}]*+| [{SPACES}{CONTROLS}]++"
 
 
-def matches(c: Column, pattern: str) -> Column:
-    """Whether a pattern with ASCII word boundaries is found."""
-    return c.rlike(pattern.replace(r"\b", ASCII_BOUND))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it: Catalyst would copy a column into each of
+    its uses, but not into the body of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def any_of(*tests: Column) -> Column:
@@ -33,7 +45,7 @@ def any_of(*tests: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Control characters and runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, CONTROL, " "), JS_SPACE + "+", " "))
+    return F.trim(F.regexp_replace(c, _LOOSE, " "))
 
 
 def clean_public_text(c: Column, most: int | None) -> Column:
@@ -43,28 +55,38 @@ def clean_public_text(c: Column, most: int | None) -> Column:
 
 
 def contains_unsafe(c: Column) -> Column:
-    return any_of(matches(c, URL), matches(c, CITATION), matches(c, UNSAFE_WORDS), c.contains("@"))
+    return any_of(c.contains("@"), c.rlike(UNSAFE), c.rlike(URL), c.rlike(CITATION))
+
+
+def _made_up(squeezed: Column) -> Column:
+    phone = (squeezed.contains("555") | squeezed.contains("123")) & squeezed.rlike(PLACEHOLDER_PHONE)
+    return any_of(squeezed.rlike(PLACEHOLDER_WHOLE), squeezed.rlike(PLACEHOLDER), phone)
 
 
 def contains_placeholder(c: Column) -> Column:
-    s = squeeze(c)
-    return any_of(*(matches(s, p) for p in (PLACEHOLDER_PHONE, PLACEHOLDER_WHOLE, PLACEHOLDER_WORDS, PLACEHOLDER_ANYWHERE)))
+    return let(squeeze(c), _made_up)
+
+
+def is_safe(cleaned: Column) -> Column:
+    """Whether a cleaned text is there and holds nothing unsafe or made up."""
+    return cleaned.isNotNull() & ~contains_unsafe(cleaned) & ~_made_up(cleaned)
 
 
 def safe_fact(c: Column, most: int | None = 500) -> Column:
     """Clean text, null where it is unsafe or a placeholder."""
-    text = clean_public_text(c, most)
-    return F.when(~contains_unsafe(text) & ~contains_placeholder(text), text)
+    return let(clean_public_text(c, most), lambda t: F.when(is_safe(t), t))
 
 
 def safe_phone(c: Column) -> Column:
     """value (null if refused) and reason."""
-    text = clean_public_text(c, 30)
-    kept = F.regexp_replace(text, r"[^\d+(). -]", "")
-    digits = F.length(F.regexp_replace(kept, r"\D", ""))
-    unsafe = text.isNull() | contains_unsafe(text) | contains_placeholder(text)
-    reason = F.when(unsafe, "UNSAFE_PHONE_VALUE").when(~digits.between(7, 15), "INVALID_PHONE_VALUE")
-    return F.struct(F.when(reason.isNull(), F.trim(kept)).alias("value"), reason.alias("reason"))
+
+    def judged(text: Column) -> Column:
+        kept = F.regexp_replace(text, r"[^\d+(). -]", "")
+        few = ~F.length(F.regexp_replace(text, r"\D", "")).between(7, 15)
+        reason = F.when(~is_safe(text), "UNSAFE_PHONE_VALUE").when(few, "INVALID_PHONE_VALUE")
+        return let(reason, lambda r: F.struct(F.when(r.isNull(), F.trim(kept)).alias("value"), r.alias("reason")))
+
+    return let(clean_public_text(c, 30), judged)
 
 
 def safe_source_id(c: Column, fallback: Column) -> Column:
@@ -77,13 +99,38 @@ def fact_key(c: Column) -> Column:
 
 
 def identity(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), f"^{JS_SPACE}+|{JS_SPACE}+$", ""))
+    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), f"^{SPACE}+|{SPACE}+$", ""))
 
 
 def name_identity(c: Column) -> Column:
     return F.trim(F.regexp_replace(identity(c), "[^a-z0-9]+", " "))
 
 
+@lru_cache(maxsize=1)
+def _decomposed() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition (NFKD) holds letters or digits of ASCII, with what they
+    become: one alone, one with marks behind it, several. Built from Python's own tables."""
+    alone, marked, several = {}, {}, {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        d = unicodedata.normalize("NFKD", c)
+        if d != c and any(x.isascii() and x.isalnum() for x in d):
+            plain = "".join(x if x.isascii() and x.isalnum() else " " for x in d)
+            (alone if len(plain) == 1 else marked if not plain[1:].strip() and plain[0] != " " else several)[c] = plain
+    return alone, marked, several
+
+
 def plain_text(c: Column) -> Column:
-    """Lower-cased alphanumeric words; exact for text whose letters have no compatibility decomposition."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    """Lower-cased words of ASCII letters and digits, after compatibility decomposition: an accented letter is its base
+    letter followed by a mark, which ends a word, as any other sign does."""
+    alone, marked, several = _decomposed()
+    listed = lambda found: "[" + "".join(found) + "]"
+    short = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+
+    def folded(t: Column) -> Column:
+        spelt = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda x: F.coalesce(F.when(x > "\x7f", short[x]), x)), "")
+        spaced = F.regexp_replace(let(t, lambda u: F.when(u.rlike(listed(several)), spelt).otherwise(u)), f"({listed(marked)})", "$1 ")
+        return F.translate(spaced, "".join([*alone, *marked]), "".join([*alone.values(), *(v[0] for v in marked.values())]))
+
+    ascii_ = let(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), folded(t)).otherwise(t))
+    return F.trim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", " "))

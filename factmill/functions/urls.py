@@ -1,11 +1,11 @@
-"""Public domains and urls. Hosts and urls of ASCII characters are exact; others are refused."""
+"""Public domains and urls, read as browsers read them. Hosts that are not ASCII are refused."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factmill.functions.text import clean_public_text, contains_unsafe
+from factmill.functions.text import clean_public_text, contains_unsafe, let
 
 # Fixed values.
 FALLBACK = "public-source"
@@ -13,54 +13,116 @@ PLACEHOLDER_DOMAIN = r"(?i)^(?:example\.(?:com|org|net)|mock\.local|localhost|lo
 RESERVED_HOST = r"(?i)(?:^|\.)(?:invalid|example|localhost|local|test)$"
 PUBLIC_HOST = r"(?i)^(?=.{1,253}$)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
 TRACKING = r"(?i)^(?:utm_.+|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|ref|referrer|source|tracking)$"
-PARTS = r"^(?i)(https?)://([^/?#\\]*)([^?#]*)(\?[^#]*)?"
 
+#: Scheme, authority, path and query: any number of slashes of either kind stands before a web address's authority.
+WEB = r"(?i)^(https?):[/\\]*([^/?#\\]*)([^?#]*)(?:\?([^#]*))?"
+#: Authority of an address of any scheme that has one.
+AUTHORITY = r"(?i)^(?:(?:https?|ftp|wss?):[/\\]*|(?!file:)[a-z][a-z0-9+.-]*://)([^/?#\\]*)"
+FORBIDDEN_IN_HOST = r"[\x00-\x20\x7f\"#%/:<>?@\[\\\]^`|]"
+#: Characters that a path shows as percent codes, and segments that stand for this folder or the one above.
+UNSAFE_IN_PATH = r'[^!-~]|["<>`{}]'
+DOTS = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
 
-def _host(url: Column) -> Column:
-    authority = F.lower(F.regexp_extract(url, PARTS, 2))
-    return F.nullif(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), F.lit(""))
+
+def _host(authority: Column) -> Column:
+    """Lower-cased host without user and port; null where it could be none."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
+    plain = let(bare, lambda h: F.when(h.contains("%"), F.lower(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))))).otherwise(h))
+    return let(plain, lambda h: F.when((h != "") & ~h.rlike(FORBIDDEN_IN_HOST), h))
+
+
+def host_of(url: Column) -> Column:
+    """Host of an address of any scheme that has one; null for none."""
+    trimmed = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    return _host(F.regexp_extract(trimmed, AUTHORITY, 1))
 
 
 def is_placeholder_domain(c: Column) -> Column:
-    d = F.lower(clean_public_text(c, 255))
-    return d.isNull() | d.rlike(PLACEHOLDER_DOMAIN)
+    return let(F.lower(clean_public_text(c, 255)), lambda d: d.isNull() | d.rlike(PLACEHOLDER_DOMAIN))
+
+
+def _public(raw: Column) -> Column:
+    """A domain without www. if it is public and safe, else FALLBACK."""
+    domain = F.regexp_replace(F.lower(clean_public_text(raw, 255)), r"^www\.", "")
+    fine = lambda d: d.rlike(PUBLIC_HOST) & ~d.rlike(RESERVED_HOST) & ~d.rlike(PLACEHOLDER_DOMAIN) & ~contains_unsafe(d)
+    return let(domain, lambda d: F.when(fine(d), d).otherwise(FALLBACK))
 
 
 def safe_domain(domain: Column, url: Column) -> Column:
     """The public host of the url, else the domain, without www.; FALLBACK where it is neither public nor safe."""
-    raw = F.coalesce(F.nullif(F.regexp_replace(_host(url), r"^www\.", ""), F.lit("")), F.nullif(domain, F.lit("")))
-    d = F.regexp_replace(F.lower(clean_public_text(raw, 255)), r"^www\.", "")
-    fine = d.isNotNull() & ~contains_unsafe(d) & ~is_placeholder_domain(d) & ~d.rlike(RESERVED_HOST) & d.rlike(PUBLIC_HOST)
-    return F.when(fine, d).otherwise(FALLBACK)
+    return _public(F.coalesce(F.nullif(F.regexp_replace(host_of(url), r"^www\.", ""), F.lit("")), F.nullif(domain, F.lit(""))))
+
+
+def _shown_path(path: Column) -> Column:
+    """A path from its root, percent codes for what is not plain, without dot segments."""
+
+    def coded(p: Column) -> Column:
+        each = F.transform(F.regexp_extract_all(p, F.lit("(?s)."), 0), lambda x: F.when(x == " ", "%20").when(x.rlike(UNSAFE_IN_PATH), F.url_encode(x)).otherwise(x))
+        return F.when(p.rlike(UNSAFE_IN_PATH), F.array_join(each, "")).otherwise(p)
+
+    def undotted(p: Column) -> Column:
+        plain = lambda s: F.regexp_replace(s, "(?i)%2e", ".")
+        none = F.array().cast("array<string>")
+        step = lambda acc, s: F.when(plain(s) == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(plain(s) == ".", acc).otherwise(F.array_append(acc, s))
+        folded = lambda parts: F.array_append(F.aggregate(parts, none, step), F.lit(""))
+        # A dot segment at the end leaves its slash.
+        tail = lambda parts: F.when(plain(F.element_at(parts, -1)).isin(".", ".."), folded(parts)).otherwise(F.aggregate(parts, none, step))
+        whole = let(F.split(F.substring(p, F.lit(2), F.length(p)), "/"), tail)
+        return F.when(p.rlike(DOTS), F.concat(F.lit("/"), F.array_join(whole, "/"))).otherwise(p)
+
+    rooted = let(F.replace(path, F.lit("\\"), F.lit("/")), lambda p: F.when(p == "", "/").otherwise(p))
+    return let(let(rooted, coded), undotted)
+
+
+def _shown_query(query: Column) -> Column:
+    """Pairs decoded, those that only track a visitor dropped, the others sorted by name and encoded as a form does."""
+    decoded = lambda s: F.try_url_decode(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25"))
+    pair = lambda p: F.struct(decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("name"), decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)", 1)).alias("value"))
+    named = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
+    kept = F.filter(named, lambda x: ~x["name"].rlike(TRACKING))
+    placed = F.array_sort(F.transform(kept, lambda x, i: F.struct(x["name"].alias("name"), i.alias("at"), x["value"].alias("value"))))
+    return F.when(query == "", "").otherwise(F.array_join(F.transform(placed, lambda x: F.concat(F.url_encode(x["name"]), F.lit("="), F.url_encode(x["value"]))), "&"))
+
+
+def _split(url: Column) -> Column:
+    fields = ("scheme", "authority", "path", "query")
+    return let(url, lambda u: F.when(u.rlike(WEB), F.struct(*(F.regexp_extract(u, WEB, i).alias(name) for i, name in enumerate(fields, 1)))))
 
 
 def safe_public_url(c: Column, expected: Column | None = None) -> Column:
     """An http(s) url of a public host without credentials, tracking parameters and fragment, the others sorted by
     name; null where it isn't one, or its host is unrelated to the expected domain."""
-    url = clean_public_text(c, 2048)
-    scheme, authority = F.lower(F.regexp_extract(url, PARTS, 1)), F.lower(F.regexp_extract(url, PARTS, 2))
-    host = safe_domain(_host(url), F.lit(None).cast("string"))
-    fine = (scheme != "") & ~authority.contains("@") & (host != FALLBACK)
-    if expected is not None:
-        related = expected.isNull() | (expected == "") | (host == expected) | host.endswith(F.concat(F.lit("."), expected)) | expected.endswith(F.concat(F.lit("."), host))
-        fine = fine & related
-    standard = F.when(scheme == "http", F.lit(":80")).otherwise(F.lit(":443"))
-    shown = F.when(authority.endswith(standard), F.regexp_replace(authority, r":\d*$", "")).otherwise(F.regexp_replace(authority, ":$", ""))
-    path = F.regexp_replace(F.regexp_extract(url, PARTS, 3), " ", "%20")
-    pairs = F.filter(F.split(F.substring(F.regexp_extract(url, PARTS, 4), 2, 2048), "&"), lambda p: p != "")
-    named = F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("at"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("pair")))
-    kept = F.array_sort(F.filter(named, lambda p: ~p["name"].rlike(TRACKING)))
-    query = F.replace(F.array_join(F.transform(kept, lambda p: p["pair"]), "&"), F.lit(" "), F.lit("+"))
-    text = F.concat(scheme, F.lit("://"), shown, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(fine, text)
+
+    def built(u: Column) -> Column:
+        scheme, port = F.lower(u["scheme"]), F.regexp_extract(u["authority"], r":(\d*)$", 1)
+        user = F.regexp_extract(u["authority"], "(?s)^(.*)@", 1)
+        host = let(_host(u["authority"]), lambda h: F.struct(h.alias("shown"), _public(h).alias("public")))
+        number = F.coalesce(F.nullif(port, F.lit("")).cast("long"), F.lit(-1))
+        standard = F.when(scheme == "http", 80).otherwise(443)
+        shown_port = F.when((number == -1) | (number == standard), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+
+        def text(h: Column) -> Column:
+            fine = (h["public"] != FALLBACK) & user.isin("", ":") & ((port == "") | F.coalesce(port.cast("long") <= 65535, F.lit(False)))
+            if expected is not None:
+                related = expected.isNull() | (expected == "") | (h["public"] == expected) | h["public"].endswith(F.concat(F.lit("."), expected)) | expected.endswith(F.concat(F.lit("."), h["public"]))
+                fine = fine & related
+            query = let(_shown_query(u["query"]), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+            return F.when(fine, F.concat(scheme, F.lit("://"), h["shown"], shown_port, _shown_path(u["path"]), query))
+
+        return let(host, text)
+
+    return let(_split(clean_public_text(c, 2048)), built)
 
 
 def website_key(c: Column) -> Column:
     """Host without www. and path without slashes at its end, lower-cased, then the query; null for no safe url."""
-    url = safe_public_url(c)
-    host = F.regexp_replace(_host(url), r"^www\.", "")
-    path = F.regexp_replace(F.lower(F.regexp_extract(url, PARTS, 3)), "/+$", "")
-    return F.concat(host, F.when(path == "", "/").otherwise(path), F.regexp_extract(url, PARTS, 4))
+
+    def key(u: Column) -> Column:
+        path = F.regexp_replace(F.lower(u["path"]), "/+$", "")
+        query = F.when(u["query"] == "", "").otherwise(F.concat(F.lit("?"), u["query"]))
+        return F.concat(F.regexp_replace(_host(u["authority"]), r"^www\.", ""), F.when(path == "", "/").otherwise(path), query)
+
+    return let(_split(safe_public_url(c)), key)
 
 
 def domain_matches(domain: Column, approved: list[str]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factmill.functions.text import let
 from factmill.functions.urls import FALLBACK
 
 #: Where an object keeps its text, in order.
@@ -24,9 +25,20 @@ def is_object(v: Column) -> Column:
     return kind(v).startswith("OBJECT")
 
 
+def is_string(v: Column) -> Column:
+    return kind(v) == "STRING"
+
+
+def text_of(v: Column) -> Column:
+    """A string; null for other kinds."""
+    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
+
+
 def _scalar(v: Column) -> Column:
-    """Strings and numbers as strings; booleans and the rest as null."""
-    return F.when(~kind(v).rlike("^(?:BOOLEAN|VOID|OBJECT|ARRAY)"), F.try_variant_get(v, "$", "string"))
+    """Strings and numbers as strings, numbers without zeros behind the point; booleans and the rest as null."""
+    plain = F.try_variant_get(v, "$", "string")
+    number = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    return F.when(is_string(v), plain).when(~kind(v).rlike("^(?:BOOLEAN|VOID|OBJECT|ARRAY)"), number)
 
 
 def first_text(*options: Column) -> Column:
@@ -34,25 +46,50 @@ def first_text(*options: Column) -> Column:
     return F.coalesce(*(F.nullif(o, F.lit("")) for o in options))
 
 
+#: Members that are looked at in an object that stands for a text.
+VISITS = 64
+
+
+def _nested_text(v: Column) -> Column:
+    """The first text under TEXT_KEYS, depth first: a stack of members, the next to look at in front."""
+    start = F.struct(F.array(v).alias("stack"), F.lit(None).cast("string").alias("found"))
+
+    def step(state: Column, _: Column) -> Column:
+        top = F.get(state["stack"], 0)
+        rest = F.when(F.size(state["stack"]) > 1, F.slice(state["stack"], F.lit(2), F.size(state["stack"]))).otherwise(F.array().cast("array<variant>"))
+        inner = F.when(is_object(top), F.filter(F.array(*(part(top, k) for k in TEXT_KEYS)), lambda m: m.isNotNull())).otherwise(F.array().cast("array<variant>"))
+        done = state["found"].isNotNull() | (F.size(state["stack"]) == 0)
+        next_ = F.struct(F.concat(inner, rest).alias("stack"), F.nullif(_scalar(top), F.lit("")).alias("found"))
+        return F.when(done, state).otherwise(next_)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(VISITS)), start, step)["found"]
+
+
 def coerce_string(v: Column) -> Column:
-    """A scalar, or the first text that an object holds under TEXT_KEYS; deeper objects are null."""
-    return F.coalesce(_scalar(v), F.when(is_object(v), first_text(*(_scalar(part(v, k)) for k in TEXT_KEYS))))
+    """A scalar, or the first text that an object holds under TEXT_KEYS, however deep, among its first VISITS members."""
+    return let(v, lambda x: F.when(is_object(x), _nested_text(x)).otherwise(_scalar(x)))
 
 
 def strings(v: Column, *keys: str) -> Column:
     return first_text(*(coerce_string(part(v, k)) for k in keys))
 
 
+def truthy(v: Column) -> Column:
+    """Whether JavaScript takes a value for true: not null, false, zero or an empty string."""
+    k = kind(v)
+    empty = F.when(k == "STRING", F.try_variant_get(v, "$", "string") == "").when(k == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean")).when(k.rlike("^(?:OBJECT|ARRAY)"), False).otherwise(F.try_variant_get(v, "$", "double") == 0)
+    return v.isNotNull() & (k != "VOID") & ~F.coalesce(empty, F.lit(False))
+
+
 def items(v: Column) -> Column:
     """An array's elements; one of anything else; none for what JavaScript calls falsy."""
-    falsy = v.isNull() | F.is_variant_null(v) | F.coalesce(_scalar(v).isin("", "0"), F.lit(False)) | ((kind(v) == "BOOLEAN") & ~F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)))
     many = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(falsy, F.array().cast("array<variant>")).when(kind(v).startswith("ARRAY"), many).otherwise(F.array(v))
+    return F.when(~truthy(v), F.array().cast("array<variant>")).when(kind(v).startswith("ARRAY"), many).otherwise(F.array(v))
 
 
 def first_of(v: Column, *keys: str) -> Column:
-    """The first member that is there and isn't null; an empty array counts as there."""
-    return F.coalesce(*(F.when(~F.is_variant_null(part(v, k)), part(v, k)) for k in keys))
+    """The first member that JavaScript takes for true; an empty array counts as such."""
+    return F.coalesce(*(F.when(truthy(part(v, k)), part(v, k)) for k in keys))
 
 
 def source_id(v: Column) -> Column:
@@ -123,18 +160,23 @@ def json_text(c: Column) -> Column:
 
 def response_text(v: Column) -> Column:
     """A response's output_text, or the texts of its messages, one a line."""
-    messages = F.filter(items(part(v, "output")), lambda o: coerce_string(part(o, "type")) == "message")
-    parts = F.flatten(F.transform(messages, lambda o: F.filter(items(part(o, "content")), lambda p: coerce_string(part(p, "type")) == "output_text")))
-    joined = F.array_join(F.transform(parts, lambda p: coerce_string(part(p, "text"))), "\n")
-    return first_text(F.when(F.trim(coerce_string(part(v, "output_text"))) != "", coerce_string(part(v, "output_text"))), F.trim(joined))
+    messages = F.filter(items(part(v, "output")), lambda o: text_of(part(o, "type")) == "message")
+    parts = F.flatten(F.transform(messages, lambda o: F.filter(items(part(o, "content")), lambda p: text_of(part(p, "type")) == "output_text")))
+    joined = F.array_join(F.transform(parts, lambda p: text_of(part(p, "text"))), "\n")
+    return first_text(let(text_of(part(v, "output_text")), lambda t: F.when(F.trim(t) != "", t)), F.trim(joined))
+
+
+def is_incomplete(v: Column) -> Column:
+    """Whether a response states a status other than completed."""
+    return F.coalesce(text_of(part(v, "status")) != "completed", F.lit(False))
 
 
 def citations(v: Column) -> Column:
     """Urls that a response cites, each once, in order."""
     notes = F.flatten(F.flatten(F.transform(items(part(v, "output")), lambda o: F.transform(items(part(o, "content")), lambda p: items(part(p, "annotations"))))))
-    cited = F.filter(notes, lambda a: coerce_string(part(a, "type")) == "url_citation")
-    urls = F.transform(cited, lambda a: first_text(coerce_string(part(a, "url")), coerce_string(part(part(a, "url_citation"), "url"))))
-    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull()))
+    cited = F.filter(notes, lambda a: text_of(part(a, "type")) == "url_citation")
+    urls = F.transform(cited, lambda a: F.coalesce(text_of(part(a, "url")), text_of(part(part(a, "url_citation"), "url"))))
+    return F.array_distinct(F.filter(urls, lambda u: F.coalesce(u != "", F.lit(False))))
 
 
 def token_count(v: Column) -> Column:
@@ -147,7 +189,7 @@ def usage(v: Column) -> Column:
     """Token counts of a response; what isn't cached only if the cached don't exceed the input."""
     u = part(v, "usage")
     fresh, cached = token_count(part(u, "input_tokens")), token_count(part(part(u, "input_tokens_details"), "cached_tokens"))
-    searches = F.size(F.filter(items(part(v, "output")), lambda o: coerce_string(part(o, "type")) == "web_search_call"))
+    searches = F.size(F.filter(items(part(v, "output")), lambda o: text_of(part(o, "type")) == "web_search_call"))
     return F.struct(
         is_object(u).alias("usagePresent"), fresh.alias("inputTokens"), cached.alias("cachedInputTokens"), F.when(cached <= fresh, fresh - cached).alias("uncachedInputTokens"),
         token_count(part(part(u, "input_tokens_details"), "cache_write_tokens")).alias("cacheWriteTokens"), token_count(part(u, "output_tokens")).alias("outputTokens"),

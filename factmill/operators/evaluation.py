@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,13 @@ from factmill.functions.stats import ratio, wilson
 from factmill.functions.text import plain_text
 from factmill.functions.urls import website_key
 
+FIELDS = ["phones", "addresses", "websites", "ratings"]
 COUNTERS = ["eligible", "emitted", "correct", "gold_count", "recovered", "top_one_correct", "citation_present", "unsafe_disclosures"]
 
 
 def normalized_value(field: Column, value: Column) -> Column:
     """A fact's value as it is compared: phones, addresses and websites by their keys, ratings as plain text."""
-    other = F.when(field == "addresses", address_parts(value)["canonical"]).when(field == "websites", F.coalesce(website_key(value), F.lit("")))
-    return F.when(field == "phones", phone_key(value)).when(field.isin("addresses", "websites"), other).otherwise(plain_text(value))
+    return F.when(field == "phones", phone_key(value)).when(field == "addresses", address_parts(value)["canonical"]).when(field == "websites", F.coalesce(website_key(value), F.lit(""))).otherwise(plain_text(value))
 
 
 def emitted_facts(profiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,12 +62,18 @@ def score_fields(cases: DataFrame, gold: DataFrame, emitted: DataFrame, key: str
     return met.select(*by, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS))
 
 
+RATIOS = {"coverage": ("covered", "eligible"), "emitted_precision": ("correct", "emitted"), "gold_recall": ("recovered", "gold_count"), "top_one_accuracy": ("top_one_correct", "eligible"), "citation_presence": ("citation_present", "emitted")}
+
+
+def with_interval(name: str, successes: Column, total: Column) -> list[Column]:
+    """A ratio (null where nothing was counted) and its interval as three columns."""
+    return [ratio(successes, total).alias(name), wilson(successes, total)["lower"].alias(f"{name}_low"), wilson(successes, total)["upper"].alias(f"{name}_high")]
+
+
 def aggregate_scores(scores: DataFrame) -> DataFrame:
     """scores: rows of score_fields. Per field the ratios with their intervals; null where nothing was counted."""
     sums = scores.groupBy("field").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.count_if((F.col("eligible") > 0) & (F.col("emitted") > 0)).alias("covered"))
-    c = F.col
-    pairs = {"coverage": (c("covered"), c("eligible")), "emitted_precision": (c("correct"), c("emitted")), "gold_recall": (c("recovered"), c("gold_count")), "top_one_accuracy": (c("top_one_correct"), c("eligible")), "citation_presence": (c("citation_present"), c("emitted"))}
-    cols = [x for name, (a, b) in pairs.items() for x in (ratio(a, b).alias(name), wilson(a, b)["lower"].alias(f"{name}_low"), wilson(a, b)["upper"].alias(f"{name}_high"))]
+    cols = [x for name, (a, b) in RATIOS.items() for x in with_interval(name, F.col(a), F.col(b))]
     return sums.select("field", *cols, "unsafe_disclosures")
 
 
@@ -74,23 +82,108 @@ def identity_reason(npi: Column, name: Column, gold_npi: Column, asked_name: Col
     return F.when(~present, "missing").when(~npi.eqNullSafe(gold_npi), "npi").when(plain_text(name) != plain_text(asked_name), "name").otherwise("match")
 
 
+def with_latency(observations: DataFrame, started: str, completed: str) -> DataFrame:
+    """Adds latency_ms between two moments."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return observations.withColumn("latency_ms", ms(completed) - ms(started))
+
+
+def join_cases(observations: DataFrame, cases: DataFrame, key: str, order: str) -> DataFrame:
+    """Observations with their case; of cases with one key the last by order. An observation of no case fails the job."""
+    last = cases.groupBy(key).agg(F.max_by(F.struct(*(c for c in cases.columns if c != key)), order).alias("_case"))
+    met = observations.join(last, key, "left")
+    named = F.concat(F.lit("an observation names no case: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    fine = F.when(F.col("_case").isNotNull(), F.col("_case")).otherwise(F.raise_error(named))
+    return met.withColumn("_case", fine).select(*observations.columns, "_case.*")
+
+
+def score_cases(observed: DataFrame, key: str) -> DataFrame:
+    """observed, one row for each case: key, status, latency_ms, npi, provider_name, address (the first, formatted; null
+    if none), present (whether a profile was found), gold_npi, asked_name, baseline_address. Adds reason,
+    identity_correct, wrong_provider, address_agrees (null without a baseline), address_conflicts, failed."""
+    c = F.col
+    reason = identity_reason(c("npi"), c("provider_name"), c("gold_npi"), c("asked_name"), c("present"))
+    place = lambda x: address_parts(x)["canonical"]
+    agrees = F.when(F.nullif("baseline_address", F.lit("")).isNotNull(), F.coalesce(c("present") & c("address").isNotNull() & (place(c("address")) == place(c("baseline_address"))), F.lit(False)))
+    judged = observed.withColumns({"reason": reason, "address_agrees": agrees})
+    return judged.select(
+        key, "reason", (c("reason") == "match").alias("identity_correct"), (c("present") & (c("reason") != "match")).alias("wrong_provider"), "address_agrees", (~c("address_agrees")).alias("address_conflicts"), "latency_ms",
+        (~c("present") | ~c("status").eqNullSafe("completed")).alias("failed"),
+    )
+
+
 def case_overview(cases: DataFrame) -> DataFrame:
-    """cases: reason, failed, latency_ms, address_agrees (null without a baseline). One row of ratios and latency."""
-    n, paired = F.count(F.lit(1)), F.count("address_agrees")
-    agree = F.count_if(F.col("address_agrees"))
-    return cases.agg(
-        n.alias("cases"), ratio(F.count_if(F.col("reason") == "match"), n).alias("identity_accuracy"), ratio(F.count_if(F.col("reason").isin("npi", "name")), n).alias("wrong_provider_rate"), ratio(F.count_if("failed"), n).alias("failure_rate"),
-        ratio(agree, paired).alias("address_agreement"), ratio(paired - agree, paired).alias("address_conflict"), F.avg("latency_ms").alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
+    """cases: rows of score_cases. One row of ratios with their intervals, and latency; null where nothing was counted."""
+    c = F.col
+    sums = cases.agg(
+        F.count(F.lit(1)).alias("cases"), F.count_if("identity_correct").alias("right"), F.count_if("wrong_provider").alias("wrong"), F.count_if("failed").alias("fell"), F.count("address_agrees").alias("paired"),
+        F.count_if("address_agrees").alias("agree"), F.count_if("address_conflicts").alias("conflict"), F.avg("latency_ms").alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
     )
+    pairs = {"identity_accuracy": ("right", "cases"), "wrong_provider_rate": ("wrong", "cases"), "failure_rate": ("fell", "cases"), "address_agreement": ("agree", "paired"), "address_conflict": ("conflict", "paired")}
+    return sums.select("cases", *(x for name, (a, b) in pairs.items() for x in with_interval(name, c(a), c(b))), "mean_latency_ms", "max_latency_ms")
+
+
+#: Distinct sets of facts of a case that are compared inside one row; more are compared in blocks of SETS.
+FEW, SETS = 32, 512
+
+
+def _block_sum(block: pd.DataFrame) -> pd.DataFrame:
+    """Weighted sum of the similarities between the sets of two blocks of a case, or inside one block."""
+    first = block["side"].to_numpy() == 0
+    code = {f: i for i, f in enumerate({f for facts in block["facts"] for f in facts})}
+    held = np.zeros((len(block), max(len(code), 1)), np.float32)
+    for i, facts in enumerate(block["facts"]):
+        held[i, [code[f] for f in facts]] = 1
+    size, weight = held.sum(1), block["n"].to_numpy(float)
+    same = bool((block["lo"] == block["hi"]).all())
+    a, b = (held, held) if same else (held[first], held[~first])
+    (sa, wa), (sb, wb) = ((size, weight), (size, weight)) if same else ((size[first], weight[first]), (size[~first], weight[~first]))
+    both = a @ b.T
+    each = both / np.maximum(sa[:, None] + sb[None, :] - both, 1) * wa[:, None] * wb[None, :]
+    total = float(np.triu(each, 1).sum() if same else each.sum())
+    return pd.DataFrame({"case": block["case"].iloc[:1], "total": [total]})
 
 
 def repeat_variance(repeats: DataFrame, key: str) -> DataFrame:
-    """repeats: key, ordinal, facts (array), top_one. Per case mean_jaccard over all pairs of its repeats and the share
-    of the most frequent top_one. A case has few repeats (ten in an evaluation), so pairs are made inside its row."""
-    rows = repeats.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.array_distinct("facts").alias("facts"), "top_one"))).alias("r"))
-    pair = lambda a, b: F.when(F.size(F.array_union(a["facts"], b["facts"])) == 0, 1.0).otherwise(F.size(F.array_intersect(a["facts"], b["facts"])) / F.size(F.array_union(a["facts"], b["facts"])))
-    pairs = F.flatten(F.transform("r", lambda a: F.transform(F.filter("r", lambda b: b["ordinal"] > a["ordinal"]), lambda b: pair(a, b))))
-    mean = F.when(F.size("pairs") == 0, 1.0).otherwise(F.aggregate("pairs", F.lit(0.0), lambda x, y: x + y) / F.size("pairs"))
-    tops = F.transform("r", lambda x: x["top_one"])
-    share = F.array_max(F.transform(tops, lambda t: F.size(F.filter(tops, lambda o: o == t)))) / F.size("r")
-    return rows.withColumn("pairs", pairs).select(key, mean.alias("mean_jaccard"), share.alias("top_one_agreement"))
+    """repeats: key, facts (array), top_one. Per case mean_jaccard over all pairs of its repeats (1 for one repeat) and
+    top_one_agreement, the share of its most frequent top_one.
+
+    Repeats of equal facts are one set with a count, whose pairs are alike. A case of up to FEW distinct sets is
+    compared in its row; the sets of a larger one are dealt into blocks of some SETS, and each two blocks are a group of
+    their own that gives one sum, so that no row or task holds a whole case and no pair is ever a row.
+    """
+    k = F.col(key).alias("case")
+    sets = repeats.select(k, F.array_sort(F.array_distinct("facts")).alias("facts")).groupBy("case", "facts").agg(F.count(F.lit(1)).alias("n"))
+    sized = sets.groupBy("case").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("repeats"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("alike"))
+    met = sets.join(sized.select("case", "sets"), "case")
+    few = met.where(F.col("sets") <= FEW).groupBy("case").agg(F.collect_list(F.struct("facts", "n")).alias("r"))
+    pair = lambda a, b: F.size(F.array_intersect(a["facts"], b["facts"])) / F.size(F.array_union(a["facts"], b["facts"])) * a["n"] * b["n"]
+    later = lambda a, i: F.aggregate(F.slice("r", i + 2, F.lit(FEW)), F.lit(0.0), lambda t, b: t + pair(a, b))
+    small = few.select("case", F.aggregate(F.transform("r", later), F.lit(0.0), lambda t, x: t + x).alias("total"))
+    blocks = F.ceil(F.col("sets") / SETS).cast("int")
+    many = met.where(F.col("sets") > FEW).withColumn("block", F.pmod(F.xxhash64("facts"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = many.select("case", "facts", "n", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.least("block", "other"), 0).otherwise(1).alias("side"))
+    case_type = repeats.schema[key].dataType.simpleString()
+    large = dealt.groupBy("case", "lo", "hi").applyInPandas(_block_sum, f"case {case_type}, total double")
+    totals = small.union(large).groupBy("case").agg(F.sum("total").alias("total"))
+    tops = repeats.groupBy(k, "top_one").agg(F.count(F.lit(1)).alias("m")).groupBy("case").agg((F.max("m") / F.sum("m")).alias("top_one_agreement"))
+    pairs = F.col("repeats") * (F.col("repeats") - 1) / 2
+    mean = F.when(F.col("repeats") < 2, 1.0).otherwise((F.coalesce("total", F.lit(0.0)) + F.col("alike")) / pairs)
+    out = sized.join(totals, "case", "left").join(tops, "case")
+    return out.select(F.col("case").alias(key), mean.alias("mean_jaccard"), "top_one_agreement")
+
+
+def mean_variance(cases: DataFrame) -> DataFrame:
+    """Means of repeat_variance over all cases; null for none."""
+    return cases.agg(F.avg("mean_jaccard").alias("mean_jaccard"), F.avg("top_one_agreement").alias("mean_top_one_agreement"))
+
+
+def repeats_of(emitted: DataFrame, observations: DataFrame, key: str) -> DataFrame:
+    """emitted: key, repeat, field, ordinal, value (as emitted_facts gives them). observations: key, repeat. Rows for
+    repeat_variance: the normalised facts of each observation, and its first fact of each field as one text."""
+    by = [key, "repeat"]
+    facts = emitted.groupBy(*by).agg(F.collect_set(normalized_value(F.col("field"), F.col("value"))).alias("facts"), *(F.max(F.when((F.col("field") == f) & (F.col("ordinal") == 0), F.col("value"))).alias(f"_{f}") for f in FIELDS))
+    met = observations.select(*by).distinct().join(facts, by, "left")
+    top = plain_text(F.concat_ws("|", *(F.coalesce(F.col(f"_{f}"), F.lit("")) for f in FIELDS)))
+    return met.select(*by, F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), top.alias("top_one"))

@@ -32,7 +32,46 @@ def fold_events(initial: DataFrame, events: DataFrame) -> DataFrame:
     last = events.groupBy("request_id", "provider_key").agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in fields))
     met = initial.join(last, ["request_id", "provider_key"], "left")
     out = met.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).drop(*(f"_{f}" for f in fields))
-    return out.withColumns({"error": F.left("error", F.lit(MOST_ERROR)), "loading": ~is_terminal(F.col("status"))})
+    return out.withColumns({"error": F.nullif(F.left("error", F.lit(MOST_ERROR)), F.lit("")), "loading": ~is_terminal(F.col("status"))})
+
+
+#: What each kind of a provider's event sets; errors are cut to MOST_ERROR.
+PROVIDER_EVENTS = {"searching": "startedAt", "completed": "completedAt", "no_results": "completedAt", "failed": "completedAt"}
+JOB_EVENTS = ["running", "completed", "failed"]
+
+
+def provider_events(log: DataFrame) -> DataFrame:
+    """log: request_id, provider_key, seq, kind, ts, error. The events of providers as fold_events takes them. Only a
+    failure leaves an error: the other kinds clear it, which an empty text stands for."""
+    kinds = log.where(F.col("provider_key").isNotNull() & F.col("kind").isin(*PROVIDER_EVENTS))
+    at = lambda field: F.when(F.col("kind").isin(*(k for k, f in PROVIDER_EVENTS.items() if f == field)), F.col("ts"))
+    error = F.when(F.col("kind") == "failed", F.coalesce("error", F.lit(""))).otherwise("")
+    return kinds.select("request_id", "provider_key", "seq", F.col("kind").alias("status"), at("startedAt").alias("startedAt"), at("completedAt").alias("completedAt"), error.alias("error"))
+
+
+def fold_jobs(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """requests: as initial_jobs takes them. log: request_id, provider_key (null for events of the whole job), seq, kind,
+    ts, error. Per request job_status, summary counts, error and expiresAt after all events.
+
+    running, completed and failed of a whole job replace it: what was known of its providers is gone, counts are null.
+    Else the status derives from the providers. It ends after the last event, sooner once completed.
+    """
+    folded = fold_events(initial_jobs(requests), provider_events(log))
+    counts = summarize(folded, "request_id")
+    whole = log.where(F.col("provider_key").isNull() & F.col("kind").isin(*JOB_EVENTS)).groupBy("request_id").agg(F.max_by(F.struct("kind", "error"), "seq").alias("w"))
+    last = requests.select("request_id", "ts").union(log.select("request_id", "ts")).groupBy("request_id").agg(F.max("ts").alias("last"))
+    met = counts.join(whole, "request_id", "left").join(last, "request_id")
+    status = F.coalesce("w.kind", "job_status")
+    kept = lambda c: F.when(F.col("w").isNull(), F.col(c)).alias(c)
+    return met.select(
+        "request_id", status.alias("job_status"), *(kept(c) for c in ("total", "completed", "no_results", "failed", "running")), F.left(F.when(F.col("w.kind") == "failed", F.col("w.error")), F.lit(MOST_ERROR)).alias("error"),
+        expires_at(F.col("last"), status == "completed").alias("expiresAt"),
+    )
+
+
+def safe_job_error(status: Column, message: Column) -> Column:
+    """What a caller may see of an error: the message of a caller's own mistake, else a plain sentence."""
+    return F.when(status < 500, message).otherwise("Provider profile search failed.")
 
 
 def summarize(jobs: DataFrame, key: str, status: str = "status") -> DataFrame:

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factmill.functions.contact import format_location, requested_npi
-from factmill.functions.text import clean_public_text, fact_key, identity, name_identity, safe_fact, safe_source_id
+from factmill.functions.text import clean_public_text, fact_key, identity, let, name_identity, safe_fact, safe_source_id
 from factmill.functions.urls import FALLBACK, domain_matches, safe_domain, safe_public_url
 from factmill.operators import coerce
+from factmill.operators.validation import profile_error, trimmed
 
 # Fixed values.
 GOVERNMENT = ["healthcare.gov", "cms.gov", "medicare.gov", "nppes.cms.hhs.gov"]
@@ -36,20 +37,27 @@ def name_tokens(name: Column) -> Column:
 
 def looks_official(source: Column, name: Column) -> Column:
     """Whether a source's title is professional and names the provider: one token of one, two of more."""
-    tokens = name_tokens(name)
-    title = F.regexp_replace(F.lower(source["title"]), "[^a-z0-9]+", " ")
-    found = F.size(F.filter(tokens, lambda t: F.contains(title, t)))
+
+    def named(tokens: Column) -> Column:
+        title = F.regexp_replace(F.lower(source["title"]), "[^a-z0-9]+", " ")
+        found = let(title, lambda t: F.size(F.filter(tokens, lambda w: F.contains(t, w))))
+        return (F.size(tokens) > 0) & (found >= F.least(F.size(tokens), F.lit(2)))
+
     known = domain_matches(source["domain"], BLOCKED + GOVERNMENT + DIRECTORIES)
-    fine = source["url"].isNotNull() & ~known & (F.size(tokens) > 0) & source["title"].rlike(PROFESSIONAL_TITLE) & (found >= F.least(F.size(tokens), F.lit(2)))
+    fine = source["url"].isNotNull() & source["title"].rlike(PROFESSIONAL_TITLE) & ~known & let(name_tokens(name), named)
     return F.coalesce(fine, F.lit(False))
 
 
 def source_rank(source: Column, name: Column) -> Column:
     """Official 0, government 1, directory 2, blocked, personal or unknown 99."""
-    out = source.isNull() | domain_matches(source["domain"], BLOCKED) | source["title"].rlike(PERSONAL_TITLE)
-    return (
-        F.when(out, UNRANKED).when(looks_official(source, name), 0).when(domain_matches(source["domain"], GOVERNMENT), 1).when(domain_matches(source["domain"], DIRECTORIES), 2).otherwise(UNRANKED)
-    )
+    out = lambda s: s.isNull() | domain_matches(s["domain"], BLOCKED) | s["title"].rlike(PERSONAL_TITLE)
+    rank = lambda s: F.when(out(s), UNRANKED).when(looks_official(s, name), 0).when(domain_matches(s["domain"], GOVERNMENT), 1).when(domain_matches(s["domain"], DIRECTORIES), 2).otherwise(UNRANKED)
+    return let(source, rank)
+
+
+def displayable(domain: Column) -> Column:
+    """Whether a source's domain is there and public."""
+    return F.coalesce((domain != "") & (domain != FALLBACK), F.lit(False))
 
 
 def clean_sources(sources: Column, cited: Column | None = None) -> Column:
@@ -58,14 +66,15 @@ def clean_sources(sources: Column, cited: Column | None = None) -> Column:
     ready = F.transform(
         sources,
         lambda s, i: F.struct(
-            s["id"].alias("raw"), safe_source_id(s["id"], F.concat(F.lit("source-"), (i + 1).cast("string"))).alias("id"), safe_fact(s["title"], 255).alias("title"), safe_domain(s["domain"], s["url"]).alias("domain"), s["url"].alias("url"), i.alias("at")
+            trimmed(s["id"]).alias("raw"), safe_source_id(s["id"], F.concat(F.lit("source-"), (i + 1).cast("string"))).alias("id"), safe_fact(s["title"], 255).alias("title"), safe_domain(s["domain"], s["url"]).alias("domain"), s["url"].alias("url"), i.alias("at")
         ),
     )
     ready = F.transform(ready, lambda s: s.withField("url", safe_public_url(s["url"], s["domain"])))
-    kept = F.filter(ready, lambda s: s["title"].isNotNull() & (s["domain"] != FALLBACK))
+    kept = F.filter(ready, lambda s: s["title"].isNotNull() & displayable(s["domain"]))
     if cited is not None:
         allowed = F.filter(F.transform(cited, lambda u: safe_public_url(u)), lambda u: u.isNotNull())
-        kept = F.when(cited.isNull(), kept).otherwise(F.filter(kept, lambda s: F.coalesce(F.array_contains(allowed, s["url"]), F.lit(False))))
+        supported = lambda urls: F.filter(kept, lambda s: F.coalesce(F.array_contains(urls, s["url"]), F.lit(False)))
+        kept = F.when(cited.isNull(), kept).otherwise(let(allowed, supported))
     return kept
 
 
@@ -76,26 +85,30 @@ def distinct_sources(kept: Column) -> Column:
 
 def find_source(kept: Column, ident: Column) -> Column:
     """The source that a fact's id names: by raw id, last first, else by safe id; null if none."""
-    safe = F.coalesce(F.try_element_at(F.filter(kept, lambda s: s["raw"] == ident), F.lit(-1))["id"], safe_source_id(ident, F.lit(FALLBACK)))
-    return F.try_element_at(F.filter(kept, lambda s: s["id"] == safe), F.lit(-1))
+    raw = lambda name: F.coalesce(F.try_element_at(F.filter(kept, lambda s: s["raw"] == name), F.lit(-1))["id"], safe_source_id(name, F.lit(FALLBACK)))
+    return let(let(trimmed(ident), raw), lambda safe: F.try_element_at(F.filter(kept, lambda s: s["id"] == safe), F.lit(-1)))
+
 
+def _resolved(facts: Column, kept: Column, make: Callable[[Column, Column], Column], value: str = "value") -> Column:
+    """What make gives for each fact and its source; without facts that have no source or whose value is null."""
+    made = F.transform(facts, lambda f: let(find_source(kept, f["sourceId"]), lambda s: F.when(s.isNotNull(), make(f, s))))
+    return F.filter(made, lambda m: m[value].isNotNull())
 
-def _resolved(facts: Column, kept: Column, make: Callable[[Column, Column], Column], test: Callable[[Column, Column], Column]) -> Column:
-    met = F.transform(facts, lambda f: F.struct(f.alias("f"), find_source(kept, f["sourceId"]).alias("s")))
-    fine = F.filter(met, lambda m: m["s"].isNotNull() & F.coalesce(test(m["f"], m["s"]), F.lit(False)))
-    return F.transform(fine, lambda m: make(m["f"], m["s"]))
+
+#: Order of texts as a reader expects it: the root order of the Unicode collation.
+COLLATION = "UNICODE"
 
 
 def dedupe_sorted(ranked: Column) -> Column:
-    """ranked: structs of rank, key, at, x. Of each key the least rank, the first of equals; by rank, then key."""
-    order = F.array_sort(ranked)
+    """ranked: structs of rank, order, at, key, x. Of each key the least rank, the first of equals; by rank, then key."""
     none = F.filter(ranked, lambda r: F.lit(False))
-    kept = F.aggregate(F.transform(order, lambda r: r), none, lambda acc, r: F.when(F.exists(acc, lambda a: a["key"] == r["key"]), acc).otherwise(F.array_append(acc, r)))
+    kept = F.aggregate(F.array_sort(ranked), none, lambda acc, r: F.when(F.exists(acc, lambda a: a["key"] == r["key"]), acc).otherwise(F.array_append(acc, r)))
     return F.transform(kept, lambda r: r["x"])
 
 
 def _ranked(values: Column, key: Callable[[Column], Column], rank: Callable[[Column], Column]) -> Column:
-    return F.transform(values, lambda v, i: F.struct(rank(v).alias("rank"), key(v).alias("key"), i.alias("at"), v.alias("x")))
+    placed = lambda v, i: let(key(v), lambda k: F.struct(rank(v).alias("rank"), F.collate(k, COLLATION).alias("order"), i.alias("at"), k.alias("key"), v.alias("x")))
+    return F.transform(values, placed)
 
 
 def location_hint(loc: Column, zip_: Column, city: Column, state: Column) -> Column:
@@ -108,7 +121,7 @@ def prioritized(df: DataFrame, name: Column, zip_: Column, city: Column, state:
     """Phones, locations, ratings and websites each once and by rank; sources by rank and domain."""
     rank = lambda f: source_rank(F.try_element_at(F.filter(F.col("sources"), lambda s: s["id"] == f["sourceId"]), F.lit(-1)), name)
     place = lambda v: fact_key(format_location(v["addressLine1"], v["addressLine2"], v["city"], v["state"], v["zip"]))
-    ordered = F.array_sort(F.transform("sources", lambda s, i: F.struct(source_rank(s, name).alias("rank"), s["domain"].alias("key"), i.alias("at"), s.alias("x"))))
+    ordered = F.array_sort(F.transform("sources", lambda s, i: F.struct(source_rank(s, name).alias("rank"), F.collate(s["domain"], COLLATION).alias("order"), i.alias("at"), s.alias("x"))))
     return df.withColumns(
         {
             "phoneNumbers": dedupe_sorted(_ranked(F.col("phoneNumbers"), lambda v: fact_key(v["value"]), rank)),
@@ -136,23 +149,21 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
     p = p.withColumn("kept", clean_sources(F.col("p.sources"), F.col("cited") if cited is not None else None)).withColumn("name", F.coalesce(safe_fact(F.col("p.providerName"), 255), F.lit("Provider")))
     p = settled(p)
     kept, name, none = F.col("kept"), F.col("name"), F.lit(None).cast("string")
-    fact = lambda f, s: F.struct(safe_fact(f["value"]).alias("value"), s["id"].alias("sourceId"), s["title"].alias("sourceName"))
-    said = lambda f, s: safe_fact(f["value"]).isNotNull()
-    digits = lambda f: F.length(F.regexp_replace(safe_fact(f["value"]), r"\D", ""))
+    sourced = lambda s: (s["id"].alias("sourceId"), s["title"].alias("sourceName"))
+    fact = lambda f, s: F.struct(safe_fact(f["value"]).alias("value"), *sourced(s))
     professional = lambda s: source_rank(s, name) < UNRANKED
+    dialled = lambda v, s: F.when(F.length(F.regexp_replace(v, r"\D", "")).between(7, 15) & professional(s), v)
+    phone = lambda f, s: F.struct(let(safe_fact(f["value"]), lambda v: dialled(v, s)).alias("value"), *sourced(s))
     place = lambda f, s: F.struct(
-        safe_fact(f["addressLine1"], 255).alias("addressLine1"), safe_fact(f["addressLine2"], 255).alias("addressLine2"), safe_fact(f["city"], 120).alias("city"), clean_public_text(f["state"], 2).alias("state"), clean_public_text(f["zip"], 10).alias("zip"), s["id"].alias("sourceId"), s["title"].alias("sourceName")
+        F.when(professional(s), safe_fact(f["addressLine1"], 255)).alias("addressLine1"), safe_fact(f["addressLine2"], 255).alias("addressLine2"), safe_fact(f["city"], 120).alias("city"), clean_public_text(f["state"], 2).alias("state"), clean_public_text(f["zip"], 10).alias("zip"), *sourced(s)
     )
-    rating = lambda f, s: F.struct(safe_fact(f["value"], 80).alias("value"), safe_fact(f["scale"], 80).alias("scale"), s["id"].alias("sourceId"), s["title"].alias("sourceName"))
-    site = lambda f, s: F.struct(safe_public_url(f["value"], s["domain"]).alias("value"), s["id"].alias("sourceId"), s["title"].alias("sourceName"))
+    rating = lambda f, s: F.struct(F.when(domain_matches(s["domain"], RATING_SITES), safe_fact(f["value"], 80)).alias("value"), safe_fact(f["scale"], 80).alias("scale"), *sourced(s))
+    shown = lambda f, s: let(safe_public_url(f["value"], s["domain"]), lambda u: F.when((u == s["url"]) & looks_official(s, name), u))
+    site = lambda f, s: F.struct(shown(f, s).alias("value"), *sourced(s))
     made = p.select(
         *keys, clean_public_text(F.col("p.providerId"), 255).alias("providerId"), clean_public_text(F.col("p.npi"), 10).alias("npi"), name.alias("providerName"),
-        _resolved(F.col("p.specialties"), kept, fact, said).alias("specialties"),
-        _resolved(F.col("p.locations"), kept, place, lambda f, s: safe_fact(f["addressLine1"], 255).isNotNull() & professional(s)).alias("locations"),
-        _resolved(F.col("p.phoneNumbers"), kept, fact, lambda f, s: digits(f).between(7, 15) & professional(s)).alias("phoneNumbers"),
-        _resolved(F.col("p.ratings"), kept, rating, lambda f, s: safe_fact(f["value"], 80).isNotNull() & domain_matches(s["domain"], RATING_SITES)).alias("ratings"),
-        _resolved(F.col("p.websites"), kept, site, lambda f, s: looks_official(s, name) & (safe_public_url(f["value"], s["domain"]) == s["url"])).alias("websites"),
-        _resolved(F.col("p.publicInsuranceMentions"), kept, fact, said).alias("publicInsuranceMentions"), "kept",
+        _resolved(F.col("p.specialties"), kept, fact).alias("specialties"), _resolved(F.col("p.locations"), kept, place, "addressLine1").alias("locations"), _resolved(F.col("p.phoneNumbers"), kept, phone).alias("phoneNumbers"),
+        _resolved(F.col("p.ratings"), kept, rating).alias("ratings"), _resolved(F.col("p.websites"), kept, site).alias("websites"), _resolved(F.col("p.publicInsuranceMentions"), kept, fact).alias("publicInsuranceMentions"), "kept",
     )
     made = settled(made)
     used = F.array_distinct(F.concat(*(F.transform(c, lambda f: f["sourceId"]) for c in PROFILE[3:9])))
@@ -162,21 +173,23 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
     return prioritized(made, F.col("providerName"), none, none, none)
 
 
-def match_requests(profiles: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+def match_requests(profiles: DataFrame, requests: DataFrame, key: str, within: list[str] | None = None) -> DataFrame:
     """profiles: ``key`` and profile columns. requests: ordinal, providerId, npi, name (...). Each profile with the
-    first request, by ordinal, that it matches: no conflict of NPIs, and equal id, NPI or name. Three equi-joins; no
-    comparison of all with all."""
+    first request, by ordinal, that it matches: no conflict of NPIs, and equal id, NPI or name. Columns ``within`` (of
+    both sides) must agree too, such as the id of a job. Three equi-joins; no comparison of all with all."""
+    scope = within or []
     asked = requests.where(F.coalesce("name", "providerId", "npi").isNotNull()).withColumn("rnpi", identity(requested_npi(F.col("npi"), F.col("providerId")))).withColumn("rid", identity(F.col("providerId"))).withColumn("rname", name_identity(F.col("name")))
-    slim = profiles.select(key, identity(F.col("npi")).alias("pnpi"), identity(F.col("providerId")).alias("pid"), name_identity(F.col("providerName")).alias("pname"))
-    fields = asked.select("ordinal", "rnpi", "rid", "rname")
+    slim = profiles.select(key, *scope, identity(F.col("npi")).alias("pnpi"), identity(F.col("providerId")).alias("pid"), name_identity(F.col("providerName")).alias("pname"))
+    fields = asked.select("ordinal", *(F.col(c).alias(f"_w{i}") for i, c in enumerate(scope)), "rnpi", "rid", "rname")
     clash = (F.col("pnpi") != "") & (F.col("rnpi") != "") & (F.col("pnpi") != F.col("rnpi"))
     met = None
     for a, b in (("pid", "rid"), ("pnpi", "rnpi"), ("pname", "rname")):
-        one = slim.where(F.col(a) != "").join(fields.where(F.col(b) != ""), F.col(a) == F.col(b)).where(~clash).select(key, "ordinal")
+        same = [F.col(a) == F.col(b), *(F.col(c) == F.col(f"_w{i}") for i, c in enumerate(scope))]
+        one = slim.where(F.col(a) != "").join(fields.where(F.col(b) != ""), same).where(~clash).select(key, "ordinal")
         met = one if met is None else met.union(one)
     first = met.groupBy(key).agg(F.min("ordinal").alias("ordinal"))
-    named = asked.select("ordinal", F.struct("providerId", F.nullif("rnpi", F.lit("")).alias("npi"), "name", *(c for c in ("city", "state", "zip") if c in requests.columns)).alias("request"))
-    return profiles.join(first, key).join(named, "ordinal")
+    named = asked.select("ordinal", *scope, F.struct("providerId", F.nullif("rnpi", F.lit("")).alias("npi"), "name", *(c for c in ("city", "state", "zip") if c in requests.columns)).alias("request"))
+    return profiles.join(first, key).join(named, ["ordinal", *scope])
 
 
 def bind_requests(matched: DataFrame) -> DataFrame:
@@ -193,15 +206,44 @@ def replace_by_identity(held: DataFrame, new: DataFrame, keys: list[str]) -> Dat
     return held.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def dedupe_ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order: the window form, for facts that are rows."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def dedupe_ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the order of columns, as an aggregation: each task keeps one row a key, so a hot key
+    is no hot task."""
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *(c for c in rest if c not in order))).alias("_b"))
+    return best.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
-def parse_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """One row per profile in raw response texts, sanitised; sources must be cited by the response."""
+def judge_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Raw response texts as keys, cited (urls), profiles (typed) and error: why the whole response is refused, null
+    where it is accepted. One profile that breaks the schema refuses its response."""
     v = settled(raw.select(*keys, F.try_parse_json(column).alias("v")))
-    body = settled(v.select(*keys, coerce.citations(F.col("v")).alias("cited"), F.try_parse_json(coerce.json_text(coerce.response_text(F.col("v")))).alias("j")))
-    many = F.when(coerce.kind(F.col("j")).startswith("ARRAY"), coerce.items(F.col("j"))).otherwise(coerce.items(coerce.part(F.col("j"), "profiles")))
-    each = body.select(*keys, "cited", F.posexplode(many).alias("profile_ordinal", "profile"))
-    return sanitize(each, coerce.profile(F.col("profile")), [*keys, "profile_ordinal"], F.col("cited"))
+    body = settled(v.select(*keys, coerce.is_incomplete(F.col("v")).alias("incomplete"), coerce.citations(F.col("v")).alias("cited"), F.try_parse_json(coerce.json_text(coerce.response_text(F.col("v")))).alias("j")))
+    many = F.when(coerce.kind(F.col("j")).startswith("ARRAY"), F.try_variant_get("j", "$", "array<variant>")).otherwise(coerce.items(coerce.part(F.col("j"), "profiles")))
+    empty = F.col("j").isNull() | ~(coerce.kind(F.col("j")).startswith("ARRAY") | coerce.truthy(coerce.part(F.col("j"), "profiles")))
+    typed = settled(body.select(*keys, "cited", "incomplete", empty.alias("empty"), F.transform(many, coerce.profile).alias("profiles")))
+    bad = F.get(F.filter(F.transform("profiles", profile_error), lambda e: e.isNotNull()), 0)
+    return typed.select(*keys, "cited", "profiles", F.when(F.col("incomplete"), "INCOMPLETE_RESPONSE").when(F.col("empty"), "NO_PROFILE_PAYLOAD").otherwise(bad).alias("error"))
+
+
+def parse_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """One row per profile in raw response texts, sanitised; sources must be cited by the response. Refused responses
+    give no rows; judge_responses tells why."""
+    fine = settled(judge_responses(raw, column, keys)).where("error is null")
+    each = fine.select(*keys, "cited", F.posexplode("profiles").alias("profile_ordinal", "profile"))
+    return sanitize(each, F.col("profile"), [*keys, "profile_ordinal"], F.col("cited"))
+
+
+def profiles_for_requests(raw: DataFrame, column: str, key: str, requests: DataFrame) -> DataFrame:
+    """raw: ``key``, the id of a job, and a response text. requests: the providers that each job asks for. The profiles
+    of a job's responses that match one of its providers, bound to the first that each matches."""
+    each = parse_responses(raw, column, [key]).withColumn("_row", F.struct(key, "profile_ordinal"))
+    return bind_requests(match_requests(each, requests, "_row", [key])).drop("_row")
+
+
+def prompt_providers(requests: DataFrame, key: str, identity_only: bool = False) -> DataFrame:
+    """Per request the providers that a prompt names, as JSON in order: ids and name, and the place unless only
+    identities are asked for. Other columns of a request are never shown. A request has ten providers at most."""
+    shown = ["providerId", "npi", "name"] + ([] if identity_only else ["city", "state", "zip"])
+    listed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*shown).alias("p")))).alias("l"))
+    return listed.select(key, F.to_json(F.transform("l", lambda x: x["p"])).alias("providers"))

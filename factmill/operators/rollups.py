@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factmill.functions.contact import aggregation_key
-from factmill.functions.text import safe_fact, safe_phone
+from factmill.functions.text import let, safe_fact, safe_phone
 from factmill.functions.urls import safe_public_url
+from factmill.operators.profiles import settled
 
 # Fixed values.
 SUBMITTERS = ["consumer", "producer", "broker_admin", "general_agent", "internal_administrator", "unknown"]
@@ -51,11 +52,9 @@ def feedback_error(fact_type: Column, status: Column, reason: Column, org: Colum
 
 def feedback_value(fact_type: Column, value: Column) -> Column:
     """value (cleaned, null if refused) and reason: phones as phones, websites as urls, the rest as safe facts."""
-    phone, url, fact = safe_phone(value), safe_public_url(value), safe_fact(value, 255)
-    fine_url = F.when(F.length(url) <= 255, url)
-    cleaned = F.when(fact_type == "phone", phone["value"]).when(fact_type == "website", fine_url).otherwise(fact)
-    reason = F.when(fact_type == "phone", phone["reason"]).when(cleaned.isNull(), "UNSAFE_FACT_VALUE")
-    return F.struct(cleaned.alias("value"), reason.alias("reason"))
+    judged = lambda v: F.struct(v.alias("value"), F.when(v.isNull(), "UNSAFE_FACT_VALUE").alias("reason"))
+    url = let(safe_public_url(value), lambda u: judged(F.when(F.length(u) <= 255, u)))
+    return F.when(fact_type == "phone", safe_phone(value)).when(fact_type == "website", url).otherwise(let(safe_fact(value, 255), judged))
 
 
 def feedback_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +63,9 @@ def feedback_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows with reject_reason."""
     c = F.col
     error = feedback_error(c("fact_type"), c("validation_status"), c("reason_code"), c("broker_org_id"), c("submitter_class"), c("provider_id"), c("provider_npi"), c("fact_value"))
-    judged = events.withColumn("_v", feedback_value(c("fact_type"), c("fact_value"))).withColumn("reject_reason", F.coalesce(error, c("_v.reason")))
+    # Settled, so that the values are cleaned once for the filter and the columns.
+    judged = settled(events.withColumn("_v", feedback_value(c("fact_type"), c("fact_value"))).withColumn("reject_reason", error))
+    judged = judged.withColumn("reject_reason", F.coalesce("reject_reason", "_v.reason"))
     valid = judged.where("reject_reason is null").select(
         "broker_org_id", "submitter_class", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), "fact_type",
         c("_v.value").alias("normalized_fact_value"), "validation_status", F.coalesce("reason_code", F.lit("accurate")).alias("reason_code"), F.to_date("ts").alias("feedback_day"),
@@ -84,11 +85,32 @@ def consensus_rollup(rows: DataFrame) -> DataFrame:
     return votes.withColumn("aggregation_key", aggregation_key(*map(F.col, CONSENSUS_KEYS)))
 
 
+def click_error(org: Column, provider_id: Column, npi: Column, phone: Column) -> Column:
+    """Why a click is refused; null where it is valid."""
+    return (
+        F.when(~_bounded(org, 1, 120), "BAD_ORG")
+        .when(provider_id.isNotNull() & ~_bounded(provider_id, 1, 255) | npi.isNotNull() & ~npi.rlike(r"^\d{10}$"), "BAD_PROVIDER")
+        .when(_blank(provider_id) & _blank(npi), "PROVIDER_REQUIRED")
+        .when(~_bounded(phone, 7, 30), "BAD_PHONE")
+    )
+
+
 def click_rows(events: DataFrame) -> DataFrame:
     """events: ts, broker_org_id, provider_id, provider_npi, phone. Valid clicks with CLICK_KEYS."""
-    phone = safe_phone(F.col("phone"))["value"]
-    fine = events.where(~(_blank(F.col("provider_id")) & _blank(F.col("provider_npi"))) & _bounded(F.col("phone"), 7, 30)).where(phone.isNotNull())
-    return fine.select("broker_org_id", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), phone.alias("normalized_phone"), F.to_date("ts").alias("click_day"))
+    c = F.col
+    fine = events.where(click_error(c("broker_org_id"), c("provider_id"), c("provider_npi"), c("phone")).isNull())
+    cleaned = settled(fine.withColumn("phone", safe_phone(c("phone"))["value"])).where("phone is not null")
+    return cleaned.select("broker_org_id", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), F.col("phone").alias("normalized_phone"), F.to_date("ts").alias("click_day"))
+
+
+def submitter_class(user_class: Column) -> Column:
+    """A known class of users, else ``unknown``."""
+    return F.when(user_class.isin(*SUBMITTERS), user_class).otherwise("unknown")
+
+
+def broker_org(subdomain: Column) -> Column:
+    """The organisation of a request; ``local`` for none."""
+    return F.coalesce(F.nullif(subdomain, F.lit("")), F.lit("local"))
 
 
 def click_rollup(rows: DataFrame) -> DataFrame:

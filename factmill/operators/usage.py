@@ -19,6 +19,16 @@ def with_costs(attempts: DataFrame, rates: dict[str, object]) -> DataFrame:
     return attempts.withColumns(response_cost(used, prices))
 
 
+def duration_ms(c):
+    """A duration in whole milliseconds, halves up, not below zero."""
+    return F.greatest(F.lit(0), F.floor(c + 0.5)).cast("long")
+
+
+def usage_records(attempts: DataFrame, rates: dict[str, object]) -> DataFrame:
+    """attempts: columns of coerce.usage (flat) and duration. Records with costs and duration_ms."""
+    return with_costs(attempts, rates).withColumn("duration_ms", duration_ms(F.col("duration")))
+
+
 def search_summary(attempts: DataFrame, key: str) -> DataFrame:
     """attempts: key, attempt_ordinal, model, usagePresent, TOKENS, total_usd. Per search: attempts, retries, attempts
     without usage, sums that are null where any part is, and the model of the first attempt."""
@@ -29,6 +39,13 @@ def search_summary(attempts: DataFrame, key: str) -> DataFrame:
     )
 
 
+def search_costs(attempts: DataFrame, key: str, version: str | None) -> DataFrame:
+    """attempts: key, attempt_ordinal, attempt (initial or identity_retry), total_usd, webSearchCalls. Per search whether
+    its cost is known, the version of the prices (null where it isn't), identity retries and calls."""
+    known = F.count("total_usd") == F.count(F.lit(1))
+    return attempts.groupBy(key).agg(known.alias("estimated"), F.when(known, F.lit(version)).alias("pricing_version"), F.count_if(F.col("attempt") == "identity_retry").alias("identity_retries"), F.sum("webSearchCalls").alias("web_search_calls"))
+
+
 def request_metadata(requests: DataFrame) -> DataFrame:
     """How many requests name an NPI, an id, a place."""
     some = lambda *cols: F.count_if(F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in cols)).isNotNull())

@@ -12,31 +12,12 @@ from pyspark.sql import functions as F
 
 from factmill.functions import contact, stats, text, urls
 from factmill.operators import coerce, evaluation, jobs, profiles, rollups, usage
+from factmill.plans import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-SPACE = text.JS_SPACE
-
-
-def _squeezed(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({c}, '{text.CONTROL}', ' ', 'g'), '{SPACE}+', ' ', 'g'))"
-
-
-def _clean(c: str, most: int) -> str:
-    return f"left(nullif({_squeezed(c)}, ''), {most})"
-
-
-def _unsafe(c: str) -> str:
-    quoted = text.CITATION.replace("'", "''")
-    return f"(regexp_matches({c}, '{text.URL}') OR regexp_matches({c}, '{quoted}') OR regexp_matches({c}, '{text.UNSAFE_WORDS}') OR contains({c}, '@'))"
-
-
-def _placeholder(c: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({_squeezed(c)}, '{p}')" for p in (text.PLACEHOLDER_PHONE, text.PLACEHOLDER_WHOLE, text.PLACEHOLDER_WORDS, text.PLACEHOLDER_ANYWHERE)) + ")"
-
-
 def query(sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -53,26 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Text.
 
 
-@query(f"""SELECT lang, count(*) AS documents, count(*) FILTER (WHERE NOT {_unsafe('t')} AND NOT {_placeholder('t')}) AS safe
-FROM (SELECT lang, {_clean('text', 1_000_000)} AS t FROM documents) GROUP BY lang""")
+@query(f"""SELECT lang, count(*) AS documents, count(*) FILTER (WHERE NOT {oracle.unsafe('t')} AND NOT {oracle.placeholder('t')}) AS safe
+FROM (SELECT lang, {oracle.clean('text')} AS t FROM documents) GROUP BY lang""")
 def safe_documents_by_lang(spark, sf_dir):
     """Documents of each language that hold nothing unsafe or made up."""
     docs = table(spark, sf_dir, "documents").select("lang", text.safe_fact(F.col("text"), None).alias("t"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count("t").alias("safe"))
 
 
-@query(f"SELECT doc_id, {_clean('text', 1_000_000)} AS cleaned FROM documents")
+@query(f"SELECT doc_id, {oracle.clean('text')} AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_public_text(F.col("text"), None).alias("cleaned"))
 
 
-@query(f"SELECT doc_id, {_unsafe('text')} AS unsafe, contains(text, '@') AS has_address FROM documents")
+@query(f"SELECT doc_id, {oracle.unsafe('text')} AS unsafe, contains(text, '@') AS has_address FROM documents")
 def unsafe_content_flags(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", text.contains_unsafe(t).alias("unsafe"), t.contains("@").alias("has_address"))
 
 
-@query(f"SELECT doc_id, {_placeholder('text')} AS placeholder FROM documents")
+@query(f"SELECT doc_id, {oracle.placeholder('text')} AS placeholder FROM documents")
 def placeholder_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.contains_placeholder(F.col("text")).alias("placeholder"))
 
@@ -124,7 +105,7 @@ def phone_digits(spark, sf_dir):
 _HOST = "lower(regexp_extract(url, '^(?:https?)://([^/?#]*)', 1))"
 
 
-@query(f"""SELECT domain, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(h, '{urls.PLACEHOLDER_DOMAIN}') OR regexp_matches(h, '{urls.RESERVED_HOST}') OR NOT contains(h, '.') THEN 'public-source' ELSE h END AS domain
+@query(f"""SELECT domain, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(h, '(?i){oracle.PLACEHOLDER_DOMAIN}') OR regexp_matches(h, '(?i){oracle.RESERVED_HOST}') OR NOT contains(h, '.') THEN 'public-source' ELSE h END AS domain
   FROM (SELECT regexp_replace({_HOST}, '^www\\.', '') AS h FROM pages)) GROUP BY domain""")
 def domain_extract(spark, sf_dir):
     none = F.lit(None).cast("string")
@@ -132,12 +113,12 @@ def domain_extract(spark, sf_dir):
     return found.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CANONICAL = f"""CASE WHEN regexp_matches(h, '{urls.PLACEHOLDER_DOMAIN}') OR regexp_matches(h, '{urls.RESERVED_HOST}') THEN NULL ELSE
+_CANONICAL = f"""CASE WHEN regexp_matches(h, '(?i){oracle.PLACEHOLDER_DOMAIN}') OR regexp_matches(h, '(?i){oracle.RESERVED_HOST}') THEN NULL ELSE
   scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END"""
 _PAGE_URLS = f"""SELECT page_id, html, {_CANONICAL} AS canonical FROM (
   SELECT page_id, html, {_HOST} AS host, regexp_replace(host, '^www\\.', '') AS h, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path,
     list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '') AS pairs,
-    list_sort(list_filter(list_transform(pairs, lambda p, i: {{'name': split_part(p, '=', 1), 'at': i, 'pair': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}}), lambda x: NOT regexp_matches(x.name, '{urls.TRACKING}'))) AS kept,
+    list_sort(list_filter(list_transform(pairs, lambda p, i: {{'name': split_part(p, '=', 1), 'at': i, 'pair': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}}), lambda x: NOT regexp_matches(x.name, '(?i){oracle.TRACKING}'))) AS kept,
     array_to_string(list_transform(kept, lambda x: x.pair), '&') AS q FROM pages)"""
 
 
@@ -169,7 +150,7 @@ def domain_suffix_match(spark, sf_dir):
 def dedupe_best_rank(spark, sf_dir):
     host = F.lower(F.regexp_extract("url", r"^(?:https?)://([^/?#]*)", 1))
     pages = table(spark, sf_dir, "pages").select(host.alias("host"), "page_id", F.when(F.col("url").startswith("https:"), 0).otherwise(1).alias("rank"))
-    return profiles.dedupe_ranked(pages, ["host"], [F.col("rank"), F.col("page_id")])
+    return profiles.dedupe_ranked(pages, ["host"], ["rank", "page_id"])
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(title, '(?i)\b(people\s*finder|personal|residential|home address|mobile number|cell phone|social media)\b') THEN 99 ELSE CASE WHEN h = 'example.com' OR h LIKE '%.example.com' THEN 0 ELSE 99 END END AS rank
@@ -240,23 +221,19 @@ def _feedback(spark, sf_dir) -> DataFrame:
 _FEEDBACK_SQL = "SELECT 'org' || (user_id % 10) AS broker_org_id, 'consumer' AS submitter_class, '' AS provider_npi, 'u' || user_id AS provider_id, 'profile' AS fact_type, event_type AS normalized_fact_value, CASE WHEN event_type = 'error' THEN 'incorrect' ELSE 'correct' END AS validation_status, CASE WHEN event_type = 'error' THEN 'outdated' ELSE 'accurate' END AS reason_code, ts::DATE AS feedback_day FROM events"
 
 
-def _json_key(keys: list[str]) -> str:
-    return "sha256('[' || " + " || ',' || ".join(f"'\"' || {k}::VARCHAR || '\"'" for k in keys) + " || ']')"
-
-
-@query(f"SELECT *, {_json_key(rollups.FEEDBACK_KEYS)} AS aggregation_key FROM (SELECT {', '.join(rollups.FEEDBACK_KEYS)}, count(*) AS feedback_count FROM ({_FEEDBACK_SQL}) GROUP BY ALL)")
+@query(f"SELECT *, {oracle.key(rollups.FEEDBACK_KEYS)} AS aggregation_key FROM (SELECT {', '.join(rollups.FEEDBACK_KEYS)}, count(*) AS feedback_count FROM ({_FEEDBACK_SQL}) GROUP BY ALL)")
 def feedback_rollup(spark, sf_dir):
     return rollups.feedback_rollup(rollups.feedback_rows(_feedback(spark, sf_dir))[0])
 
 
-@query(f"""SELECT *, {_json_key(rollups.CONSENSUS_KEYS)} AS aggregation_key FROM (SELECT {', '.join(rollups.CONSENSUS_KEYS)}, count(*) FILTER (WHERE validation_status = 'correct') AS positive_count,
+@query(f"""SELECT *, {oracle.key(rollups.CONSENSUS_KEYS)} AS aggregation_key FROM (SELECT {', '.join(rollups.CONSENSUS_KEYS)}, count(*) FILTER (WHERE validation_status = 'correct') AS positive_count,
   count(*) FILTER (WHERE validation_status <> 'correct') AS negative_count FROM ({_FEEDBACK_SQL}) GROUP BY {', '.join(rollups.CONSENSUS_KEYS)})""")
 def consensus_rollup(spark, sf_dir):
     return rollups.consensus_rollup(rollups.feedback_rows(_feedback(spark, sf_dir))[0])
 
 
-@query(f"""SELECT *, {_json_key(rollups.CLICK_KEYS)} AS aggregation_key FROM (SELECT 'org' AS broker_org_id, '' AS provider_npi, 'u' || user_id AS provider_id, '216-' || lpad((user_id % 1000)::VARCHAR, 7, '0') AS normalized_phone, ts::DATE AS click_day, count(*) AS click_count
-  FROM events WHERE event_type = 'click' AND NOT regexp_matches('216-' || lpad((user_id % 1000)::VARCHAR, 7, '0'), '{text.PLACEHOLDER_PHONE}') GROUP BY ALL)""")
+@query(f"""SELECT *, {oracle.key(rollups.CLICK_KEYS)} AS aggregation_key FROM (SELECT 'org' AS broker_org_id, '' AS provider_npi, 'u' || user_id AS provider_id, '216-' || lpad((user_id % 1000)::VARCHAR, 7, '0') AS normalized_phone, ts::DATE AS click_day, count(*) AS click_count
+  FROM events WHERE event_type = 'click' AND NOT {oracle.placeholder("'216-' || lpad((user_id % 1000)::VARCHAR, 7, '0')")} GROUP BY ALL)""")
 def click_rollup(spark, sf_dir):
     phone = F.concat(F.lit("216-"), F.lpad((F.col("user_id") % 1000).cast("string"), 7, "0"))
     clicks = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.lit("org").alias("broker_org_id"), F.lit(None).cast("string").alias("provider_npi"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("provider_id"), phone.alias("phone"), "ts")
@@ -272,7 +249,7 @@ def job_summary(spark, sf_dir):
     return jobs.summarize(orders, "o_custkey")
 
 
-@query(f"SELECT event_id, {_json_key(['event_type', 'user_id'])} AS key FROM events")
+@query(f"SELECT event_id, {oracle.key(['event_type', 'user_id'])} AS key FROM events")
 def agg_key_sha256(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", contact.aggregation_key(F.col("event_type"), F.col("user_id")).alias("key"))
 
@@ -352,30 +329,23 @@ def field_scores(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
-def _wilson_sql(s: str, n: str) -> tuple[str, str]:
-    z = stats.Z
-    p, base = f"({s} / {n}::DOUBLE)", f"(1 + {z}::DOUBLE * {z} / {n})"
-    mid, spread = f"(({p} + {z}::DOUBLE * {z} / (2 * {n})) / {base})", f"({z}::DOUBLE * sqrt({p} * (1 - {p}) / {n} + {z}::DOUBLE * {z} / (4.0 * {n} * {n})) / {base})"
-    return f"greatest(0, {mid} - {spread})", f"least(1, {mid} + {spread})"
-
-
 _RATIOS = {"coverage": ("covered", "eligible"), "emitted_precision": ("correct", "emitted"), "gold_recall": ("recovered", "gold_count"), "top_one_accuracy": ("top_one_correct", "eligible"), "citation_presence": ("citation_present", "emitted")}
 
 
 @query(f"""{_SCORES_SQL}, t AS (SELECT field, {', '.join(f'sum({c}) AS {c}' for c in evaluation.COUNTERS)}, count(*) FILTER (WHERE eligible > 0 AND emitted > 0) AS covered FROM x GROUP BY field)
-SELECT field, {', '.join(f"{a} / {b}::DOUBLE AS {k}, {_wilson_sql(a, b)[0]} AS {k}_low, {_wilson_sql(a, b)[1]} AS {k}_high" for k, (a, b) in _RATIOS.items())}, unsafe_disclosures::BIGINT AS unsafe_disclosures FROM t""")
+SELECT field, {', '.join(oracle.ratio(k, a, b) for k, (a, b) in _RATIOS.items())}, unsafe_disclosures::BIGINT AS unsafe_disclosures FROM t""")
 def aggregate_scores(spark, sf_dir):
     return evaluation.aggregate_scores(_scores(spark, sf_dir))
 
 
-@query(f"""SELECT lang, n, good, good / n::DOUBLE AS share, {_wilson_sql('good', 'n')[0]} AS low, {_wilson_sql('good', 'n')[1]} AS high FROM (SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good FROM documents JOIN labels USING (doc_id) GROUP BY lang)""")
+@query(f"""SELECT lang, n, good, good / n::DOUBLE AS share, {oracle.wilson('good', 'n')[0]} AS low, {oracle.wilson('good', 'n')[1]} AS high FROM (SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good FROM documents JOIN labels USING (doc_id) GROUP BY lang)""")
 def wilson_by_group(spark, sf_dir):
     met = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"))
     w = stats.wilson(F.col("good"), F.col("n"))
     return met.select("lang", "n", "good", stats.ratio(F.col("good"), F.col("n")).alias("share"), w["lower"].alias("low"), w["upper"].alias("high"))
 
 
-_REPEATS_SQL = "SELECT conv_id, turn, list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS facts, role FROM conversations"
+_REPEATS_SQL = f"SELECT conv_id, turn, list_distinct(string_split({oracle.plain('text')}, ' ')) AS facts, role FROM conversations"
 
 
 @query(f"""WITH r AS ({_REPEATS_SQL}), p AS (SELECT a.conv_id, avg(len(list_intersect(a.facts, b.facts))::DOUBLE / len(list_distinct(a.facts || b.facts))) AS j FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY a.conv_id),
@@ -383,7 +353,7 @@ m AS (SELECT conv_id, max(n) / sum(n)::DOUBLE AS share FROM (SELECT conv_id, rol
 SELECT m.conv_id, coalesce(p.j, 1) AS mean_jaccard, m.share AS top_one_agreement FROM m LEFT JOIN p USING (conv_id)""")
 def repeat_variance(spark, sf_dir):
     """Turns of a conversation as repeats of a case; their words are the facts."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.split(text.plain_text(F.col("text")), " ").alias("facts"), F.col("role").alias("top_one"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.split(text.plain_text(F.col("text")), " ").alias("facts"), F.col("role").alias("top_one"))
     return evaluation.repeat_variance(turns, "conv_id")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from factmill.operators.rollups import merge_counts
+from factmill.operators.validation import CASE_SCHEMA, case_error, enforce
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
@@ -16,6 +14,12 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructTy
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_cases(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Cases as JSON lines; one that breaks the schema fails the job."""
+    rows = read_json_lines(spark, path, CASE_SCHEMA)
+    return enforce(rows, case_error(F.struct("*")), strict=True)
+
+
 def read_manifest(spark: SparkSession, manifest: str, schema: StructType | str) -> DataFrame:
     """One row per JSON document that a text file lists, a path a line. The list itself is short: paths, not rows."""
     paths = [r[0] for r in spark.read.text(manifest).where(F.trim("value") != "").select(F.trim("value")).collect()]
@@ -42,21 +46,36 @@ def drop_counter_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def upsert_counts(spark: SparkSession, path: str, new: DataFrame, keys: list[str], counts: list[str], day: str) -> None:
-    """Adds counters to a table of parquet files by day. Only the days that ``new`` holds are read and written again,
-    to a new version of each that replaces the old in one dynamic overwrite."""
-    days = [r[0] for r in new.select(day).distinct().collect()]
-    if not days:
-        return
-    held = spark.read.schema(new.select(*keys, *counts).schema).parquet(path).where(F.col(day).isin(*days)) if _exists(spark, path) else new.limit(0)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factmill-"))
-    # Kept apart from the files that are replaced, so that a lost executor never reads half of both.
-    merged = merge_counts(held, new, keys, counts).checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def upsert_counts(path: str, new: DataFrame, keys: list[str], counts: list[str], day: str, batch: int | str) -> None:
+    """Adds counters to a table of parquet files: what one batch adds is a folder of its own, by day. Nothing is read
+    and changed, so a failed write loses nothing, and a batch that is written again replaces only itself."""
+    summed = new.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts)).withColumn("batch", F.lit(str(batch)))
+    summed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", day).parquet(path)
+
+
+def read_counts(spark: SparkSession, path: str, keys: list[str], counts: list[str]) -> DataFrame:
+    """The counters of all batches. A filter on the day prunes folders."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))
+
+
+def compact_counts(spark: SparkSession, path: str, target: str, keys: list[str], counts: list[str], day: str) -> None:
+    """Writes the counters of all batches to another folder as one batch; readers move to it when it is whole."""
+    upsert_counts(target, read_counts(spark, path, keys, counts), keys, counts, day, "compacted")
+
+
+def write_jobs(state: DataFrame, path: str, batch: int | str) -> None:
+    """state: request_id, expiresAt and the job's columns. One batch of states, a folder of its own."""
+    state.withColumn("batch", F.lit(str(batch))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def live_jobs(spark: SparkSession, path: str, now: str) -> DataFrame:
+    """The last state written of each job, by its end, without those whose time is over."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in ("request_id", "batch")]
+    last = rows.groupBy("request_id").agg(F.max_by(F.struct(*rest), F.struct("expiresAt", "batch")).alias("s")).select("request_id", "s.*")
+    return last.where(F.col("expiresAt") > F.lit(now).cast("timestamp"))
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Records of usage and requests, a JSON object a line, added to those that are there."""
+    records.write.mode("append").json(path)

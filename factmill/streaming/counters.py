@@ -8,12 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def stream_rollup(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, watermark: tuple[str, str] | None = None) -> StreamingQuery:
-    """Counters of a stream, kept by Spark's state store and given in update mode to a table in memory. A watermark on
-    an event time bounds the state; without one a counter stays for ever, as counters do."""
-    late = rows.withWatermark(*watermark) if watermark else rows
-    return rollup(late).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+from factmill.sources.files import upsert_counts
 
 
 def stream_upserts(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -22,6 +17,19 @@ def stream_upserts(rows: DataFrame, batch: Callable[[DataFrame, int], None], che
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_counts(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], keys: list[str], counts: list[str], day: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Counters of a stream in a table of files: each micro-batch is rolled up and added as a batch of its own. Counters
+    add up, so no state is kept between batches, and events may come as late as they like."""
+    return stream_upserts(rows, lambda batch, ident: upsert_counts(path, rollup(batch), keys, counts, day, ident), checkpoint)
+
+
+def stream_rollup(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, watermark: tuple[str, str] | None = None) -> StreamingQuery:
+    """Counters of a stream, kept by Spark's state store; those that a micro-batch changes go to ``sink`` with its id.
+    A watermark on an event time bounds the state; without one a counter stays for ever, as counters do."""
+    late = rows.withWatermark(*watermark) if watermark else rows
+    return rollup(late).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_states(events: DataFrame) -> DataFrame:
     """Per request and provider the last status by seq: the streaming form of jobs.fold_events."""
     return events.groupBy("request_id", "provider_key").agg(F.max_by(F.struct("status", "error"), "seq").alias("s")).select("request_id", "provider_key", "s.*")

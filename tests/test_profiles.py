@@ -144,13 +144,21 @@ def test_files_and_upserts(spark, tmp_path):
     day = lambda d, n: spark.createDataFrame([(d, "x", n)], "day string, k string, c long").withColumn("day", F.to_date("day"))
     path = str(tmp_path / "counts")
     for d, n in (("2024-01-01", 1), ("2024-01-02", 5), ("2024-01-01", 2)):
-        files.upsert_counts(spark, path, day(d, n), ["day", "k"], ["c"], "day")
-    assert sorted((str(r["day"]), r["c"]) for r in spark.read.parquet(path).collect()) == [("2024-01-01", 3), ("2024-01-02", 5)]
+        for _ in range(2):  # a batch that is run again counts once
+            files.upsert_counts(path, day(d, n), ["day", "k"], ["c"], "day", n)
+    expected = [("2024-01-01", 3), ("2024-01-02", 5)]
+    assert sorted((str(r["day"]), r["c"]) for r in files.read_counts(spark, path, ["day", "k"], ["c"]).collect()) == expected
+    files.compact_counts(spark, path, f"{path}-whole", ["day", "k"], ["c"], "day")
+    assert sorted((str(r["day"]), r["c"]) for r in files.read_counts(spark, f"{path}-whole", ["day", "k"], ["c"]).collect()) == expected
 
 
 def test_stream_counts_like_batch(spark, tmp_path):
     rows = spark.createDataFrame([("org", "", "p", "2164442200", i % 2) for i in range(6)], "broker_org_id string, provider_npi string, provider_id string, normalized_phone string, d int").withColumn("click_day", F.date_add(F.lit("2024-01-01").cast("date"), "d")).drop("d")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    counters.stream_rollup(stream, rollups.click_rollup, "clicks", str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["click_count"] for r in spark.table("clicks").collect()) == [3, 3]
+    seen = {}
+    counters.stream_rollup(stream, rollups.click_rollup, lambda df, _: seen.update({r["click_day"]: r["click_count"] for r in df.collect()}), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen.values()) == [3, 3]
+    out = str(tmp_path / "out")
+    counters.stream_counts(stream, rollups.click_rollup, rollups.CLICK_KEYS, ["click_count"], "click_day", out, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(r["click_count"] for r in files.read_counts(spark, out, rollups.CLICK_KEYS, ["click_count"]).collect()) == [3, 3]
