@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of one Arrow batch. Texts can be long, so a batch holds fewer than Spark's default of 10,000.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch at most. Texts can be long, so these are fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; one of our own only where the session names none."""
+    """The folder that the driver and all executors see. On a local master that names none, one of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="factmill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -32,9 +37,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that materialize wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes of an Arrow batch for this session, as texts may be long: plans are run after this
+    returns, so the bounds stay. A bound that is lower already is kept."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = str(spark.conf.get(name)).removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold at most so many bytes; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def one_of_each(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The keys, each once, and ``row``, the columns of one of the rows that have them. Tasks keep one row a key before
+    anything moves, so rows that repeat, however often, never meet in one task."""
+    whole = F.struct(*(df[c] for c in df.columns)).alias("row")
+    return df.select(*(c.alias(k) for k, c in keys.items()), whole).groupBy(*keys).agg(F.first("row").alias("row"))
 
 
 def ascii_lower(c: Column) -> Column:

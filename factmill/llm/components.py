@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factmill.llm.common import materialize
+from factmill.llm.common import drop_table, materialize
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     are no edges. Returns ``node, component`` for each node that has an edge; the component is its smallest node.
 
     Every step is a partial aggregation and an equi-join, so a hub's edges never meet in one task; each round's
-    edges are written to the shared folder, and only their count and checksum reach the driver.
+    edges are written to the shared folder, those of the round before are removed, and only their count and checksum
+    reach the driver.
     """
     a, b = edges.columns
     now = materialize(_pairs(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull())), "edges")
@@ -40,7 +41,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if seen[0] == 0 or tuple(seen) == before:
             break
         before = tuple(seen)
-        now = materialize(_small_star(materialize(_large_star(now), "large")), "edges")
+        used, large = now, materialize(_large_star(now), "large")
+        now = materialize(_small_star(large), "edges")
+        drop_table(used)
+        drop_table(large)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())

@@ -5,17 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factmill.llm.common import materialize, small_batches
+from factmill.llm.common import by_bytes, materialize, small_batches
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -23,6 +21,11 @@ SPACE = "▁"
 CHUNK = 32_768
 #: Characters of context on both sides of a chunk: no piece is longer.
 REACH = 16
+#: Chunks whose matrices are combined by one task; a document's blocks of so many chunks are combined by another.
+BLOCK = 64
+#: Bytes of text that a task encodes at a time, bytes of remembered words, length of a remembered word, and
+#: remembered pairs of pieces. What a task holds is bounded by these, whatever the texts are.
+RUN_BYTES, HELD_BYTES, WORD, PAIRS = 1 << 20, 16 << 20, 64, 50_000
 NONE = -np.inf
 
 
@@ -66,7 +69,7 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -90,13 +93,9 @@ class Pieces:
         return out
 
 
-#: Distinct words whose ids a task remembers; then it starts anew.
-REMEMBERED = 150_000
-
-
 class Words:
     """Encodes texts word by word, as no piece crosses from a character to a space: each distinct word, with the
-    spaces before it, goes through the library once."""
+    spaces before it, goes through the library once as long as it is remembered. Words longer than WORD are not."""
 
     def __init__(self, proto: bytes) -> None:
         self.sp = processor(proto)
@@ -105,32 +104,47 @@ class Words:
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
-        self.values, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.values, self.sizes, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
         found = self.sp.encode([w[1:] for w in words], num_threads=1)
         found = [[self.one] if w == " " else ids for w, ids in zip(words, found, strict=True)]
-        self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in found], np.int64)])
-        self.values = np.concatenate([self.values, np.array([i for x in found for i in x], np.int32)])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin and end."""
-        if len(self.codes) > REMEMBERED:
+        if self.held > HELD_BYTES:
             self.clear()
-        known, codes, ends = self.codes, [], []
+        known, codes, ends, new, long = self.codes, [], [], [], []
         for text in texts:
             if text:
                 for w in re.findall(" +[^ ]*", " " + text.replace(SPACE, " ")):
-                    codes.append(known.setdefault(w, len(known)))
+                    code = known.get(w)
+                    if code is None:
+                        if len(w) > WORD:
+                            long.append(w)
+                            code = -len(long)
+                        else:
+                            code = known[w] = len(known)
+                            new.append(w)
+                    codes.append(code)
             ends.append(len(codes))
-        if len(known) > len(self.sizes):
-            self._learn(list(islice(known, len(self.sizes), None)))
+        if new:
+            values, sizes = self._ids(new)
+            self.values, self.sizes = np.concatenate([self.values, values]), np.concatenate([self.sizes, sizes])
+            # A word in a dictionary takes some 150 bytes beside its characters.
+            self.held += sum(map(len, new)) + 150 * len(new) + values.nbytes
+        values, sizes = self.values, self.sizes
+        if long:
+            more = self._ids(long)
+            values, sizes = np.concatenate([values, more[0]]), np.concatenate([sizes, more[1]])
         at = np.array(codes, np.int64)
-        size = self.sizes[at]
+        at = np.where(at < 0, len(known) - 1 - at, at)
+        size, starts = sizes[at], np.cumsum(sizes) - sizes
         upto = np.concatenate(([0], np.cumsum(size)))
-        values = self.values[np.repeat(self.starts[at] - upto[:-1], size) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.int32)
-        return values, upto[np.array([0, *ends])]
+        out = values[np.repeat(starts[at] - upto[:-1], size) + np.arange(upto[-1])] if len(at) else np.zeros(0, np.int32)
+        return out, upto[np.array([0, *ends])]
 
 
 def spaced(text: str) -> str:
@@ -224,6 +238,11 @@ class Chunk:
             return max((i for i, (b, p, _, back) in enumerate(nodes) if b + (len(p) if back >= 0 else 0) == self.end and nodes[i][2][0] > NONE), default=-1)
         return next((i for i, (b, p, s, back) in enumerate(nodes) if back >= 0 and (b - self.end, p) == target and s[0] > NONE), -1)
 
+    def shown(self, source: State, target: State) -> bytes:
+        """The text behind the source state up to and with the target state."""
+        end = self.end if self.last else self.end + target[0] + len(target[1])
+        return self.text[self.begin + source[0] + len(source[1]) : end].replace(SPACE, " ").encode("utf-8", "surrogatepass")
+
     def pieces(self, source: State, target: State) -> list[int]:
         """Ids behind the source state up to and with the target state."""
         entry = [(self.begin + source[0] + len(source[1]), source[1], np.zeros(1))]
@@ -263,7 +282,33 @@ def chosen_states(mats: list[np.ndarray]) -> list[int]:
     return [0, *states[::-1]]
 
 
-PART = "rid long, k int, n int, text string, begin int, end int"
+PART = "rid long, doc_id long, n_chars long, marked boolean, k int, n int, text string, begin int, end int"
+MOVES = "rid long, block int, k int, height int, matrix array<float>"
+
+
+def _batch(rows: list[tuple], *fields: tuple[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _cut(chunk: int):
+    """Every long text into its chunks, each with REACH of context on both sides: one pass over the text."""
+    fields = [(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in PART.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                seen = spaced(row["text"])
+                n = -(-len(seen) // chunk)
+                for first in range(0, n, BLOCK):
+                    rows = []
+                    for k in range(first, min(first + BLOCK, n)):
+                        start, stop = max(k * chunk - REACH, 0), min((k + 1) * chunk, len(seen))
+                        rows.append((row["rid"], row["doc_id"], row["n_chars"], SPACE in row["text"], k, n, seen[start : stop + REACH], k * chunk - start, stop - start))
+                    yield _batch(rows, *fields)
+
+    return run
 
 
 def _chunk_of(vocabulary: Pieces, r: dict) -> Chunk:
@@ -274,76 +319,106 @@ def _transfer(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Pieces(proto)
         for batch in batches:
-            rows = batch.select(["rid", "k", "n", "text", "begin", "end"]).to_pylist()
-            mats = [_chunk_of(v, r).transfer() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("k"), pa.array([m.shape[0] for m in mats], pa.int32()), pa.array([m.ravel().tolist() for m in mats], pa.list_(pa.float64()))], ["rid", "k", "height", "matrix"])
+            for r in batch.select(["rid", "k", "n", "text", "begin", "end"]).to_pylist():
+                m = _chunk_of(v, r).transfer()
+                yield _batch([(r["rid"], r["k"] // BLOCK, r["k"], m.shape[0], m.ravel().tolist())], *MOVE_FIELDS)
 
     return run
 
 
-def _scan(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("k")
-    states = chosen_states([np.asarray(m, float).reshape(h, -1) for m, h in zip(group["matrix"], group["height"], strict=True)])
-    return pd.DataFrame({"rid": group["rid"], "k": group["k"], "a": np.array(states[:-1], np.int32), "b": np.array(states[1:], np.int32)})
+MOVE_FIELDS = (("rid", pa.int64()), ("block", pa.int32()), ("k", pa.int32()), ("height", pa.int32()), ("matrix", pa.list_(pa.float32())))
+
+
+def _matrices(group: pa.Table, order: str) -> tuple[list[int], list[np.ndarray]]:
+    rows = sorted(group.select([order, "height", "matrix"]).to_pylist(), key=lambda r: r[order])
+    return [r[order] for r in rows], [np.asarray(r["matrix"], float).reshape(r["height"], -1) for r in rows]
+
+
+def _product(group: pa.Table) -> pa.Table:
+    """One matrix for a block of chunks."""
+    m = prefix_products(_matrices(group, "k")[1])[-1]
+    row = (group["rid"][0].as_py(), group["block"][0].as_py(), m.shape[0], m.ravel().tolist())
+    return pa.Table.from_batches([_batch([row], *(f for f in MOVE_FIELDS if f[0] != "k"))])
+
+
+ENDS = "rid long, block int, a int, b int"
+
+
+def _scan(group: pa.Table) -> pa.Table:
+    """The states at both ends of each block of a document, on the best path."""
+    blocks, mats = _matrices(group, "block")
+    states = chosen_states(mats)
+    rid = group["rid"][0].as_py()
+    return pa.table({"rid": pa.array([rid] * len(blocks), pa.int64()), "block": pa.array(blocks, pa.int32()), "a": pa.array(states[:-1], pa.int32()), "b": pa.array(states[1:], pa.int32())})
+
+
+def _inside(chunks: pa.Table, ends: pa.Table) -> pa.Table:
+    """The states at both ends of each chunk of a block, between those of the block."""
+    ks, mats = _matrices(chunks, "k")
+    a, b = ends["a"][0].as_py(), ends["b"][0].as_py()
+    states = [a, *chosen_states([mats[0][a : a + 1], *mats[1:-1], mats[-1][:, b : b + 1]] if len(mats) > 1 else [mats[0][a : a + 1, b : b + 1]])[1:-1], b]
+    rid = chunks["rid"][0].as_py()
+    return pa.table({"rid": pa.array([rid] * len(ks), pa.int64()), "k": pa.array(ks, pa.int32()), "a": pa.array(states[:-1], pa.int32()), "b": pa.array(states[1:], pa.int32())})
 
 
 def _backtrace(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Pieces(proto)
+        v, table = Pieces(proto), surfaces(proto)
         for batch in batches:
-            ids = []
             for r in batch.to_pylist():
                 c = _chunk_of(v, r)
-                ids.append(c.pieces(c.before[r["a"]], c.after[r["b"]]))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["rid", "k", "ids"])
+                source, target = c.before[r["a"]], c.after[r["b"]]
+                ids = c.pieces(source, target)
+                same = b"".join(table[ids].tolist()) == c.shown(source, target) and not r["marked"]
+                yield _batch([(r["rid"], r["k"], ids, same)], ("rid", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int32())), ("same", pa.bool_()))
 
     return run
 
 
-def _encode_short(proto: bytes):
+def _short(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(proto)
+        words, table = Pieces(proto).words, surfaces(proto)
         for batch in batches:
-            values, ends = words.encode(batch.column("text").to_pylist())
-            kept = [c for c in batch.schema.names if c != "text"]
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], [*kept, "ids"])
+            for some in by_bytes(batch, "text", RUN_BYTES):
+                texts = some.column("text").to_pylist()
+                values, ends = words.encode(texts)
+                same = [b"".join(table[values[a:b]].tolist()).removeprefix(b" ") == t.encode("utf-8", "surrogatepass") for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("n_chars"), ids, pa.array(same, pa.bool_())], ["doc_id", "n_chars", "ids", "same"])
 
     return run
 
 
 def encode(docs: DataFrame, proto: bytes, chunk: int = CHUNK) -> DataFrame:
-    """docs: doc_id, text (other columns are ignored). Returns per row doc_id, n_chars, text_crc32 and ids, which equal
-    those of the library for the whole text. Null or empty text: no ids. Repeated rows get a row each.
+    """docs: doc_id, text (other columns are ignored). Returns per row doc_id, n_chars, ids, which equal those of the
+    library for the whole text, and same: whether the ids stand for the text. Null or empty text: no ids. Repeated
+    rows get a row each. No rows: no rows.
 
-    A document of at most ``chunk`` characters is one chunk and encoded as such. A longer one is cut every ``chunk``
+    A document of fewer than ``chunk`` characters is one chunk and encoded as such. A longer one is cut every ``chunk``
     characters, wherever that falls: each chunk gives a max-plus matrix from the pieces that may cover its first cut
-    to those that may cover its last; the matrices of a document are combined by a scan; then each chunk is traced
-    back between the two states chosen for it. Chunks are dealt over all tasks at both passes.
+    to those that may cover its last. The matrices are combined in blocks of BLOCK chunks, and those of a document's
+    blocks by a scan; the states chosen at the blocks' ends fix those inside; then each chunk is traced back between
+    the two states chosen for it. Chunks are dealt over all tasks at both passes, and no task sees a whole document
+    but the one that cuts it and the one that makes a row of its ids.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), text.alias("text"))
-    kept = "doc_id long, n_chars long, text_crc32 long"
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    short = rows.where(F.col("n_chars") <= chunk).mapInArrow(_encode_short(proto), f"{kept}, ids array<int>")
-    long = rows.where(F.col("n_chars") > chunk).withColumn("rid", F.monotonically_increasing_id())
-    size = F.col("n_chars").cast("int") + 1
-    seen = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    count = F.ceil(size / chunk).cast("int")
-    cut = long.select("rid", "doc_id", "n_chars", "text_crc32", count.alias("n"), size.alias("size"), seen.alias("seen"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
-    start = F.greatest(F.col("k") * chunk - REACH, F.lit(0))
-    stop = F.least((F.col("k") + 1) * chunk, F.col("size"))
-    part = cut.select("rid", "k", "n", F.substring("seen", start + 1, stop + REACH - start).alias("text"), (F.col("k") * chunk - start).alias("begin"), (stop - start).alias("end"), "doc_id", "n_chars", "text_crc32")
-    part = materialize(part, "chunks").repartition("rid", "k")
-    moves = part.mapInArrow(_transfer(proto), "rid long, k int, height int, matrix array<double>")
-    states = moves.groupBy("rid").applyInPandas(_scan, "rid long, k int, a int, b int")
-    traced = part.join(states, ["rid", "k"]).select("rid", "k", "n", "text", "begin", "end", "a", "b").mapInArrow(_backtrace(proto), "rid long, k int, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
+    short = rows.where(F.col("n_chars") < chunk).mapInArrow(_short(proto), "doc_id long, n_chars long, ids array<int>, same boolean")
+    long = rows.where(F.col("n_chars") >= chunk).withColumn("rid", F.monotonically_increasing_id())
+    # Written, as the ids of rows must not change between the two passes.
+    part = materialize(long.mapInArrow(_cut(chunk), PART), "chunks")
+    dealt = part.repartition("rid", "k")
+    moves = materialize(dealt.mapInArrow(_transfer(proto), MOVES), "moves")
+    blocks = moves.groupBy("rid", "block").applyInArrow(_product, "rid long, block int, height int, matrix array<float>")
+    ends = blocks.groupBy("rid").applyInArrow(_scan, ENDS)
+    states = moves.groupBy("rid", "block").cogroup(ends.groupBy("rid", "block")).applyInArrow(_inside, "rid long, k int, a int, b int")
+    met = dealt.join(states, ["rid", "k"]).select("rid", "k", "n", "text", "begin", "end", "marked", "a", "b")
+    traced = met.mapInArrow(_backtrace(proto), "rid long, k int, ids array<int>, same boolean")
     # One document's chunks: a row again.
-    joined = traced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    heads = part.where(F.col("k") == 0).select("rid", "doc_id", "n_chars", "text_crc32")
-    giant = heads.join(joined, "rid").select("doc_id", "n_chars", "text_crc32", F.flatten("parts.ids").alias("ids"))
+    joined = traced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.bool_and("same").alias("same"))
+    heads = part.where(F.col("k") == 0).select("rid", "doc_id", "n_chars")
+    giant = heads.join(joined, "rid").select("doc_id", "n_chars", F.flatten("parts.ids").alias("ids"), "same")
     return short.unionByName(giant)
 
 
@@ -372,16 +447,16 @@ def _decode(proto: bytes):
 
 
 def decode(encoded: DataFrame, proto: bytes) -> DataFrame:
-    """Adds decoded, the text of ids (array of int; null or empty: empty). Spaces come back as they were, but U+2581
-    in a text comes back as a space, as in the library."""
+    """Adds decoded, the text of ids (array of int; null or empty: empty); a column of that name is replaced. Spaces
+    come back as they were, but U+2581 in a text comes back as a space, as in the library."""
     small_batches(encoded.sparkSession)
+    encoded = encoded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(_decode(proto), f"{schema}, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encodes and decodes every text: doc_id, n_chars, n_tokens, ids, round_trip (whether the text came back)."""
-    proto = Path(path or model_path()).read_bytes()
-    back = decode(encode(docs, proto), proto)
-    same = (F.length("decoded") == F.col("n_chars")) & (F.crc32(F.encode("decoded", "UTF-8")) == F.col("text_crc32"))
-    return back.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    """Encodes and decodes every text: doc_id, n_chars, n_tokens, ids, round_trip (whether the text came back). The
+    tasks that encode also decode, so a task holds one Python worker."""
+    out = encode(docs, Path(path or model_path()).read_bytes())
+    return out.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("same").alias("round_trip"))
