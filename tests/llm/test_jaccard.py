@@ -2,7 +2,7 @@
 
 import random
 
-from factmill.llm import simhash
+from factmill.llm import jaccard, simhash
 from tests.llm.test_operators import plain_components, words
 
 
@@ -25,3 +25,25 @@ def test_keep_one_takes_near_copies_of_four_fifths(spark):
         first.setdefault(c, i)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == sorted(first.values())
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Copies of a text that is not among them: most pairs are just below the threshold, some above, and none may be
+    lost where the first member of a bucket links to few."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(3)
+    base = words(7, 60).split()
+    rows = []
+    for i in range(150):
+        v = list(base)
+        for k in r.sample(range(60), 2 if i % 3 else 1):
+            v[k] = f"new{i}x{k}"
+        rows.append(" ".join(v))
+    rows += ["", "  ", rows[0] + " "]
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    part = plain_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    groups = {}
+    for x in jaccard.jaccard_groups(docs).collect():
+        groups.setdefault(x["c"], set()).add(x["doc_id"])
+    assert {frozenset(g) for g in groups.values()} == {frozenset(i for i in part if part[i] == c) for c in part.values()}
