@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html as markup
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,25 +156,27 @@ def _smoothed(cube: DataFrame, keys: list[str], parent: DataFrame | Column) -> D
     return met.select(*keys, F.transform("above", chance).alias("prior"))
 
 
-def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column, host: Column) -> DataFrame:
-    """Adds a struct ``language`` to all columns of docs: lang (null if none), probability, text_lang (from the text
-    alone), declared, accepted.
+def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, keep: Sequence[str] | None = None) -> DataFrame:
+    """Returns row, a struct of the columns ``keep`` of docs (all of them if none are named), and ``language``, a struct
+    of lang (null if none), probability, text_lang (from the text alone), declared, accepted.
 
     log posterior = weighted log likelihood of the text's trigrams + log P(declared | language) + log P(language |
     host). The table of what is declared for texts of each language and the counts of languages by host come from one
     grouped aggregation over all rows; a host is smoothed by its domain, that by its suffix, that by all. Text of no
     known language is one more outcome; rows with it, without letters (null and empty ones too), or below LEAST are
     not accepted. An unknown or null declared language and a null host say nothing. Ties: the first language by name.
-    Repeated rows are judged alike. No labelled documents: nothing is accepted.
+    Repeated rows are judged alike. No labelled documents: nothing is accepted. The likelihoods are written with the
+    kept columns, so each text is scored once.
     """
     small_batches(docs.sparkSession)
     names, size = model.languages, len(model.languages) + 1
     score = _scorer(model)
-    whole = F.struct(*(docs[c] for c in docs.columns))
+    whole = F.struct(*(docs[c] for c in keep or docs.columns))
     level = host_levels(F.coalesce(ascii_lower(host), F.lit("")))
     said = folded(declared)
     said = F.when(said.isin(*names), said) if names else F.lit(None).cast("string")
     rows = docs.select(whole.alias("row"), said.alias("declared"), level[0].alias("suffix"), level[1].alias("domain"), level[2].alias("host"), score(text).alias("scores"))
+    rows = materialize(rows, "scored")
     cube = rows.where("scores is not null").groupBy("suffix", "domain", "host", "declared", _best(F.col("scores")).alias("best")).agg(F.count(F.lit(1)).alias("n"))
     cube = materialize(cube, "evidence")
 
@@ -208,11 +210,11 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     return met.select("row", found.alias("language"))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """docs: doc_id, text, lang (the declared language), source (the host). Fits the text model on the labels and
     returns row and language as identify does."""
     needed = docs.select(*(docs[c] for c in ("doc_id", "text", "lang")))
-    return identify(docs, fit(needed), docs["text"], docs["lang"], docs["source"])
+    return identify(docs, fit(needed), docs["text"], docs["lang"], docs["source"], keep)
 
 
 def markup_language(html: Column) -> Column:
@@ -234,7 +236,7 @@ def page_host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(host_of(url), r"^.*@|:\d*$", ""), F.lit(""))
 
 
-def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
+def identify_pages(pages: DataFrame, model: TextModel, keep: Sequence[str] | None = None) -> DataFrame:
     """pages: page_id, url, html. Returns row and language as identify does, from the visible text, the language that
     the markup declares and the levels of the url's host."""
-    return identify(pages, model, visible_text(pages["html"]), markup_language(pages["html"]), page_host(pages["url"]))
+    return identify(pages, model, visible_text(pages["html"]), markup_language(pages["html"]), page_host(pages["url"]), keep)

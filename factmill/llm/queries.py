@@ -105,13 +105,13 @@ def op9_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, from text, declared language and source."""
     docs = table(spark, sf_dir, "documents")
-    return identify_documents(docs.select("doc_id", "text", "lang", "source")).select("row.doc_id", "language.*")
+    return identify_documents(docs, ["doc_id"]).select("row.doc_id", "language.*")
 
 
 def op10_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all pages, from visible text, the markup's language and the url's host; labels are documents'."""
     model = fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), model).select("row.page_id", "language.*")
+    return identify_pages(table(spark, sf_dir, "pages"), model, ["page_id"]).select("row.page_id", "language.*")
 
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op10_page_languages)}
