@@ -44,10 +44,20 @@ def plain_key(url: Column) -> Column:
 
 
 def html_links(html: Column) -> Column:
-    """Absolute targets of canonical links and of refresh redirects that a page declares, as an array."""
+    """Targets of canonical links and of refresh redirects that a page declares, as they stand, as an array."""
     canonical = F.regexp_extract_all(html, F.lit(r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
     refresh = F.regexp_extract_all(html, F.lit(r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""), 1)
-    return F.filter(F.concat(canonical, refresh), lambda u: F.instr(u, "://") > 0)
+    return F.concat(canonical, refresh)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A link's target as a whole url: as it is, or from the scheme, host or folder of the page that names it. Null for
+    targets of other kinds, and where the page has no host. Dot segments stay."""
+    scheme = F.regexp_extract(base, "(?s)^(.*?)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.concat(root, F.regexp_replace(F.when(path_of(base) == "", "/").otherwise(path_of(base)), "[^/]*$", ""))
+    inside = F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).when(target.startswith("/"), F.concat(root, target)).when(~target.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|[?#])"), F.concat(folder, target))
+    return F.when(F.instr(target, "://") > 0, target).when(host_of(base) != "", inside)
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,18 +94,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
     slim = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
     a, b = links.columns
     linked = links.select(page_key(F.col(a)).alias("a"), page_key(F.col(b)).alias("b"))
-    plain = pages.select(page_key(F.col("url")).alias("a"), plain_key(F.col("url")).alias("b"))
+    # A page and a link's target both meet the url without tracking, variant host and last slash.
+    named = pages.select("url").union(links.select(a)).union(links.select(b))
+    plain = named.select(page_key(F.col("url")).alias("a"), plain_key(F.col("url")).alias("b"))
     groups = materialize(connected_components(linked.union(plain)), "aliases")
     nodes = groups.select("node", F.regexp_extract("node", "^[^/?#]*", 0).alias("host"), F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1).alias("path"))
     ruled = materialize(match_rules(slim.select("host", "path").union(nodes.select("host", "path")), rules), "ruled")
-    blocked = nodes.join(ruled.where(F.col("verdict") == "block"), ["host", "path"]).join(groups, "node").select("component").distinct()
-    spread = materialize(groups.join(blocked.withColumn("hit", F.lit(True)), "component", "left").select(F.col("node").alias("key"), F.col("component").alias("alias_group"), "hit"), "spread")
-    judged = slim.join(ruled, ["host", "path"], "left").join(spread, "key", "left")
+    # These tables grow with the pages: merge joins, whatever their size looks like.
+    sorted_ = lambda df: df.hint("merge")
+    blocked = nodes.join(sorted_(ruled.where(F.col("verdict") == "block")), ["host", "path"]).join(sorted_(groups), "node").select("component").distinct()
+    spread = materialize(groups.join(sorted_(blocked.withColumn("hit", F.lit(True))), "component", "left").select(F.col("node").alias("key"), F.col("component").alias("alias_group"), "hit"), "spread")
+    judged = slim.join(sorted_(ruled), ["host", "path"], "left").join(sorted_(spread), "key", "left")
     own, hit = F.col("verdict"), F.coalesce("hit", F.lit(False))
     basis = F.when(own.isNotNull(), "rule").when(hit, "alias").otherwise("default")
     return judged.select("page_id", "url", "host", "path", "rule", F.coalesce(own, F.when(hit, "block").otherwise("allow")).alias("verdict"), "alias_group", basis.alias("basis"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """The links that the pages' own html declares: src, dst."""
-    return pages.where(F.col("html").contains("canonical") | F.lower("html").contains("refresh") | F.lower("html").contains("canonical")).select(F.col("url").alias("src"), F.explode(html_links(F.col("html"))).alias("dst"))
+    """The links that the pages' own html declares: src, dst (a whole url)."""
+    some = F.col("html").rlike("(?i)canonical|refresh")
+    each = pages.where(some).select(F.col("url").alias("src"), F.explode(html_links(F.col("html"))).alias("target"))
+    return each.select("src", resolved(F.col("target"), F.col("src")).alias("dst")).where("dst is not null")
