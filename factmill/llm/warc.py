@@ -16,7 +16,10 @@ from factmill.llm.common import materialize, shared_dir, small_batches
 
 #: Payloads of fewer bytes are stored each time.
 REVISIT_BYTES = 1000
-RECORDS_A_FILE = 60_000
+#: Bytes of records, before packing, that one archive file may hold (a larger page has a file of its own).
+FILE_BYTES = 64 << 20
+#: Pages are written by classes of size, the largest of each so many times its least.
+CLASS = 16
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
 #: Bytes of payload in one Arrow batch of records that are read.
@@ -40,7 +43,8 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
 
     Of rows with equal html of revisit_bytes or more the one of the largest page_id (then url) is a response and the
     others revisit it; rows that repeat its page_id and url are responses too. Null html: empty. Null url: no target.
-    White space and control characters of a url are dropped from headers. No rows: no records.
+    White space and control characters of a url are dropped from headers. No rows: no records. Files hold FILE_BYTES
+    of pages at most, so that a reader can take one whole.
     """
     html = F.coalesce("html", F.lit(""))
     size, digest = F.octet_length(html), F.sha1(F.encode(html, "UTF-8"))
@@ -62,7 +66,13 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     ask = F.concat(F.lit("GET "), F.coalesce(F.nullif(target, F.lit("")), F.lit("/")), F.lit(f" HTTP/1.1{END}Host: "), F.coalesce(F.regexp_extract(uri, r"^[^:]*://([^/?#]*)", 1), F.lit("")), F.lit(END + END))
     concurrent = ("WARC-Concurrent-To", F.col("answer_id"))
     records = F.array(_record("request", F.col("ask_id"), "application/http;msgtype=request", ask, uri, concurrent), answer, _record("metadata", F.col("meta_id"), "application/warc-fields", _lines(("page_id", F.col("page_id").cast("string"))), uri, concurrent))
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    # A file holds whole pages, so many that even the largest of their class fit: three records a page.
+    floor_ = FILE_BYTES // CLASS**3
+    place = F.greatest(F.ceil(F.log(float(CLASS), (F.col("size") + 1) / F.lit(floor_))), F.lit(0)).cast("int")
+    for k in sorted(r[0] for r in keyed.select(place.alias("class")).distinct().collect()) or [0]:
+        pages_a_file = max(1, FILE_BYTES // (floor_ * CLASS**k))
+        packed = rows.where(place == k).select(F.explode(records).alias("value"))
+        packed.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_a_file).text(path)
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
