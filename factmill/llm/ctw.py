@@ -241,13 +241,31 @@ def head_words(words: DataFrame, limit: int = HEAD_WORDS) -> dict[bytes, int]:
     return {bytes(r[0]): r[1] for r in _frequent(words.where(F.octet_length("word") <= HEAD_BYTES), "c", limit).select("word", "c").collect()}
 
 
-def _score_keys(head: np.ndarray, cost: np.ndarray):
-    """Per text the bits of its keys in head, and its other keys with their counts."""
+SCORED = "rid long, n_tokens long, n_known long, base double, n_bytes long, bits double, words array<struct<word: binary, n: int>>, keys array<struct<key: bigint, n: bigint>>"
+
+
+def _score(words: dict[bytes, float], head: np.ndarray, cost: np.ndarray):
+    """Per text, in one pass over it: its counts, the sums over the words and the keys that every task holds, and its
+    other words and keys with their counts."""
+    word_type, key_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])), pa.struct([("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rids = [running(t.as_py()) for t in batch.column("text")], batch.column("rid").to_numpy()
+            kept = [c for c in batch.schema.names if c != "text"]
+            split = [tokens(t.as_py()) for t in batch.column("text")]
+            texts = [b" ".join(found) for found in split]
             for a, b in _runs(texts):
+                rows = []
+                for found in split[a:b]:
+                    known, base, size, rest = 0, 0.0, 0, []
+                    for w, n in Counter(found).items():
+                        size += n * len(w)
+                        if (x := words.get(w)) is None:
+                            rest.append({"word": w, "n": n})
+                        else:
+                            known += n
+                            base += n * x
+                    rows.append((len(found), known, base, size + len(found) - 1, rest))
                 keys, counts = gram_keys(texts[a:b])
                 starts = np.cumsum(counts) - counts
                 at = np.minimum(np.searchsorted(head, keys), max(len(head) - 1, 0))
@@ -255,31 +273,11 @@ def _score_keys(head: np.ndarray, cost: np.ndarray):
                 bits = np.add.reduceat(np.where(hit, cost[at], 0.0) if len(head) else np.zeros(len(keys)), starts)
                 others = [np.unique(keys[s : s + n][~hit[s : s + n]], return_counts=True) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                 ends = np.cumsum([0, *(len(k) for k, _ in others)]).astype(np.int32)
-                rest = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in others])) for k in (0, 1)], ["key", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(rids[a:b]), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends), rest)], ["rid", "bits", "rest"])
-
-    return run
-
-
-PART = "rid long, n_tokens long, n_known long, base double, n_bytes long, rest array<struct<word: binary, n: int>>"
-
-
-def _score_docs(head: dict[bytes, float], schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text"), strict=True):
-                found = tokens(text.as_py())
-                known, base, size, rest = 0, 0.0, 0, []
-                for w, n in Counter(found).items():
-                    size += n * len(w)
-                    if (x := head.get(w)) is None:
-                        rest.append((w, n))
-                    else:
-                        known += n
-                        base += n * x
-                rows.append((rid, len(found), known, base, size + len(found) - 1, [{"word": w, "n": n} for w, n in rest]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rest_keys = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in others])) for k in (0, 1)], fields=list(key_type))
+                n_tokens, n_known, base, n_bytes, rest_words = zip(*rows, strict=True)
+                own = batch.slice(a, b - a)
+                columns = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(n_bytes, pa.int64()), pa.array(bits), pa.array(rest_words, word_type), pa.ListArray.from_arrays(pa.array(ends), rest_keys)]
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in kept), *columns], [*kept, "n_tokens", "n_known", "base", "n_bytes", "bits", "words", "keys"])
 
     return run
 
@@ -299,24 +297,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
     under = total + 0.1 * (distinct + 1)
     base = lambda c: math.log10((c + 0.1) / under)
     head = {w: base(c) for w, c in head_words(words).items()}
-    schema = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("n_bytes", pa.int64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
-    # The id of a row stands for it in the join, as doc_id may repeat: same files, same splits, same ids.
-    ids = rows.withColumn("rid", F.monotonically_increasing_id())
-    parts = materialize(ids.select("rid", "text").mapInArrow(_score_docs(head, schema), PART), "parts")
-    named = materialize(ids.select("rid", "doc_id", "held_out"), "names")
-    rest = parts.select("rid", F.explode("rest").alias("t")).select("rid", "t.word", "t.n").join(words, "word")
-    log10 = F.log10((F.col("c") + 0.1) / F.lit(under))
-    zero = F.lit(0).cast("long")
-    known = F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long")
-    none = F.lit(0.0)
-    late = rest.select("rid", zero, known, F.col("n") * log10, none, zero)
     # HEAD_KEYS rows at most.
     frequent = _frequent(bits, "n", HEAD_KEYS).select("key", "bits").toArrow().sort_by("key")
-    coded = ids.select("rid", "text").mapInArrow(_score_keys(frequent["key"].to_numpy(), frequent["bits"].to_numpy()), "rid long, bits double, rest array<struct<key: bigint, n: bigint>>")
-    coded = materialize(coded, "coded")
-    rare = coded.select("rid", F.explode("rest").alias("t")).select("rid", "t.key", "t.n").join(bits.select("key", F.col("bits").alias("b")), "key")
-    both = parts.select("rid", "n_tokens", "n_known", "base", none.alias("bits"), "n_bytes").union(late)
-    both = both.union(coded.select("rid", zero, zero, none, "bits", zero)).union(rare.select("rid", zero, zero, none, F.col("n") * F.col("b"), zero))
-    sums = both.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "bits", "n_bytes")))
-    out = named.join(sums, "rid")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("bits") * -math.log10(2)).alias("score"), "n_bytes", (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    # The number of a row stands for it in the joins, as doc_id may repeat. It is given once and written with the row.
+    ids = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
+    scored = ids.mapInArrow(_score(head, frequent["key"].to_numpy(), frequent["bits"].to_numpy()), SCORED.replace("rid long", f"rid long, doc_id {doc_type}, held_out boolean"))
+    scored = materialize(scored, "scored")
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    rest = scored.select("rid", F.explode("words").alias("t")).select("rid", "t.word", "t.n").join(words, "word")
+    log10 = F.log10((F.col("c") + 0.1) / F.lit(under))
+    late = rest.select("rid", F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("n_known"), (F.col("n") * log10).alias("base"), none.alias("bits"))
+    rare = scored.select("rid", F.explode("keys").alias("t")).select("rid", "t.key", "t.n").join(bits.select("key", F.col("bits").alias("b")), "key")
+    late = late.union(rare.select("rid", zero, none, F.col("n") * F.col("b")))
+    sums = late.groupBy("rid").agg(*(F.sum(c).alias(f"late_{c}") for c in ("n_known", "base", "bits")))
+    out = scored.drop("words", "keys").join(sums, "rid", "left")
+    whole = lambda c: F.col(c) + F.coalesce(F.col(f"late_{c}"), F.lit(0))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", whole("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), whole("base").alias("base_score"), (whole("bits") * -math.log10(2)).alias("score"), "n_bytes",
+        (whole("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+    )
