@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.llm.common import global_position, materialize
+from factmill.llm.common import global_position, materialize, one_of_each
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source gives at most so many times its size, and a document at most so many copies.
@@ -128,8 +128,5 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST)
     key = lambda id_, source: F.to_json(F.struct(id_.alias("i"), source.alias("s")))
     taken = mix(docs, weights, most).groupBy(key(F.col("doc_id"), F.col("source")).alias("key"), "digest").agg(F.sum("take").alias("take"))
     taken = materialize(taken.where("take > 0"), "taken")
-    whole = F.struct(*(docs[c] for c in docs.columns))
-    rows = docs.select(whole.alias("row"), key(docs["doc_id"], docs["source"]).alias("key"), F.xxhash64(docs["text"]).alias("digest")).join(taken, ["key", "digest"])
-    first = F.row_number().over(Window.partitionBy("key", "digest").orderBy("digest"))
-    one = rows.withColumn("nth", first).where("nth = 1")
+    one = one_of_each(docs, {"key": key(docs["doc_id"], docs["source"]), "digest": F.xxhash64(docs["text"])}).join(taken, ["key", "digest"])
     return one.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))).alias("copy")).select("row.*")

@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factmill.llm.common import materialize, shuffle_partitions, small_batches
+from factmill.llm.common import materialize, one_of_each, shuffle_partitions, small_batches
 from factmill.llm.components import connected_components
 from factmill.llm.jaccard import jaccard_groups
 
@@ -202,10 +202,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ident = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("c").agg(F.min(F.struct("doc_id", "digest")).alias("k"))
     kept = materialize(kept.select(ident(F.col("k.doc_id")).alias("ident"), F.col("k.digest").alias("digest")), "kept")
-    whole = F.struct(*(docs[c] for c in docs.columns))
-    rows = docs.select(whole.alias("row"), ident(docs["doc_id"]).alias("ident"), F.xxhash64(docs["text"]).alias("digest")).join(kept, ["ident", "digest"])
-    first = F.row_number().over(Window.partitionBy("ident", "digest").orderBy("digest"))
-    return rows.withColumn("nth", first).where("nth = 1").select("row.*")
+    rows = one_of_each(docs, {"ident": ident(docs["doc_id"]), "digest": F.xxhash64(docs["text"])})
+    return rows.join(kept, ["ident", "digest"], "left_semi").select("row.*")
 
 
 def fingerprint_hex(fp):
