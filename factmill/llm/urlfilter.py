@@ -93,6 +93,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
     """
     slim = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
     a, b = links.columns
+    links = materialize(links, "links")
     linked = links.select(page_key(F.col(a)).alias("a"), page_key(F.col(b)).alias("b"))
     # A page and a link's target both meet the url without tracking, variant host and last slash.
     named = pages.select("url").union(links.select(a)).union(links.select(b))
@@ -112,6 +113,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
 
 def page_links(pages: DataFrame) -> DataFrame:
     """The links that the pages' own html declares: src, dst (a whole url)."""
-    some = F.col("html").rlike("(?i)canonical|refresh")
+    some = F.lower("html").contains("canonical") | F.lower("html").contains("refresh")
     each = pages.where(some).select(F.col("url").alias("src"), F.explode(html_links(F.col("html"))).alias("target"))
     return each.select("src", resolved(F.col("target"), F.col("src")).alias("dst")).where("dst is not null")
