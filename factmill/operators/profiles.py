@@ -119,18 +119,20 @@ def location_hint(loc: Column, zip_: Column, city: Column, state: Column) -> Col
 
 def prioritized(df: DataFrame, name: Column, zip_: Column, city: Column, state: Column) -> DataFrame:
     """Phones, locations, ratings and websites each once and by rank; sources by rank and domain."""
-    rank = lambda f: source_rank(F.try_element_at(F.filter(F.col("sources"), lambda s: s["id"] == f["sourceId"]), F.lit(-1)), name)
+    columns = df.columns
+    df = settled(df.withColumn("_ranked", F.transform("sources", lambda s, i: F.struct(source_rank(s, name).alias("rank"), F.collate(s["domain"], COLLATION).alias("order"), i.alias("at"), s.alias("x")))))
+    rank = lambda f: F.coalesce(F.try_element_at(F.filter("_ranked", lambda r: r["x"]["id"] == f["sourceId"]), F.lit(-1))["rank"], F.lit(UNRANKED))
     place = lambda v: fact_key(format_location(v["addressLine1"], v["addressLine2"], v["city"], v["state"], v["zip"]))
-    ordered = F.array_sort(F.transform("sources", lambda s, i: F.struct(source_rank(s, name).alias("rank"), F.collate(s["domain"], COLLATION).alias("order"), i.alias("at"), s.alias("x"))))
-    return df.withColumns(
+    out = df.withColumns(
         {
             "phoneNumbers": dedupe_sorted(_ranked(F.col("phoneNumbers"), lambda v: fact_key(v["value"]), rank)),
             "locations": dedupe_sorted(_ranked(F.col("locations"), place, lambda v: location_hint(v, zip_, city, state) * 10 + rank(v))),
             "ratings": dedupe_sorted(_ranked(F.col("ratings"), lambda v: F.concat(v["sourceId"], F.lit(":"), fact_key(v["value"])), lambda v: F.lit(0))),
             "websites": dedupe_sorted(_ranked(F.col("websites"), lambda v: F.lower(v["value"]), rank)),
-            "sources": F.transform(ordered, lambda r: r["x"]),
+            "sources": F.transform(F.array_sort("_ranked"), lambda r: r["x"]),
         }
     )
+    return out.select(*columns)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -148,27 +150,29 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
     p = settled(df.select(*keys, typed.alias("p"), *([cited.alias("cited")] if cited is not None else [])))
     p = p.withColumn("kept", clean_sources(F.col("p.sources"), F.col("cited") if cited is not None else None)).withColumn("name", F.coalesce(safe_fact(F.col("p.providerName"), 255), F.lit("Provider")))
     p = settled(p)
+    judged = lambda s: s.withField("official", looks_official(s, F.col("name"))).withField("rank", source_rank(s, F.col("name")))
+    p = settled(p.withColumn("kept", F.transform("kept", judged)))
     kept, name, none = F.col("kept"), F.col("name"), F.lit(None).cast("string")
     sourced = lambda s: (s["id"].alias("sourceId"), s["title"].alias("sourceName"))
     fact = lambda f, s: F.struct(safe_fact(f["value"]).alias("value"), *sourced(s))
-    professional = lambda s: source_rank(s, name) < UNRANKED
+    professional = lambda s: s["rank"] < UNRANKED
     dialled = lambda v, s: F.when(F.length(F.regexp_replace(v, r"\D", "")).between(7, 15) & professional(s), v)
     phone = lambda f, s: F.struct(let(safe_fact(f["value"]), lambda v: dialled(v, s)).alias("value"), *sourced(s))
     place = lambda f, s: F.struct(
         F.when(professional(s), safe_fact(f["addressLine1"], 255)).alias("addressLine1"), safe_fact(f["addressLine2"], 255).alias("addressLine2"), safe_fact(f["city"], 120).alias("city"), clean_public_text(f["state"], 2).alias("state"), clean_public_text(f["zip"], 10).alias("zip"), *sourced(s)
     )
     rating = lambda f, s: F.struct(F.when(domain_matches(s["domain"], RATING_SITES), safe_fact(f["value"], 80)).alias("value"), safe_fact(f["scale"], 80).alias("scale"), *sourced(s))
-    shown = lambda f, s: let(safe_public_url(f["value"], s["domain"]), lambda u: F.when((u == s["url"]) & looks_official(s, name), u))
+    shown = lambda f, s: let(safe_public_url(f["value"], s["domain"]), lambda u: F.when((u == s["url"]) & s["official"], u))
     site = lambda f, s: F.struct(shown(f, s).alias("value"), *sourced(s))
     made = p.select(
         *keys, clean_public_text(F.col("p.providerId"), 255).alias("providerId"), clean_public_text(F.col("p.npi"), 10).alias("npi"), name.alias("providerName"),
-        _resolved(F.col("p.specialties"), kept, fact).alias("specialties"), _resolved(F.col("p.locations"), kept, place, "addressLine1").alias("locations"), _resolved(F.col("p.phoneNumbers"), kept, phone).alias("phoneNumbers"),
-        _resolved(F.col("p.ratings"), kept, rating).alias("ratings"), _resolved(F.col("p.websites"), kept, site).alias("websites"), _resolved(F.col("p.publicInsuranceMentions"), kept, fact).alias("publicInsuranceMentions"), "kept",
+        F.transform(F.array("p.specialties", "p.publicInsuranceMentions"), lambda facts: _resolved(facts, kept, fact)).alias("plain"), _resolved(F.col("p.locations"), kept, place, "addressLine1").alias("locations"), _resolved(F.col("p.phoneNumbers"), kept, phone).alias("phoneNumbers"),
+        _resolved(F.col("p.ratings"), kept, rating).alias("ratings"), _resolved(F.col("p.websites"), kept, site).alias("websites"), "kept",
     )
-    made = settled(made)
+    made = settled(made).withColumns({"specialties": F.get("plain", 0), "publicInsuranceMentions": F.get("plain", 1)}).select(*keys, *PROFILE[:-1], "kept")
     used = F.array_distinct(F.concat(*(F.transform(c, lambda f: f["sourceId"]) for c in PROFILE[3:9])))
     shown = F.filter(distinct_sources(kept), lambda s: F.array_contains(used, s["id"]))
-    made = made.withColumn("sources", F.transform(shown, lambda s: s.dropFields("raw", "at"))).drop("kept")
+    made = made.withColumn("sources", F.transform(shown, lambda s: s.dropFields("raw", "at", "official", "rank"))).drop("kept")
     made = settled(made).where((F.size("phoneNumbers") > 0) | (F.size("locations") > 0) | (F.size("ratings") > 0) | (F.size("websites") > 0))
     return prioritized(made, F.col("providerName"), none, none, none)
 

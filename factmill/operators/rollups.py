@@ -57,20 +57,25 @@ def feedback_value(fact_type: Column, value: Column) -> Column:
     return F.when(fact_type == "phone", safe_phone(value)).when(fact_type == "website", url).otherwise(let(safe_fact(value, 255), judged))
 
 
-def feedback_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """events: ts, broker_org_id, submitter_class, provider_id, provider_npi, fact_type, fact_value,
-    validation_status, reason_code. Returns the valid rows with cleaned values and FEEDBACK_KEYS, and the refused
-    rows with reject_reason."""
+def judge_feedback(events: DataFrame) -> DataFrame:
+    """events: ts, broker_org_id, submitter_class, provider_id, provider_npi, fact_type, fact_value, validation_status,
+    reason_code. Adds cleaned (the value) and reject_reason, null for valid rows."""
     c = F.col
     error = feedback_error(c("fact_type"), c("validation_status"), c("reason_code"), c("broker_org_id"), c("submitter_class"), c("provider_id"), c("provider_npi"), c("fact_value"))
     # Settled, so that the values are cleaned once for the filter and the columns.
     judged = settled(events.withColumn("_v", feedback_value(c("fact_type"), c("fact_value"))).withColumn("reject_reason", error))
-    judged = judged.withColumn("reject_reason", F.coalesce("reject_reason", "_v.reason"))
+    reason = F.coalesce("reject_reason", "_v.reason")
+    return judged.withColumns({"reject_reason": reason, "cleaned": F.when(reason.isNull(), c("_v.value"))}).drop("_v")
+
+
+def feedback_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid rows of judge_feedback with FEEDBACK_KEYS, and the refused rows with reject_reason."""
+    judged = judge_feedback(events)
     valid = judged.where("reject_reason is null").select(
         "broker_org_id", "submitter_class", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), "fact_type",
-        c("_v.value").alias("normalized_fact_value"), "validation_status", F.coalesce("reason_code", F.lit("accurate")).alias("reason_code"), F.to_date("ts").alias("feedback_day"),
+        F.col("cleaned").alias("normalized_fact_value"), "validation_status", F.coalesce("reason_code", F.lit("accurate")).alias("reason_code"), F.to_date("ts").alias("feedback_day"),
     )
-    return valid, judged.where("reject_reason is not null").drop("_v")
+    return valid, judged.where("reject_reason is not null").drop("cleaned")
 
 
 def feedback_rollup(rows: DataFrame) -> DataFrame:

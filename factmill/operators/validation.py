@@ -103,9 +103,9 @@ def profile_error(p: Column) -> Column:
     fact = lambda f: fact_error(f, MOST["value"])
     rating = lambda f: first_error((fact_error(f, MOST["rating"]).isNull(), "BAD_RATING"), (upto(f["scale"], MOST["rating"]), "BAD_SCALE"))
     own = first_error((_optional(p["providerId"], length_between(p["providerId"], 1, 255)), "BAD_PROVIDER_ID"), (_optional(p["npi"], _matches(p["npi"], NPI)), "BAD_NPI"), (length_between(p["providerName"], 1, 255), "BAD_NAME"))
-    parts = [("specialties", fact), ("locations", place), ("phoneNumbers", fact), ("ratings", rating), ("websites", fact), ("publicInsuranceMentions", fact), ("sources", source_error)]
-    first = lambda name, error: F.get(F.filter(F.transform(p[name], error), lambda e: e.isNotNull()), 0)
-    return F.coalesce(own, *(first(name, error) for name, error in parts))
+    first = lambda items, error: F.get(F.filter(F.transform(items, error), lambda e: e.isNotNull()), 0)
+    facts = F.concat(*(F.coalesce(p[c], F.array().cast("array<struct<value: string, sourceId: string, sourceName: string>>")) for c in ("specialties", "phoneNumbers", "websites", "publicInsuranceMentions")))
+    return F.coalesce(own, first(facts, fact), first(p["locations"], place), first(p["ratings"], rating), first(p["sources"], source_error))
 
 
 def gold_error(status: Column, value: Column, value_hash: Column, display_safe: Column) -> Column:

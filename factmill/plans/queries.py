@@ -5,30 +5,13 @@ The tables hold no provider data, so each operator runs on the closest column. C
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factmill.functions import contact, stats, text, urls
 from factmill.operators import coerce, evaluation, jobs, profiles, rollups, usage
 from factmill.plans import oracle
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from factmill.plans.registry import query, table
 
 
 # Text.
@@ -92,10 +75,10 @@ PHONE = r"\+?\d[\d ().-]{7,16}\d"
 
 
 @query(f"""SELECT doc_id, phone, CASE WHEN length(d) = 11 AND d LIKE '1%' THEN substr(d, 2) ELSE d END AS digits, length(d) BETWEEN 7 AND 15 AS fits FROM (
-  SELECT doc_id, phone, regexp_replace(phone, '\\D', '', 'g') AS d FROM (SELECT doc_id, regexp_extract(text, '{PHONE}') AS phone FROM documents) WHERE phone <> '')""")
+  SELECT doc_id, phone, regexp_replace(phone, '\\D', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}')) AS phone FROM documents))""")
 def phone_digits(spark, sf_dir):
-    """The first phone number of each document."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", PHONE, 0).alias("phone")).where("phone <> ''")
+    """Every phone number of each document."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PHONE), 0)).alias("phone"))
     digits = F.length(F.regexp_replace("phone", r"\D", ""))
     return found.select("doc_id", "phone", contact.phone_parts(F.col("phone"))["digits"].alias("digits"), digits.between(7, 15).alias("fits"))
 
@@ -127,16 +110,17 @@ def url_canonical(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.safe_public_url(F.col("url")).alias("canonical"))
 
 
-_LINK = r"""(?i)<link\b[^>]*\brel="canonical"[^>]*\bhref="([^"]+)\""""
-
-
-@query(f"""WITH p AS ({_PAGE_URLS}), c AS (SELECT DISTINCT regexp_extract(html, '{_LINK}', 1) AS u FROM pages)
-SELECT page_id, canonical FROM p WHERE canonical IN (SELECT u FROM c WHERE u <> '')""")
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 0 WHEN page_id % 5 = 0 OR page_id % 2 = 0 THEN 1 ELSE 0 END AS kept, CASE WHEN page_id % 7 <> 0 AND (page_id % 5 = 0 OR page_id % 2 = 0) THEN 'https://www.site' || page_id || '.com/p?a=1' END AS url FROM pages""")
 def citation_semi_join(spark, sf_dir):
-    """Pages that some page names as canonical."""
-    pages = table(spark, sf_dir, "pages")
-    cited = pages.select(F.regexp_extract("html", _LINK, 1).alias("canonical")).where("canonical <> ''")
-    return pages.select("page_id", urls.safe_public_url(F.col("url")).alias("canonical")).join(cited, "canonical", "left_semi").select("page_id", "canonical")
+    """Pages as sources that a response may cite: every 7th cites nothing, so nothing is kept; every other 5th states no
+    citations, so all is; of the rest every second cites the source, by another form of its url."""
+    k = F.col("page_id")
+    site = F.concat(F.lit("https://www.site"), k.cast("string"), F.lit(".com/p"))
+    source = F.struct(F.lit("s").alias("id"), F.lit("A page").alias("title"), F.lit(None).cast("string").alias("domain"), F.concat(site, F.lit("?utm_source=z&a=1#top")).alias("url"))
+    cited = F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 5 != 0, F.array(F.when(k % 2 == 0, F.concat(site, F.lit("?a=1"))).otherwise(F.lit("https://else.com/"))))
+    rows = profiles.settled(table(spark, sf_dir, "pages").select(k, F.array(source).alias("sources"), cited.alias("cited")))
+    kept = profiles.settled(rows.select("page_id", profiles.clean_sources(F.col("sources"), F.col("cited")).alias("kept")))
+    return kept.select("page_id", F.size("kept").alias("kept"), F.get("kept", 0)["url"].alias("url"))
 
 
 @query(f"SELECT page_id, h = 'example.com' OR h LIKE '%.example.com' OR h = 'example.org' OR h LIKE '%.example.org' AS approved FROM (SELECT page_id, {_HOST} AS h FROM pages)")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +12,17 @@ from pyspark.sql.types import StructType
 from factmill.operators.validation import CASE_SCHEMA, case_error, enforce
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; on a local master one of our own if none is
+    named."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="factmill-")
+    return f"{named.rstrip('/')}/factmill/{name}-{uuid.uuid4().hex}"
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """One row per line; a line that is no JSON of this schema fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -1,6 +1,6 @@
 import pytest
 
-from factmill.plans import queries
+from factmill.plans import catalogue as queries
 from tests.oracle import alike, rows, sql_rows
 
 
