@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from factmill.functions.contact import address_parts, format_location, hmac_sha256, phone_key
 from factmill.functions.stats import ratio, wilson
-from factmill.functions.text import plain_text
+from factmill.functions.text import let, plain_text
 from factmill.functions.urls import website_key
+from factmill.sources.files import written
 
 FIELDS = ["phones", "addresses", "websites", "ratings"]
 COUNTERS = ["eligible", "emitted", "correct", "gold_count", "recovered", "top_one_correct", "citation_present", "unsafe_disclosures"]
@@ -152,12 +153,15 @@ def repeat_variance(repeats: DataFrame, key: str) -> DataFrame:
     compared in its row; the sets of a larger one are dealt into blocks of some SETS, and each two blocks are a group of
     their own that gives one sum, so that no row or task holds a whole case and no pair is ever a row.
     """
-    k = F.col(key).alias("case")
-    sets = repeats.select(k, F.array_sort(F.array_distinct("facts")).alias("facts")).groupBy("case", "facts").agg(F.count(F.lit(1)).alias("n"))
+    each = repeats.select(F.col(key).alias("case"), F.array_sort(F.array_distinct("facts")).alias("facts"), "top_one").groupBy("case", "facts", "top_one").agg(F.count(F.lit(1)).alias("n"))
+    # Written, as three aggregations and two comparisons read it.
+    each = written(each, "repeats")
+    sets = each.groupBy("case", "facts").agg(F.sum("n").alias("n"))
     sized = sets.groupBy("case").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("repeats"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("alike"))
     met = sets.join(sized.select("case", "sets"), "case")
     few = met.where(F.col("sets") <= FEW).groupBy("case").agg(F.collect_list(F.struct("facts", "n")).alias("r"))
-    pair = lambda a, b: F.size(F.array_intersect(a["facts"], b["facts"])) / F.size(F.array_union(a["facts"], b["facts"])) * a["n"] * b["n"]
+    share = lambda both, a, b: both / (F.size(a["facts"]) + F.size(b["facts"]) - both) * a["n"] * b["n"]
+    pair = lambda a, b: let(F.size(F.array_intersect(a["facts"], b["facts"])), lambda both: share(both, a, b))
     later = lambda a, i: F.aggregate(F.slice("r", i + 2, F.lit(FEW)), F.lit(0.0), lambda t, b: t + pair(a, b))
     small = few.select("case", F.aggregate(F.transform("r", later), F.lit(0.0), lambda t, x: t + x).alias("total"))
     blocks = F.ceil(F.col("sets") / SETS).cast("int")
@@ -167,7 +171,7 @@ def repeat_variance(repeats: DataFrame, key: str) -> DataFrame:
     case_type = repeats.schema[key].dataType.simpleString()
     large = dealt.groupBy("case", "lo", "hi").applyInPandas(_block_sum, f"case {case_type}, total double")
     totals = small.union(large).groupBy("case").agg(F.sum("total").alias("total"))
-    tops = repeats.groupBy(k, "top_one").agg(F.count(F.lit(1)).alias("m")).groupBy("case").agg((F.max("m") / F.sum("m")).alias("top_one_agreement"))
+    tops = each.groupBy("case", "top_one").agg(F.sum("n").alias("m")).groupBy("case").agg((F.max("m") / F.sum("m")).alias("top_one_agreement"))
     pairs = F.col("repeats") * (F.col("repeats") - 1) / 2
     mean = F.when(F.col("repeats") < 2, 1.0).otherwise((F.coalesce("total", F.lit(0.0)) + F.col("alike")) / pairs)
     out = sized.join(totals, "case", "left").join(tops, "case")

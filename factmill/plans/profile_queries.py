@@ -177,8 +177,6 @@ def profile_repeats(spark, sf_dir):
     """Profiles of each hundred customers as repeats of one case: more distinct sets than a row compares."""
     each = evaluation.emitted_facts(_profiles(spark, sf_dir), ["k"]).withColumns({"case": F.floor(F.col("k") / 100), "repeat": F.col("k")})
     # Written, as the repeats are read for several aggregations.
-    path = files.scratch(spark, "emitted")
-    each.write.parquet(path)
-    each = spark.read.schema(each.schema).parquet(path)
+    each = files.written(each, "emitted")
     rows = evaluation.repeats_of(each, each.select("case", "repeat"), "case")
     return evaluation.mean_variance(evaluation.repeat_variance(rows, "case")).select("mean_jaccard")

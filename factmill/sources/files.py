@@ -23,6 +23,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/factmill/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what follows reads it as often as it likes, and a lost executor
+    costs the tasks that it ran. The table stays until the folder is cleaned."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """One row per line; a line that is no JSON of this schema fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
