@@ -23,6 +23,8 @@ CHUNK = 32_768
 REACH = 16
 #: Chunks whose matrices are combined by one task; a document's blocks of so many chunks are combined by another.
 BLOCK = 64
+#: Chunks of one Arrow batch that the cutting task hands on.
+ROWS = 64
 #: Bytes of text that a task encodes at a time, bytes of remembered words, length of a remembered word, and
 #: remembered pairs of pieces. What a task holds is bounded by these, whatever the texts are.
 RUN_BYTES, HELD_BYTES, WORD, PAIRS = 1 << 20, 16 << 20, 64, 50_000
@@ -301,9 +303,9 @@ def _cut(chunk: int):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 seen = spaced(row["text"])
                 n = -(-len(seen) // chunk)
-                for first in range(0, n, BLOCK):
+                for first in range(0, n, ROWS):
                     rows = []
-                    for k in range(first, min(first + BLOCK, n)):
+                    for k in range(first, min(first + ROWS, n)):
                         start, stop = max(k * chunk - REACH, 0), min((k + 1) * chunk, len(seen))
                         rows.append((row["rid"], row["doc_id"], row["n_chars"], SPACE in row["text"], k, n, seen[start : stop + REACH], k * chunk - start, stop - start))
                     yield _batch(rows, *fields)
@@ -315,13 +317,13 @@ def _chunk_of(vocabulary: Pieces, r: dict) -> Chunk:
     return Chunk(vocabulary, r["text"], r["begin"], r["end"], r["k"] == 0, r["k"] == r["n"] - 1)
 
 
-def _transfer(proto: bytes):
+def _transfer(proto: bytes, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Pieces(proto)
         for batch in batches:
             for r in batch.select(["rid", "k", "n", "text", "begin", "end"]).to_pylist():
                 m = _chunk_of(v, r).transfer()
-                yield _batch([(r["rid"], r["k"] // BLOCK, r["k"], m.shape[0], m.ravel().tolist())], *MOVE_FIELDS)
+                yield _batch([(r["rid"], r["k"] // block, r["k"], m.shape[0], m.ravel().tolist())], *MOVE_FIELDS)
 
     return run
 
@@ -389,14 +391,14 @@ def _short(proto: bytes):
     return run
 
 
-def encode(docs: DataFrame, proto: bytes, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, proto: bytes, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text (other columns are ignored). Returns per row doc_id, n_chars, ids, which equal those of the
     library for the whole text, and same: whether the ids stand for the text. Null or empty text: no ids. Repeated
     rows get a row each. No rows: no rows.
 
     A document of fewer than ``chunk`` characters is one chunk and encoded as such. A longer one is cut every ``chunk``
     characters, wherever that falls: each chunk gives a max-plus matrix from the pieces that may cover its first cut
-    to those that may cover its last. The matrices are combined in blocks of BLOCK chunks, and those of a document's
+    to those that may cover its last. The matrices are combined in blocks of ``block`` chunks, and those of a document's
     blocks by a scan; the states chosen at the blocks' ends fix those inside; then each chunk is traced back between
     the two states chosen for it. Chunks are dealt over all tasks at both passes, and no task sees a whole document
     but the one that cuts it and the one that makes a row of its ids.
@@ -409,7 +411,7 @@ def encode(docs: DataFrame, proto: bytes, chunk: int = CHUNK) -> DataFrame:
     # Written, as the ids of rows must not change between the two passes.
     part = materialize(long.mapInArrow(_cut(chunk), PART), "chunks")
     dealt = part.repartition("rid", "k")
-    moves = materialize(dealt.mapInArrow(_transfer(proto), MOVES), "moves")
+    moves = materialize(dealt.mapInArrow(_transfer(proto, block), MOVES), "moves")
     blocks = moves.groupBy("rid", "block").applyInArrow(_product, "rid long, block int, height int, matrix array<float>")
     ends = blocks.groupBy("rid").applyInArrow(_scan, ENDS)
     states = moves.groupBy("rid", "block").cogroup(ends.groupBy("rid", "block")).applyInArrow(_inside, "rid long, k int, a int, b int")

@@ -108,11 +108,11 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(docs, ["doc_id"]).select("row.doc_id", "language.*")
 
 
-def op10_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all pages, from visible text, the markup's language and the url's host; labels are documents'."""
     model = fit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return identify_pages(table(spark, sf_dir, "pages"), model, ["page_id"]).select("row.page_id", "language.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op10_page_languages)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, page_languages)}
 ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL}

@@ -53,7 +53,7 @@ def test_host_levels_and_markup_change_verdicts(spark, model):
 
 
 def test_pages_query(spark, sf):
-    got = queries.op10_page_languages(spark, sf)
+    got = queries.page_languages(spark, sf)
     declared = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", langid.markup_language(F.col("html")).alias("said"))
     rows = got.join(declared, "page_id").collect()
     assert len(rows) == declared.count()
