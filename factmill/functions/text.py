@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache, reduce
@@ -109,9 +110,10 @@ def name_identity(c: Column) -> Column:
 @lru_cache(maxsize=1)
 def _decomposed() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     """Characters beyond ASCII whose compatibility decomposition (NFKD) holds letters or digits of ASCII, with what they
-    become: one alone, one with marks behind it, several. Built from Python's own tables."""
+    become: one alone, one with marks behind it, several. Built from Python's own tables; planes above the second hold
+    none."""
     alone, marked, several = {}, {}, {}
-    for code in range(0x80, 0x110000):
+    for code in range(0x80, 0x20000):
         c = chr(code)
         d = unicodedata.normalize("NFKD", c)
         if d != c and any(x.isascii() and x.isalnum() for x in d):
@@ -125,7 +127,7 @@ def plain_text(c: Column) -> Column:
     letter followed by a mark, which ends a word, as any other sign does."""
     alone, marked, several = _decomposed()
     listed = lambda found: "[" + "".join(found) + "]"
-    short = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    short = F.from_json(F.lit(json.dumps(several)), "map<string, string>")  # a constant, folded once
 
     def folded(t: Column) -> Column:
         spelt = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda x: F.coalesce(F.when(x > "\x7f", short[x]), x)), "")

@@ -12,33 +12,38 @@ from factmill.functions import contact, stats, text, urls
 from factmill.operators import coerce, evaluation, jobs, profiles, rollups, usage
 from factmill.plans import oracle
 from factmill.plans.registry import query, table
+from factmill.sources.files import spread
 
 
 # Text.
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(f"""SELECT lang, count(*) AS documents, count(*) FILTER (WHERE NOT {oracle.unsafe('t')} AND NOT {oracle.placeholder('t')}) AS safe
 FROM (SELECT lang, {oracle.clean('text')} AS t FROM documents) GROUP BY lang""")
 def safe_documents_by_lang(spark, sf_dir):
     """Documents of each language that hold nothing unsafe or made up."""
-    docs = table(spark, sf_dir, "documents").select("lang", text.safe_fact(F.col("text"), None).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", text.safe_fact(F.col("text"), None).alias("t"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count("t").alias("safe"))
 
 
 @query(f"SELECT doc_id, {oracle.clean('text')} AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_public_text(F.col("text"), None).alias("cleaned"))
+    return _texts(spark, sf_dir).select("doc_id", text.clean_public_text(F.col("text"), None).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, {oracle.unsafe('text')} AS unsafe, contains(text, '@') AS has_address FROM documents")
 def unsafe_content_flags(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", text.contains_unsafe(t).alias("unsafe"), t.contains("@").alias("has_address"))
+    return _texts(spark, sf_dir).select("doc_id", text.contains_unsafe(t).alias("unsafe"), t.contains("@").alias("has_address"))
 
 
 @query(f"SELECT doc_id, {oracle.placeholder('text')} AS placeholder FROM documents")
 def placeholder_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.contains_placeholder(F.col("text")).alias("placeholder"))
+    return _texts(spark, sf_dir).select("doc_id", text.contains_placeholder(F.col("text")).alias("placeholder"))
 
 
 @query("""SELECT source_id, count(*) AS n FROM (SELECT coalesce(nullif(regexp_replace(regexp_replace(left(trim(source), 80), '[^a-zA-Z0-9_.:-]', '-', 'g'), '-+', '-', 'g'), ''), 'none') AS source_id FROM documents) GROUP BY source_id""")
@@ -78,7 +83,7 @@ PHONE = r"\+?\d[\d ().-]{7,16}\d"
   SELECT doc_id, phone, regexp_replace(phone, '\\D', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}')) AS phone FROM documents))""")
 def phone_digits(spark, sf_dir):
     """Every phone number of each document."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PHONE), 0)).alias("phone"))
+    found = _texts(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PHONE), 0)).alias("phone"))
     digits = F.length(F.regexp_replace("phone", r"\D", ""))
     return found.select("doc_id", "phone", contact.phone_parts(F.col("phone"))["digits"].alias("digits"), digits.between(7, 15).alias("fits"))
 
@@ -337,7 +342,7 @@ m AS (SELECT conv_id, max(n) / sum(n)::DOUBLE AS share FROM (SELECT conv_id, rol
 SELECT m.conv_id, coalesce(p.j, 1) AS mean_jaccard, m.share AS top_one_agreement FROM m LEFT JOIN p USING (conv_id)""")
 def repeat_variance(spark, sf_dir):
     """Turns of a conversation as repeats of a case; their words are the facts."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.split(text.plain_text(F.col("text")), " ").alias("facts"), F.col("role").alias("top_one"))
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", F.split(text.plain_text(F.col("text")), " ").alias("facts"), F.col("role").alias("top_one"))
     return evaluation.repeat_variance(turns, "conv_id")
 
 

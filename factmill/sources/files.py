@@ -31,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer than two partitions a core, as one small file with one row group
+    does; what is shuffled then is less than two partitions a core. Larger inputs are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """One row per line; a line that is no JSON of this schema fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
