@@ -147,7 +147,7 @@ def request_defaults(spark, sf_dir):
     """Who asked, what they may see of an error, and the NPI that a request means."""
     rows = dealt(spark, sf_dir, user=["consumer", "boss", None, "producer"], sub=["acme", "", None, "acme"], status=[400, 500, None, 404], npi=["1234567890", None, None, "1234567890"], pid=["x", "0987654321", "098", None], took=[2.5, -4.2, 3.7, 2.49])
     c = F.col
-    return rows.select("c_custkey", rollups.submitter_class(c("user")).alias("submitter"), rollups.broker_org(c("sub")).alias("org"), jobs.safe_job_error(c("status"), F.lit("bad name")).alias("seen"), contact.requested_npi(c("npi"), c("pid")).alias("npi"), usage.duration_ms(c("took")).alias("ms"))
+    return rows.select("c_custkey", rollups.submitter_class(c("user")).alias("submitter"), rollups.broker_org(c("sub")).alias("org"), jobs.safe_job_error(c("status"), F.lit("bad name")).alias("seen"), contact.requested_npi(c("npi"), c("pid")).alias("npi"), usage.duration_ms(c("took")).cast("int").alias("ms"))
 
 
 @query("""SELECT c_custkey, c_custkey || CASE c_custkey % 3 WHEN 0 THEN ':npi:1234567890' WHEN 1 THEN ':providerId:p7' ELSE ':name:ann o neil' END AS request_key, 'jobs:' || sha256('team a') || ':' || c_custkey AS job_key FROM customer""")

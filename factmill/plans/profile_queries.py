@@ -79,7 +79,7 @@ def response_citations(spark, sf_dir):
     return cited.select("k", F.size("cited").alias("cited"), F.get(F.filter("cited", lambda u: u.contains("healthgrades")), 0).alias("directory"))
 
 
-@query("""SELECT c_custkey AS k, c_custkey AS input, c_custkey % 50 AS cached, CASE WHEN c_custkey % 50 <= c_custkey THEN c_custkey - c_custkey % 50 END AS fresh, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 5 END AS written, c_custkey % 9 AS output, c_custkey + c_custkey % 9 AS total, 1 AS searches FROM customer""")
+@query("""SELECT c_custkey AS k, c_custkey AS input, c_custkey % 50 AS cached, CASE WHEN c_custkey % 50 <= c_custkey THEN c_custkey - c_custkey % 50 END AS fresh, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 5 END AS written, c_custkey % 9 AS output, c_custkey + c_custkey % 9 AS total, 1::BIGINT AS searches FROM customer""")
 def response_usage(spark, sf_dir):
     u = coerce.usage(F.try_parse_json("body"))
     out = responses(spark, sf_dir).select("k", u.alias("u"))

@@ -35,8 +35,8 @@ def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return requests, log
 
 
-@query("""SELECT o_orderkey AS request_id, CASE WHEN w IS NOT NULL THEN w WHEN m = 3 THEN 'running' ELSE 'completed' END AS job_status, CASE WHEN w IS NULL THEN 2 END AS total, CASE WHEN w IS NULL THEN 1 + (m = 0)::INT END AS completed, CASE WHEN w IS NULL THEN (m = 1)::INT END AS no_results,
-  CASE WHEN w IS NULL THEN (m = 2)::INT END AS failed, CASE WHEN w IS NULL THEN (m = 3)::INT END AS running, CASE WHEN w = 'failed' THEN 'broken' END AS error,
+@query("""SELECT o_orderkey AS request_id, CASE WHEN w IS NOT NULL THEN w WHEN m = 3 THEN 'running' ELSE 'completed' END AS job_status, CASE WHEN w IS NULL THEN 2::BIGINT END AS total, CASE WHEN w IS NULL THEN 1 + (m = 0)::BIGINT END AS completed, CASE WHEN w IS NULL THEN (m = 1)::BIGINT END AS no_results,
+  CASE WHEN w IS NULL THEN (m = 2)::BIGINT END AS failed, CASE WHEN w IS NULL THEN (m = 3)::BIGINT END AS running, CASE WHEN w = 'failed' THEN 'broken' END AS error,
   epoch(o_orderdate)::BIGINT + CASE WHEN w IS NOT NULL THEN 5 WHEN m = 3 THEN 3 ELSE 4 END + CASE WHEN w = 'failed' OR w IS NULL AND m = 3 THEN 3600 ELSE 1800 END AS ends
 FROM (SELECT *, o_orderkey % 4 AS m, CASE WHEN o_orderkey % 10 = 0 THEN 'failed' WHEN o_orderkey % 15 = 0 THEN 'completed' END AS w FROM orders)""")
 def job_fold(spark, sf_dir):
@@ -45,8 +45,8 @@ def job_fold(spark, sf_dir):
     return out.select("request_id", "job_status", "total", "completed", "no_results", "failed", "running", "error", F.unix_seconds("expiresAt").alias("ends"))
 
 
-@query("""SELECT o_orderkey AS request_id, '1:name:name 1' AS provider_key, CASE m WHEN 0 THEN 'completed' WHEN 1 THEN 'no_results' WHEN 2 THEN 'failed' ELSE 'searching' END AS status, m = 3 AS loading, CASE WHEN m = 2 THEN 255 END AS error_length, 3 AS started, CASE WHEN m < 3 THEN 4 END AS done
-FROM (SELECT *, o_orderkey % 4 AS m FROM orders) UNION ALL SELECT o_orderkey, '0:name:name 0', 'completed', false, NULL, 1, 2 FROM orders""")
+@query("""SELECT o_orderkey AS request_id, '1:name:name 1' AS provider_key, CASE m WHEN 0 THEN 'completed' WHEN 1 THEN 'no_results' WHEN 2 THEN 'failed' ELSE 'searching' END AS status, m = 3 AS loading, CASE WHEN m = 2 THEN 255 END AS error_length, 3::BIGINT AS started, CASE WHEN m < 3 THEN 4::BIGINT END AS done
+FROM (SELECT *, o_orderkey % 4 AS m FROM orders) UNION ALL SELECT o_orderkey, '0:name:name 0', 'completed', false, NULL, 1::BIGINT, 2::BIGINT FROM orders""")
 def provider_fold(spark, sf_dir):
     """Each provider's part of a job after its events."""
     requests, log = _jobs(spark, sf_dir)
@@ -113,7 +113,7 @@ def case_overview(spark, sf_dir):
 _PADS = {name: "".join(f"\\x{b ^ pad:02X}" for b in b"key".ljust(64, b"\0")) for name, pad in (("inner", 0x36), ("outer", 0x5C))}
 
 
-@query(f"""SELECT c_custkey, 1 AS emitted, (c_custkey % 3 = 0)::BIGINT AS unsafe_disclosures, sha256('{_PADS["outer"]}'::BLOB || unhex(sha256('{_PADS["inner"]}'::BLOB || encode('phones:216' || lpad(c_custkey::VARCHAR, 7, '0'))))) AS hash FROM customer""")
+@query(f"""SELECT c_custkey, 1::BIGINT AS emitted, (c_custkey % 3 = 0)::BIGINT AS unsafe_disclosures, sha256('{_PADS["outer"]}'::BLOB || unhex(sha256('{_PADS["inner"]}'::BLOB || encode('phones:216' || lpad(c_custkey::VARCHAR, 7, '0'))))) AS hash FROM customer""")
 def unsafe_disclosures(spark, sf_dir):
     """Personal numbers known by their hash alone, and who shows them."""
     from factmill.functions.contact import hmac_sha256
@@ -144,6 +144,17 @@ def search_records(spark, sf_dir):
     return usage.search_costs(records, "conv_id", "v1").join(longest, "conv_id")
 
 
+@query("SELECT role AS model, count(*) AS records, sum(turn * 10 + 1)::BIGINT AS took FROM conversations GROUP BY role")
+def usage_log(spark, sf_dir):
+    """Records of usage added to a log in two writes, and read back."""
+    path = files.scratch(spark, "usage")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("model"), usage.duration_ms(F.col("turn") * 10 + 0.5).alias("duration_ms"))
+    for odd in (0, 1):
+        files.write_records(turns.where(F.col("conv_id") % 2 == odd), path)
+    log = files.read_json_lines(spark, path, "conv_id long, model string, duration_ms long")
+    return log.groupBy("model").agg(F.count(F.lit(1)).alias("records"), F.sum("duration_ms").alias("took"))
+
+
 # Files and streams.
 
 
