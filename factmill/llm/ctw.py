@@ -40,12 +40,16 @@ def gram_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(pad + w if w.endswith(END) else pad + w + b" " for w in words), np.uint8).astype(np.int64)
     counts = np.array([len(w) + (not w.endswith(END)) for w in words], np.int64)
     starts = np.cumsum(counts + DEPTH) - counts - DEPTH
-    at = np.arange(len(raw))
-    at = at[at - np.repeat(starts, counts + DEPTH) >= DEPTH]
-    key = np.zeros(len(at), np.int64)
+    key = np.zeros(max(len(raw) - DEPTH, 0), np.int64)
     for k in range(1, DEPTH + 1):
-        key = key << 8 | raw[at - k]
-    return key << 8 | raw[at], counts
+        key <<= 8
+        key |= raw[DEPTH - k : len(raw) - k]
+    key <<= 8
+    key |= raw[DEPTH:]
+    # The bytes before later texts are context alone.
+    kept = np.ones(len(key), bool)
+    kept[(starts[1:, None] + np.arange(-DEPTH, 0)).ravel()] = False
+    return key[kept], counts
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -156,25 +160,42 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, n, len(found))
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several lists of keys with counts, and the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+#: Lists of keys that are held before they are merged.
+LISTS = 8
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys with their counts in texts not held out; those of the others with zero."""
-    keys, n = np.zeros(0, np.int64), np.zeros(0)
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(float))], ["key", "n"])
+
     for batch in batches:
         texts = [running(t.as_py()) for t in batch.column("text")]
         learnt = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for a, b in _runs(texts):
-            own, counts = gram_keys(texts[a:b])
-            own, c = _summed(own, np.repeat(learnt[a:b], counts).astype(float))
-            keys, n = _summed(np.concatenate([keys, own]), np.concatenate([n, c]))
-            if len(keys) > HELD_KEYS:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-                keys, n = keys[:0], n[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            for own in (True, False):
+                some = [t for t, x in zip(texts[a:b], learnt[a:b], strict=True) if x == own]
+                if some:
+                    keys, n = np.unique(gram_keys(some)[0], return_counts=True)
+                    held.append((keys, n * own))
+            if len(held) > LISTS:
+                held = [_merged(held)]
+            if len(held[0][0]) > HELD_KEYS:
+                yield out()
+                held[0] = held[0][0][:0], held[0][1][:0]
+    held = [_merged(held)]
+    yield out()
 
 
 def _by_context(work):
@@ -241,6 +262,26 @@ def head_words(words: DataFrame, limit: int = HEAD_WORDS) -> dict[bytes, int]:
     return {bytes(r[0]): r[1] for r in _frequent(words.where(F.octet_length("word") <= HEAD_BYTES), "c", limit).select("word", "c").collect()}
 
 
+#: Slots of the table of frequent keys, a power of two. Of keys that meet in a slot the most frequent stays; the others
+#: are joined, as rare keys are.
+SLOT_BITS = 22
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys.view(np.uint64) * _SPREAD) >> np.uint64(65 - size.bit_length())
+
+
+def slot_table(keys: np.ndarray, n: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot a key (-1 for none) and its cost."""
+    order = np.argsort(n, kind="stable")  # the last write to a slot stands
+    keys, bits = keys[order], bits[order]
+    held, cost = np.full(size, -1, np.int64), np.zeros(size)
+    at = _slots(keys, size)
+    held[at], cost[at] = keys, bits
+    return held, cost
+
+
 SCORED = "rid long, n_tokens long, n_known long, base double, n_bytes long, bits double, words array<struct<word: binary, n: int>>, keys array<struct<key: bigint, n: bigint>>"
 
 
@@ -268,9 +309,9 @@ def _score(words: dict[bytes, float], head: np.ndarray, cost: np.ndarray):
                     rows.append((len(found), known, base, size + len(found) - 1, rest))
                 keys, counts = gram_keys(texts[a:b])
                 starts = np.cumsum(counts) - counts
-                at = np.minimum(np.searchsorted(head, keys), max(len(head) - 1, 0))
-                hit = head[at] == keys if len(head) else np.zeros(len(keys), bool)
-                bits = np.add.reduceat(np.where(hit, cost[at], 0.0) if len(head) else np.zeros(len(keys)), starts)
+                at = _slots(keys, len(head))
+                hit = head[at] == keys
+                bits = np.add.reduceat(np.where(hit, cost[at], 0.0), starts)
                 others = [np.unique(keys[s : s + n][~hit[s : s + n]], return_counts=True) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                 ends = np.cumsum([0, *(len(k) for k, _ in others)]).astype(np.int32)
                 rest_keys = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in others])) for k in (0, 1)], fields=list(key_type))
@@ -298,11 +339,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     base = lambda c: math.log10((c + 0.1) / under)
     head = {w: base(c) for w, c in head_words(words).items()}
     # HEAD_KEYS rows at most.
-    frequent = _frequent(bits, "n", HEAD_KEYS).select("key", "bits").toArrow().sort_by("key")
+    frequent = _frequent(bits, "n", HEAD_KEYS).select("key", "n", "bits").toArrow()
+    table = slot_table(*(frequent[c].to_numpy() for c in ("key", "n", "bits")), 1 << SLOT_BITS)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     # The number of a row stands for it in the joins, as doc_id may repeat. It is given once and written with the row.
     ids = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
-    scored = ids.mapInArrow(_score(head, frequent["key"].to_numpy(), frequent["bits"].to_numpy()), SCORED.replace("rid long", f"rid long, doc_id {doc_type}, held_out boolean"))
+    scored = ids.mapInArrow(_score(head, *table), SCORED.replace("rid long", f"rid long, doc_id {doc_type}, held_out boolean"))
     scored = materialize(scored, "scored")
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     rest = scored.select("rid", F.explode("words").alias("t")).select("rid", "t.word", "t.n").join(words, "word")
