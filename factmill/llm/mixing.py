@@ -65,6 +65,28 @@ def _cumulated(rows: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return rows.withColumn("before", F.coalesce(F.sum("words").over(w), F.lit(0)))
 
 
+#: Parts that rows alike in rank are dealt into where a sample ends among them.
+SALTS = 64
+
+
+def _ends(last: DataFrame) -> DataFrame:
+    """last: the rows of the cell in which a source's sample ends. Adds take: a row is in if that brings the words nearer
+    to the lack. Rows alike in all that ranks them are one row with a count in the order; so many of them as the
+    sample takes are then chosen part by part, so that repeats, however many, are never ordered in one task."""
+    alike = F.to_json(F.struct("source", "place", "id", "digest", "size"))
+    rows = materialize(last.withColumn("alike", alike).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))), "last")
+    ranks = rows.groupBy("alike").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in ("source", "place", "id", "digest", "size", "lack")))
+    before = F.sum(F.col("m") * F.col("size")).over(Window.partitionBy("source").orderBy("place", "id", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    quota = F.floor((F.col("lack") - F.coalesce(before, F.lit(0))) / F.col("size") + 0.5)
+    ranks = ranks.select("alike", F.greatest(F.least(quota, F.col("m")), F.lit(0)).alias("quota"))
+    earlier = F.sum("count").over(Window.partitionBy("alike").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("alike", "salt").count().withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(ranks, "alike")
+    nth = F.row_number().over(Window.partitionBy("alike", "salt").orderBy("salt"))
+    met = rows.join(parts.select("alike", "salt", "earlier", "quota"), ["alike", "salt"]).withColumn("nth", nth)
+    taken = F.when(F.col("earlier") + F.col("nth") <= F.col("quota"), 1).otherwise(0)
+    return met.withColumn("take", F.col("whole") + taken).drop("alike", "salt", "earlier", "quota", "nth")
+
+
 def pareto_sample(docs: DataFrame) -> DataFrame:
     """docs: source, size, copies, id, ... with expected copies. Adds take: whole copies for certain, and one more for
     the documents that Pareto order sampling selects by the rest of copies, p: ranked by u/(1-u) over p/(1-p), the
@@ -96,10 +118,7 @@ def pareto_sample(docs: DataFrame) -> DataFrame:
     inside = open_.join(first, F.col("source").eqNullSafe(F.col("s"))).where(F.col("cell") == F.col("end_cell")).drop("s", "end_cell", "lack")
     second = materialize(ends(["source"], "spot", inside, first.select(F.col("s").alias("source"), "lack")), "ends")
     marked = cells.join(second, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    # In the cell where the sample ends, a document is in if that brings the words nearer to the lack.
-    last = marked.where(F.col("spot") == F.col("end_spot"))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("place", "id", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = last.withColumn("take", F.col("whole") + F.when(run - F.col("size") / 2 <= F.col("lack"), 1).otherwise(0))
+    last = _ends(marked.where(F.col("spot") == F.col("end_spot")))
     rest = marked.where(F.col("spot").isNull() | F.col("end_spot").isNull() | (F.col("spot") != F.col("end_spot")))
     rest = rest.withColumn("take", F.col("whole") + F.when(F.col("spot") < F.col("end_spot"), 1).otherwise(0))
     return rest.unionByName(last)

@@ -236,6 +236,17 @@ def test_op8_takes_the_first_by_odds(spark):
         assert {x["doc_id"]: x["take"] for x in xs} == whole
 
 
+def test_op8_ends_among_rows_that_repeat(spark):
+    """A third of all rows is one row; so many of them are taken as bring the words nearest to the target."""
+    rows = [(7, "s0", "a b c")] * 300 + [(i, "s0", words(i, 3)) for i in range(300, 400)] + [(i, "s1", words(i, 40)) for i in range(500, 600)] + [(None, None, "x y")] * 50
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len(got) == len(rows)
+    for source in ("s0", "s1", None):
+        own = [x for x in got if x["source"] == source]
+        assert abs(sum(x["take"] * x["size"] for x in own) - own[0]["target"]) <= max(x["size"] for x in own) / 2
+        assert all(x["take"] in (math.floor(x["copies"] + 1e-9), math.floor(x["copies"] + 1e-9) + 1) for x in own)
+
+
 # op9
 
 
@@ -249,6 +260,15 @@ def test_op9_long_texts_in_blocks(spark):
         assert got[i]["same"] == ("▁" not in t)
 
 
+def test_op9_long_text_at_the_real_chunk(spark):
+    proto = open(pieces.model_path(), "rb").read()
+    text = words(80, 25_000)
+    assert len(text) > 3 * pieces.CHUNK
+    got = pieces.encode(spark.createDataFrame([(1, text), (2, text[: pieces.CHUNK]), (3, text[: pieces.CHUNK - 1])], "doc_id long, text string"), proto).collect()
+    for x in got:
+        assert list(x["ids"]) == pieces.processor(proto).encode(text[: {1: None, 2: pieces.CHUNK, 3: pieces.CHUNK - 1}[x["doc_id"]]]) and x["same"]
+
+
 def test_op9_remembers_a_bounded_part(monkeypatch):
     monkeypatch.setattr(pieces, "HELD_BYTES", 1 << 16)
     held = pieces.Words(open(pieces.model_path(), "rb").read())
