@@ -272,10 +272,8 @@ def _slots(keys: np.ndarray, size: int) -> np.ndarray:
     return (keys.view(np.uint64) * _SPREAD) >> np.uint64(65 - size.bit_length())
 
 
-def slot_table(keys: np.ndarray, n: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each slot a key (-1 for none) and its cost."""
-    order = np.argsort(n, kind="stable")  # the last write to a slot stands
-    keys, bits = keys[order], bits[order]
+def slot_table(keys: np.ndarray, bits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot a key (-1 for none) and its cost; keys by rising frequency, as the last write to a slot stands."""
     held, cost = np.full(size, -1, np.int64), np.zeros(size)
     at = _slots(keys, size)
     held[at], cost[at] = keys, bits
@@ -285,12 +283,13 @@ def slot_table(keys: np.ndarray, n: np.ndarray, bits: np.ndarray, size: int) ->
 SCORED = "rid long, n_tokens long, n_known long, base double, n_bytes long, bits double, words array<struct<word: binary, n: int>>, keys array<struct<key: bigint, n: bigint>>"
 
 
-def _score(words: dict[bytes, float], head: np.ndarray, cost: np.ndarray):
+def _score(words: dict[bytes, float], frequent: np.ndarray, their_bits: np.ndarray, slots: int):
     """Per text, in one pass over it: its counts, the sums over the words and the keys that every task holds, and its
-    other words and keys with their counts."""
+    other words and keys with their counts. Keys are sent as they are; each task makes its table of slots."""
     word_type, key_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])), pa.struct([("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, cost = slot_table(frequent, their_bits, slots)
         for batch in batches:
             kept = [c for c in batch.schema.names if c != "text"]
             split = [tokens(t.as_py()) for t in batch.column("text")]
@@ -339,12 +338,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     base = lambda c: math.log10((c + 0.1) / under)
     head = {w: base(c) for w, c in head_words(words).items()}
     # HEAD_KEYS rows at most.
-    frequent = _frequent(bits, "n", HEAD_KEYS).select("key", "n", "bits").toArrow()
-    table = slot_table(*(frequent[c].to_numpy() for c in ("key", "n", "bits")), 1 << SLOT_BITS)
+    frequent = _frequent(bits, "n", HEAD_KEYS).select("key", "n", "bits").toArrow().sort_by("n")
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     # The number of a row stands for it in the joins, as doc_id may repeat. It is given once and written with the row.
     ids = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "text")
-    scored = ids.mapInArrow(_score(head, *table), SCORED.replace("rid long", f"rid long, doc_id {doc_type}, held_out boolean"))
+    scored = ids.mapInArrow(_score(head, frequent["key"].to_numpy(), frequent["bits"].to_numpy(), 1 << SLOT_BITS), SCORED.replace("rid long", f"rid long, doc_id {doc_type}, held_out boolean"))
     scored = materialize(scored, "scored")
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     rest = scored.select("rid", F.explode("words").alias("t")).select("rid", "t.word", "t.n").join(words, "word")
