@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm.ctw import score_documents
 from factmill.llm import pieces
+from factmill.llm.codebooks import ENTRIES, PARTS, ROUNDS, coded_vectors
+from factmill.llm.ctw import score_documents
 from factmill.llm.langid import fit, identify_documents, identify_pages
 from factmill.llm.mixing import mix
 from factmill.llm.sharding import hilbert_shards
 from factmill.llm.simhash import fingerprint_hex, near_groups
 from factmill.llm.sketch import fingerprint_edits
 from factmill.llm.topk import exact_top_k
+from factmill.llm.trie import EMPTY_SHA256, conversation_trie
 from factmill.llm.urlfilter import judge_urls, page_links
 from factmill.llm.warc import round_trip
 
@@ -114,5 +116,62 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(table(spark, sf_dir, "pages"), model, ["page_id"]).select("row.page_id", "language.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, page_languages)}
-ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as product codes over integer codebooks learnt from them."""
+    return coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """Codebooks b0, b1, ... of the rounds, each from the assignment a0, a1, ... by the one before."""
+    near = "SELECT p.*, b.j, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS d FROM p JOIN b{r} b USING (part) QUALIFY row_number() OVER (PARTITION BY p.vec_id, part ORDER BY d, j) = 1"
+    means = "SELECT part, j, list(m ORDER BY pos) AS c FROM (SELECT part, j, pos, floor(sum(x[pos]) / count(*)) AS m FROM a{r}, range(1, len(x) + 1) s(pos) GROUP BY ALL) GROUP BY ALL"
+    steps = [f"a{r} AS MATERIALIZED ({near.format(r=r)}), b{r + 1} AS MATERIALIZED (SELECT o.part, o.j, coalesce(n.c, o.c) AS c FROM b{r} o LEFT JOIN ({means.format(r=r)}) n USING (part, j))" for r in range(ROUNDS)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // {PARTS} + 1:(part + 1) * len(e) // {PARTS}] AS x FROM v, range({PARTS}) t(part)),
+b0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS j, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES})),
+{", ".join(steps)},
+f AS ({near.format(r=ROUNDS)}),
+o AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, j)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, label, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id), h
+"""
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: A CRC-32 bit by bit; nodes are named by the digests of their turns, and each is met with all nodes below it.
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t),
+c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(8 * len(s)), lambda i: (ascii(s[i // 8 + 1]) >> (i % 8)::INTEGER) & 1)),
+    lambda x, y: xor(x >> 1, CASE WHEN xor(x, y) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 9 AS h FROM b),
+r AS (
+  SELECT c.conv_id, t.k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.k <= c.h
+  UNION ALL SELECT c.conv_id, t.k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, md5(len(role) || ':' || role || text) AS m, strlen(text) AS n FROM r),
+w AS MATERIALIZED (
+  SELECT conv_id, depth, n, md5(string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM d
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+z AS (SELECT conv_id, max(depth) AS depth FROM w GROUP BY conv_id),
+g AS MATERIALIZED (SELECT node, depth, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs FROM w GROUP BY node, depth),
+u AS MATERIALIZED (SELECT DISTINCT w.node, v.node AS up FROM w JOIN w v ON w.conv_id = v.conv_id AND w.depth = v.depth + 1),
+k AS MATERIALIZED (SELECT up AS node, count(*) AS n_children FROM u GROUP BY up),
+s AS (
+  SELECT up.node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum((g.n_convs - 1) * g.n)::BIGINT AS saved_tokens
+  FROM (SELECT DISTINCT a.node, b.node AS low FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.depth <= b.depth) up JOIN g ON g.node = up.low LEFT JOIN k ON k.node = up.low GROUP BY up.node),
+e AS (SELECT w.node, sha256(string_agg(w.conv_id::VARCHAR, ',' ORDER BY w.conv_id)) AS ends FROM w JOIN z USING (conv_id, depth) GROUP BY w.node)
+SELECT g.conv_id, g.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends, '{EMPTY_SHA256}') AS ends_sha256
+FROM g JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN e USING (node) LEFT JOIN u USING (node) LEFT JOIN g p ON p.node = u.up
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op11_vector_codes, op12_conversation_trie, page_languages)}
+ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_conversation_trie": OP12_SQL}
