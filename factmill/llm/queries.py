@@ -10,6 +10,7 @@ from factmill.llm.codebooks import ENTRIES, PARTS, ROUNDS, coded_vectors
 from factmill.llm.ctw import score_documents
 from factmill.llm.langid import fit, identify_documents, identify_pages
 from factmill.llm.mixing import mix
+from factmill.llm.passages import quality_scores
 from factmill.llm.sharding import hilbert_shards
 from factmill.llm.simhash import fingerprint_hex, near_groups
 from factmill.llm.sketch import fingerprint_edits
@@ -173,5 +174,10 @@ FROM g JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN e USING (node) LEF
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op11_vector_codes, op12_conversation_trie, page_languages)}
+def op13_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, by attention over their passages, learnt from labels."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op11_vector_codes, op12_conversation_trie, op13_attention_quality, page_languages)}
 ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_conversation_trie": OP12_SQL}
