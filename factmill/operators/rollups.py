@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from factmill.functions.contact import aggregation_key
 from factmill.functions.text import let, safe_fact, safe_phone
@@ -25,6 +26,15 @@ def _bounded(c: Column, least: int, most: int) -> Column:
     return F.coalesce(F.length(F.trim(c)).between(least, most), F.lit(False))
 
 
+def utc_day(rows: DataFrame, name: str) -> Column:
+    """The day of a moment in UTC, whatever the session's zone; of a wall-clock time (TIMESTAMP_NTZ) its own day."""
+    if isinstance(rows.schema[name].dataType, TimestampType):
+        day = 86_400_000_000
+        since = F.unix_micros(F.col(name))
+        return F.date_from_unix_date(((since - F.pmod(since, F.lit(day))) / day).cast("int"))
+    return F.to_date(name)
+
+
 def _blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
@@ -73,7 +83,7 @@ def feedback_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = judge_feedback(events)
     valid = judged.where("reject_reason is null").select(
         "broker_org_id", "submitter_class", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), "fact_type",
-        F.col("cleaned").alias("normalized_fact_value"), "validation_status", F.coalesce("reason_code", F.lit("accurate")).alias("reason_code"), F.to_date("ts").alias("feedback_day"),
+        F.col("cleaned").alias("normalized_fact_value"), "validation_status", F.coalesce("reason_code", F.lit("accurate")).alias("reason_code"), utc_day(judged, "ts").alias("feedback_day"),
     )
     return valid, judged.where("reject_reason is not null").drop("cleaned")
 
@@ -105,7 +115,7 @@ def click_rows(events: DataFrame) -> DataFrame:
     c = F.col
     fine = events.where(click_error(c("broker_org_id"), c("provider_id"), c("provider_npi"), c("phone")).isNull())
     cleaned = settled(fine.withColumn("phone", safe_phone(c("phone"))["value"])).where("phone is not null")
-    return cleaned.select("broker_org_id", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), F.col("phone").alias("normalized_phone"), F.to_date("ts").alias("click_day"))
+    return cleaned.select("broker_org_id", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), F.col("phone").alias("normalized_phone"), utc_day(cleaned, "ts").alias("click_day"))
 
 
 def submitter_class(user_class: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from factmill.operators import evaluation, jobs, profiles, rollups, usage, validation
 from factmill.plans import oracle
 from factmill.plans.registry import query, table
-from factmill.sources import files
+from factmill.sources import counter_table, files
 from factmill.streaming import counters
+from factmill.streaming import jobs as streaming_jobs
 
 # Jobs: an order is a job of one provider or two, its events follow from its key.
 
@@ -55,16 +56,87 @@ def provider_fold(spark, sf_dir):
     return folded.select("request_id", "provider_key", "status", "loading", F.length("error").alias("error_length"), since("startedAt")("started"), since("completedAt")("done"))
 
 
-@query("""SELECT o_orderkey AS request_id, CASE WHEN epoch(o_orderdate) + CASE WHEN o_orderkey % 2 = 0 THEN 1800 ELSE 3600 END > epoch(TIMESTAMP '1995-06-17 00:00:00') THEN 'live' ELSE 'expired' END AS status FROM orders""")
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 2 = 0 AND epoch(o_orderdate) + 1860 > epoch(now) THEN 'completed' WHEN o_orderkey % 2 = 1 AND epoch(o_orderdate) + 3600 > epoch(now) THEN 'running' ELSE 'expired' END AS status
+FROM orders, (SELECT TIMESTAMP '1995-06-17 00:45:00' AS now)""")
 def job_states(spark, sf_dir):
-    """States of jobs written in two batches, the later of each read back, and those whose time is over told from the
-    rest."""
+    """States of jobs written in two batches, of which the later, if it ends sooner, is what is read: all jobs run, and
+    every other is completed a minute later. At a moment when its end is over and that of the first is not, it is gone."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-    path = files.scratch(spark, "jobs")
-    files.write_jobs(orders.select("request_id", F.lit("old").alias("status"), (F.col("ts") - F.expr("interval 1 day")).alias("expiresAt")), path, 1)
-    files.write_jobs(orders.select("request_id", F.lit("live").alias("status"), jobs.expires_at(F.col("ts"), F.col("request_id") % 2 == 0).alias("expiresAt")), path, 2)
-    live = files.live_jobs(spark, path, "1995-06-17 00:00:00").where("status = 'live'")
-    return jobs.read_jobs(orders.select("request_id"), live, F.lit("1995-06-17 00:00:00").cast("timestamp"))
+    path, now = files.scratch(spark, "jobs"), "1995-06-17 00:45:00"
+    done = F.lit(True)
+    files.write_jobs(orders.select("request_id", F.lit("running").alias("status"), jobs.expires_at(F.col("ts"), ~done).alias("expiresAt")), path, 9)
+    later = jobs.expires_at(F.col("ts") + F.make_interval(secs=F.lit(60)), done)
+    files.write_jobs(orders.where("request_id % 2 = 0").select("request_id", F.lit("completed").alias("status"), later.alias("expiresAt")), path, 10)
+    return jobs.read_jobs(orders.select("request_id"), files.live_jobs(spark, path, now), F.lit(now).cast("timestamp"))
+
+
+# Users as jobs: each is created with two providers at their first event, and every event is one of a job, in a time that
+# runs twenty times as fast, so that entries end between some and not between others.
+
+_REPLAY_SQL = """WITH RECURSIVE e AS (
+  SELECT user_id AS u, floor(epoch(ts) / 20)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts) / 20), event_id) AS n,
+    CASE WHEN event_id % 9 = 0 AND event_type = 'error' OR event_id % 9 < 2 AND event_type IN ('signup', 'click') THEN NULL ELSE event_id % 3 END AS p, event_type AS y
+  FROM events),
+k AS (SELECT u, t, n, p, CASE WHEN p IS NULL THEN CASE y WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'running' ELSE 'completed' END ELSE CASE y WHEN 'click' THEN 'completed' WHEN 'purchase' THEN 'no_results' WHEN 'error' THEN 'failed' ELSE 'searching' END END AS kind FROM e),
+s AS (
+  SELECT u, 0::BIGINT AS n, 'queued' AS status, true AS listed, 'queued' AS a, 'queued' AS b, NULL::VARCHAR AS error, min(t) + 3600 AS ends FROM k GROUP BY u
+  UNION ALL
+  SELECT u, n, status, p IS NOT NULL, a, b, error, t + CASE WHEN status = 'completed' THEN 1800 ELSE 3600 END FROM (
+    SELECT u, n, t, p, a, b, error, CASE WHEN a IS NULL THEN fallback WHEN a = 'queued' AND b = 'queued' THEN 'queued' WHEN a IN ('queued', 'searching') OR b IN ('queued', 'searching') THEN 'running' ELSE 'completed' END AS status FROM (
+      SELECT k.u, k.n, k.t, k.p, CASE WHEN p IS NULL THEN kind WHEN k.t >= ends THEN 'expired' ELSE status END AS fallback,
+        CASE WHEN p IS NOT NULL AND k.t < ends AND a IS NOT NULL THEN CASE WHEN p = 0 THEN kind ELSE a END END AS a,
+        CASE WHEN p IS NOT NULL AND k.t < ends AND a IS NOT NULL THEN CASE WHEN p = 1 THEN kind ELSE b END END AS b,
+        CASE WHEN p IS NULL THEN CASE WHEN kind = 'failed' THEN 'error' END WHEN k.t < ends THEN error END AS error
+      FROM s JOIN k ON k.u = s.u AND k.n = s.n + 1) x) y)
+SELECT u AS request_id, status AS job_status, CASE WHEN a IS NOT NULL THEN 2 WHEN listed THEN 0 END::BIGINT AS total,
+  CASE WHEN a IS NOT NULL THEN (a = 'completed')::BIGINT + (b = 'completed')::BIGINT WHEN listed THEN 0 END AS completed, CASE WHEN a IS NOT NULL THEN (a = 'no_results')::BIGINT + (b = 'no_results')::BIGINT WHEN listed THEN 0 END AS no_results,
+  CASE WHEN a IS NOT NULL THEN (a = 'failed')::BIGINT + (b = 'failed')::BIGINT WHEN listed THEN 0 END AS failed, CASE WHEN a IS NOT NULL THEN (a IN ('queued', 'searching'))::BIGINT + (b IN ('queued', 'searching'))::BIGINT WHEN listed THEN 0 END AS running,
+  error, ends::BIGINT AS ends
+FROM s QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC) = 1"""
+
+
+def _user_jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and log, as jobs.replay takes them."""
+    c = F.col
+    seconds = F.floor(F.unix_micros(c("ts").cast("timestamp")) / 20_000_000).cast("long")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", c("user_id").cast("string").alias("request_id"), F.timestamp_seconds(seconds).alias("ts"))
+    none = F.lit(None).cast("string")
+    first = rows.groupBy("request_id").agg(F.min("ts").alias("ts"))
+    requests = first.select("request_id", "ts", F.posexplode(F.array(F.lit("a"), F.lit("b"))).alias("ordinal", "name")).select("request_id", "ordinal", none.alias("providerId"), none.alias("npi"), "name", "ts")
+    y, m = c("event_type"), c("event_id") % 9
+    whole = (m == 0) & (y == "error") | (m < 2) & y.isin("signup", "click")
+    key = F.when(~whole, F.get(F.array(F.lit("0:name:a"), F.lit("1:name:b"), F.lit("2:name:nobody")), c("event_id") % 3))
+    kind = F.when(whole, F.when(y == "error", "failed").when(y == "signup", "running").otherwise("completed")).when(y == "click", "completed").when(y == "purchase", "no_results").when(y == "error", "failed").otherwise("searching")
+    return requests, rows.select("request_id", key.alias("provider_key"), c("event_id").alias("seq"), kind.alias("kind"), "ts", F.when(kind == "failed", y).alias("error"))
+
+
+@query(_REPLAY_SQL.replace("SELECT u AS request_id", "SELECT u::VARCHAR AS request_id"))
+def job_replay(spark, sf_dir):
+    """Jobs after events in every order: events after a job was replaced, and events before and after its end."""
+    out = jobs.fold_jobs(*_user_jobs(spark, sf_dir))
+    return out.select("request_id", "job_status", "total", "completed", "no_results", "failed", "running", "error", F.unix_seconds("expiresAt").alias("ends"))
+
+
+@query(_REPLAY_SQL.replace("SELECT u AS request_id", "SELECT u::VARCHAR AS request_id"))
+def stream_jobs(spark, sf_dir):
+    """The same from a stream with keyed state: three runs over what came since the last, each going on from its checkpoint.
+    Of each job the last row that isn't the end of its entry."""
+    requests, log = _user_jobs(spark, sf_dir)
+    none = F.lit(None)
+    created = requests.groupBy("request_id", "ts").agg(F.array_sort(F.collect_list(F.concat("ordinal", F.lit(":name:"), "name"))).alias("providers"))
+    created = created.select("request_id", none.cast("string").alias("provider_key"), F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("kind"), "ts", none.cast("string").alias("error"), "providers")
+    events = files.written(log.withColumn("providers", none.cast("array<string>")).unionByName(created), "events")
+    source, out, checkpoint = (files.scratch(spark, n) for n in ("stream", "changes", "progress"))
+    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    third = F.floor((F.unix_seconds("ts") - (first or 0)) * 3 / ((last or 0) - (first or 0) + 1))
+    for run in range(3):
+        events.where(third == run).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        changed = streaming_jobs.stream_jobs(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        changed.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start().awaitTermination()
+    rows = spark.read.schema(f"{streaming_jobs.OUT}, batch long").parquet(out).where("not ended")
+    fields = ["job_status", "total", "completed", "no_results", "failed", "running", "error"]
+    return rows.groupBy("request_id").agg(F.max_by(F.struct(*fields, F.unix_seconds("expiresAt").alias("ends")), "batch").alias("r")).select("request_id", "r.*")
 
 
 # Evaluation: a customer is a case; what was observed follows from its key.
@@ -209,9 +281,9 @@ def counter_upserts(spark, sf_dir):
     path = files.scratch(spark, "counts")
     rows = _clicks(table(spark, sf_dir, "events")).withColumn("odd", F.crc32("provider_id") % 2)
     for batch in (0, 1, 1):
-        files.upsert_counts(path, rollups.click_rollup(rows.where(F.col("odd") == batch)), rollups.CLICK_KEYS, ["click_count"], "click_day", batch)
-    files.compact_counts(spark, path, f"{path}-whole", rollups.CLICK_KEYS, ["click_count"], "click_day")
-    return files.read_counts(spark, f"{path}-whole", rollups.CLICK_KEYS, ["click_count"])
+        counter_table.add_counts(path, rollups.click_rollup(rows.where(F.col("odd") == batch)), rollups.CLICK_KEYS, ["click_count"], "click_day", batch)
+    counter_table.compact_counts(spark, path, rollups.CLICK_KEYS, ["click_count"], "click_day")
+    return counter_table.read_counts(spark, path, rollups.CLICK_KEYS, ["click_count"])
 
 
 @query(_CLICKS_SQL)
@@ -222,7 +294,7 @@ def stream_counters(spark, sf_dir):
     events.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     counters.stream_counts(_clicks(stream), rollups.click_rollup, rollups.CLICK_KEYS, ["click_count"], "click_day", path, checkpoint).awaitTermination()
-    return files.read_counts(spark, path, rollups.CLICK_KEYS, ["click_count"])
+    return counter_table.read_counts(spark, path, rollups.CLICK_KEYS, ["click_count"])
 
 
 @query("SELECT user_id AS request_id, event_type AS provider_key, arg_max(value, event_id)::VARCHAR AS status, CASE WHEN arg_max(event_id, event_id) % 2 = 0 THEN 'e' END AS error FROM events GROUP BY ALL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,33 +76,19 @@ def drop_counter_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def upsert_counts(path: str, new: DataFrame, keys: list[str], counts: list[str], day: str, batch: int | str) -> None:
-    """Adds counters to a table of parquet files: what one batch adds is a folder of its own, by day. Nothing is read
-    and changed, so a failed write loses nothing, and a batch that is written again replaces only itself."""
-    summed = new.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts)).withColumn("batch", F.lit(str(batch)))
-    summed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", day).parquet(path)
+def write_jobs(state: DataFrame, path: str, batch: int) -> None:
+    """state: request_id, expiresAt and the job's columns. One batch of states, a folder of its own; batches are numbered
+    as they are written."""
+    state.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
-def read_counts(spark: SparkSession, path: str, keys: list[str], counts: list[str]) -> DataFrame:
-    """The counters of all batches. A filter on the day prunes folders."""
-    return spark.read.parquet(path).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))
-
-
-def compact_counts(spark: SparkSession, path: str, target: str, keys: list[str], counts: list[str], day: str) -> None:
-    """Writes the counters of all batches to another folder as one batch; readers move to it when it is whole."""
-    upsert_counts(target, read_counts(spark, path, keys, counts), keys, counts, day, "compacted")
-
-
-def write_jobs(state: DataFrame, path: str, batch: int | str) -> None:
-    """state: request_id, expiresAt and the job's columns. One batch of states, a folder of its own."""
-    state.withColumn("batch", F.lit(str(batch))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-
-def live_jobs(spark: SparkSession, path: str, now: str) -> DataFrame:
-    """The last state written of each job, by its end, without those whose time is over."""
+def live_jobs(spark: SparkSession, path: str, now: str | datetime) -> DataFrame:
+    """The state of each job that was written last, without those whose time is over: an entry that a later one replaced
+    is never seen again, however long it would have lived. Of rows of one job in one batch the later end counts. ``now``
+    as text is a moment of the session's zone."""
     rows = spark.read.parquet(path)
     rest = [c for c in rows.columns if c not in ("request_id", "batch")]
-    last = rows.groupBy("request_id").agg(F.max_by(F.struct(*rest), F.struct("expiresAt", "batch")).alias("s")).select("request_id", "s.*")
+    last = rows.groupBy("request_id").agg(F.max_by(F.struct(*rest), F.struct(F.col("batch").cast("long"), "expiresAt")).alias("s")).select("request_id", "s.*")
     return last.where(F.col("expiresAt") > F.lit(now).cast("timestamp"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factmill.sources.files import upsert_counts
+from factmill.sources.counter_table import add_counts
 
 
 def stream_upserts(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -17,10 +17,11 @@ def stream_upserts(rows: DataFrame, batch: Callable[[DataFrame, int], None], che
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_counts(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], keys: list[str], counts: list[str], day: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Counters of a stream in a table of files: each micro-batch is rolled up and added as a batch of its own. Counters
-    add up, so no state is kept between batches, and events may come as late as they like."""
-    return stream_upserts(rows, lambda batch, ident: upsert_counts(path, rollup(batch), keys, counts, day, ident), checkpoint)
+def stream_counts(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], keys: list[str], counts: list[str], day: str, path: str, checkpoint: str, writer: str = "stream") -> StreamingQuery:
+    """Counters of a stream in a table of counters: each micro-batch is rolled up and added as a batch of its own, once,
+    however often it is run. Counters add up, so no state is kept between batches, and events may come as late as they
+    like. Streams that write to one table need names of their own."""
+    return stream_upserts(rows, lambda batch, ident: add_counts(path, rollup(batch), keys, counts, day, ident, writer), checkpoint)
 
 
 def stream_rollup(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, watermark: tuple[str, str] | None = None) -> StreamingQuery:

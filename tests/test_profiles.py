@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factmill.functions import contact, text, urls
 from factmill.functions.stats import wilson
 from factmill.operators import evaluation, jobs, profiles, rollups, usage, validation
-from factmill.sources import files
+from factmill.sources import counter_table, files
 from factmill.streaming import counters
 
 CLINIC = "https://eastside-clinic.com/ada"
@@ -134,22 +134,13 @@ def test_usage_cost_and_summary(spark):
     assert got["uncachedInputTokens"] == 6 and got["estimated"] and abs(got["total_usd"] - 13e-6) < 1e-12
 
 
-def test_files_and_upserts(spark, tmp_path):
+def test_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k":"a","n":1}\n\n{"k":"b","n":2}\n')
     got = files.read_json_lines(spark, str(tmp_path / "a.jsonl"), "k string, n long")
     assert got.count() == 2
     (tmp_path / "one.json").write_text('{\n "k": "z",\n "n": 3}')
     (tmp_path / "list.txt").write_text(f"{tmp_path}/one.json\n\n")
     assert files.read_manifest(spark, str(tmp_path / "list.txt"), "k string, n long").first()["n"] == 3
-    day = lambda d, n: spark.createDataFrame([(d, "x", n)], "day string, k string, c long").withColumn("day", F.to_date("day"))
-    path = str(tmp_path / "counts")
-    for d, n in (("2024-01-01", 1), ("2024-01-02", 5), ("2024-01-01", 2)):
-        for _ in range(2):  # a batch that is run again counts once
-            files.upsert_counts(path, day(d, n), ["day", "k"], ["c"], "day", n)
-    expected = [("2024-01-01", 3), ("2024-01-02", 5)]
-    assert sorted((str(r["day"]), r["c"]) for r in files.read_counts(spark, path, ["day", "k"], ["c"]).collect()) == expected
-    files.compact_counts(spark, path, f"{path}-whole", ["day", "k"], ["c"], "day")
-    assert sorted((str(r["day"]), r["c"]) for r in files.read_counts(spark, f"{path}-whole", ["day", "k"], ["c"]).collect()) == expected
 
 
 def test_stream_counts_like_batch(spark, tmp_path):
@@ -161,4 +152,4 @@ def test_stream_counts_like_batch(spark, tmp_path):
     assert sorted(seen.values()) == [3, 3]
     out = str(tmp_path / "out")
     counters.stream_counts(stream, rollups.click_rollup, rollups.CLICK_KEYS, ["click_count"], "click_day", out, str(tmp_path / "cp2")).awaitTermination()
-    assert sorted(r["click_count"] for r in files.read_counts(spark, out, rollups.CLICK_KEYS, ["click_count"]).collect()) == [3, 3]
+    assert sorted(r["click_count"] for r in counter_table.read_counts(spark, out, rollups.CLICK_KEYS, ["click_count"]).collect()) == [3, 3]
