@@ -44,6 +44,49 @@ def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules, page_links(pages)).select("page_id", "host", "path", "rule", "verdict", "alias_group", "basis")
 
 
+_FOUND = "substr({0}, strpos({0}, '://') + 3)"
+
+
+def _host(url: str) -> str:
+    found = f"CASE WHEN strpos({url}, '://') > 0 THEN {_FOUND.format(url)} ELSE '' END"
+    return f"coalesce(translate(regexp_extract({found}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(CASE WHEN strpos({url}, '://') > 0 THEN regexp_extract({_FOUND.format(url)}, '^[^/?#]*([^?#]*)', 1) ELSE '' END, '')"
+
+
+def _key(url: str) -> str:
+    scheme = f"translate(split_part({url}, '://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"CASE WHEN {_host(url)} <> '' THEN {scheme} || '://' || {_host(url)} || {_path(url)} || regexp_extract({_FOUND.format(url)}, '^[^?#]*([?][^#]*)', 1) END"
+
+
+#: Declared links as tags of the html, their targets as whole urls, components by reaching out, rules as suffixes and prefixes.
+OP2_SQL = rf"""
+WITH RECURSIVE rules(h, s, v) AS (VALUES {", ".join(f"('{h}', '{s}', '{v}')" for h, s, v in URL_RULES)}),
+p AS MATERIALIZED (SELECT page_id, url, {_host("url")} AS host, {_path("url")} AS path, {_key("url")} AS key, html FROM pages),
+tags AS (SELECT p.*, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*')) AS tag FROM p),
+named AS (
+  SELECT p.*, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)^.*\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)^.*\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags p),
+whole AS (
+  SELECT key, CASE WHEN contains(t, '://') THEN t WHEN host = '' THEN NULL WHEN t LIKE '//%' THEN split_part(url, '://', 1) || ':' || t WHEN t LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || t
+    WHEN NOT regexp_matches(t, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|[?#])') THEN split_part(url, '://', 1) || '://' || host || regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || t END AS dst FROM named WHERE t <> ''),
+links AS (SELECT key AS a, {_key("dst")} AS b FROM whole WHERE key IS NOT NULL AND {_key("dst")} IS NOT NULL),
+edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
+reach AS (SELECT DISTINCT a AS node, a AS met FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.met),
+groups AS (SELECT node, min(met) AS component FROM reach GROUP BY node),
+urls AS (SELECT DISTINCT host, path FROM (SELECT host, path FROM p UNION ALL SELECT {_host("node")}, {_path("node")} FROM groups)),
+ruled AS (
+  SELECT host, path, h || s AS rule, v FROM urls JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, s)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(h || s) DESC, v) = 1),
+bad AS (SELECT DISTINCT component FROM groups JOIN ruled ON ruled.host = {_host("node")} AND ruled.path = {_path("node")} WHERE v = 'block')
+SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN bad.component IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, groups.component AS alias_group,
+  CASE WHEN v IS NOT NULL THEN 'rule' WHEN bad.component IS NOT NULL THEN 'alias' ELSE 'default' END AS basis
+FROM p LEFT JOIN ruled USING (host, path) LEFT JOIN groups ON groups.node = p.key LEFT JOIN bad USING (component)
+"""
+
+
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text of documents and of its edited text."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -180,4 +223,4 @@ def op13_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_sharding, op2_redirect_equivalence, op3_scaled_sketch, op4_simhash_near_dedup, op5_warc_transactions, op6_exact_top_k, op7_context_tree_weighting, op8_pareto_mixing, op9_sentencepiece_scan, op10_language_fusion, op11_vector_codes, op12_conversation_trie, op13_attention_quality, page_languages)}
-ORACLE_SQL: dict[str, str] = {"op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_conversation_trie": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_redirect_equivalence": OP2_SQL, "op5_warc_transactions": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op11_vector_codes": _op11_sql(), "op12_conversation_trie": OP12_SQL}

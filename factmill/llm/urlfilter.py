@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from factmill.llm.common import ascii_lower, materialize
 from factmill.llm.components import connected_components
 
-#: Query parameters that only say where a visitor came from, and host labels of a site's variants.
-TRACKING = r"(?i)^(?:utm_[^=]*|ref|referrer|fbclid|gclid)(?:=|$)"
-VARIANT_HOST = r"^(?:www|m|amp)\.(?=.*\.)"
-
 
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; null or no ``://``: empty."""
@@ -29,18 +25,11 @@ def _after_scheme(url: Column) -> Column:
 
 
 def page_key(url: Column) -> Column:
-    """The node of a url: lower-cased host, path and query, without scheme and fragment. Null where there is no host."""
+    """The node of a url: all of it but its fragment, with A-Z of scheme and host lower-cased. Null where there is no host.
+    Urls that differ otherwise are one page only where a link says so."""
     query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), F.coalesce(query, F.lit(""))))
-
-
-def plain_key(url: Column) -> Column:
-    """page_key without tracking parameters, a host label of a variant and a slash at the end."""
-    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    path = F.regexp_replace(path_of(url), "/+$", "")
-    host = F.regexp_replace(host_of(url), VARIANT_HOST, "")
-    return F.when(host_of(url) != "", F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    scheme = ascii_lower(F.substring_index(url, "://", 1))
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), path_of(url), F.coalesce(query, F.lit(""))))
 
 
 def html_links(html: Column) -> Column:
@@ -84,7 +73,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFrame:
     """pages: page_id, url (any other columns are ignored). links: two columns of urls, a redirect or canonical link
-    each. Returns per page: page_id, url, host, path, rule, verdict, alias_group, basis.
+    each; nothing else makes two urls aliases. Returns per page: page_id, url, host, path, rule, verdict, alias_group, basis.
 
     A page's own rule decides first, so an explicit allow holds even among blocked aliases. A page without a rule is
     blocked if any member of its component of links is blocked by a rule, and else allowed. alias_group is the
@@ -94,12 +83,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame) -> DataFram
     slim = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), page_key(F.col("url")).alias("key"))
     a, b = links.columns
     links = materialize(links, "links")
-    linked = links.select(page_key(F.col(a)).alias("a"), page_key(F.col(b)).alias("b"))
-    # A page and a link's target both meet the url without tracking, variant host and last slash.
-    named = pages.select("url").union(links.select(a)).union(links.select(b))
-    plain = named.select(page_key(F.col("url")).alias("a"), plain_key(F.col("url")).alias("b"))
-    groups = materialize(connected_components(linked.union(plain)), "aliases")
-    nodes = groups.select("node", F.regexp_extract("node", "^[^/?#]*", 0).alias("host"), F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    groups = materialize(connected_components(links.select(page_key(F.col(a)).alias("a"), page_key(F.col(b)).alias("b"))), "aliases")
+    nodes = groups.select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
     ruled = materialize(match_rules(slim.select("host", "path").union(nodes.select("host", "path")), rules), "ruled")
     # These tables grow with the pages: merge joins, whatever their size looks like.
     sorted_ = lambda df: df.hint("merge")

@@ -4,11 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factmill.llm import ctw, langid, mixing, pieces, sharding, sketch, urlfilter
+from factmill.llm import ctw, langid, mixing, pieces, queries, sharding, sketch, urlfilter
 from tests.llm.test_operators import host_path, plain_components, words
 
 MASK = (1 << 64) - 1
@@ -60,19 +61,12 @@ def test_op1_writes_shards_that_prune(spark, tmp_path):
 # op2
 
 
-def plain_keys(url):
+def plain_key(url):
     host, path = host_path(url)
     if not host:
-        return None, None
+        return None
     tail = url.split("://", 1)[1].split("#", 1)[0]
-    query = "?" + tail.split("?", 1)[1] if "?" in tail else ""
-    kept = [p for p in query[1:].split("&") if p and not (p.lower().split("=")[0] in ("ref", "referrer", "fbclid", "gclid") or p.lower().startswith("utm_"))]
-    bare = host
-    for label in ("www.", "m.", "amp."):
-        if bare.startswith(label) and "." in bare[len(label) :]:
-            bare = bare[len(label) :]
-            break
-    return host + path + query, bare + path.rstrip("/") + ("?" + "&".join(kept) if kept else "")
+    return url.split("://", 1)[0].lower() + "://" + host + path + ("?" + tail.split("?", 1)[1] if "?" in tail else "")
 
 
 def test_op2_verdicts_of_all_pages(spark):
@@ -81,7 +75,7 @@ def test_op2_verdicts_of_all_pages(spark):
     for i in range(120):
         url = f"http{'s' * (i % 2)}://{r.choice(['', 'www.', 'm.'])}site{r.randrange(25)}.{r.choice(['com', 'org'])}/{r.choice(['a', 'b/c', ''])}{r.choice(['', '/', '?ref=1', '?q=1&utm_x=2'])}"
         target = r.choice([None, None, "/a", "b/c", f"//site{r.randrange(25)}.org/a", f"https://www.site{r.randrange(25)}.com/b/c?ref=9", "mailto:x@y.z"])
-        html = f'<html><head><LINK rel="canonical" href="{target}"></head>' if target else "<html>"
+        html = r.choice(['<html><head><LINK rel="canonical" href="{}"></head>', "<meta http-equiv=refresh content='0; url={}'>", "<link href={} title=x rel=canonical><link rel=icon href=/a>"]).format(target) if target else "<html><link rel=icon href=/a>"
         pages.append((i, url, html))
         if target and ":" in target and "://" not in target:
             continue
@@ -96,20 +90,38 @@ def test_op2_verdicts_of_all_pages(spark):
     got = {x["page_id"]: (x["rule"], x["verdict"]) for x in urlfilter.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string"), found).collect()}
 
     def rule(key):
-        host, path = key.split("/", 1)[0].split("?")[0], ("/" + key.split("/", 1)[1]).split("?")[0] if "/" in key else ""
+        host, path = host_path(key)
         fits = [(len(h + p), v == "allow", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return max(fits)[2:] if fits else (None, None)
 
-    edges = {frozenset(plain_keys(u)) for u in [u for _, u, _ in pages] + [u for pair in links for u in pair]} | {frozenset((plain_keys(a)[0], plain_keys(b)[0])) for a, b in links}
-    nodes = sorted({n for e in edges for n in e})
+    # Nothing but a declared link makes two urls one.
+    edges = {frozenset((plain_key(a), plain_key(b))) for a, b in links}
+    nodes = sorted({n for e in edges for n in e} | {plain_key(u) for _, u, _ in pages})
     part = plain_components(nodes, lambda a, b: frozenset((a, b)) in edges)
     blocked = {part[n] for n in nodes if rule(n)[1] == "block"}
+    assert len({part[n] for n in nodes}) < len(nodes) - 20 and blocked
     for i, url, _ in pages:
-        key = plain_keys(url)[0]
+        key = plain_key(url)
         own, verdict = rule(key)
         assert got[i] == (own, verdict or ("block" if part[key] in blocked else "allow")), url
 
 
+def test_op2_equals_sql_on_pages_with_links(spark, tmp_path):
+    """A rewritten url is no alias: without a link, neither is what it would rewrite to."""
+    html = lambda t: f'<link rel="canonical" href="{t}">'
+    pages = [(1, "https://site.org/es", None), (2, "https://site.org/es/", None), (3, "https://www.site.org/es", ""), (4, "http://site.org/es?utm_x=1", "<html>"), (5, "HTTP://A.net/x#f", html("http://b.com/en/1")), (6, "http://a.net/x", html("/y")), (7, "https://a.net/x", None)]
+    pages += [(8, "http://c.org/1", "<META HTTP-EQUIV='refresh' content='3;URL=../es/2'>"), (9, "http://c.org/2", html("//example.com/en/7")), (10, "http://d.net/de/1", html("http://b.com/en/1")), (11, None, html("/y")), (12, "nothing", html("http://b.com/en/1")), (13, "http://e.org/1?q", html("mailto:x@y")), (14, "http://e.org/1", html("http://example.net/de/8"))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["verdict"], r["basis"]) for r in queries.op2_redirect_equivalence(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [("allow", "default"), ("block", "rule"), ("allow", "default"), ("allow", "default")]
+    assert got[5] == got[6] == ("block", "alias") and got[7] == ("allow", "default") and got[10] == ("allow", "rule") and got[14] == ("block", "alias")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = con.execute(queries.OP2_SQL)
+    names = [d[0] for d in expected.description]
+    assert Counter(tuple(r[n] for n in names) for r in queries.op2_redirect_equivalence(spark, str(tmp_path)).collect()) == Counter(expected.fetchall())
+
+
 # op3
 
 
