@@ -177,21 +177,36 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
     return prioritized(made, F.col("providerName"), none, none, none)
 
 
+def first_ordinals(asked: DataFrame, scope: list[str]) -> DataFrame:
+    """asked: ordinal, rid, rnpi, rname and the columns ``scope``. The least ordinal for each kind of identity and its
+    value: among the requests of each NPI ('' for those without), and among all of them (npi null)."""
+    named = F.explode(F.filter(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, c in (("id", "rid"), ("npi", "rnpi"), ("name", "rname")))), lambda k: k["value"] != ""))
+    each = asked.select(*scope, "ordinal", F.col("rnpi").alias("npi"), named.alias("k")).select(*scope, "k.kind", "k.value", "npi", "ordinal")
+    by_npi = each.groupBy(*scope, "kind", "value", "npi").agg(F.min("ordinal").alias("ordinal"))
+    return by_npi.unionByName(by_npi.groupBy(*scope, "kind", "value").agg(F.min("ordinal").alias("ordinal")).withColumn("npi", F.lit(None).cast("string")))
+
+
 def match_requests(profiles: DataFrame, requests: DataFrame, key: str, within: list[str] | None = None) -> DataFrame:
     """profiles: ``key`` and profile columns. requests: ordinal, providerId, npi, name (...). Each profile with the
     first request, by ordinal, that it matches: no conflict of NPIs, and equal id, NPI or name. Columns ``within`` (of
-    both sides) must agree too, such as the id of a job. Three equi-joins; no comparison of all with all."""
+    both sides) must agree too, such as the id of a job.
+
+    A profile never meets the requests that it matches, only the least ordinals of its identities: without an NPI those
+    of all requests, with one those of requests without and with the same. So it makes five lookups at most, however
+    often a name is asked for, and each lookup finds one row at most.
+    """
     scope = within or []
     asked = requests.where(F.coalesce("name", "providerId", "npi").isNotNull()).withColumn("rnpi", identity(requested_npi(F.col("npi"), F.col("providerId")))).withColumn("rid", identity(F.col("providerId"))).withColumn("rname", name_identity(F.col("name")))
-    slim = profiles.select(key, *scope, identity(F.col("npi")).alias("pnpi"), identity(F.col("providerId")).alias("pid"), name_identity(F.col("providerName")).alias("pname"))
-    fields = asked.select("ordinal", *(F.col(c).alias(f"_w{i}") for i, c in enumerate(scope)), "rnpi", "rid", "rname")
-    clash = (F.col("pnpi") != "") & (F.col("rnpi") != "") & (F.col("pnpi") != F.col("rnpi"))
-    met = None
-    for a, b in (("pid", "rid"), ("pnpi", "rnpi"), ("pname", "rname")):
-        same = [F.col(a) == F.col(b), *(F.col(c) == F.col(f"_w{i}") for i, c in enumerate(scope))]
-        one = slim.where(F.col(a) != "").join(fields.where(F.col(b) != ""), same).where(~clash).select(key, "ordinal")
-        met = one if met is None else met.union(one)
-    first = met.groupBy(key).agg(F.min("ordinal").alias("ordinal"))
+    held = [f"_w{i}" for i in range(len(scope))]
+    index = first_ordinals(asked.select("ordinal", *(F.col(c).alias(w) for c, w in zip(scope, held, strict=True)), "rid", "rnpi", "rname"), held)
+    slim = profiles.select(key, *(F.col(c).alias(f"_p{i}") for i, c in enumerate(scope)), identity(F.col("npi")).alias("pnpi"), identity(F.col("providerId")).alias("pid"), name_identity(F.col("providerName")).alias("pname"))
+    look = lambda kind, c, npi: F.struct(F.lit(kind).alias("_kind"), F.col(c).alias("_value"), npi.alias("_npi"))
+    # With an NPI: requests of that NPI, and those without one. Else all, whatever NPI they have.
+    npis = [F.when(F.col("pnpi") != "", F.col("pnpi")), F.when(F.col("pnpi") != "", F.lit(""))]
+    looks = F.array_distinct(F.array(*(look(kind, c, n) for kind, c in (("id", "pid"), ("name", "pname")) for n in npis), look("npi", "pnpi", npis[0])))
+    tried = slim.select(key, *(f"_p{i}" for i in range(len(scope))), F.explode(F.filter(looks, lambda x: x["_value"] != "")).alias("x")).select(key, *(f"_p{i}" for i in range(len(scope))), "x.*")
+    same = [F.col("kind") == F.col("_kind"), F.col("value") == F.col("_value"), F.col("npi").eqNullSafe(F.col("_npi")), *(F.col(f"_p{i}") == F.col(f"_w{i}") for i in range(len(scope)))]
+    first = tried.join(index, same).groupBy(key).agg(F.min("ordinal").alias("ordinal"))
     named = asked.select("ordinal", *scope, F.struct("providerId", F.nullif("rnpi", F.lit("")).alias("npi"), "name", *(c for c in ("city", "state", "zip") if c in requests.columns)).alias("request"))
     return profiles.join(first, key).join(named, ["ordinal", *scope])
 
