@@ -122,16 +122,24 @@ def _decomposed() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     return alone, marked, several
 
 
+def _one_of(found: dict[str, str]) -> str:
+    """A pattern of one of many characters beyond ASCII: ranges, tried on no ASCII character, as Java tries the members of
+    a class one after another."""
+    codes = sorted(map(ord, found))
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return r"(?![\x00-\x7f])[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def plain_text(c: Column) -> Column:
     """Lower-cased words of ASCII letters and digits, after compatibility decomposition: an accented letter is its base
     letter followed by a mark, which ends a word, as any other sign does."""
     alone, marked, several = _decomposed()
-    listed = lambda found: "[" + "".join(found) + "]"
     short = F.from_json(F.lit(json.dumps(several)), "map<string, string>")  # a constant, folded once
 
     def folded(t: Column) -> Column:
         spelt = F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda x: F.coalesce(F.when(x > "\x7f", short[x]), x)), "")
-        spaced = F.regexp_replace(let(t, lambda u: F.when(u.rlike(listed(several)), spelt).otherwise(u)), f"({listed(marked)})", "$1 ")
+        spaced = F.regexp_replace(let(t, lambda u: F.when(u.rlike(_one_of(several)), spelt).otherwise(u)), f"({_one_of(marked)})", "$1 ")
         return F.translate(spaced, "".join([*alone, *marked]), "".join([*alone.values(), *(v[0] for v in marked.values())]))
 
     ascii_ = let(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), folded(t)).otherwise(t))

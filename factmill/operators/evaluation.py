@@ -124,57 +124,92 @@ def case_overview(cases: DataFrame) -> DataFrame:
     return sums.select("cases", *(x for name, (a, b) in pairs.items() for x in with_interval(name, c(a), c(b))), "mean_latency_ms", "max_latency_ms")
 
 
-#: Distinct sets of facts of a case that are compared inside one row; more are compared in blocks of SETS.
-FEW, SETS = 32, 512
+#: Distinct sets of facts (with their top_one) of a case that are compared inside one row; more are compared in blocks of
+#: some SETS sets and FACTS facts. Floats of a slice of such a block, whatever its vocabulary.
+FEW, SETS, FACTS, SLICE = 32, 512, 1 << 18, 1 << 22
+
+
+def _shared(rows: np.ndarray, codes: np.ndarray, members: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many facts each of first shares with each of second. rows, codes: one entry for each member and fact. Facts are
+    inverted, and taken a slice of the vocabulary at a time; those of one member alone are shared with none."""
+    often = np.bincount(codes) > 1
+    place = np.cumsum(often) - 1
+    kept = often[codes]
+    rows, codes = rows[kept], place[codes[kept]]
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    both = np.zeros((len(first), len(second)), np.float32)
+    step = max(1, SLICE // members)
+    for start in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(codes, [start, start + step])
+        held = np.zeros((members, step), np.float32)
+        held[rows[a:b], codes[a:b] - start] = 1
+        both += held[first] @ held[second].T
+    return both
 
 
 def _block_sum(block: pd.DataFrame) -> pd.DataFrame:
     """Weighted sum of the similarities between the sets of two blocks of a case, or inside one block."""
-    first = block["side"].to_numpy() == 0
-    code = {f: i for i, f in enumerate({f for facts in block["facts"] for f in facts})}
-    held = np.zeros((len(block), max(len(code), 1)), np.float32)
-    for i, facts in enumerate(block["facts"]):
-        held[i, [code[f] for f in facts]] = 1
-    size, weight = held.sum(1), block["n"].to_numpy(float)
+    code: dict[str, int] = {}
+    codes = np.array([code.setdefault(f, len(code)) for facts in block["facts"] for f in facts], np.int64)
+    size, weight, side = np.array([len(f) for f in block["facts"]]), block["n"].to_numpy(float), block["side"].to_numpy()
+    rows = np.repeat(np.arange(len(block)), size)
     same = bool((block["lo"] == block["hi"]).all())
-    a, b = (held, held) if same else (held[first], held[~first])
-    (sa, wa), (sb, wb) = ((size, weight), (size, weight)) if same else ((size[first], weight[first]), (size[~first], weight[~first]))
-    both = a @ b.T
-    each = both / np.maximum(sa[:, None] + sb[None, :] - both, 1) * wa[:, None] * wb[None, :]
+    first, second = (np.arange(len(block)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    both = _shared(rows, codes, len(block), first, second)
+    # Two empty sets are alike.
+    whole = size[first][:, None] + size[second][None, :] - both
+    each = np.where(whole > 0, both / np.maximum(whole, 1), 1.0) * weight[first][:, None] * weight[second][None, :]
     total = float(np.triu(each, 1).sum() if same else each.sum())
     return pd.DataFrame({"case": block["case"].iloc[:1], "total": [total]})
 
 
+def _few_sets(counted: DataFrame) -> DataFrame:
+    """case, total (similarities of all pairs of different sets), alike, repeats, top_one_agreement of cases with few
+    sets, each in one row."""
+    row = counted.groupBy("case").agg(F.collect_list(F.struct("facts", "top_one", "n")).alias("r"))
+    share = lambda both, a, b: F.when(a["facts"] == b["facts"], 1.0).otherwise(both / (F.size(a["facts"]) + F.size(b["facts"]) - both)) * a["n"] * b["n"]
+    pair = lambda a, b: let(F.size(F.array_intersect(a["facts"], b["facts"])), lambda both: share(both, a, b))
+    later = lambda a, i: F.aggregate(F.slice("r", i + 2, F.size("r")), F.lit(0.0), lambda t, b: t + pair(a, b))
+    sum_of = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0.0), lambda t, x: t + x)
+    n = lambda x: x["n"].cast("double")
+    tops = F.transform(F.array_distinct(F.transform("r", lambda x: x["top_one"])), lambda t: sum_of(F.filter("r", lambda x: x["top_one"].eqNullSafe(t)), n))
+    total, repeats = F.aggregate(F.transform("r", later), F.lit(0.0), lambda t, x: t + x), sum_of("r", n)
+    return row.select("case", total.alias("total"), sum_of("r", lambda x: n(x) * (n(x) - 1) / 2).alias("alike"), repeats.alias("repeats"), (F.array_max(tops) / repeats).alias("top_one_agreement"))
+
+
+def _many_sets(counted: DataFrame, case_type: str) -> DataFrame:
+    """The same for cases of any number of sets. The sets of a case are dealt into blocks, and each two blocks are a group
+    of their own that gives one sum, so that no row or task holds a whole case and no pair is ever a row."""
+    sets = counted.groupBy("case", "facts").agg(F.sum("n").alias("n"))
+    sized = sets.groupBy("case").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("facts")).alias("all"), F.sum("n").cast("double").alias("repeats"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("alike"))
+    blocks = F.greatest(F.ceil(F.col("sets") / SETS), F.ceil(F.col("all") / FACTS)).cast("int")
+    many = sets.join(sized.select("case", blocks.alias("blocks")), "case").withColumn("block", F.pmod(F.xxhash64("facts"), "blocks").cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = many.select("case", "facts", "n", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.least("block", "other"), 0).otherwise(1).alias("side"))
+    totals = dealt.groupBy("case", "lo", "hi").applyInPandas(_block_sum, f"case {case_type}, total double").groupBy("case").agg(F.sum("total").alias("total"))
+    tops = counted.groupBy("case", "top_one").agg(F.sum("n").alias("m")).groupBy("case").agg((F.max("m") / F.sum("m")).alias("top_one_agreement"))
+    return sized.join(totals, "case", "left").join(tops, "case").select("case", F.coalesce("total", F.lit(0.0)).alias("total"), "alike", "repeats", "top_one_agreement")
+
+
 def repeat_variance(repeats: DataFrame, key: str) -> DataFrame:
-    """repeats: key, facts (array), top_one. Per case mean_jaccard over all pairs of its repeats (1 for one repeat) and
-    top_one_agreement, the share of its most frequent top_one.
+    """repeats: key, facts (array), top_one. Per case mean_jaccard over all pairs of its repeats (1 for one repeat; two
+    without facts are alike) and top_one_agreement, the share of its most frequent top_one.
 
-    Repeats of equal facts are one set with a count, whose pairs are alike. A case of up to FEW distinct sets is
-    compared in its row; the sets of a larger one are dealt into blocks of some SETS, and each two blocks are a group of
-    their own that gives one sum, so that no row or task holds a whole case and no pair is ever a row.
+    Rows without key are of no case. Repeats of equal facts are one set with a count, whose pairs are alike. Only if some case has more than FEW are the
+    sets written; then such cases are compared in blocks, and the others in a row each.
     """
-    each = repeats.select(F.col(key).alias("case"), F.array_sort(F.array_distinct("facts")).alias("facts"), "top_one").groupBy("case", "facts", "top_one").agg(F.count(F.lit(1)).alias("n"))
-    # Written, as three aggregations and two comparisons read it.
-    each = written(each, "repeats")
-    sets = each.groupBy("case", "facts").agg(F.sum("n").alias("n"))
-    sized = sets.groupBy("case").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("repeats"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("alike"))
-    met = sets.join(sized.select("case", "sets"), "case")
-    few = met.where(F.col("sets") <= FEW).groupBy("case").agg(F.collect_list(F.struct("facts", "n")).alias("r"))
-    share = lambda both, a, b: both / (F.size(a["facts"]) + F.size(b["facts"]) - both) * a["n"] * b["n"]
-    pair = lambda a, b: let(F.size(F.array_intersect(a["facts"], b["facts"])), lambda both: share(both, a, b))
-    later = lambda a, i: F.aggregate(F.slice("r", i + 2, F.lit(FEW)), F.lit(0.0), lambda t, b: t + pair(a, b))
-    small = few.select("case", F.aggregate(F.transform("r", later), F.lit(0.0), lambda t, x: t + x).alias("total"))
-    blocks = F.ceil(F.col("sets") / SETS).cast("int")
-    many = met.where(F.col("sets") > FEW).withColumn("block", F.pmod(F.xxhash64("facts"), blocks).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = many.select("case", "facts", "n", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.least("block", "other"), 0).otherwise(1).alias("side"))
-    case_type = repeats.schema[key].dataType.simpleString()
-    large = dealt.groupBy("case", "lo", "hi").applyInPandas(_block_sum, f"case {case_type}, total double")
-    totals = small.union(large).groupBy("case").agg(F.sum("total").alias("total"))
-    tops = each.groupBy("case", "top_one").agg(F.sum("n").alias("m")).groupBy("case").agg((F.max("m") / F.sum("m")).alias("top_one_agreement"))
+    counted = repeats.where(F.col(key).isNotNull()).select(F.col(key).alias("case"), F.array_sort(F.array_distinct("facts")).alias("facts"), "top_one").groupBy("case", "facts", "top_one").agg(F.count(F.lit(1)).alias("n"))
+    most = counted.groupBy("case").count().agg(F.max("count")).first()[0] or 0
+    if most <= FEW:
+        out = _few_sets(counted)
+    else:
+        counted = written(counted, "repeats")
+        large = counted.groupBy("case").count().where(F.col("count") > FEW).select("case")
+        held = lambda kind: counted.join(large, "case", kind)
+        out = _few_sets(held("left_anti")).unionByName(_many_sets(held("left_semi"), repeats.schema[key].dataType.simpleString()))
     pairs = F.col("repeats") * (F.col("repeats") - 1) / 2
-    mean = F.when(F.col("repeats") < 2, 1.0).otherwise((F.coalesce("total", F.lit(0.0)) + F.col("alike")) / pairs)
-    out = sized.join(totals, "case", "left").join(tops, "case")
+    mean = F.when(F.col("repeats") < 2, 1.0).otherwise((F.col("total") + F.col("alike")) / pairs)
     return out.select(F.col("case").alias(key), mean.alias("mean_jaccard"), "top_one_agreement")
 
 

@@ -171,12 +171,14 @@ def emitted_facts(spark, sf_dir):
 
 
 @query(f"""WITH o AS (SELECT k, k // 100 AS c, list(value) AS v FROM {_EMITTED} GROUP BY k),
-p AS (SELECT x.c, sum(len(list_intersect(x.v, y.v)) / len(list_distinct(x.v || y.v))::DOUBLE) AS total, count(*) AS pairs FROM o x JOIN o y ON x.c = y.c AND x.k < y.k GROUP BY x.c)
-SELECT avg(total / pairs) AS mean_jaccard FROM p""")
+p AS (SELECT x.c, sum(len(list_intersect(x.v, y.v)) / len(list_distinct(x.v || y.v))::DOUBLE) AS total, count(*) AS pairs FROM o x JOIN o y ON x.c = y.c AND x.k < y.k GROUP BY x.c),
+t AS (SELECT c, k, array_to_string(list_transform(['phones', 'addresses', 'websites', 'ratings'], lambda f: coalesce(list_extract(list_filter(list_sort(list({{'f': field, 'v': value}})), lambda x: x.f = f), 1).v, '')), '|') AS t FROM (SELECT *, k // 100 AS c FROM {_EMITTED} WHERE ordinal = 0) GROUP BY c, k),
+g AS (SELECT c, max(n) / sum(n)::DOUBLE AS share FROM (SELECT c, t, count(*) AS n FROM t GROUP BY c, t) GROUP BY c)
+SELECT (SELECT avg(total / pairs) FROM p) AS mean_jaccard, (SELECT avg(share) FROM g) AS mean_top_one_agreement""")
 def profile_repeats(spark, sf_dir):
     """Profiles of each hundred customers as repeats of one case: more distinct sets than a row compares."""
     each = evaluation.emitted_facts(_profiles(spark, sf_dir), ["k"]).withColumns({"case": F.floor(F.col("k") / 100), "repeat": F.col("k")})
     # Written, as the repeats are read for several aggregations.
     each = files.written(each, "emitted")
     rows = evaluation.repeats_of(each, each.select("case", "repeat"), "case")
-    return evaluation.mean_variance(evaluation.repeat_variance(rows, "case")).select("mean_jaccard")
+    return evaluation.mean_variance(evaluation.repeat_variance(rows, "case"))
