@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factmill.functions.text import name_identity, plain_text
+from factmill.functions.text import left_units, name_identity, plain_text
 
 EXTENSION = r"(?i)(?:ext\.?|extension|x)\s*(\d{1,8})\s*$"
 # Words of an address and their short forms.
@@ -46,7 +46,7 @@ def requested_npi(npi: Column, provider_id: Column) -> Column:
 def request_key(ordinal: Column, npi: Column, provider_id: Column, name: Column) -> Column:
     named = F.coalesce(F.nullif(name_identity(name), F.lit("")), F.lit("provider"))
     by = F.coalesce(F.concat(F.lit("npi:"), F.nullif(npi, F.lit(""))), F.concat(F.lit("providerId:"), F.nullif(provider_id, F.lit(""))), F.concat(F.lit("name:"), named))
-    return F.left(F.concat(ordinal.cast("string"), F.lit(":"), by), F.lit(320))
+    return left_units(F.concat(ordinal.cast("string"), F.lit(":"), by), 320)
 
 
 def aggregation_key(*dims: Column) -> Column:

@@ -40,6 +40,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+#: Characters that are two UTF-16 units, as a raw string of SQL. What is built of it stands in many places, so it is
+#: written as SQL, which is parsed faster than columns are put together.
+_PAIRED = r"r'[\x{10000}-\x{10FFFF}]'"
+
+
+def left_units(c: Column, most: int) -> Column:
+    """The first ``most`` UTF-16 units of a text, as JavaScript cuts. A character cut in half becomes U+FFFD, as in any
+    text that is written in UTF-8."""
+    whole = lambda n: f"decode(substring(u, 1, {n}), 'UTF-16BE')"
+    half = f"CASE WHEN hex(substring(u, {2 * most - 1}, 1)) BETWEEN 'D8' AND 'DB' THEN concat({whole(2 * most - 2)}, '\ufffd') ELSE {whole(2 * most)} END"
+    cut = F.expr(f"t -> CASE WHEN t RLIKE {_PAIRED} THEN get(transform(array(encode(t, 'UTF-16BE')), u -> {half}), 0) ELSE left(t, {most}) END")
+    return F.get(F.call_function("transform", F.array(c), cut), 0)
+
+
+def units(c: Column) -> Column:
+    """Length in UTF-16 units."""
+    counted = F.expr(f"t -> CASE WHEN t RLIKE {_PAIRED} THEN CAST(octet_length(encode(t, 'UTF-16BE')) / 2 AS INT) ELSE length(t) END")
+    return F.get(F.call_function("transform", F.array(c), counted), 0)
+
+
 def any_of(*tests: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -50,9 +70,9 @@ def squeeze(c: Column) -> Column:
 
 
 def clean_public_text(c: Column, most: int | None) -> Column:
-    """Squeezed text cut to ``most`` characters (None: whole), not trimmed again; null for nothing."""
+    """Squeezed text cut to ``most`` UTF-16 units (None: whole), not trimmed again; null for nothing."""
     text = F.nullif(squeeze(c), F.lit(""))
-    return text if most is None else F.left(text, F.lit(most))
+    return text if most is None else left_units(text, most)
 
 
 def contains_unsafe(c: Column) -> Column:

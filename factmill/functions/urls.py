@@ -1,4 +1,4 @@
-"""Public domains and urls, read as browsers read them. Hosts that are not ASCII are refused."""
+"""Public domains and urls, read as browsers read them, hosts beyond ASCII too."""
 
 from __future__ import annotations
 
@@ -24,11 +24,22 @@ UNSAFE_IN_PATH = r'[^!-~]|["<>`{}]'
 DOTS = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
 
 
+#: Letters that browsers keep in a host and the JVM's mapping does not: hosts with them are refused.
+KEPT_BY_BROWSERS = "[\u00df\u03c2\u200c\u200d]"
+
+
+def ascii_host(host: Column) -> Column:
+    """A lower-cased host in ASCII: labels with other letters are mapped to their plain forms and written in Punycode, by
+    the JVM's own tables (IDNA of 2003, new letters allowed). Null where that can't be."""
+    mapped = F.when(~host.rlike(KEPT_BY_BROWSERS), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host, F.lit(1))))
+    return F.when(host.rlike(r"[^\x00-\x7f]"), mapped).otherwise(host)
+
+
 def _host(authority: Column) -> Column:
-    """Lower-cased host without user and port; null where it could be none."""
+    """Lower-cased host in ASCII without user and port; null where it could be none."""
     bare = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
     plain = let(bare, lambda h: F.when(h.contains("%"), F.lower(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B"))))).otherwise(h))
-    return let(plain, lambda h: F.when((h != "") & ~h.rlike(FORBIDDEN_IN_HOST), h))
+    return let(let(plain, ascii_host), lambda h: F.when((h != "") & ~h.rlike(FORBIDDEN_IN_HOST), h))
 
 
 def host_of(url: Column) -> Column:
@@ -75,12 +86,13 @@ def _shown_path(path: Column) -> Column:
 
 
 def _shown_query(query: Column) -> Column:
-    """Pairs decoded, those that only track a visitor dropped, the others sorted by name and encoded as a form does."""
+    """Pairs decoded, those that only track a visitor dropped, the others sorted by the UTF-16 units of their names and
+    encoded as a form does."""
     decoded = lambda s: F.try_url_decode(F.regexp_replace(s, "%(?![0-9A-Fa-f]{2})", "%25"))
     pair = lambda p: F.struct(decoded(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("name"), decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)", 1)).alias("value"))
     named = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), pair)
     kept = F.filter(named, lambda x: ~x["name"].rlike(TRACKING))
-    placed = F.array_sort(F.transform(kept, lambda x, i: F.struct(x["name"].alias("name"), i.alias("at"), x["value"].alias("value"))))
+    placed = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.encode(x["name"], "UTF-16BE").alias("order"), i.alias("at"), x["name"].alias("name"), x["value"].alias("value"))))
     return F.when(query == "", "").otherwise(F.array_join(F.transform(placed, lambda x: F.concat(F.url_encode(x["name"]), F.lit("="), F.url_encode(x["value"]))), "&"))
 
 

@@ -34,24 +34,32 @@ def text_of(v: Column) -> Column:
     return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
 
 
-#: Members that are looked at in an object that stands for a text.
-VISITS = 64
 # Written as SQL, as it stands in many places of a profile: the text is parsed faster than columns are put together.
 _KIND = "coalesce(schema_of_variant({0}), 'VOID')"
-#: Strings and numbers as strings, numbers without zeros behind the point; booleans and the rest as null.
-_SCALAR = (
-    f"CASE WHEN {_KIND} = 'STRING' THEN try_variant_get({{0}}, '$', 'string') WHEN NOT {_KIND} RLIKE '^(?:BOOLEAN|VOID|OBJECT|ARRAY)' THEN "
-    "CASE WHEN contains(try_variant_get({0}, '$', 'string'), '.') THEN regexp_replace(try_variant_get({0}, '$', 'string'), '[.]?0+$', '') ELSE try_variant_get({0}, '$', 'string') END END"
+_NO_NUMBER = "'^(?:STRING|BOOLEAN|VOID|OBJECT|ARRAY)'"
+#: The fewest digits that make a number: the JVM's own text of large and small ones can have more.
+_SHORT = "get(filter(transform(sequence(0, 16), p -> format_string(concat('%.', p, 'e'), d)), t -> CAST(t AS DOUBLE) = d), 0)"
+_FIXED = "regexp_replace(CAST(CAST(t AS DECIMAL(38,{})) AS STRING), '[.]?0+$', '')"
+#: A number as JavaScript writes it: without zeros behind the point, with an exponent from 1e21 and below 1e-6.
+_NUMBER = (
+    "CASE WHEN NOT contains(CAST(d AS STRING), 'E') THEN regexp_replace(regexp_replace(CAST(d AS STRING), '[.]0$', ''), '^-0$', '0') ELSE get(transform(array("
+    f"{_SHORT}), t -> CASE WHEN abs(d) >= 1 AND abs(d) < 1e21D THEN {_FIXED.format(16)} WHEN abs(d) >= 1e-6D AND abs(d) < 1 THEN {_FIXED.format(24)} ELSE regexp_replace(t, 'e([+-])0', 'e$1') END), 0) END"
 )
+#: Strings and numbers as strings; booleans and the rest as null.
+_SCALAR = f"CASE WHEN {_KIND} = 'STRING' THEN try_variant_get({{0}}, '$', 'string') WHEN NOT {_KIND} RLIKE {_NO_NUMBER} THEN get(transform(array(try_variant_get({{0}}, '$', 'double')), d -> {_NUMBER}), 0) END"
 _TOP = "get(s.stack, 0)"
 _INNER = f"CASE WHEN {_KIND.format(_TOP)} LIKE 'OBJECT%' THEN filter(array({', '.join(f"try_variant_get({_TOP}, '$.{k}', 'variant')" for k in TEXT_KEYS)}), m -> m IS NOT NULL) ELSE CAST(array() AS ARRAY<VARIANT>) END"
 _REST = "CASE WHEN size(s.stack) > 1 THEN slice(s.stack, 2, size(s.stack)) ELSE CAST(array() AS ARRAY<VARIANT>) END"
-#: The first text under TEXT_KEYS, depth first: a stack of members, the next to look at in front.
+#: Whether a member ends the search: a string that isn't empty, or a number.
+_TEXT = f"{_KIND.format(_TOP)} NOT RLIKE {_NO_NUMBER} OR {_KIND.format(_TOP)} = 'STRING' AND try_variant_get({_TOP}, '$', 'string') <> ''"
+#: The first text under TEXT_KEYS, depth first: a stack of members, the next to look at in front. Each object puts six
+#: members there at most, so there are as many steps as the value's brackets allow: the search ends by what is left, at
+#: whatever depth or width.
 _NESTED = (
-    f"aggregate(sequence(1, {VISITS}), named_struct('stack', array(v), 'found', CAST(NULL AS STRING)), "
-    f"(s, i) -> CASE WHEN s.found IS NOT NULL OR size(s.stack) = 0 THEN s ELSE named_struct('stack', concat({_INNER}, {_REST}), 'found', nullif({_SCALAR.format(_TOP)}, '')) END).found"
+    f"aggregate(sequence(1, 1 + {len(TEXT_KEYS)} * regexp_count(CAST(v AS STRING), '[{{]')), named_struct('stack', array(v), 'found', CAST(NULL AS VARIANT)), "
+    f"(s, i) -> CASE WHEN s.found IS NOT NULL OR size(s.stack) = 0 THEN s WHEN {_TEXT} THEN named_struct('stack', CAST(array() AS ARRAY<VARIANT>), 'found', {_TOP}) ELSE named_struct('stack', concat({_INNER}, {_REST}), 'found', CAST(NULL AS VARIANT)) END).found"
 )
-_COERCED = f"v -> CASE WHEN {_KIND.format('v')} LIKE 'OBJECT%' THEN {_NESTED} ELSE {_SCALAR.format('v')} END"
+_COERCED = f"v -> get(transform(array(CASE WHEN {_KIND.format('v')} LIKE 'OBJECT%' THEN {_NESTED} ELSE v END), x -> {_SCALAR.format('x')}), 0)"
 
 
 def first_text(*options: Column) -> Column:
@@ -64,7 +72,7 @@ def _texts(*options: Column) -> Column:
 
 
 def coerce_string(v: Column) -> Column:
-    """A scalar, or the first text that an object holds under TEXT_KEYS, however deep, among its first VISITS members."""
+    """A scalar, or the first text that an object holds under TEXT_KEYS, however deep and among however many members."""
     return F.get(_texts(v), 0)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factmill.functions.contact import request_key, requested_npi
-from factmill.functions.text import let
+from factmill.functions.text import left_units, let
 
 # Fixed values.
 TERMINAL = ["completed", "no_results", "failed", "expired"]
@@ -33,7 +33,7 @@ def fold_events(initial: DataFrame, events: DataFrame) -> DataFrame:
     last = events.groupBy("request_id", "provider_key").agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in fields))
     met = initial.join(last, ["request_id", "provider_key"], "left")
     out = met.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).drop(*(f"_{f}" for f in fields))
-    return out.withColumns({"error": F.nullif(F.left("error", F.lit(MOST_ERROR)), F.lit("")), "loading": ~is_terminal(F.col("status"))})
+    return out.withColumns({"error": _cut(F.col("error")), "loading": ~is_terminal(F.col("status"))})
 
 
 #: What each kind of a provider's event sets; errors are cut to MOST_ERROR.
@@ -76,7 +76,7 @@ def spans(log: DataFrame) -> DataFrame:
 
 
 def _cut(error: Column) -> Column:
-    return F.nullif(F.left(error, F.lit(MOST_ERROR)), F.lit(""))
+    return F.nullif(left_units(error, MOST_ERROR), F.lit(""))
 
 
 def _after_span(state: Column, span: Column, initial: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from factmill.functions.contact import aggregation_key
-from factmill.functions.text import let, safe_fact, safe_phone
+from factmill.functions.text import left_units, let, safe_fact, safe_phone, units
 from factmill.functions.urls import safe_public_url
 from factmill.operators.profiles import settled
 
@@ -23,7 +23,7 @@ CLICK_KEYS = ["broker_org_id", "provider_npi", "provider_id", "normalized_phone"
 
 
 def _bounded(c: Column, least: int, most: int) -> Column:
-    return F.coalesce(F.length(F.trim(c)).between(least, most), F.lit(False))
+    return F.coalesce(units(F.trim(c)).between(least, most), F.lit(False))
 
 
 def utc_day(rows: DataFrame, name: str) -> Column:
@@ -63,7 +63,7 @@ def feedback_error(fact_type: Column, status: Column, reason: Column, org: Colum
 def feedback_value(fact_type: Column, value: Column) -> Column:
     """value (cleaned, null if refused) and reason: phones as phones, websites as urls, the rest as safe facts."""
     judged = lambda v: F.struct(v.alias("value"), F.when(v.isNull(), "UNSAFE_FACT_VALUE").alias("reason"))
-    url = let(safe_public_url(value), lambda u: judged(F.when(F.length(u) <= 255, u)))
+    url = let(safe_public_url(value), lambda u: judged(F.when(units(u) <= 255, u)))
     return F.when(fact_type == "phone", safe_phone(value)).when(fact_type == "website", url).otherwise(let(safe_fact(value, 255), judged))
 
 
@@ -82,7 +82,7 @@ def feedback_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The valid rows of judge_feedback with FEEDBACK_KEYS, and the refused rows with reject_reason."""
     judged = judge_feedback(events)
     valid = judged.where("reject_reason is null").select(
-        "broker_org_id", "submitter_class", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), "fact_type",
+        "broker_org_id", "submitter_class", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(left_units(F.col("provider_id"), MOST_ID), F.lit("")).alias("provider_id"), "fact_type",
         F.col("cleaned").alias("normalized_fact_value"), "validation_status", F.coalesce("reason_code", F.lit("accurate")).alias("reason_code"), utc_day(judged, "ts").alias("feedback_day"),
     )
     return valid, judged.where("reject_reason is not null").drop("cleaned")
@@ -115,7 +115,7 @@ def click_rows(events: DataFrame) -> DataFrame:
     c = F.col
     fine = events.where(click_error(c("broker_org_id"), c("provider_id"), c("provider_npi"), c("phone")).isNull())
     cleaned = settled(fine.withColumn("phone", safe_phone(c("phone"))["value"])).where("phone is not null")
-    return cleaned.select("broker_org_id", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(F.left("provider_id", F.lit(MOST_ID)), F.lit("")).alias("provider_id"), F.col("phone").alias("normalized_phone"), utc_day(cleaned, "ts").alias("click_day"))
+    return cleaned.select("broker_org_id", F.coalesce("provider_npi", F.lit("")).alias("provider_npi"), F.coalesce(left_units(F.col("provider_id"), MOST_ID), F.lit("")).alias("provider_id"), F.col("phone").alias("normalized_phone"), utc_day(cleaned, "ts").alias("click_day"))
 
 
 def submitter_class(user_class: Column) -> Column:

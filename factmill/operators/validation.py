@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factmill.functions.text import SPACE
+from factmill.functions.text import SPACE, units
 
 # Fixed values.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
@@ -32,7 +32,7 @@ def trimmed(c: Column) -> Column:
 
 def length_between(c: Column, least: int, most: int) -> Column:
     """Whether a text is there and, trimmed, so long."""
-    return F.coalesce(F.length(trimmed(c)).between(least, most), F.lit(False))
+    return F.coalesce(units(trimmed(c)).between(least, most), F.lit(False))
 
 
 def _matches(c: Column, pattern: str) -> Column:

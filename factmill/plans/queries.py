@@ -195,6 +195,27 @@ def left_join_fallback(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("l", F.lit(False)).alias("labelled"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: A label with one u umlaut at its end, in Punycode: the delta of the letter in digits of base 36, whose thresholds are 1, 1, 26.
+_HOSTS_SQL = f"""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages),
+l AS (SELECT *, split_part(host, '.', 1) AS label, substr(host, length(split_part(host, '.', 1)) + 1) AS rest, length(split_part(host, '.', 1)) AS n FROM h),
+d AS (SELECT *, 124 * (n + 1) + n AS d FROM l),
+q AS (SELECT *, (d - 1) // 35 AS q1, CASE WHEN (d - 1) // 35 >= 1 THEN ((d - 1) // 35 - 1) // 35 END AS q2 FROM d),
+c AS (SELECT *, '{_LETTERS}' AS c FROM q)
+SELECT page_id, scheme || '://xn--' || label || '-' || substr(c, 2 + (d - 1) % 35, 1) || CASE WHEN q1 < 1 THEN 'a' ELSE substr(c, 2 + (q1 - 1) % 35, 1) || substr(c, q2 + 1, 1) END || rest || '/p' AS shown,
+  'xn--' || label || '-' || substr(c, 2 + (d - 1) % 35, 1) || CASE WHEN q1 < 1 THEN 'a' ELSE substr(c, 2 + (q1 - 1) % 35, 1) || substr(c, q2 + 1, 1) END || rest || '/p' AS key FROM c"""
+
+
+@query(_HOSTS_SQL)
+def international_hosts(spark, sf_dir):
+    """Pages' hosts with a letter beyond ASCII at the end of their first label, as a browser writes them."""
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    odd = F.concat(F.regexp_extract("url", "^[a-z]+://", 0), F.regexp_replace(host, r"^([^.]*)", F.concat(F.lit("$1"), F.when(F.col("page_id") % 2 == 0, "Ü").otherwise("u\u0308"))), F.lit("/p"))
+    made = profiles.settled(pages.select("page_id", odd.alias("odd")))
+    return made.select("page_id", urls.safe_public_url(F.col("odd")).alias("shown"), urls.website_key(F.col("odd")).alias("key"))
+
+
 # Roll-ups.
 
 

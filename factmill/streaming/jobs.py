@@ -17,6 +17,11 @@ HELD = "job string, spans string, upto long"
 SPAN = RESULT_TTL * 1_000_000
 
 
+def _cut(error: str | None) -> str | None:
+    """The first MOST_ERROR UTF-16 units, as text.left_units cuts."""
+    return (error or "").encode("utf-16-be")[: 2 * MOST_ERROR].decode("utf-16-be", "replace") or None
+
+
 def _take(spans: dict[str, dict], at: list[int], key: str | None, kind: str, error: str | None, providers: list[str] | None) -> None:
     """Adds one event to what is known of its span; events may come in any order."""
     span = spans.setdefault(str(at[0] // SPAN), {"first": at[0], "last": at, "reset": None, "patches": {}})
@@ -37,7 +42,7 @@ def _after_span(job: dict | None, span: dict) -> dict:
     reset = span["reset"]
     if reset is not None:
         listed = {k: {"status": "queued", "error": None, "startedAt": None, "completedAt": None} for k in reset["providers"]} if reset["kind"] == "create" else None
-        job = {"status": "queued" if listed is not None else reset["kind"], "providers": listed, "error": (reset["error"] or "")[:MOST_ERROR] or None if reset["kind"] == "failed" else None}
+        job = {"status": "queued" if listed is not None else reset["kind"], "providers": listed, "error": _cut(reset["error"]) if reset["kind"] == "failed" else None}
     elif job is None or span["first"] >= job["ends"]:
         job = {"status": "expired", "providers": None, "error": None}
     since = [-1] if reset is None else reset["at"]
@@ -46,7 +51,7 @@ def _after_span(job: dict | None, span: dict) -> dict:
         held = dict(job["providers"] or {})
         for key in patches.keys() & held.keys():
             p = patches[key]
-            held[key] = held[key] | {"status": p["kind"], "error": (p["error"] or "")[:MOST_ERROR] or None if p["kind"] == "failed" else None} | {f: p[f][0] for f in ("startedAt", "completedAt") if p[f] is not None and p[f] > since}
+            held[key] = held[key] | {"status": p["kind"], "error": _cut(p["error"]) if p["kind"] == "failed" else None} | {f: p[f][0] for f in ("startedAt", "completedAt") if p[f] is not None and p[f] > since}
         job = job | {"providers": held}
     states = [p["status"] for p in (job["providers"] or {}).values()]
     if states:
