@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from factmill.llm.common import shuffle_partitions, small_batches
 
 WORDS = 5
-#: One hash in so many is kept.
-SCALE = 2
+#: One hash in so many is kept of a text of more than FEW distinct shingles; all are kept of others.
+SCALE, FEW = 2, 256
 #: Bytes hashed at a time; a longer text makes a longer run.
 RUN_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -74,11 +75,27 @@ def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return rolled[whole], counts
 
 
-def sketches(texts: list[str], words: int = WORDS, scale: int = SCALE) -> list[np.ndarray]:
-    """For each text its sorted distinct shingle hashes below 2**64 / scale. Where none is below, the least hash
-    alone stands, so that a short text has a sketch too; a text without words has an empty one."""
-    limit = np.uint64((1 << 64) // scale)
-    out: list[np.ndarray] = []
+class Sketch(NamedTuple):
+    """Sorted distinct shingle hashes below 2**64 / scale."""
+
+    scale: int
+    hashes: np.ndarray
+
+    def at(self, scale: int) -> np.ndarray:
+        """The hashes that a sketch of a larger scale would hold."""
+        return self.hashes if scale <= self.scale else self.hashes[self.hashes < np.uint64((1 << 64) // scale)]
+
+
+def thinned(hashes: np.ndarray, scale: int = 1) -> Sketch:
+    """The sketch of sorted distinct hashes of a scale: all of them, or one in SCALE where they are more than FEW."""
+    if scale == 1 and len(hashes) > FEW:
+        return Sketch(SCALE, hashes[hashes < np.uint64((1 << 64) // SCALE)])
+    return Sketch(scale, hashes)
+
+
+def sketches(texts: list[str], words: int = WORDS) -> list[Sketch]:
+    """The sketch of each text; that of a text without words is empty."""
+    out: list[Sketch] = []
     run: list[bytes] = []
     size = 0
 
@@ -86,9 +103,7 @@ def sketches(texts: list[str], words: int = WORDS, scale: int = SCALE) -> list[n
         hashes, counts = shingle_hashes(run, words)
         at = 0
         for n in counts.tolist():
-            own = hashes[at : at + n]
-            low = own[own < limit]
-            out.append(np.unique(low) if len(low) else own[own.argmin()][None] if n else own)
+            out.append(thinned(np.unique(hashes[at : at + n])))
             at += n
         run.clear()
 
@@ -104,39 +119,30 @@ def sketches(texts: list[str], words: int = WORDS, scale: int = SCALE) -> list[n
     return out
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of two shingle sets together, from their sketches alone."""
-    both = np.union1d(a, b)
-    low = both[both < np.uint64((1 << 64) // scale)]
-    return low if len(low) else both[:1]
-
-
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; two empty sketches: 1, one empty: 0."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
-
-
-def is_fallback(a: np.ndarray, scale: int = SCALE) -> bool:
-    """Whether the sketch is a least hash alone, which says nothing against one of hashes below the limit."""
-    return len(a) == 1 and a[0] >= np.uint64((1 << 64) // scale)
+    scale = max(a.scale, b.scale)
+    return thinned(np.union1d(a.at(scale), b.at(scale)), scale)
 
 
-def near(a: np.ndarray, b: np.ndarray, text: str, other: str) -> float:
-    """containment of two sketches; from all shingles of the two texts where one of the sketches is a fallback."""
-    if is_fallback(a) or is_fallback(b):
-        whole = [np.unique(shingle_hashes([t.encode("utf-8", "surrogatepass")])[0]) for t in (text, other)]
-        return containment(*whole)
-    return containment(a, b)
+def containment(a: Sketch, b: Sketch) -> float:
+    """Share of a's shingles that b has, from those below the limit of both. Two empty sketches: 1, one empty: 0. Where
+    nothing of a short text's sketch is below a long one's limit, they say nothing of each other: 0, unless equal."""
+    scale = max(a.scale, b.scale)
+    x, y = a.at(scale), b.at(scale)
+    if not len(x) or not len(y):
+        return float(a.scale == b.scale and np.array_equal(a.hashes, b.hashes))
+    return len(np.intersect1d(x, y, assume_unique=True)) / len(x)
 
 
-def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").tobytes().hex()
+def as_text(sketch: Sketch) -> str:
+    """The scale, a colon, and the hashes in hex, 16 digits each."""
+    return f"{sketch.scale}:{sketch.hashes.astype('>u8').tobytes().hex()}"
 
 
-def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
+def from_text(text: str) -> Sketch:
+    scale, hashes = text.split(":")
+    return Sketch(int(scale), np.frombuffer(bytes.fromhex(hashes), ">u8").astype(np.uint64))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -165,14 +171,14 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for ((doc_id, text, own_sketch, _), (_, after, next_sketch, _)), new, sketch in zip(pairs, edited, sketches(edited), strict=True):
             sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc_id, len(text), sha, as_text(own_sketch), as_text(sketch), near(own_sketch, sketch, text, new), near(own_sketch, next_sketch, text, after)))
+            out.append((doc_id, len(text), sha, as_text(own_sketch), as_text(sketch), containment(own_sketch, sketch), containment(own_sketch, next_sketch)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], NAMES)
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text (other columns are ignored). For each document its sketch, that of its edited text (its last
     half replaced by the start of the next document in descending doc_id; after the last: the first), and how much of
-    its sketch the edited text and the next document contain.
+    its sketch the edited text and the next document contain, as the fingerprints alone tell.
 
     Null text: empty. Null doc_id: after all others. Rows of equal doc_id follow each other by text. One document is
     its own next. No documents: no rows.

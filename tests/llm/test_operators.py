@@ -124,7 +124,13 @@ def test_sketch_containment_is_an_estimate():
     whole, some = sketch.sketches([a, part])
     assert sketch.containment(some, whole) == 1
     assert abs(sketch.containment(whole, some) - 0.25) < 0.05
-    assert (sketch.merge(whole, some) == whole).all()
+    both = sketch.merge(whole, some)
+    assert both.scale == whole.scale == sketch.SCALE and (both.hashes == whole.hashes).all()
+    # Small sketches keep all; merged beyond FEW they are thinned as the whole would be.
+    parts = [" ".join(words(k, 200).split()) for k in (31, 32)]
+    x, y = sketch.sketches(parts)
+    assert x.scale == y.scale == 1 and sketch.merge(x, y).scale == sketch.SCALE
+    assert set(sketch.merge(x, y).hashes) == {h for h in [*x.hashes, *y.hashes] if h < (1 << 64) // sketch.SCALE}
 
 
 def plain_fingerprint(text):
