@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -74,8 +74,9 @@ class TextModel:
 
 
 def folded(label: Column) -> Column:
-    """A label or declared language as it is compared: lower-cased, without region; null for none."""
-    return F.nullif(F.substring_index(ascii_lower(F.trim(label)), "-", 1), F.lit(""))
+    """A label or declared language as it is compared: its code of two or three letters, lower-cased, without region. Null
+    for what is no such code, so there are no more languages than codes, whatever stands in a column of labels."""
+    return F.nullif(F.regexp_extract(ascii_lower(F.trim(label)), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """docs: doc_id, text, lang (the label). Counts come from all labelled documents; the trigrams from those whose
     hash of doc_id and source of labels falls in the share that makes about ``sample`` documents of a language.
 
-    Labels are folded as declared languages are, and each has a model: a column of CELLS floats (256 KB).
+    Labels are folded as declared languages are, and each has a model: a column of CELLS floats (256 KB). Tasks get the
+    table as a broadcast, once an executor; labels that are no language codes have no part in it.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -126,10 +128,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     return TextModel(languages, table)
 
 
-def _scorer(model: TextModel):
+def _scorer(spark: SparkSession, model: TextModel):
+    sent = spark.sparkContext.broadcast(model)
+
     @F.pandas_udf("array<double>")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([None if (x := model.scores(t)) is None else x.tolist() for t in text], dtype=object)
+        return pd.Series([None if (x := sent.value.scores(t)) is None else x.tolist() for t in text], dtype=object)
 
     return score
 
@@ -170,7 +174,7 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     """
     small_batches(docs.sparkSession)
     names, size = model.languages, len(model.languages) + 1
-    score = _scorer(model)
+    score = _scorer(docs.sparkSession, model)
     whole = F.struct(*(docs[c] for c in keep or docs.columns))
     level = host_levels(F.coalesce(ascii_lower(host), F.lit("")))
     said = folded(declared)
@@ -196,9 +200,9 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     domain = _smoothed(cube, ["suffix", "domain"], suffix)
     hosts = materialize(_smoothed(cube, ["suffix", "domain", "host"], domain).select("host", "prior"), "hosts")
 
-    # A row for each language.
+    # A row for each language; how it meets the rows is left to its size.
     evidence = docs.sparkSession.createDataFrame([(name, told[:, i].tolist()) for i, name in enumerate(names)], "declared string, told array<double>")
-    met = rows.join(hosts, "host", "left").join(F.broadcast(evidence), "declared", "left")
+    met = rows.join(hosts, "host", "left").join(evidence, "declared", "left")
     met = met.withColumn("prior", F.coalesce("prior", array(overall))).withColumn("told", F.coalesce("told", array(np.zeros(size))))
     total = F.zip_with(F.zip_with("scores", "prior", lambda s, p: s + F.ln(p)), "told", lambda s, t: s + t)
     met = met.withColumn("total", F.when(F.col("scores").isNotNull(), total)).withColumn("top", F.array_max("total")).withColumn("best", _best(F.col("total")))
@@ -210,11 +214,11 @@ def identify(docs: DataFrame, model: TextModel, text: Column, declared: Column,
     return met.select("row", found.alias("language"))
 
 
-def identify_documents(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-    """docs: doc_id, text, lang (the declared language), source (the host). Fits the text model on the labels and
-    returns row and language as identify does."""
-    needed = docs.select(*(docs[c] for c in ("doc_id", "text", "lang")))
-    return identify(docs, fit(needed), docs["text"], docs["lang"], docs["source"], keep)
+def identify_documents(docs: DataFrame, keep: Sequence[str] | None = None, model: TextModel | None = None) -> DataFrame:
+    """docs: doc_id, text, lang (the declared language), source (the host). Fits the text model on the labels, if none is
+    given, and returns row and language as identify does."""
+    model = model or fit(docs.select(*(docs[c] for c in ("doc_id", "text", "lang"))))
+    return identify(docs, model, docs["text"], docs["lang"], docs["source"], keep)
 
 
 def markup_language(html: Column) -> Column:

@@ -149,9 +149,16 @@ def op9_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all documents, from text, declared language and source."""
-    docs = table(spark, sf_dir, "documents")
-    return identify_documents(docs, ["doc_id"]).select("row.doc_id", "language.*")
+    """The language of all documents and pages, by ``table``. Documents have a text, a declared language and a source that
+    stands for the host; pages have visible text, the language that the markup declares, and the suffix, domain and host
+    of their address. One text model, learnt from the documents' labels, serves both; the evidence of each table is its
+    own."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit(docs.select("doc_id", "text", "lang"))
+    none = F.lit(None).cast("long")
+    of_docs = identify_documents(docs, ["doc_id"], model).select(F.lit("documents").alias("table"), "row.doc_id", none.alias("page_id"), "language.*")
+    of_pages = identify_pages(pages, model, ["page_id"]).select(F.lit("pages").alias("table"), none.alias("doc_id"), "row.page_id", "language.*")
+    return of_docs.unionByName(of_pages)
 
 
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

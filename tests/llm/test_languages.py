@@ -58,3 +58,36 @@ def test_pages_query(spark, sf):
     rows = got.join(declared, "page_id").collect()
     assert len(rows) == declared.count()
     assert sum(r["lang"] == r["said"] for r in rows) / len(rows) > 0.9
+
+
+def test_op10_itself_follows_markup_suffix_domain_and_host(spark, tmp_path):
+    """The registered query on tables where each kind of evidence alone tells the language of doubtful pages. Labels teach
+    the text model from documents; no page that is judged has one."""
+    words = {"en": "tan ane", "de": "tin ine"}
+    docs = [(i, " ".join(random.Random(i).choices(f"ten one {words[lang]}".split(), k=60)), lang, f"s{i % 3}") for i, lang in enumerate(["en", "de"] * 100)]
+    docs += [(900 + i, "ten one tan ane tin ine " * 9, f"junk label {i}", "s0") for i in range(300)] + [(1300, "x", "xx" * 40, "s0")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = lambda host, lang, said=None, text=None: (host, f"<html{f' lang={said}' if said else ''}><p>{text or f'{words[lang]} ' * 3}</p><script>{words['en']}</script></html>")
+    many = [page(f"www.h{k % 3}.aa", "en", "en") for k in range(60)] + [page(f"www.g{k % 3}.bb", "de", "de") for k in range(60)]
+    many += [page("x.both.cc", "en") for _ in range(60)] + [page("y.both.cc", "de") for _ in range(60)] + [page("a.one.cc", "en") for _ in range(60)] + [page("a.two.cc", "de") for _ in range(60)]
+    doubt = "ten one"
+    odd = [page("new.aa", "", None, doubt), page("new.bb", "", None, doubt), page("n.one.cc", "", None, doubt), page("n.two.cc", "", None, doubt), page("x.both.cc", "", None, doubt), page("y.both.cc", "", None, doubt), page("q.zz", "", "en", doubt), page("q.zz", "", "de-CH", doubt)]
+    rows = [(i, f"https://{h}/", html) for i, (h, html) in enumerate(many + odd)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op10_language_fusion(spark, str(tmp_path)).collect()
+    got = {r["page_id"]: r for r in found if r["table"] == "pages"}
+    assert [got[len(many) + k]["lang"] for k in range(8)] == ["en", "de"] * 4
+    # Suffix, domain, host and markup tell what the text alone can't: it is the same in all eight.
+    assert len({got[len(many) + k]["text_lang"] for k in range(8)}) == 1
+    # Junk labels are no languages: they teach nothing, and their documents are judged as all others.
+    assert {r["lang"] for r in found} <= {"en", "de", None} and all(r["declared"] is None for r in found if r["doc_id"] is not None and r["doc_id"] >= 900)
+
+
+def test_documents_are_judged_without_their_own_labels(spark):
+    """The text model learns from one half; the other half's labels are taken away and then asked for."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and n_chars > 200")
+    model = langid.fit(docs.where("doc_id % 2 = 0").select("doc_id", "text", "lang"))
+    rest = docs.where("doc_id % 2 = 1")
+    got = langid.identify_documents(rest.withColumn("lang", F.lit(None).cast("string")), ["doc_id"], model).select("row.doc_id", "language.*")
+    met = got.join(rest.select("doc_id", F.col("lang").alias("label")), "doc_id").collect()
+    assert all(r["declared"] is None for r in met) and sum(r["lang"] == r["label"] for r in met) / len(met) > 0.9

@@ -320,7 +320,9 @@ def test_op9_equals_the_library(spark, docs):
 
 def test_op10_finds_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.op10_language_fusion(spark, sf).collect()}
+    found = queries.op10_language_fusion(spark, sf).collect()
+    got = {r["doc_id"]: r for r in found if r["table"] == "documents"}
+    assert sum(r["table"] == "pages" and r["page_id"] is not None and r["doc_id"] is None for r in found) == spark.read.parquet(f"{sf}/pages.parquet").count()
     rows = docs.where("lang is not null and n_chars > 200").collect()
     right = sum(got[r["doc_id"]]["lang"] == r["lang"] for r in rows) / len(rows)
     text_only = sum(got[r["doc_id"]]["text_lang"] == r["lang"] for r in rows) / len(rows)
@@ -338,8 +340,9 @@ def test_op10_held_out_accuracy(spark, sf):
 
 
 def test_op10_odd_rows(spark, at, docs):
-    got = queries.op10_language_fusion(spark, at[0]).collect()
-    assert len(got) == docs.count()
+    found = queries.op10_language_fusion(spark, at[0]).collect()
+    got = [r for r in found if r["table"] == "documents"]
+    assert len(got) == docs.count() and len(found) == len(got) + 7
     assert all(not r["accepted"] for r in got if r["doc_id"] in (201, 202, 204))
 
 
