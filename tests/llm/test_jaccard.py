@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from factmill.llm import jaccard, simhash
 from tests.llm.test_operators import plain_components, words
 
@@ -47,3 +49,19 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     for x in jaccard.jaccard_groups(docs).collect():
         groups.setdefault(x["c"], set()).add(x["doc_id"])
     assert {frozenset(g) for g in groups.values()} == {frozenset(i for i in part if part[i] == c) for c in part.values()}
+
+
+def test_texts_whose_first_hash_clashes_are_apart(spark, monkeypatch):
+    """Different texts stay different texts; copies are one, and blocks are cut by bytes too."""
+    monkeypatch.setattr(jaccard, "text_key", lambda t: [(F.xxhash64(t) % 3).alias("digest"), F.xxhash64(F.lit(1), t).alias("other")])
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+    base = words(70, 60).split()
+    rows = [words(600 + i, 60) for i in range(30)] + [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(2, 58)]
+    docs = spark.createDataFrame(list(enumerate(rows)) + [(1000 + i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    part = plain_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_groups(docs).collect()}
+    least = {}
+    for i, c in sorted(part.items()):
+        least.setdefault(c, i)
+    assert got == {i + add: least[c] for i, c in part.items() for add in (0, 1000)}
