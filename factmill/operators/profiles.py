@@ -100,10 +100,14 @@ COLLATION = "UNICODE"
 
 
 def dedupe_sorted(ranked: Column) -> Column:
-    """ranked: structs of rank, order, at, key, x. Of each key the least rank, the first of equals; by rank, then key."""
-    none = F.filter(ranked, lambda r: F.lit(False))
-    kept = F.aggregate(F.array_sort(ranked), none, lambda acc, r: F.when(F.exists(acc, lambda a: a["key"] == r["key"]), acc).otherwise(F.array_append(acc, r)))
-    return F.transform(kept, lambda r: r["x"])
+    """ranked: structs of rank, order, at, key, x. Of each key the least rank, the first of equals; by rank, then key.
+
+    Sorted by key, each one's first is the one without the same key before it; two sorts, so a row of very many facts
+    costs little more than a short one for each fact."""
+    by_key = F.array_sort(F.transform(ranked, lambda r: F.struct(r["key"].alias("key"), r["rank"].alias("rank"), r["order"].alias("order"), r["at"].alias("at"), r["x"].alias("x"))))
+    firsts = lambda a: F.filter(a, lambda r, i: (i == 0) | (F.get(a, i - 1)["key"] != r["key"]))
+    kept = F.transform(let(by_key, firsts), lambda r: F.struct(r["rank"].alias("rank"), r["order"].alias("order"), r["at"].alias("at"), r["x"].alias("x")))
+    return F.transform(F.array_sort(kept), lambda r: r["x"])
 
 
 def _ranked(values: Column, key: Callable[[Column], Column], rank: Callable[[Column], Column]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factmill.functions.stats import response_cost, round_usd, strict_sum
@@ -29,14 +29,19 @@ def usage_records(attempts: DataFrame, rates: dict[str, object]) -> DataFrame:
     return with_costs(attempts, rates).withColumn("duration_ms", duration_ms(F.col("duration")))
 
 
-def search_summary(attempts: DataFrame, key: str) -> DataFrame:
-    """attempts: key, attempt_ordinal, model, usagePresent, TOKENS, total_usd. Per search: attempts, retries, attempts
-    without usage, sums that are null where any part is, and the model of the first attempt."""
+def summary_columns(attempts: DataFrame) -> list[Column]:
+    """What is known of the attempts of one search."""
     n = F.count(F.lit(1))
-    return attempts.groupBy(key).agg(
+    return [
         F.min_by("model", "attempt_ordinal").alias("model"), n.alias("attempts"), (n - 1).alias("retries"), F.count_if(~F.coalesce("usagePresent", F.lit(False))).alias("missing_usage"),
         *(strict_sum(F.col(t)).alias(t) for t in TOKENS if t in attempts.columns), round_usd(strict_sum(F.col("total_usd"))).alias("total_usd"),
-    )
+    ]
+
+
+def search_summary(attempts: DataFrame, key: str) -> DataFrame:
+    """attempts: key, attempt_ordinal, model, usagePresent, TOKENS, total_usd. Per search: attempts, retries, attempts
+    without usage, sums that are null where any part is, and the model of the first attempt."""
+    return attempts.groupBy(key).agg(*summary_columns(attempts))
 
 
 def search_costs(attempts: DataFrame, key: str, version: str | None) -> DataFrame:

@@ -216,6 +216,31 @@ def search_records(spark, sf_dir):
     return usage.search_costs(records, "conv_id", "v1").join(longest, "conv_id")
 
 
+@query("""WITH a AS (SELECT user_id AS u, event_id, event_type, value, ts, sum(CASE WHEN gap < 14400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+  FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events))
+SELECT u AS user_id, arg_min(event_type, event_id) AS model, count(*) AS attempts, count(*) - 1 AS retries, count(*) FILTER (WHERE event_type = 'error') AS missing_usage,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN sum(event_id)::BIGINT END AS input_tokens, epoch_us(min(ts)) AS began, epoch_us(max(ts)) AS ended FROM a GROUP BY u, s""")
+def stream_searches(spark, sf_dir):
+    """Events as attempts of a user's searches, which end after four hours without another; from a stream in three runs, the
+    last of which also brings an event of nobody long after, so that all are over."""
+    c = F.col
+    e = table(spark, sf_dir, "events")
+    bad = c("event_type") == "error"
+    rows = e.select("user_id", c("ts").cast("timestamp").alias("ts"), c("event_id").alias("attempt_ordinal"), c("event_type").alias("model"), (~bad).alias("usagePresent"), F.when(~bad, c("event_id")).alias("inputTokens"), F.lit(0.0).alias("total_usd"))
+    rows = files.written(rows, "attempts")
+    source, out, checkpoint = (files.scratch(spark, n) for n in ("stream", "searches", "progress"))
+    first, last = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    third = F.floor((F.unix_seconds("ts") - (first or 0)) * 3 / ((last or 0) - (first or 0) + 1))
+    after = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.lit((last or 0) + 864_000)).alias("ts"), *(F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in rows.columns[2:]))
+    for run in range(3):
+        part = rows.where(third == run)
+        (part.unionByName(after) if run == 2 else part).write.mode("append").parquet(source)
+        closed = counters.stream_summaries(spark.readStream.schema(rows.schema).parquet(source), "user_id", "4 hours", "1 hour")
+        closed.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(closed.schema).parquet(out).where("user_id is not null")
+    return done.select("user_id", "model", "attempts", "retries", "missing_usage", c("inputTokens").alias("input_tokens"), F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"))
+
+
 @query("SELECT role AS model, count(*) AS records, sum(turn * 10 + 1)::BIGINT AS took FROM conversations GROUP BY role")
 def usage_log(spark, sf_dir):
     """Records of usage added to a log in two writes, and read back."""

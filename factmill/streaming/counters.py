@@ -1,4 +1,4 @@
-"""Streams of events: daily counters and the last state of jobs."""
+"""Streams of events: daily counters, the last state of jobs, summaries of searches."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from factmill.operators.usage import summary_columns
 from factmill.sources.counter_table import add_counts
 
 
@@ -34,3 +35,16 @@ def stream_rollup(rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], sin
 def latest_states(events: DataFrame) -> DataFrame:
     """Per request and provider the last status by seq: the streaming form of jobs.fold_events."""
     return events.groupBy("request_id", "provider_key").agg(F.max_by(F.struct("status", "error"), "seq").alias("s")).select("request_id", "provider_key", "s.*")
+
+
+def stream_summaries(attempts: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
+    """attempts: a stream of rows as usage.search_summary takes them, with ts. A search is over when ``gap`` has passed
+    without another attempt; once no attempt within ``delay`` can come that is older, its summary is given, once (append
+    mode), as search_summary gives it, with ``began`` and ``ended``. What is held is the sums of open searches.
+
+    An attempt that comes later than delay is dropped. One at a gap or more after the last begins another summary of the
+    same search. Searches that are still open when a stream stops are given by its next run.
+    """
+    late = attempts.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("_w"))
+    out = late.agg(*summary_columns(attempts), F.min("ts").alias("began"), F.max("ts").alias("ended"))
+    return out.drop("_w")
