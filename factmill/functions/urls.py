@@ -30,7 +30,10 @@ KEPT_BY_BROWSERS = "[\u00df\u03c2\u200c\u200d]"
 
 def ascii_host(host: Column) -> Column:
     """A lower-cased host in ASCII: labels with other letters are mapped to their plain forms and written in Punycode, by
-    the JVM's own tables (IDNA of 2003, new letters allowed). Null where that can't be."""
+    the JVM's own tables (IDNA of 2003, new letters allowed). Null where that can't be.
+
+    Spark takes what it asks the JVM for as not deterministic: it may stand in a column, but not inside an aggregate or a
+    join's condition; make it a column first."""
     mapped = F.when(~host.rlike(KEPT_BY_BROWSERS), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host, F.lit(1))))
     return F.when(host.rlike(r"[^\x00-\x7f]"), mapped).otherwise(host)
 

@@ -47,8 +47,6 @@ def score_fields(cases: DataFrame, gold: DataFrame, emitted: DataFrame, key: str
     bad = gold.where((F.col("status") == "unsafe_personal") & (F.col("value_hash") != "")).select(*by, F.col("value_hash").alias("hash"))
     shown = emitted.select(*by, "ordinal", "value", "cited").join(values, [*by, "value"], "left")
     if hmac_key is None:
-        if not bad.isEmpty():
-            raise ValueError("a key is required to score unsafe facts")
         shown = shown.withColumn("leak", F.lit(0))
     else:
         hashed = shown.withColumn("hash", hmac_sha256(F.concat("field", F.lit(":"), "value"), hmac_key))
@@ -60,6 +58,9 @@ def score_fields(cases: DataFrame, gold: DataFrame, emitted: DataFrame, key: str
     )
     met = cases.select(*by).distinct().join(counted, by, "left").join(found, by, "left")
     met = met.withColumn("eligible", F.when(F.col("gold_count") > 0, 1).otherwise(0))
+    if hmac_key is None:
+        unsafe = bad.select(*by).distinct().withColumn("_unsafe", F.lit(True))
+        met = met.join(unsafe, by, "left").where(F.when(F.col("_unsafe"), F.raise_error(F.lit("a key is required to score unsafe facts")).cast("boolean")).otherwise(True))
     return met.select(*by, *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS))
 
 
@@ -222,7 +223,9 @@ def repeats_of(emitted: DataFrame, observations: DataFrame, key: str) -> DataFra
     """emitted: key, repeat, field, ordinal, value (as emitted_facts gives them). observations: key, repeat. Rows for
     repeat_variance: the normalised facts of each observation, and its first fact of each field as one text."""
     by = [key, "repeat"]
-    facts = emitted.groupBy(*by).agg(F.collect_set(normalized_value(F.col("field"), F.col("value"))).alias("facts"), *(F.max(F.when((F.col("field") == f) & (F.col("ordinal") == 0), F.col("value"))).alias(f"_{f}") for f in FIELDS))
+    # A column of its own, as what asks the JVM for a host may not stand in an aggregate.
+    normal = emitted.withColumn("_normal", normalized_value(F.col("field"), F.col("value")))
+    facts = normal.groupBy(*by).agg(F.collect_set("_normal").alias("facts"), *(F.max(F.when((F.col("field") == f) & (F.col("ordinal") == 0), F.col("value"))).alias(f"_{f}") for f in FIELDS))
     met = observations.select(*by).distinct().join(facts, by, "left")
     top = plain_text(F.concat_ws("|", *(F.coalesce(F.col(f"_{f}"), F.lit("")) for f in FIELDS)))
     return met.select(*by, F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), top.alias("top_one"))

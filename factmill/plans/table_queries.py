@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.operators import evaluation, jobs, profiles, rollups, usage, validation
+from factmill.operators import evaluation, jobs, profiles, rollups, scoring, usage, validation
 from factmill.plans import oracle
 from factmill.plans.registry import query, table
 from factmill.sources import counter_table, files
@@ -199,6 +199,46 @@ def unsafe_disclosures(spark, sf_dir):
     return scores.join(customers.select(k, "hash"), "c_custkey").select("c_custkey", "emitted", "unsafe_disclosures", "hash")
 
 
+_RATIO = {"identity_accuracy": "match", "wrong_provider_rate": "present AND NOT match", "failure_rate": "NOT present OR k % 11 = 0"}
+
+
+@query(f"""WITH o AS (SELECT s_suppkey AS k, s_suppkey % 7 > 0 AS present, s_suppkey % 5 > 0 AND s_suppkey % 7 > 0 AS match, s_name, s_nationkey FROM supplier),
+t AS (SELECT count(*) AS cases, {', '.join(f"count(*) FILTER (WHERE {c})::DOUBLE / count(*) AS {n}" for n, c in _RATIO.items())}, 
+  count(*) FILTER (WHERE k % 4 > 0 AND present AND k % 3 > 0)::DOUBLE / nullif(count(*) FILTER (WHERE k % 4 > 0), 0) AS address_agreement, max(s_nationkey)::BIGINT AS max_latency_ms,
+  count(*) FILTER (WHERE present AND k % 2 = 0)::DOUBLE / nullif(count(*) FILTER (WHERE present), 0) AS phone_precision, count(*) FILTER (WHERE present AND k % 2 = 0)::DOUBLE / nullif(count(*), 0) AS phone_recall FROM o)
+SELECT cases, identity_accuracy, wrong_provider_rate, failure_rate, address_agreement, max_latency_ms, phone_precision, phone_recall, 1.0::DOUBLE AS mean_jaccard FROM t""")
+def score_reports(spark, sf_dir):
+    """An evaluation of suppliers from its files to its reports: cases as JSON lines, an observation in a document for each
+    supplier, found through a manifest, and the reports read back."""
+    root = files.scratch(spark, "evaluation")
+    c, k = F.col, F.col("s_suppkey")
+    text = lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
+    npi, moment = F.lpad(k.cast("string"), 10, "0"), F.lit("2026-01-01T00:00:00.000Z")
+    source = F.array(F.struct(F.lit("approved_directory").alias("kind"), F.lit("hospital.org").alias("domain"), moment.alias("capturedAt"), F.lit("e").alias("evidenceId")))
+    phone = lambda n: text("216444", F.lpad(n.cast("string"), 4, "0"))
+    fact = F.struct(phone(k % 10000).alias("value"), F.lit(None).cast("string").alias("valueHash"), F.lit("confirmed_current").alias("status"), F.lit(True).alias("displaySafe"), source.alias("sources"))
+    none = F.filter(F.array(fact), lambda x: F.lit(False))
+    supplier = table(spark, sf_dir, "supplier")
+    request = F.struct(npi.alias("npi"), c("s_name").alias("name"), F.lit("Cardiology").alias("specialty"), F.lit("Ames").alias("city"), F.lit("IA").alias("state"), F.lit("50010").alias("zip"))
+    strata = F.struct(F.lit("individual").alias("entityType"), F.lit("midwest").alias("region"), F.lit("urban").alias("rurality"), F.lit("g").alias("specialtyGroup"), F.array().cast("array<string>").alias("edgeCases"))
+    base = F.struct(moment.alias("capturedAt"), npi.alias("providerId"), c("s_name").alias("name"), F.when(k % 4 > 0, text(k, " Main Street")).alias("address"))
+    gold = F.struct(F.struct(npi.alias("npi"), F.lit("individual").alias("entityType")).alias("identity"), F.array(fact).alias("phones"), none.alias("addresses"), none.alias("websites"), none.alias("ratings"))
+    supplier.select(F.lit(1).alias("schemaVersion"), k.cast("string").alias("caseId"), request.alias("request"), strata.alias("strata"), base.alias("cmsBaseline"), gold.alias("gold")).write.json(f"{root}/cases")
+    shown = F.struct(phone(F.when(k % 2 == 0, k % 10000).otherwise(9999 - k % 10000)).alias("value"), F.lit("s").alias("sourceId"))
+    place = F.struct(F.when(k % 3 > 0, text(k, " main st.")).otherwise("elsewhere").alias("addressLine1"), F.lit("s").alias("sourceId"))
+    profile = F.struct(F.when(k % 5 > 0, npi).otherwise("0000000000").alias("npi"), F.upper("s_name").alias("providerName"), F.array(shown).alias("phoneNumbers"), F.array(place).alias("locations"))
+    seen = supplier.select(k.cast("string").alias("caseId"), F.lit(1).alias("repeat"), F.lit(1).alias("schemaVersion"), c("s_nationkey").cast("long").alias("latencyMs"), F.when(k % 11 == 0, "failed").otherwise("completed").alias("terminalStatus"), F.when(k % 7 > 0, profile).alias("profile"))
+    # The key stands in the document too: what partitions files leaves them.
+    seen.withColumn("part", c("caseId")).write.partitionBy("part").json(f"{root}/observations")
+    supplier.select(text(f"{root}/observations/part=", k).alias("path")).write.text(f"{root}/manifest")
+    scoring.score_files(spark, f"{root}/cases", f"{root}/manifest", f"{root}/reports")
+    report = spark.read.option("multiLine", True).json(f"{root}/reports/aggregate")
+    phones = F.get(F.filter("fields", lambda f: f["field"] == "phones"), 0)
+    means = spark.read.option("multiLine", True).json(f"{root}/reports/repeat-variance/means").select("mean_jaccard", F.lit(1).alias("one"))
+    of = ["cases", "identity_accuracy", "wrong_provider_rate", "failure_rate", "address_agreement", "max_latency_ms"]
+    return report.select(*of, phones["emitted_precision"].alias("phone_precision"), phones["gold_recall"].alias("phone_recall"), F.lit(1).alias("one")).join(means, "one").drop("one")
+
+
 # Usage.
 
 
