@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factmill.functions.text import left_units, name_identity, plain_text
+from factmill.functions.text import identity, left_units, name_identity, plain_text
 
 EXTENSION = r"(?i)(?:ext\.?|extension|x)\s*(\d{1,8})\s*$"
 # Words of an address and their short forms.
@@ -56,8 +56,8 @@ def aggregation_key(*dims: Column) -> Column:
 
 def owner_scope(owner: Column) -> Column:
     """Hash of an owner; an owner that is null or blank fails the job."""
-    name = F.lower(F.trim(owner))
-    return F.sha2(F.when(F.coalesce(name, F.lit("")) != "", name).otherwise(F.raise_error(F.lit("a job needs an owner")).cast("string")), 256)
+    name = identity(owner)
+    return F.sha2(F.when(name != "", name).otherwise(F.raise_error(F.lit("a job needs an owner")).cast("string")), 256)
 
 
 def job_key(prefix: str, owner: Column, request_id: Column) -> Column:
