@@ -57,9 +57,7 @@ def safe_source_id(spark, sf_dir):
     row_number() OVER (PARTITION BY key ORDER BY p_retailprice, p_partkey) AS n FROM part) WHERE n = 1""")
 def fact_key_dedupe(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(text.fact_key(F.col("p_name")).alias("key"), "p_partkey", "p_retailprice")
-    # The least row of a key as an aggregation, which sums on the map side where a window would sort all rows.
-    best = parts.groupBy("key").agg(F.min(F.struct("p_retailprice", "p_partkey")).alias("b"))
-    return best.select("key", "b.p_partkey", "b.p_retailprice")
+    return profiles.dedupe_ranked(parts, ["key"], ["p_retailprice", "p_partkey"]).select("key", "p_partkey", "p_retailprice")
 
 
 @query("""SELECT kind, trim(regexp_replace(lower(trim(name)), '[^a-z0-9]+', ' ', 'g')) AS identity FROM (
@@ -186,7 +184,11 @@ def replace_merge(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS last_type, min(event_id) AS first_at FROM events GROUP BY user_id")
 def last_wins_index(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min("event_id").alias("first_at"))
+    """Users meet the last of their events, as observations meet the last version of their case."""
+    events = table(spark, sf_dir, "events")
+    users = events.groupBy("user_id").agg(F.min("event_id").alias("first_at"))
+    met = evaluation.join_cases(users, events.select("user_id", "event_id", F.col("event_type").alias("last_type")), "user_id", "event_id")
+    return met.select("user_id", "last_type", "first_at")
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -369,15 +371,17 @@ def repeat_variance(spark, sf_dir):
 
 @query("SELECT user_id, max(n) / sum(n)::DOUBLE AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) GROUP BY user_id")
 def mode_share(spark, sf_dir):
-    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").count()
-    return n.groupBy("user_id").agg((F.max("count") / F.sum("count")).alias("share"))
+    """The share of a user's most frequent kind of event, as the first facts of repeats are compared."""
+    repeats = table(spark, sf_dir, "events").select("user_id", F.array().cast("array<string>").alias("facts"), F.col("event_type").alias("top_one"))
+    return evaluation.repeat_variance(repeats, "user_id").select("user_id", F.col("top_one_agreement").alias("share"))
 
 
 @query("""SELECT user_id, avg(gap)::DOUBLE AS mean_ms, max(gap) AS max_ms FROM (SELECT user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id""")
 def latency_stats(spark, sf_dir):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    gap = ms - F.lag(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("gap", gap).groupBy("user_id").agg(F.avg("gap").alias("mean_ms"), F.max("gap").alias("max_ms"))
+    """The time from each event to the user's next, as the latency of an observation."""
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    timed = evaluation.with_latency(table(spark, sf_dir, "events").withColumn("before", before), "before", "ts")
+    return timed.groupBy("user_id").agg(F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"))
 
 
 @query("""SELECT event_id, CASE WHEN ts + to_seconds(CASE WHEN event_type = 'purchase' THEN 1800 ELSE 3600 END) > TIMESTAMP '2024-01-15 00:00:00' THEN event_type ELSE 'expired' END AS status FROM events""")

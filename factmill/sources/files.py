@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from datetime import datetime
 
@@ -32,11 +33,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Inputs below this are dealt to all cores, as one small file with one row group is one task.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer than two partitions a core, as one small file with one row group
-    does; what is shuffled then is less than two partitions a core. Larger inputs are left as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    """df over all cores where what it reads is less than SPREAD_BYTES, by the plan's own statistics; that is what is
+    shuffled at most, on whatever cluster. Larger inputs are left as they lie: Spark cuts their files by bytes."""
+    read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if read < SPREAD_BYTES else df
+
+
+def remove_written(spark: SparkSession, seconds: float = 86_400) -> int:
+    """Removes what ``written`` and ``scratch``, and the training-data operators, left in the shared folder that long ago;
+    gives how many. Results are read from these tables lazily, so no job that needs them may still run."""
+    folder = scratch(spark, "x").rsplit("/", 1)[0]
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in store.listStatus(root) if time.time() - s.getModificationTime() / 1000 > seconds] if store.exists(root) else []
+    return sum(bool(store.delete(p, True)) for p in old)
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:

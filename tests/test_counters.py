@@ -1,6 +1,7 @@
 """Tables of counters: batches count once, readers see one version, dead writers leave nothing; days are UTC days."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,24 @@ def test_an_observation_of_no_case_fails(spark):
     assert evaluation.join_cases(seen.where("caseId = 'a'"), cases, "caseId", "version").count() == 1
     with pytest.raises(Exception, match="names no case: b"):
         evaluation.join_cases(seen, cases, "caseId", "version").collect()
+
+
+def test_what_was_written_can_be_removed(spark, tmp_path):
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named and not named.startswith("file:///tmp"):
+        pytest.skip("the shared folder isn't this test's")
+    table = files.written(spark.range(10), "gone")
+    assert table.count() == 10 and files.remove_written(spark, 3600) == 0 and table.count() == 10
+    path = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    os.utime(path, (1e9, 1e9))
+    assert files.remove_written(spark, 10**6) == 1 and not os.path.exists(path)
+    assert spark.conf.get("spark.checkpoint.dir", None) == held
+
+
+def test_small_inputs_are_spread_and_large_ones_left(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert files.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(files, "SPREAD_BYTES", 10)
+    assert files.spread(df).rdd.getNumPartitions() == 1
