@@ -38,8 +38,10 @@ def at(spark, docs, tmp_path_factory):
     full, none = (tmp_path_factory.mktemp(n) for n in ("full", "none"))
     r = random.Random(5)
     pages = spark.createDataFrame([(1, "http://a.com/en/1", "x" * 2000), (2, "https://www.a.com/en/1?ref=x", "x" * 2000), (3, None, None), (4, "no scheme", ""), (5, "http://EXAMPLE.com/en/7", "<html>" + "y" * 999), (6, "http://b.net", "x" * 2000), (6, "http://b.net", "x" * 2000)], "page_id long, url string, html string")
-    vectors = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(320)] + [(100, [1.0] * 4), (500, None), (600, [1.0, None, 0.0, 0.0]), (700, [float("nan")] * 4), (None, [1.0] * 4)], "vec_id long, embedding array<double>")
-    for name, df in {"documents": docs, "pages": pages, "embeddings": vectors}.items():
+    vectors = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(320)] + [(100, [1.0] * 4), (500, None), (600, [1.0, None, 0.0, 0.0]), (700, [float("nan")] * 4), (None, [1.0] * 4)], "vec_id long, embedding array<double>").withColumn("label", (F.col("vec_id") % 3).cast("int"))
+    talks = spark.createDataFrame([(i, k, r.choice(["user", None]), r.choice(["hi", "", None])) for i in range(12) for k in range(i % 5)] + [(None, 1, "user", "x"), (3, None, None, None)], "conv_id long, turn long, role string, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 30)] + [(None, 1, 0), (100, None, 0)], "doc_id long, quality int, toxic int")
+    for name, df in {"documents": docs, "pages": pages, "embeddings": vectors, "conversations": talks, "labels": labels}.items():
         df.write.parquet(f"{full}/{name}.parquet")
         df.limit(0).write.parquet(f"{none}/{name}.parquet")
     return str(full), str(none)
