@@ -111,7 +111,7 @@ def plain_trie(rows):
     )
 
 
-def _talks(seed, n=70):
+def _talks(seed, n=50):
     """Conversations that share beginnings, copies of one, snapshots of one as it grows, and long ones."""
     r = random.Random(seed)
     rows, common = [], [("user", "héllo"), ("assistant", "hi"), ("user", "x" * 40)]
@@ -131,7 +131,7 @@ def _talks(seed, n=70):
     return rows
 
 
-@pytest.mark.parametrize("local_turns", [1, 60, trie.LOCAL_TURNS])
+@pytest.mark.parametrize("local_turns", [12, trie.LOCAL_TURNS])
 def test_op12_equals_the_plain_version(spark, local_turns):
     rows = _talks(local_turns)
     df = spark.createDataFrame([(*x, "", 0) for x in rows] + [(None, 1, "user", "nobody", "", 0)], "conv_id long, turn long, role string, text string, seq string, depth int").repartition(6)
