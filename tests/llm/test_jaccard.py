@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factmill.llm import jaccard, simhash
@@ -65,3 +66,54 @@ def test_texts_whose_first_hash_clashes_are_apart(spark, monkeypatch):
     for i, c in sorted(part.items()):
         least.setdefault(c, i)
     assert got == {i + add: least[c] for i, c in part.items() for add in (0, 1000)}
+
+
+def test_fingerprints_alone_connect_near_copies(spark, monkeypatch):
+    """Without MinHash bands too: the blocks of the fingerprints and their distance find all of the candidates of some
+    0.88 and most of those just above 0.8."""
+    monkeypatch.setattr(jaccard, "band_rows", lambda nodes: jaccard.print_rows(nodes).where("false"))
+    r = random.Random(23)
+
+    def copy(w, changes):
+        v = list(w)
+        for k in r.sample(range(250), changes):
+            v[k] = f"new{r.random()}"
+        return " ".join(v)
+
+    rows = [copy(words(900 + i, 250).split(), n) for i in range(60) for n in (0, 1, 2, 3, 40)] + ["", " \t", None]
+    whole = len(rows)
+    rows += [copy(words(2000 + i, 250).split(), n) for i in range(60) for n in (0, 5)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").split() for t in rows)]
+    part = plain_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = {}
+    for i, c in sorted(part.items()):
+        least.setdefault(c, i)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_groups(docs).collect()}
+    assert {i: got[i] for i in range(whole)} == {i: least[part[i]] for i in range(whole)}
+    close = [i for i in range(whole, len(rows)) if least[part[i]] != i]
+    assert len(close) >= 50 and sum(got[i] == least[part[i]] for i in close) >= 0.75 * len(close)
+
+
+def test_pairs_are_held_against_the_distance_of_their_fingerprints(spark):
+    """Against plain bits; sets of similarity 0.8 lie within the distance, unrelated ones beyond, and 47 bits always meet."""
+    r = random.Random(5)
+    shared = [np.array(sorted(r.sample(range(1 << 62), 50)), np.uint64) for _ in range(20)]
+    sets = [s[k : k + 45] for s in shared for k in (0, 5)] + [np.zeros(0, np.uint64)] * 2
+    prints = jaccard.set_prints(sets)
+    flipped = prints.copy()
+    for row in flipped:
+        for bit in [64 * w + b for w in range(jaccard.PRINT_WORDS) for b in r.sample(range(64), 4)][:-1]:
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    every = np.concatenate([prints, flipped])
+    nodes = spark.createDataFrame([(i, p.view(np.int64).tolist()) for i, p in enumerate(every)], "node long, print array<bigint>")
+    apart = [[bin(int.from_bytes(a.tobytes()) ^ int.from_bytes(b.tobytes())).count("1") for b in prints] for a in prints]
+    pairs = spark.createDataFrame([(a, b) for a in range(len(sets)) for b in range(a)], "a long, b long")
+    got = {(x["a"], x["b"]) for x in jaccard.print_pairs(pairs, nodes).collect()}
+    assert got == {(a, b) for a in range(len(sets)) for b in range(a) if apart[a][b] <= jaccard.DISTANCE} == {(k + 1, k) for k in range(0, len(sets), 2)}
+    meet = {(x["part"], x["key"], x["node"]) for x in jaccard.print_rows(nodes).collect()}
+    buckets = {}
+    for part, key, node in meet:
+        buckets.setdefault((part, key), set()).add(node)
+    assert len(meet) == len(every) * 96
+    assert all(any({i, i + len(sets)} <= b for b in buckets.values()) for i in range(len(sets)))
