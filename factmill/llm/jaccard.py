@@ -31,6 +31,8 @@ _STEPS = np.arange(1, PRINT_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 #: Up to so many members of a bucket are all paired at once; larger ones first with one member, then in blocks of some
 #: BLOCK members or BLOCK_BYTES of text, two at a time.
 SMALL, BLOCK, BLOCK_BYTES = 4, 256, 4 << 20
+#: The part of groups that are no bucket's, but of a component and those that share buckets with it.
+HOME = -1
 _FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Shingles whose least hashes are taken at a time.
 CHUNK = 1 << 15
@@ -198,8 +200,8 @@ def _links(pairs: DataFrame, large: DataFrame, nodes: DataFrame, texts: DataFram
 
 
 def _block_links(block: pa.Table) -> pa.Table:
-    """Links that connect the members of two blocks of a bucket, or of one, as all of their pairs of similarity LEAST
-    or more do: pairs of one component are skipped, and a link makes one component of two."""
+    """Links that connect the members of two blocks, or of one, as all of their pairs of similarity LEAST or more do:
+    pairs of one component are skipped, and a link makes one component of two."""
     side = block["side"].to_numpy()
     node, sets = block["node"].to_numpy(), shingle_sets(block["text"].to_pylist())
     label = np.unique(block["c"].to_numpy(), return_inverse=True)[1]
@@ -207,7 +209,7 @@ def _block_links(block: pa.Table) -> pa.Table:
     code = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1]
     ends = np.cumsum(size)
     starts = ends - size
-    whole = block["lo"][0].as_py() == block["hi"][0].as_py()
+    whole = block["part"][0].as_py() >= 0 and block["lo"][0].as_py() == block["hi"][0].as_py()
     mark = np.zeros(len(code) and int(code.max()) + 1, bool)
     out: list[tuple[int, int]] = []
     for i in np.flatnonzero(side == 0).tolist():
@@ -228,15 +230,67 @@ def _block_links(block: pa.Table) -> pa.Table:
     return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
 
 
+def _blocks(n: Column, size: Column) -> Column:
+    """Blocks of so many members of so many bytes: by both, so a block of long texts has few."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _placed(rows: DataFrame, part: Column, key: str, own: str, others: str, side: int) -> DataFrame:
+    """Each row in its block, one of the count in column own, once for each block of the other side."""
+    block, other = F.pmod(F.xxhash64("node"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+    dealt = rows.select(part.cast("int").alias("part"), F.col(key).alias("key"), "node", "c", block.alias("hi" if side else "lo"), other.alias("lo" if side else "hi"))
+    return dealt.select("part", "key", "lo", "hi", F.lit(side).alias("side"), "node", "c")
+
+
+def block_members(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """large: part, key, node, the members of large buckets; labels: node, size, c (its component). Groups (part, key,
+    lo, hi) of members to compare, side 0 with side 1, or all where part isn't negative and lo and hi are one block: each
+    two members of one bucket and two components meet in one group at least.
+
+    The home of a bucket is the component that has most of its members; the others are its guests. They meet all of the
+    home, whatever buckets they share with it, in groups of that home (part HOME), or else its members in each bucket
+    (part below HOME), whichever moves fewer rows. Among each other the guests of a bucket meet in blocks of that bucket.
+    So the members of a component are never dealt against each other.
+    """
+    members = materialize(large.join(labels, "node").select("part", "key", "node", "size", "c"), "members")
+    counted = members.groupBy("part", "key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    counted = counted.groupBy("part", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "c", "bytes")).alias("home")).where("parts > 1")
+    counted = counted.select("part", "key", "parts", F.col("home.c").alias("home"), (F.col("n") - F.col("home.n")).alias("guests"), (F.col("bytes") - F.col("home.bytes")).alias("bytes"), F.col("home.n").alias("hosts"), F.col("home.bytes").alias("home_bytes"))
+    moved = F.col("guests") * F.col("host_blocks") + F.col("hosts") * F.col("guest_blocks")
+    # Written, as are the homes, so that both sides of a join are plain shuffles, which AQE can split where a key is hot.
+    buckets = counted.withColumns({"guest_blocks": _blocks(F.col("guests"), F.col("bytes")), "host_blocks": _blocks(F.col("hosts"), F.col("home_bytes"))})
+    buckets = materialize(buckets.select("part", "key", "parts", "home", "guest_blocks", "host_blocks", moved.alias("moved")), "open")
+    outside = materialize(members.join(buckets, ["part", "key"]).where("c <> home").select(*members.columns, "parts", "home", "guest_blocks"), "outside")
+
+    guests = materialize(outside.select("home", "node", "size", "c").distinct(), "guests")
+    counts = guests.groupBy("home").agg(F.count(F.lit(1)).alias("guests"), _blocks(F.count(F.lit(1)), F.sum("size")).alias("guest_blocks"))
+    hosts = labels.groupBy(F.col("c").alias("home")).agg(F.count(F.lit(1)).alias("hosts"), _blocks(F.count(F.lit(1)), F.sum("size")).alias("host_blocks"))
+    apart = buckets.groupBy("home").agg(F.sum("moved").alias("apart"))
+    homes = materialize(counts.join(hosts, "home").join(apart, "home").select("home", "guest_blocks", "host_blocks", (moved <= F.col("apart")).alias("whole")), "homes")
+    whole = homes.where("whole")
+    coming = _placed(guests.join(whole, "home"), F.lit(HOME), "home", "guest_blocks", "host_blocks", 0)
+    living = _placed(labels.withColumn("home", F.col("c")).join(whole, "home"), F.lit(HOME), "home", "host_blocks", "guest_blocks", 1)
+
+    own = materialize(buckets.join(homes.where("not whole").select("home"), "home"), "own")
+    held = members.join(own.drop("parts", "moved"), ["part", "key"])
+    part = HOME - 1 - F.col("part")
+    here = _placed(held.where("c <> home"), part, "key", "guest_blocks", "host_blocks", 0).union(_placed(held.where("c = home"), part, "key", "host_blocks", "guest_blocks", 1))
+
+    dealt = _placed(outside.where("parts > 2"), F.col("part"), "key", "guest_blocks", "guest_blocks", 0)
+    lo, hi = F.least("lo", "hi"), F.greatest("lo", "hi")
+    among = dealt.select("part", "key", lo.alias("lo"), hi.alias("hi"), F.when(F.col("lo") == lo, 0).otherwise(1).alias("side"), "node", "c")
+    return coming.union(living).union(here).union(among)
+
+
 def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """nodes: node, KEY, size (bytes), print, bands, distinct; texts: KEY, text, distinct. Pairs a, b of similarity
     LEAST or more that connect the nodes as all such pairs do that share a bucket, of fingerprints or of bands.
 
     Pairs of a bucket are first held against DISTANCE, then compared as texts.
 
-    In a large bucket all members meet the first. If that doesn't connect them, the bucket is dealt into blocks, and
-    each two blocks are a group whose members are compared where they lie: a member moves once for each block of its
-    bucket, no pair is ever a row, and two members are left uncompared only where they are connected.
+    In a large bucket all members meet the first. If that doesn't connect them, those outside of the component that has
+    most of them meet that component and each other, in groups of two blocks whose members are compared where they lie
+    (block_members): no pair is ever a row, and two members are left uncompared only where they are connected.
     """
     rows = print_rows(nodes).union(band_rows(nodes))
     dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), "part", "key").sortWithinPartitions("part", "key", "node")
@@ -246,16 +300,8 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     if large.isEmpty():
         return links
     parts = connected_components(links)
-    sized = large.join(parts, "node", "left").join(nodes.select("node", "size"), "node")
-    members = materialize(sized.select("part", "key", "node", "size", F.coalesce("component", "node").alias("c")), "members")
-    open_ = members.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
-    # By count and by bytes: a block of long texts has few.
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    apart = members.join(open_.select("part", "key", blocks.alias("blocks")), ["part", "key"])
-    apart = apart.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    placed = apart.select("part", "key", lo.alias("lo"), hi.alias("hi"), F.when(F.col("block") == lo, 0).otherwise(1).alias("side"), "node", "c")
-    late = placed.join(compared, "node").groupBy("part", "key", "lo", "hi").applyInArrow(_block_links, "a long, b long")
+    labels = materialize(nodes.join(parts, "node", "left").select("node", "size", F.coalesce("component", "node").alias("c")), "labels")
+    late = block_members(large, labels).join(compared, "node").groupBy("part", "key", "lo", "hi").applyInArrow(_block_links, "a long, b long")
     return links.union(materialize(late, "late"))
 
 

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicates against all pairs by brute force."""
 
 import random
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -117,3 +118,62 @@ def test_pairs_are_held_against_the_distance_of_their_fingerprints(spark):
         buckets.setdefault((part, key), set()).add(node)
     assert len(meet) == len(every) * 96
     assert all(any({i, i + len(sets)} <= b for b in buckets.values()) for i in range(len(sets)))
+
+
+def test_a_group_of_near_copies_moves_with_its_size_not_its_square(spark, monkeypatch, tmp_path):
+    """Texts in large buckets that nothing links to the group of copies there meet it once for each of its blocks; its
+    members, in one component already, are not dealt against each other. Twice the group moves about twice the rows."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    inner = jaccard._block_links
+
+    def run(copies):
+        log = tmp_path / f"rows{copies}"
+        log.mkdir()
+
+        def logged(block):
+            with open(log / str(uuid.uuid4()), "w") as f:
+                f.write(str(block.num_rows))
+            return inner(block)
+
+        monkeypatch.setattr(jaccard, "_block_links", logged)
+        r = random.Random(31)
+        base = words(41, 200).split()
+        rows = []
+        for changes in [1] * copies + [9] * 6:
+            v = list(base)
+            for k in r.sample(range(8, 192), changes):
+                v[k] = f"new{r.random()}"
+            rows.append(" ".join(v))
+        sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+        part = plain_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+        least = {}
+        for i, c in sorted(part.items()):
+            least.setdefault(c, i)
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        assert {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_groups(docs).collect()} == {i: least[c] for i, c in part.items()}
+        assert len(least) == 7
+        return sum(int(f.read_text()) for f in log.iterdir())
+
+    few, many = run(64), run(128)
+    assert 0 < few and many <= 2.5 * few
+
+
+def test_members_of_two_components_meet_in_a_group(spark, monkeypatch):
+    """Any two members of a bucket and of two components, where the home is met as a whole and where bucket by bucket."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = random.Random(8)
+    label = {node: (0 if node < 60 else 1000 if node < 500 else node) for node in range(560)}
+    buckets = {(p, k): r.sample(range(60), 40) + r.sample(range(500, 512), r.randint(4, 12)) for p in range(5) for k in range(3)}
+    buckets |= {(7, k): r.sample(range(60, 500), 6) + r.sample(range(560), 1 + 5 * k) for k in range(3)}
+    buckets = {k: sorted(set(v)) for k, v in buckets.items()} | {(9, 0): list(range(10))}
+    large = spark.createDataFrame([(p, k, x) for (p, k), v in buckets.items() for x in v], "part int, key long, node long")
+    labels = spark.createDataFrame([(x, 10, c) for x, c in label.items()], "node long, size long, c long")
+    groups = {}
+    for x in jaccard.block_members(large, labels).collect():
+        groups.setdefault((x["part"], x["key"], x["lo"], x["hi"]), ([], []))[x["side"]].append(x["node"])
+    met = set()
+    for (part, _, lo, hi), (a, b) in groups.items():
+        met |= {frozenset((x, y)) for x in a for y in (a if part >= 0 and lo == hi else b) if label[x] != label[y]}
+    assert {frozenset((x, y)) for v in buckets.values() for x in v for y in v if label[x] != label[y]} <= met
+    assert {part < jaccard.HOME for part, *_ in groups if part < 0} == {True, False}
+    assert not any(part == 9 for part, *_ in groups)
