@@ -4,6 +4,7 @@ blocks and then by distance, each verified exactly. MinHash bands add candidates
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ _STEPS = np.arange(1, PRINT_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 SMALL, BLOCK, BLOCK_BYTES = 4, 256, 4 << 20
 #: The part of groups that are no bucket's, but of a component and those that share buckets with it.
 HOME = -1
+#: The parts of pairs: all of a small bucket, and those of a large one with its first member.
+ALL, STAR = -1, -2
 _FACTORS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 #: Shingles whose least hashes are taken at a time.
 CHUNK = 1 << 15
@@ -126,7 +129,7 @@ def text_key(text: Column) -> list[Column]:
 
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (part, key, node) sorted by all three: pairs of each bucket. A bucket of up to SMALL gives all of its
-    pairs; a larger one those with its first member, and its rows again (part is then not -1). No bucket is held."""
+    pairs (part ALL); a larger one those with its first member (part STAR), and its rows again. No bucket is held."""
     head: list[int] = []
     now: tuple | None = None
     out: list[tuple] = []
@@ -139,20 +142,22 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         met[1:-1] = same[1:] | same[:-1]
         for part, key, node in zip(*(c[met].tolist() for c in columns), strict=True):
             if (part, key) != now:
+                out.extend((ALL, 0, *p) for p in combinations(head, 2))
                 now, head, first, count = (part, key), [], node, 0
             count += 1
             if count <= SMALL:
-                out.extend((-1, 0, x, node) for x in head)
                 head.append(node)
             else:
                 if count == SMALL + 1:
+                    out.extend((STAR, 0, first, x) for x in head[1:])
                     out.extend((part, key, x, x) for x in head)
                     head = []
-                out.append((-1, 0, first, node))
+                out.append((STAR, 0, first, node))
                 out.append((part, key, node, node))
             if len(out) > 1 << 16:
                 yield _pairs(out)
                 out = []
+    out.extend((ALL, 0, *p) for p in combinations(head, 2))
     yield _pairs(out)
 
 
@@ -190,6 +195,14 @@ def print_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").where(apart <= DISTANCE).select("a", "b")
 
 
+def hub_pairs(stars: DataFrame) -> DataFrame:
+    """Four of the pairs a, b of each b at most: a node is in up to one large bucket a part and may meet as many first
+    members. They connect most of a group; what they leave apart meets in block_members all the same."""
+    by = F.xxhash64("a", "b")
+    hubs = F.array_distinct(F.array(F.min("a"), F.max("a"), F.min_by("a", by), F.max_by("a", by)))
+    return stars.groupBy("b").agg(hubs.alias("hubs")).select(F.explode("hubs").alias("a"), "b")
+
+
 def _links(pairs: DataFrame, large: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Those of the pairs whose texts are at least LEAST alike, and the texts of pairs and of large buckets."""
     pairs = materialize(print_pairs(pairs.distinct(), nodes), "pairs")
@@ -288,15 +301,16 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     Pairs of a bucket are first held against DISTANCE, then compared as texts.
 
-    In a large bucket all members meet the first. If that doesn't connect them, those outside of the component that has
+    In large buckets each member meets a few of their first ones. If that doesn't connect a bucket, those outside of the component that has
     most of them meet that component and each other, in groups of two blocks whose members are compared where they lie
     (block_members): no pair is ever a row, and two members are left uncompared only where they are connected.
     """
     rows = print_rows(nodes).union(band_rows(nodes))
     dealt = rows.repartition(shuffle_partitions(nodes.sparkSession), "part", "key").sortWithinPartitions("part", "key", "node")
     found = materialize(dealt.mapInArrow(_bucket_pairs, "part int, key long, a long, b long"), "buckets")
-    large = found.where("part <> -1").select("part", "key", F.col("a").alias("node"))
-    links, compared = _links(found.where("part = -1").select("a", "b"), large, nodes, texts)
+    large = found.where("part >= 0").select("part", "key", F.col("a").alias("node"))
+    stars = hub_pairs(found.where(F.col("part") == STAR).select("a", "b"))
+    links, compared = _links(found.where(F.col("part") == ALL).select("a", "b").union(stars), large, nodes, texts)
     if large.isEmpty():
         return links
     parts = connected_components(links)

@@ -177,3 +177,31 @@ def test_members_of_two_components_meet_in_a_group(spark, monkeypatch):
     assert {frozenset((x, y)) for v in buckets.values() for x in v for y in v if label[x] != label[y]} <= met
     assert {part < jaccard.HOME for part, *_ in groups if part < 0} == {True, False}
     assert not any(part == 9 for part, *_ in groups)
+
+
+def test_a_member_of_many_large_buckets_meets_few_of_their_first(spark, monkeypatch):
+    """Pairs of a group of copies grow with its members, not with the buckets of each; small buckets give all pairs."""
+    seen = []
+    inner = jaccard.print_pairs
+    monkeypatch.setattr(jaccard, "print_pairs", lambda pairs, nodes: seen.append(pairs.count()) or inner(pairs, nodes))
+    r = random.Random(77)
+    base = words(43, 60).split()
+    rows = [" ".join("x" + str(r.random()) if k in at else w for k, w in enumerate(base)) for at in (r.sample(range(60), 2) for _ in range(200))]
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    part = plain_components(list(range(len(rows))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = {}
+    for i, c in sorted(part.items()):
+        least.setdefault(c, i)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_groups(docs).collect()} == {i: least[c] for i, c in part.items()}
+    assert len(seen) == 1
+    buckets = [(p, 0, x) for p in range(50) for x in range(p, 70)] + [(60, 1, x) for x in (1, 2, 3, 4)]
+    import pyarrow as pa
+
+    batch = pa.table({"part": pa.array([b[0] for b in buckets], pa.int32()), "key": [b[1] for b in buckets], "node": [b[2] for b in buckets]}).to_batches()
+    got = [tuple(x.values()) for b in jaccard._bucket_pairs(iter(batch)) for x in b.to_pylist()]
+    assert sorted(x[2:] for x in got if x[0] == jaccard.ALL) == [(a, b) for a in range(1, 5) for b in range(a + 1, 5)]
+    stars = [x[2:] for x in got if x[0] == jaccard.STAR]
+    assert sorted(stars) == sorted((p, x) for p in range(50) for x in range(p + 1, 70))
+    hubs = [(x["a"], x["b"]) for x in jaccard.hub_pairs(spark.createDataFrame(stars, "a long, b long")).collect()]
+    assert len(set(hubs)) == len(hubs) <= 4 * 69 and set(hubs) <= set(stars) and {b for _, b in hubs} == set(range(1, 70))
