@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,25 +16,27 @@ TEXT_KEYS = ("value", "text", "content", "name", "title", "label")
 
 
 def part(v: Column, key: str) -> Column:
-    """A member of an object as a variant; null for other kinds."""
+    """A member of an object as a variant, or a member of a member (a.b); null for other kinds."""
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
-def kind(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+def is_object(v: Column) -> Column:
+    """Asked as a cast to a struct without fields, which looks at no member; a schema would name all of them."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
-def is_object(v: Column) -> Column:
-    return kind(v).startswith("OBJECT")
+def is_array(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<boolean>").isNotNull()
 
 
-def is_string(v: Column) -> Column:
-    return kind(v) == "STRING"
+def kind(v: Column) -> Column:
+    """OBJECT, ARRAY, VOID or the type of a scalar. v is best a column or a variable, as it stands here more than once."""
+    return F.when(is_object(v), "OBJECT").when(is_array(v), "ARRAY").otherwise(F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
 
 
 def text_of(v: Column) -> Column:
     """A string; null for other kinds."""
-    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 # Written as SQL, as it stands in many places of a profile: the text is parsed faster than columns are put together.
@@ -45,13 +50,14 @@ _NUMBER = (
     "CASE WHEN NOT contains(CAST(d AS STRING), 'E') THEN regexp_replace(regexp_replace(CAST(d AS STRING), '[.]0$', ''), '^-0$', '0') ELSE get(transform(array("
     f"{_SHORT}), t -> CASE WHEN abs(d) >= 1 AND abs(d) < 1e21D THEN {_FIXED.format(16)} WHEN abs(d) >= 1e-6D AND abs(d) < 1 THEN {_FIXED.format(24)} ELSE regexp_replace(t, 'e([+-])0', 'e$1') END), 0) END"
 )
+_OBJECT = "try_variant_get({0}, '$', 'struct<>') IS NOT NULL"
 #: Strings and numbers as strings; booleans and the rest as null.
 _SCALAR = f"CASE WHEN {_KIND} = 'STRING' THEN try_variant_get({{0}}, '$', 'string') WHEN NOT {_KIND} RLIKE {_NO_NUMBER} THEN get(transform(array(try_variant_get({{0}}, '$', 'double')), d -> {_NUMBER}), 0) END"
 _TOP = "get(s.stack, 0)"
-_INNER = f"CASE WHEN {_KIND.format(_TOP)} LIKE 'OBJECT%' THEN filter(array({', '.join(f"try_variant_get({_TOP}, '$.{k}', 'variant')" for k in TEXT_KEYS)}), m -> m IS NOT NULL) ELSE CAST(array() AS ARRAY<VARIANT>) END"
+_INNER = f"CASE WHEN {_OBJECT.format(_TOP)} THEN filter(array({', '.join(f"try_variant_get({_TOP}, '$.{k}', 'variant')" for k in TEXT_KEYS)}), m -> m IS NOT NULL) ELSE CAST(array() AS ARRAY<VARIANT>) END"
 _REST = "CASE WHEN size(s.stack) > 1 THEN slice(s.stack, 2, size(s.stack)) ELSE CAST(array() AS ARRAY<VARIANT>) END"
 #: Whether a member ends the search: a string that isn't empty, or a number.
-_TEXT = f"{_KIND.format(_TOP)} NOT RLIKE {_NO_NUMBER} OR {_KIND.format(_TOP)} = 'STRING' AND try_variant_get({_TOP}, '$', 'string') <> ''"
+_TEXT = f"NOT {_OBJECT.format(_TOP)} AND ({_KIND.format(_TOP)} NOT RLIKE {_NO_NUMBER} OR {_KIND.format(_TOP)} = 'STRING' AND try_variant_get({_TOP}, '$', 'string') <> '')"
 #: The first text under TEXT_KEYS, depth first: a stack of members, the next to look at in front. Each object puts six
 #: members there at most, so there are as many steps as the value's brackets allow: the search ends by what is left, at
 #: whatever depth or width.
@@ -59,98 +65,108 @@ _NESTED = (
     f"aggregate(sequence(1, 1 + {len(TEXT_KEYS)} * regexp_count(CAST(v AS STRING), '[{{]')), named_struct('stack', array(v), 'found', CAST(NULL AS VARIANT)), "
     f"(s, i) -> CASE WHEN s.found IS NOT NULL OR size(s.stack) = 0 THEN s WHEN {_TEXT} THEN named_struct('stack', CAST(array() AS ARRAY<VARIANT>), 'found', {_TOP}) ELSE named_struct('stack', concat({_INNER}, {_REST}), 'found', CAST(NULL AS VARIANT)) END).found"
 )
-_COERCED = f"v -> get(transform(array(CASE WHEN {_KIND.format('v')} LIKE 'OBJECT%' THEN {_NESTED} ELSE v END), x -> {_SCALAR.format('x')}), 0)"
+_COERCED = f"v -> CASE WHEN v IS NOT NULL THEN get(transform(array(CASE WHEN {_OBJECT.format('v')} THEN {_NESTED} ELSE v END), x -> {_SCALAR.format('x')}), 0) END"
+
+
+def _texts(options: list[Column]) -> Column:
+    """The text of each of the values. One call serves all members of an object, as the expression is long."""
+    return F.call_function("transform", F.array(*options), F.expr(_COERCED))
 
 
-def first_text(*options: Column) -> Column:
+def _first(texts: Column) -> Column:
     """The first that isn't null or empty."""
-    return F.coalesce(*(F.nullif(o, F.lit("")) for o in options))
+    return F.get(F.filter(texts, lambda s: s != ""), 0)
 
 
-def _texts(*options: Column) -> Column:
-    return F.call_function("transform", F.array(*options), F.expr(_COERCED))
+def _named(groups: dict[str, list[Column]], body: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """body of a function that gives, for the name of a group of values, the first text in it that isn't empty."""
+    options = [o for group in groups.values() for o in group]
+    ends = dict(zip(groups, accumulate(len(g) for g in groups.values()), strict=True))
+    return let(_texts(options), lambda t: body(lambda name: _first(F.slice(t, ends[name] - len(groups[name]) + 1, len(groups[name])))))
 
 
-def coerce_string(v: Column) -> Column:
-    """A scalar, or the first text that an object holds under TEXT_KEYS, however deep and among however many members."""
-    return F.get(_texts(v), 0)
+def _members(v: Column, *keys: str) -> list[Column]:
+    return [part(v, k) for k in keys]
 
 
-def first_string(*options: Column) -> Column:
-    """The first of the values that has a text which isn't empty."""
-    return F.get(F.call_function("filter", _texts(*options), F.expr("s -> s <> ''")), 0)
+def coerce_string(v: Column) -> Column:
+    """A scalar, or the first text that an object holds under TEXT_KEYS, however deep and among however many members."""
+    return F.get(_texts([v]), 0)
 
 
 def strings(v: Column, *keys: str) -> Column:
-    return first_string(*(part(v, k) for k in keys))
+    """The first of the members that has a text which isn't empty."""
+    return _first(_texts(_members(v, *keys)))
 
 
 def truthy(v: Column) -> Column:
     """Whether JavaScript takes a value for true: not null, false, zero or an empty string."""
-    k = kind(v)
-    empty = F.when(k == "STRING", F.try_variant_get(v, "$", "string") == "").when(k == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean")).when(k.rlike("^(?:OBJECT|ARRAY)"), False).otherwise(F.try_variant_get(v, "$", "double") == 0)
-    return v.isNotNull() & (k != "VOID") & ~F.coalesce(empty, F.lit(False))
+    k = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    scalar = F.when(k == "VOID", False).when(k == "STRING", F.try_variant_get(v, "$", "string") != "").when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).otherwise(F.coalesce(F.try_variant_get(v, "$", "double") != 0, F.lit(True)))
+    return F.when(is_object(v) | is_array(v), True).otherwise(F.coalesce(scalar, F.lit(False)))
 
 
 def items(v: Column) -> Column:
     """An array's elements; one of anything else; none for what JavaScript calls falsy."""
-    many = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(~truthy(v), F.array().cast("array<variant>")).when(kind(v).startswith("ARRAY"), many).otherwise(F.array(v))
+    return let(v, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(truthy(x), F.array(x)).otherwise(F.array().cast("array<variant>"))))
 
 
 def first_of(v: Column, *keys: str) -> Column:
     """The first member that JavaScript takes for true; an empty array counts as such."""
-    return F.coalesce(*(F.when(truthy(part(v, k)), part(v, k)) for k in keys))
+    return F.get(F.filter(F.array(*_members(v, *keys)), truthy), 0)
+
+
+#: Where a fact names its source, and that source's title.
+SOURCE_ID = ("sourceId", "source_id", "source.id", "source.sourceId")
+SOURCE_NAME = ("sourceName", "source_name", "source.title", "source.name", "source.label")
 
 
-def source_id(v: Column) -> Column:
-    s = part(v, "source")
-    return first_string(part(v, "sourceId"), part(v, "source_id"), part(s, "id"), part(s, "sourceId"))
+def _bare(v: Column) -> list[Column]:
+    """A value that is no object, for what it is."""
+    return [F.when(~is_object(v), v)]
 
 
-def source_name(v: Column) -> Column:
-    s = part(v, "source")
-    return first_string(part(v, "sourceName"), part(v, "source_name"), *(part(s, k) for k in ("title", "name", "label")))
+def _facts(v: Column, keys: tuple[str, ...], **more: str) -> Column:
+    """value, sourceId, sourceName and one member for each of more, of all items that have a value."""
 
+    def one(x: Column) -> Column:
+        groups = {"value": _bare(x) + _members(x, *keys), "id": _members(x, *SOURCE_ID), "name": _members(x, *SOURCE_NAME), **{n: _members(x, k) for n, k in more.items()}}
+        return _named(groups, lambda t: F.struct(t("value").alias("value"), F.when(is_object(x), F.coalesce(t("id"), F.lit(FALLBACK))).alias("sourceId"), t("name").alias("sourceName"), *(t(n).alias(n) for n in more)))
 
-def _sourced(v: Column, *keys: str) -> list[Column]:
-    value = F.when(is_object(v), strings(v, *keys)).otherwise(coerce_string(v))
-    ident = F.when(is_object(v), F.coalesce(source_id(v), F.lit(FALLBACK)))
-    return [value.alias("value"), ident.alias("sourceId"), source_name(v).alias("sourceName")]
+    return F.filter(F.transform(items(v), one), lambda x: x["value"].isNotNull())
 
 
 def facts(v: Column) -> Column:
-    made = F.transform(items(v), lambda x: F.struct(*_sourced(x, "value", "phone", "number", "phoneNumber", "url", "href", "website", "name", "text")))
-    return F.filter(made, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    return _facts(v, ("value", "phone", "number", "phoneNumber", "url", "href", "website", "name", "text"))
 
 
 def ratings(v: Column) -> Column:
-    made = F.transform(items(v), lambda x: F.struct(*_sourced(x, "value", "rating", "score"), strings(x, "scale").alias("scale")))
-    return F.filter(made, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    return _facts(v, ("value", "rating", "score"), scale="scale")
 
 
 def locations(v: Column) -> Column:
-    def one(x: Column) -> Column:
-        lines = ("addressLine1", "street1", "streetLine1", "street_line_1")
-        nested = F.coalesce(*(F.when(is_object(part(x, k)), part(x, k)) for k in lines))
-        line1 = F.when(is_object(x), strings(x, *lines, "address")).otherwise(coerce_string(x))
-        return F.struct(
-            line1.alias("addressLine1"), strings(x, "addressLine2", "street2", "streetLine2", "street_line_2").alias("addressLine2"), strings(x, "city").alias("city"), strings(x, "state").alias("state"),
-            strings(x, "zip", "zipCode", "zip_code").alias("zip"), F.when(is_object(x), first_text(source_id(x), source_id(nested), F.lit(FALLBACK))).alias("sourceId"), first_text(source_name(x), source_name(nested)).alias("sourceName"),
-        )
+    lines = ("addressLine1", "street1", "streetLine1", "street_line_1")
+
+    def one(x: Column, nested: Column) -> Column:
+        groups = {
+            "line1": _bare(x) + _members(x, *lines, "address"), "line2": _members(x, "addressLine2", "street2", "streetLine2", "street_line_2"), "city": _members(x, "city"), "state": _members(x, "state"), "zip": _members(x, "zip", "zipCode", "zip_code"),
+            "id": _members(x, *SOURCE_ID) + _members(nested, *SOURCE_ID), "name": _members(x, *SOURCE_NAME) + _members(nested, *SOURCE_NAME),
+        }
+        return _named(groups, lambda t: F.struct(
+            t("line1").alias("addressLine1"), t("line2").alias("addressLine2"), t("city").alias("city"), t("state").alias("state"), t("zip").alias("zip"), F.when(is_object(x), F.coalesce(t("id"), F.lit(FALLBACK))).alias("sourceId"), t("name").alias("sourceName"),
+        ))
 
-    return F.filter(F.transform(items(v), one), lambda x: F.coalesce(x["addressLine1"], F.lit("")) != "")
+    nested = lambda x: F.get(F.filter(F.array(*_members(x, *lines)), is_object), 0)
+    return F.filter(F.transform(items(v), lambda x: let(nested(x), lambda n: one(x, n))), lambda x: x["addressLine1"].isNotNull())
 
 
 def sources(v: Column) -> Column:
     def one(x: Column) -> Column:
-        alone = F.when(~is_object(x), coerce_string(x))
-        return F.struct(
-            F.coalesce(alone, strings(x, "id", "sourceId", "domain", "title"), F.lit(FALLBACK)).alias("id"), F.coalesce(alone, strings(x, "title", "name", "label", "domain"), F.lit("Public source")).alias("title"),
-            F.coalesce(alone, strings(x, "domain", "hostname")).alias("domain"), strings(x, "url", "href").alias("url"),
-        )
+        bare = _bare(x)
+        groups = {"id": bare + _members(x, "id", "sourceId", "domain", "title"), "title": bare + _members(x, "title", "name", "label", "domain"), "domain": bare + _members(x, "domain", "hostname"), "url": _members(x, "url", "href")}
+        return _named(groups, lambda t: F.struct(F.coalesce(t("id"), F.lit(FALLBACK)).alias("id"), F.coalesce(t("title"), F.lit("Public source")).alias("title"), t("domain").alias("domain"), t("url").alias("url")))
 
-    return F.filter(F.transform(items(v), one), lambda x: (F.coalesce(x["domain"], F.lit("")) != "") | (F.coalesce(x["url"], F.lit("")) != ""))
+    return F.filter(F.transform(items(v), one), lambda x: x["domain"].isNotNull() | x["url"].isNotNull())
 
 
 def profile(v: Column) -> Column:
@@ -158,14 +174,21 @@ def profile(v: Column) -> Column:
     # The four lists of plain facts are read by one expression.
     lists = [part(v, "specialties"), first_of(v, "phoneNumbers", "phones", "phone_numbers"), first_of(v, "websites", "links", "website"), first_of(v, "publicInsuranceMentions", "insuranceMentions")]
 
-    def typed(plain: Column) -> Column:
+    own = {"id": _members(v, "providerId"), "npi": _members(v, "npi"), "name": _members(v, "providerName", "name")}
+    read = F.struct(
+        _named(own, lambda t: F.struct(t("id").alias("id"), t("npi").alias("npi"), t("name").alias("name"))).alias("own"), F.transform(F.array(*lists), facts).alias("plain"),
+        locations(first_of(v, "locations", "addresses")).alias("locations"), ratings(part(v, "ratings")).alias("ratings"), sources(part(v, "sources")).alias("sources"),
+    )
+
+    def typed(r: Column) -> Column:
+        plain = lambda i: F.get(r["plain"], i)
         return F.struct(
-            strings(v, "providerId").alias("providerId"), strings(v, "npi").alias("npi"), F.coalesce(strings(v, "providerName", "name"), F.lit("Provider")).alias("providerName"),
-            F.get(plain, 0).alias("specialties"), locations(first_of(v, "locations", "addresses")).alias("locations"), F.get(plain, 1).alias("phoneNumbers"),
-            ratings(part(v, "ratings")).alias("ratings"), F.get(plain, 2).alias("websites"), F.get(plain, 3).alias("publicInsuranceMentions"), sources(part(v, "sources")).alias("sources"),
+            r["own"]["id"].alias("providerId"), r["own"]["npi"].alias("npi"), F.coalesce(r["own"]["name"], F.lit("Provider")).alias("providerName"),
+            plain(0).alias("specialties"), r["locations"].alias("locations"), plain(1).alias("phoneNumbers"),
+            r["ratings"].alias("ratings"), plain(2).alias("websites"), plain(3).alias("publicInsuranceMentions"), r["sources"].alias("sources"),
         )
 
-    return let(F.transform(F.array(*lists), facts), typed)
+    return let(read, typed)
 
 
 def json_text(c: Column) -> Column:
@@ -178,8 +201,8 @@ def response_text(v: Column) -> Column:
     """A response's output_text, or the texts of its messages, one a line."""
     messages = F.filter(items(part(v, "output")), lambda o: text_of(part(o, "type")) == "message")
     parts = F.flatten(F.transform(messages, lambda o: F.filter(items(part(o, "content")), lambda p: text_of(part(p, "type")) == "output_text")))
-    joined = F.array_join(F.transform(parts, lambda p: text_of(part(p, "text"))), "\n")
-    return first_text(let(text_of(part(v, "output_text")), lambda t: F.when(F.trim(t) != "", t)), F.trim(joined))
+    joined = let(F.trim(F.array_join(F.transform(parts, lambda p: text_of(part(p, "text"))), "\n")), lambda t: F.when(t != "", t))
+    return F.coalesce(let(text_of(part(v, "output_text")), lambda t: F.when(F.trim(t) != "", t)), joined)
 
 
 def is_incomplete(v: Column) -> Column:
@@ -191,23 +214,23 @@ def citations(v: Column) -> Column:
     """Urls that a response cites, each once, in order."""
     notes = F.flatten(F.flatten(F.transform(items(part(v, "output")), lambda o: F.transform(items(part(o, "content")), lambda p: items(part(p, "annotations"))))))
     cited = F.filter(notes, lambda a: text_of(part(a, "type")) == "url_citation")
-    urls = F.transform(cited, lambda a: F.coalesce(text_of(part(a, "url")), text_of(part(part(a, "url_citation"), "url"))))
+    urls = F.transform(cited, lambda a: F.coalesce(text_of(part(a, "url")), text_of(part(a, "url_citation.url"))))
     return F.array_distinct(F.filter(urls, lambda u: F.coalesce(u != "", F.lit(False))))
 
 
 def token_count(v: Column) -> Column:
     """A whole number from 0 to 2**53 - 1, else null."""
-    n = F.when(~kind(v).rlike("^(?:STRING|BOOLEAN|VOID|OBJECT|ARRAY)"), F.try_variant_get(v, "$", "double"))
-    return F.when((n >= 0) & (n <= 2**53 - 1) & (n == F.floor(n)), n.cast("long"))
+    number = lambda x: F.when(~kind(x).rlike("^(?:STRING|BOOLEAN|VOID|OBJECT|ARRAY)"), F.try_variant_get(x, "$", "double"))
+    return let(let(v, number), lambda n: F.when((n >= 0) & (n <= 2**53 - 1) & (n == F.floor(n)), n.cast("long")))
 
 
 def usage(v: Column) -> Column:
     """Token counts of a response; what isn't cached only if the cached don't exceed the input."""
     u = part(v, "usage")
-    fresh, cached = token_count(part(u, "input_tokens")), token_count(part(part(u, "input_tokens_details"), "cached_tokens"))
+    fresh, cached = token_count(part(v, "usage.input_tokens")), token_count(part(v, "usage.input_tokens_details.cached_tokens"))
     searches = F.size(F.filter(items(part(v, "output")), lambda o: text_of(part(o, "type")) == "web_search_call"))
     return F.struct(
         is_object(u).alias("usagePresent"), fresh.alias("inputTokens"), cached.alias("cachedInputTokens"), F.when(cached <= fresh, fresh - cached).alias("uncachedInputTokens"),
-        token_count(part(part(u, "input_tokens_details"), "cache_write_tokens")).alias("cacheWriteTokens"), token_count(part(u, "output_tokens")).alias("outputTokens"),
-        token_count(part(part(u, "output_tokens_details"), "reasoning_tokens")).alias("reasoningOutputTokens"), token_count(part(u, "total_tokens")).alias("totalTokens"), searches.cast("long").alias("webSearchCalls"),
+        token_count(part(v, "usage.input_tokens_details.cache_write_tokens")).alias("cacheWriteTokens"), token_count(part(v, "usage.output_tokens")).alias("outputTokens"),
+        token_count(part(v, "usage.output_tokens_details.reasoning_tokens")).alias("reasoningOutputTokens"), token_count(part(v, "usage.total_tokens")).alias("totalTokens"), searches.cast("long").alias("webSearchCalls"),
     )

@@ -237,14 +237,24 @@ def dedupe_ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return best.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in rest))
 
 
+def read_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Raw response texts as keys, v: the response as a variant."""
+    return settled(raw.select(*keys, F.try_parse_json(column).alias("v")))
+
+
+def cited_urls(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """keys and cited: the urls that raw response texts cite, whether they are accepted or not."""
+    return settled(read_responses(raw, column, keys).select(*keys, coerce.citations(F.col("v")).alias("cited")))
+
+
 def judge_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """Raw response texts as keys, cited (urls), profiles (typed) and error: why the whole response is refused, null
     where it is accepted. One profile that breaks the schema refuses its response."""
-    v = settled(raw.select(*keys, F.try_parse_json(column).alias("v")))
+    v = read_responses(raw, column, keys)
     body = settled(v.select(*keys, coerce.is_incomplete(F.col("v")).alias("incomplete"), coerce.citations(F.col("v")).alias("cited"), F.try_parse_json(coerce.json_text(coerce.response_text(F.col("v")))).alias("j")))
-    many = F.when(coerce.kind(F.col("j")).startswith("ARRAY"), F.try_variant_get("j", "$", "array<variant>")).otherwise(coerce.items(coerce.part(F.col("j"), "profiles")))
-    empty = F.col("j").isNull() | ~(coerce.kind(F.col("j")).startswith("ARRAY") | coerce.truthy(coerce.part(F.col("j"), "profiles")))
-    typed = settled(body.select(*keys, "cited", "incomplete", empty.alias("empty"), F.transform(many, coerce.profile).alias("profiles")))
+    found = settled(body.select(*keys, "cited", "incomplete", F.try_variant_get("j", "$", "array<variant>").alias("whole"), coerce.part(F.col("j"), "profiles").alias("some")))
+    empty = F.col("whole").isNull() & ~coerce.truthy(F.col("some"))
+    typed = settled(found.select(*keys, "cited", "incomplete", empty.alias("empty"), F.transform(F.coalesce("whole", coerce.items(F.col("some"))), coerce.profile).alias("profiles")))
     bad = F.get(F.filter(F.transform("profiles", profile_error), lambda e: e.isNotNull()), 0)
     return typed.select(*keys, "cited", "profiles", F.when(F.col("incomplete"), "INCOMPLETE_RESPONSE").when(F.col("empty"), "NO_PROFILE_PAYLOAD").otherwise(bad).alias("error"))
 
