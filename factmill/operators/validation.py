@@ -31,8 +31,13 @@ def trimmed(c: Column) -> Column:
 
 
 def length_between(c: Column, least: int, most: int) -> Column:
-    """Whether a text is there and, trimmed, so long."""
-    return F.coalesce(units(trimmed(c)).between(least, most), F.lit(False))
+    """Whether a text is there and, trimmed, so long. A text of no more bytes that begins with a sign of ASCII needs no
+    trimming to tell."""
+    measured = units(trimmed(c)).between(least, most)
+    if least > 1:
+        return F.coalesce(measured, F.lit(False))
+    begun = F.ascii(c).between(33, 126) if least == 1 else F.lit(True)
+    return F.coalesce(F.when((F.octet_length(c) <= most) & begun, True).otherwise(measured), F.lit(False))
 
 
 def _matches(c: Column, pattern: str) -> Column:
