@@ -21,18 +21,24 @@ PLACEHOLDER_WHOLE = r"(?i)^(?:string(?:\s+optional)?|unknown|n/a)$"
 #: Java's own word boundary counts letters beyond ASCII as letters; these two do not. Each is cheaper than a boundary.
 BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 SPACE = f"[{SPACES}]"
-URL = rf"(?i){BEGIN}(?:https?://|www\.)[^{SPACES}]"
+URL = rf"(?=[hwHW])(?i){BEGIN}(?:https?://|www\.)[^{SPACES}]"
 CITATION = rf'(?i)"(?:url|annotations|citation)"{SPACE}*:'
 #: A word that may go on ends anywhere.
 _UNSAFE = "|".join(w.removesuffix(r"\w*") if w.endswith(r"\w*") else w.replace(r"\s", SPACE) + END for w in UNSAFE_WORDS)
-UNSAFE = f"(?i){BEGIN}(?=[qmcpdbs])(?:{_UNSAFE})"
+UNSAFE = f"(?=[qmcpdbsQMCPDBS]){BEGIN}(?i:{_UNSAFE})"
 _WORDS = "|".join(w.replace(r"\s", SPACE) for w in PLACEHOLDER_WORDS)
-PLACEHOLDER = f"(?i){BEGIN}(?=[mfdsptl])(?:{_WORDS}){END}|(?=[lsp])(?:{'|'.join(PLACEHOLDER_ANYWHERE)})"
+PLACEHOLDER = f"(?=[mfdsptlMFDSPTL])(?i:{BEGIN}(?:{_WORDS}){END}|(?:{'|'.join(PLACEHOLDER_ANYWHERE)}))"
 #: What is no digit ends at the next digit, so nothing is tried twice.
 PLACEHOLDER_PHONE = rf"{BEGIN}(?:\d{{3}}\D*+)?(?:555\D*+\d{{4}}|123\D*+4567){END}|{BEGIN}555\D*+010\D*+\d{{4}}{END}"
 #: White space and control characters that are not one space alone.
 _LOOSE = rf"[{SPACES}{CONTROLS}&&[^ ]][{SPACES}{CONTROLS}]*+| [{SPACES}{CONTROLS}]++"
 
+#: What may not stand in a text that is clean as it is, and what else may not in one that is surely safe: each unsafe or
+#: made-up word by its beginning, wherever it stands, by first letters.
+LOOSE = r"[^ -~]|  |\A | \z"
+_SUSPECT_WORDS = {"b": "irth", "c": "lient", "d": "ob|ate|iagnos|ummy|emo", "f": "ake", "l": "orem", "m": "ember|edication|ock", "n": "/a", "p": "atient|rescription|laceholder|ublic", "q": "uote", "s": "sn|ample|ource|tring", "t": "est", "u": "nknown", "w": r"ww\."}
+SUSPECT = LOOSE + r"""|[@"]|://|555|123|""" + "|".join(f"[{a}{a.upper()}](?i:{rest})" for a, rest in _SUSPECT_WORDS.items())
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body names it: Catalyst would copy a column into each of
@@ -50,7 +56,7 @@ def left_units(c: Column, most: int) -> Column:
     text that is written in UTF-8."""
     whole = lambda n: f"decode(substring(u, 1, {n}), 'UTF-16BE')"
     half = f"CASE WHEN hex(substring(u, {2 * most - 1}, 1)) BETWEEN 'D8' AND 'DB' THEN concat({whole(2 * most - 2)}, '\ufffd') ELSE {whole(2 * most)} END"
-    cut = F.expr(f"t -> CASE WHEN t RLIKE {_PAIRED} THEN get(transform(array(encode(t, 'UTF-16BE')), u -> {half}), 0) ELSE left(t, {most}) END")
+    cut = F.expr(f"t -> CASE WHEN octet_length(t) <= {most} THEN t WHEN t RLIKE {_PAIRED} THEN get(transform(array(encode(t, 'UTF-16BE')), u -> {half}), 0) ELSE left(t, {most}) END")
     return F.get(F.call_function("transform", F.array(c), cut), 0)
 
 
@@ -65,18 +71,27 @@ def any_of(*tests: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Control characters and runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, _LOOSE, " "))
+    """Control characters and runs of white space become one space; none at the ends. Plain ASCII without two spaces side
+    by side, as most texts are, is told by a cheaper look."""
+    loose = lambda t: F.when(t.contains("  ") | t.rlike("[^ -~]"), F.regexp_replace(t, _LOOSE, " ")).otherwise(t)
+    return F.trim(let(c, loose))
 
 
 def clean_public_text(c: Column, most: int | None) -> Column:
     """Squeezed text cut to ``most`` UTF-16 units (None: whole), not trimmed again; null for nothing."""
-    text = F.nullif(squeeze(c), F.lit(""))
+    if most is None:
+        return _cleaned(c, None)
+    fine = lambda t: (t != "") & (F.octet_length(t) <= most) & ~t.rlike(LOOSE)
+    return let(c, lambda t: F.when(fine(t), t).otherwise(_cleaned(t, most)))
+
+
+def _cleaned(c: Column, most: int | None) -> Column:
+    text = let(squeeze(c), lambda t: F.when(t != "", t))
     return text if most is None else left_units(text, most)
 
 
 def contains_unsafe(c: Column) -> Column:
-    return any_of(c.contains("@"), c.rlike(UNSAFE), c.rlike(URL), c.rlike(CITATION))
+    return any_of(c.contains("@"), c.rlike(UNSAFE), (c.contains("://") | c.contains(".")) & c.rlike(URL), c.contains('"') & c.rlike(CITATION))
 
 
 def _made_up(squeezed: Column) -> Column:
@@ -94,8 +109,10 @@ def is_safe(cleaned: Column) -> Column:
 
 
 def safe_fact(c: Column, most: int | None = 500) -> Column:
-    """Clean text, null where it is unsafe or a placeholder."""
-    return let(clean_public_text(c, most), lambda t: F.when(is_safe(t), t))
+    """Clean text, null where it is unsafe or a placeholder. Most texts hold nothing suspect, which one look tells."""
+    judged = lambda t: let(_cleaned(t, most), lambda x: F.when(is_safe(x), x))
+    short = lambda t: F.lit(True) if most is None else F.octet_length(t) <= most
+    return let(c, lambda t: F.when((t != "") & short(t) & ~t.rlike(SUSPECT), t).otherwise(judged(t)))
 
 
 def safe_phone(c: Column) -> Column:
@@ -111,16 +128,23 @@ def safe_phone(c: Column) -> Column:
 
 
 def safe_source_id(c: Column, fallback: Column) -> Column:
-    ident = F.regexp_replace(F.regexp_replace(clean_public_text(c, 80), r"[^a-zA-Z0-9_.:-]", "-"), "-+", "-")
-    return F.coalesce(F.nullif(ident, F.lit("")), fallback)
+    plain = lambda t: F.when(t.contains("--") | t.rlike("[^a-zA-Z0-9_.:-]"), F.regexp_replace(F.regexp_replace(t, r"[^a-zA-Z0-9_.:-]", "-"), "-+", "-")).otherwise(t)
+    # What is cleaned is never empty, nor is what it becomes.
+    return F.coalesce(let(clean_public_text(c, 80), plain), fallback)
 
 
 def fact_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends; where a sign of ASCII stands at both, there is none."""
+    ends = lambda t: F.ascii(t).between(33, 126) & F.ascii(F.right(t, F.lit(1))).between(33, 126)
+    return let(c, lambda t: F.when(ends(t), t).otherwise(F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")))
+
+
 def identity(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), f"^{SPACE}+|{SPACE}+$", ""))
+    return F.lower(trimmed(F.coalesce(c, F.lit(""))))
 
 
 def name_identity(c: Column) -> Column:

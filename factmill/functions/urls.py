@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ AUTHORITY = r"(?i)^(?:(?:https?|ftp|wss?):[/\\]*|(?!file:)[a-z][a-z0-9+.-]*://)(
 FORBIDDEN_IN_HOST = r"[\x00-\x20\x7f\"#%/:<>?@\[\\\]^`|]"
 #: Characters that a path shows as percent codes, and segments that stand for this folder or the one above.
 UNSAFE_IN_PATH = r'[^!-~]|["<>`{}]'
+#: A lower-cased address of a plain host and path, which is shown as it is written.
+PLAIN = r"\Ahttps?://[a-z0-9][a-z0-9.-]*[a-z0-9](?:/[A-Za-z0-9_~-]+)*/?\z"
 DOTS = r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"
 
 
@@ -55,16 +59,21 @@ def is_placeholder_domain(c: Column) -> Column:
     return let(F.lower(clean_public_text(c, 255)), lambda d: d.isNull() | d.rlike(PLACEHOLDER_DOMAIN))
 
 
+def _without_www(d: Column) -> Column:
+    return F.when(d.startswith("www."), F.substring(d, F.lit(5), F.length(d))).otherwise(d)
+
+
 def _public(raw: Column) -> Column:
     """A domain without www. if it is public and safe, else FALLBACK."""
-    domain = F.regexp_replace(F.lower(clean_public_text(raw, 255)), r"^www\.", "")
+    domain = let(F.lower(clean_public_text(raw, 255)), _without_www)
     fine = lambda d: d.rlike(PUBLIC_HOST) & ~d.rlike(RESERVED_HOST) & ~d.rlike(PLACEHOLDER_DOMAIN) & ~contains_unsafe(d)
     return let(domain, lambda d: F.when(fine(d), d).otherwise(FALLBACK))
 
 
 def safe_domain(domain: Column, url: Column) -> Column:
     """The public host of the url, else the domain, without www.; FALLBACK where it is neither public nor safe."""
-    return _public(F.coalesce(F.nullif(F.regexp_replace(host_of(url), r"^www\.", ""), F.lit("")), F.nullif(domain, F.lit(""))))
+    host = lambda u: F.when(u.rlike(PLAIN), F.regexp_extract(u, AUTHORITY, 1)).otherwise(host_of(u))
+    return _public(F.coalesce(let(let(let(url, host), _without_www), lambda h: F.when(h != "", h)), let(domain, lambda d: F.when(d != "", d))))
 
 
 def _shown_path(path: Column) -> Column:
@@ -108,25 +117,33 @@ def safe_public_url(c: Column, expected: Column | None = None) -> Column:
     """An http(s) url of a public host without credentials, tracking parameters and fragment, the others sorted by
     name; null where it isn't one, or its host is unrelated to the expected domain."""
 
-    def built(u: Column) -> Column:
+    def public(h: Column) -> Column:
+        fine = h != FALLBACK
+        if expected is not None:
+            fine = fine & (expected.isNull() | (expected == "") | (h == expected) | h.endswith(F.concat(F.lit("."), expected)) | expected.endswith(F.concat(F.lit("."), h)))
+        return fine
+
+    def whole(u: Column, shown: Column) -> Column:
         scheme, port = F.lower(u["scheme"]), F.regexp_extract(u["authority"], r":(\d*)$", 1)
         user = F.regexp_extract(u["authority"], "(?s)^(.*)@", 1)
-        host = let(_host(u["authority"]), lambda h: F.struct(h.alias("shown"), _public(h).alias("public")))
-        number = F.coalesce(F.nullif(port, F.lit("")).cast("long"), F.lit(-1))
+        number = F.coalesce(F.when(port != "", port).cast("long"), F.lit(-1))
         standard = F.when(scheme == "http", 80).otherwise(443)
         shown_port = F.when((number == -1) | (number == standard), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+        query = let(_shown_query(u["query"]), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        fine = user.isin("", ":") & ((port == "") | F.coalesce(port.cast("long") <= 65535, F.lit(False)))
+        return F.when(fine, F.concat(scheme, F.lit("://"), shown, shown_port, _shown_path(u["path"]), query))
 
-        def text(h: Column) -> Column:
-            fine = (h["public"] != FALLBACK) & user.isin("", ":") & ((port == "") | F.coalesce(port.cast("long") <= 65535, F.lit(False)))
-            if expected is not None:
-                related = expected.isNull() | (expected == "") | (h["public"] == expected) | h["public"].endswith(F.concat(F.lit("."), expected)) | expected.endswith(F.concat(F.lit("."), h["public"]))
-                fine = fine & related
-            query = let(_shown_query(u["query"]), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-            return F.when(fine, F.concat(scheme, F.lit("://"), h["shown"], shown_port, _shown_path(u["path"]), query))
+    def built(x: Column) -> Column:
+        plain = F.when(F.endswith(x["text"], F.lit("/")) | (F.length(x["text"]) > F.length(x["host"]) + F.instr(x["text"], "//") + 1), x["text"]).otherwise(F.concat(x["text"], F.lit("/")))
+        return F.when(public(x["public"]), F.when(x["parts"].isNull(), plain).otherwise(whole(x["parts"], x["host"])))
 
-        return let(host, text)
+    def hosted(x: Column) -> Column:
+        host = F.when(x["parts"].isNull(), F.regexp_extract(x["text"], AUTHORITY, 1)).otherwise(_host(x["parts"]["authority"]))
+        return let(let(host, lambda h: F.struct(x["text"].alias("text"), x["parts"].alias("parts"), h.alias("host"), _public(h).alias("public"))), built)
 
-    return let(_split(clean_public_text(c, 2048)), built)
+    # parts: null where the address is plain.
+    split = lambda t: F.struct(t.alias("text"), F.when(~t.rlike(PLAIN), _split(t)).alias("parts"), (t.rlike(PLAIN) | t.rlike(WEB)).alias("web"))
+    return let(let(clean_public_text(c, 2048), split), lambda x: F.when(x["web"], hosted(x)))
 
 
 def website_key(c: Column) -> Column:
@@ -135,12 +152,11 @@ def website_key(c: Column) -> Column:
     def key(u: Column) -> Column:
         path = F.regexp_replace(F.lower(u["path"]), "/+$", "")
         query = F.when(u["query"] == "", "").otherwise(F.concat(F.lit("?"), u["query"]))
-        return F.concat(F.regexp_replace(_host(u["authority"]), r"^www\.", ""), F.when(path == "", "/").otherwise(path), query)
+        return F.concat(let(_host(u["authority"]), _without_www), F.when(path == "", "/").otherwise(path), query)
 
     return let(_split(safe_public_url(c)), key)
 
 
 def domain_matches(domain: Column, approved: list[str]) -> Column:
     """Whether a domain is one of the approved or below one."""
-    listed = F.split(F.lit(",".join(approved)), ",")  # a constant, folded once
-    return F.exists(listed, lambda a: (domain == a) | domain.endswith(F.concat(F.lit("."), a)))
+    return domain.rlike(rf"(?:^|\.)(?:{'|'.join(map(re.escape, approved))})\z")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column
@@ -54,7 +55,7 @@ _OBJECT = "try_variant_get({0}, '$', 'struct<>') IS NOT NULL"
 #: Strings and numbers as strings; booleans and the rest as null.
 _SCALAR = f"CASE WHEN {_KIND} = 'STRING' THEN try_variant_get({{0}}, '$', 'string') WHEN NOT {_KIND} RLIKE {_NO_NUMBER} THEN get(transform(array(try_variant_get({{0}}, '$', 'double')), d -> {_NUMBER}), 0) END"
 _TOP = "get(s.stack, 0)"
-_INNER = f"CASE WHEN {_OBJECT.format(_TOP)} THEN filter(array({', '.join(f"try_variant_get({_TOP}, '$.{k}', 'variant')" for k in TEXT_KEYS)}), m -> m IS NOT NULL) ELSE CAST(array() AS ARRAY<VARIANT>) END"
+_INNER = f"filter(get(transform(array(try_variant_get({_TOP}, '$', 'struct<{', '.join(f'{k}: variant' for k in TEXT_KEYS)}>')), o -> array({', '.join(f'o.{k}' for k in TEXT_KEYS)})), 0), m -> m IS NOT NULL)"
 _REST = "CASE WHEN size(s.stack) > 1 THEN slice(s.stack, 2, size(s.stack)) ELSE CAST(array() AS ARRAY<VARIANT>) END"
 #: Whether a member ends the search: a string that isn't empty, or a number.
 _TEXT = f"NOT {_OBJECT.format(_TOP)} AND ({_KIND.format(_TOP)} NOT RLIKE {_NO_NUMBER} OR {_KIND.format(_TOP)} = 'STRING' AND try_variant_get({_TOP}, '$', 'string') <> '')"
@@ -85,8 +86,17 @@ def _named(groups: dict[str, list[Column]], body: Callable[[Callable[[str], Colu
     return let(_texts(options), lambda t: body(lambda name: _first(F.slice(t, ends[name] - len(groups[name]) + 1, len(groups[name])))))
 
 
-def _members(v: Column, *keys: str) -> list[Column]:
-    return [part(v, k) for k in keys]
+def members(v: Column, *keys: str) -> Column:
+    """Members of an object as a struct of variants, all read at once; null for other kinds. A key a.b is a member b of
+    the struct a."""
+    own = dict.fromkeys(k.split(".")[0] for k in keys)
+    below = {a: [k.split(".")[1] for k in keys if k.startswith(f"{a}.")] for a in own}
+    typed = lambda a: f"struct<{', '.join(f'{b}: variant' for b in below[a])}>" if below[a] else "variant"
+    return F.try_variant_get(v, "$", f"struct<{', '.join(f'{a}: {typed(a)}' for a in own)}>")
+
+
+def _of(m: Column, *keys: str) -> list[Column]:
+    return [reduce(lambda c, k: c[k], key.split("."), m) for key in keys]
 
 
 def coerce_string(v: Column) -> Column:
@@ -96,7 +106,7 @@ def coerce_string(v: Column) -> Column:
 
 def strings(v: Column, *keys: str) -> Column:
     """The first of the members that has a text which isn't empty."""
-    return _first(_texts(_members(v, *keys)))
+    return _first(_texts([part(v, k) for k in keys]))
 
 
 def truthy(v: Column) -> Column:
@@ -111,9 +121,9 @@ def items(v: Column) -> Column:
     return let(v, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.when(truthy(x), F.array(x)).otherwise(F.array().cast("array<variant>"))))
 
 
-def first_of(v: Column, *keys: str) -> Column:
-    """The first member that JavaScript takes for true; an empty array counts as such."""
-    return F.get(F.filter(F.array(*_members(v, *keys)), truthy), 0)
+def _first_true(options: list[Column]) -> Column:
+    """The first of the members that JavaScript takes for true; an empty array counts as such."""
+    return F.get(F.filter(F.array(*options), truthy), 0)
 
 
 #: Where a fact names its source, and that source's title.
@@ -121,19 +131,24 @@ SOURCE_ID = ("sourceId", "source_id", "source.id", "source.sourceId")
 SOURCE_NAME = ("sourceName", "source_name", "source.title", "source.name", "source.label")
 
 
-def _bare(v: Column) -> list[Column]:
-    """A value that is no object, for what it is."""
-    return [F.when(~is_object(v), v)]
+def _bare(v: Column, m: Column) -> list[Column]:
+    """A value that is no object (m: its members) for what it is."""
+    return [F.when(m.isNull(), v)]
+
 
+def _each(v: Column, keys: tuple[str, ...], one: Callable[[Column, Column], Column]) -> Column:
+    """one of each item and its members."""
+    return F.transform(items(v), lambda x: let(members(x, *keys), lambda m: one(x, m)))
 
-def _facts(v: Column, keys: tuple[str, ...], **more: str) -> Column:
-    """value, sourceId, sourceName and one member for each of more, of all items that have a value."""
 
-    def one(x: Column) -> Column:
-        groups = {"value": _bare(x) + _members(x, *keys), "id": _members(x, *SOURCE_ID), "name": _members(x, *SOURCE_NAME), **{n: _members(x, k) for n, k in more.items()}}
-        return _named(groups, lambda t: F.struct(t("value").alias("value"), F.when(is_object(x), F.coalesce(t("id"), F.lit(FALLBACK))).alias("sourceId"), t("name").alias("sourceName"), *(t(n).alias(n) for n in more)))
+def _facts(v: Column, keys: tuple[str, ...], *more: str) -> Column:
+    """value, sourceId, sourceName and the members more of all items that have a value."""
 
-    return F.filter(F.transform(items(v), one), lambda x: x["value"].isNotNull())
+    def one(x: Column, m: Column) -> Column:
+        groups = {"value": _bare(x, m) + _of(m, *keys), "id": _of(m, *SOURCE_ID), "name": _of(m, *SOURCE_NAME), **{k: _of(m, k) for k in more}}
+        return _named(groups, lambda t: F.struct(t("value").alias("value"), F.when(m.isNotNull(), F.coalesce(t("id"), F.lit(FALLBACK))).alias("sourceId"), t("name").alias("sourceName"), *(t(k).alias(k) for k in more)))
+
+    return F.filter(_each(v, keys + SOURCE_ID + SOURCE_NAME + more, one), lambda x: x["value"].isNotNull())
 
 
 def facts(v: Column) -> Column:
@@ -141,44 +156,51 @@ def facts(v: Column) -> Column:
 
 
 def ratings(v: Column) -> Column:
-    return _facts(v, ("value", "rating", "score"), scale="scale")
+    return _facts(v, ("value", "rating", "score"), "scale")
 
 
 def locations(v: Column) -> Column:
-    lines = ("addressLine1", "street1", "streetLine1", "street_line_1")
+    lines, second, code = ("addressLine1", "street1", "streetLine1", "street_line_1"), ("addressLine2", "street2", "streetLine2", "street_line_2"), ("zip", "zipCode", "zip_code")
+
+    def one(x: Column, m: Column) -> Column:
+        return let(members(F.get(F.filter(F.array(*_of(m, *lines)), is_object), 0), *SOURCE_ID, *SOURCE_NAME), lambda nested: placed(x, m, nested))
 
-    def one(x: Column, nested: Column) -> Column:
+    def placed(x: Column, m: Column, nested: Column) -> Column:
         groups = {
-            "line1": _bare(x) + _members(x, *lines, "address"), "line2": _members(x, "addressLine2", "street2", "streetLine2", "street_line_2"), "city": _members(x, "city"), "state": _members(x, "state"), "zip": _members(x, "zip", "zipCode", "zip_code"),
-            "id": _members(x, *SOURCE_ID) + _members(nested, *SOURCE_ID), "name": _members(x, *SOURCE_NAME) + _members(nested, *SOURCE_NAME),
+            "line1": _bare(x, m) + _of(m, *lines, "address"), "line2": _of(m, *second), "city": _of(m, "city"), "state": _of(m, "state"), "zip": _of(m, *code),
+            "id": _of(m, *SOURCE_ID) + _of(nested, *SOURCE_ID), "name": _of(m, *SOURCE_NAME) + _of(nested, *SOURCE_NAME),
         }
         return _named(groups, lambda t: F.struct(
-            t("line1").alias("addressLine1"), t("line2").alias("addressLine2"), t("city").alias("city"), t("state").alias("state"), t("zip").alias("zip"), F.when(is_object(x), F.coalesce(t("id"), F.lit(FALLBACK))).alias("sourceId"), t("name").alias("sourceName"),
+            t("line1").alias("addressLine1"), t("line2").alias("addressLine2"), t("city").alias("city"), t("state").alias("state"), t("zip").alias("zip"), F.when(m.isNotNull(), F.coalesce(t("id"), F.lit(FALLBACK))).alias("sourceId"), t("name").alias("sourceName"),
         ))
 
-    nested = lambda x: F.get(F.filter(F.array(*_members(x, *lines)), is_object), 0)
-    return F.filter(F.transform(items(v), lambda x: let(nested(x), lambda n: one(x, n))), lambda x: x["addressLine1"].isNotNull())
+    return F.filter(_each(v, lines + ("address",) + second + ("city", "state") + code + SOURCE_ID + SOURCE_NAME, one), lambda x: x["addressLine1"].isNotNull())
 
 
 def sources(v: Column) -> Column:
-    def one(x: Column) -> Column:
-        bare = _bare(x)
-        groups = {"id": bare + _members(x, "id", "sourceId", "domain", "title"), "title": bare + _members(x, "title", "name", "label", "domain"), "domain": bare + _members(x, "domain", "hostname"), "url": _members(x, "url", "href")}
+    def one(x: Column, m: Column) -> Column:
+        bare = _bare(x, m)
+        groups = {"id": bare + _of(m, "id", "sourceId", "domain", "title"), "title": bare + _of(m, "title", "name", "label", "domain"), "domain": bare + _of(m, "domain", "hostname"), "url": _of(m, "url", "href")}
         return _named(groups, lambda t: F.struct(F.coalesce(t("id"), F.lit(FALLBACK)).alias("id"), F.coalesce(t("title"), F.lit("Public source")).alias("title"), t("domain").alias("domain"), t("url").alias("url")))
 
-    return F.filter(F.transform(items(v), one), lambda x: x["domain"].isNotNull() | x["url"].isNotNull())
+    return F.filter(_each(v, ("id", "sourceId", "domain", "title", "name", "label", "hostname", "url", "href"), one), lambda x: x["domain"].isNotNull() | x["url"].isNotNull())
+
+
+#: Lists of a profile under their names, in order.
+LISTS = {"specialties": ("specialties",), "phoneNumbers": ("phoneNumbers", "phones", "phone_numbers"), "websites": ("websites", "links", "website"), "publicInsuranceMentions": ("publicInsuranceMentions", "insuranceMentions"), "locations": ("locations", "addresses")}
 
 
 def profile(v: Column) -> Column:
     """One loose profile as a typed struct."""
-    # The four lists of plain facts are read by one expression.
-    lists = [part(v, "specialties"), first_of(v, "phoneNumbers", "phones", "phone_numbers"), first_of(v, "websites", "links", "website"), first_of(v, "publicInsuranceMentions", "insuranceMentions")]
 
-    own = {"id": _members(v, "providerId"), "npi": _members(v, "npi"), "name": _members(v, "providerName", "name")}
-    read = F.struct(
-        _named(own, lambda t: F.struct(t("id").alias("id"), t("npi").alias("npi"), t("name").alias("name"))).alias("own"), F.transform(F.array(*lists), facts).alias("plain"),
-        locations(first_of(v, "locations", "addresses")).alias("locations"), ratings(part(v, "ratings")).alias("ratings"), sources(part(v, "sources")).alias("sources"),
-    )
+    def read(m: Column) -> Column:
+        # The four lists of plain facts are read by one expression.
+        plain = F.array(*(_of(m, *LISTS[c])[0] if len(LISTS[c]) == 1 else _first_true(_of(m, *LISTS[c])) for c in ("specialties", "phoneNumbers", "websites", "publicInsuranceMentions")))
+        own = {"id": _of(m, "providerId"), "npi": _of(m, "npi"), "name": _of(m, "providerName", "name")}
+        return F.struct(
+            _named(own, lambda t: F.struct(t("id").alias("id"), t("npi").alias("npi"), t("name").alias("name"))).alias("own"), F.transform(plain, facts).alias("plain"),
+            locations(_first_true(_of(m, *LISTS["locations"]))).alias("locations"), ratings(m["ratings"]).alias("ratings"), sources(m["sources"]).alias("sources"),
+        )
 
     def typed(r: Column) -> Column:
         plain = lambda i: F.get(r["plain"], i)
@@ -188,13 +210,13 @@ def profile(v: Column) -> Column:
             r["ratings"].alias("ratings"), plain(2).alias("websites"), plain(3).alias("publicInsuranceMentions"), r["sources"].alias("sources"),
         )
 
-    return let(read, typed)
+    every = [k for keys in LISTS.values() for k in keys]
+    return let(let(members(v, "providerId", "npi", "providerName", "name", *every, "ratings", "sources"), read), typed)
 
 
 def json_text(c: Column) -> Column:
-    """From the first opening to the last closing bracket of a text without its code fence; null if there is none."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)[\[{].*[\]}]", 0), F.lit(""))
+    """From the first opening to the last closing bracket of a text, which a code fence is not in; null if there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?s)[\[{].*[\]}]", 0), F.lit(""))
 
 
 def response_text(v: Column) -> Column:

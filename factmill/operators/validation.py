@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factmill.functions.text import SPACE, units
+from factmill.functions.text import trimmed, units
 
 # Fixed values.
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-8][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
@@ -26,10 +26,6 @@ def _optional(c: Column, test: Column) -> Column:
     return c.isNull() | test
 
 
-def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-
-
 def length_between(c: Column, least: int, most: int) -> Column:
     """Whether a text is there and, trimmed, so long. A text of no more bytes that begins with a sign of ASCII needs no
     trimming to tell."""
