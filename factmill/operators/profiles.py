@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factmill.functions.contact import format_location, requested_npi
-from factmill.functions.text import clean_public_text, fact_key, identity, let, name_identity, safe_fact, safe_source_id
+from factmill.functions.text import clean_public_text, fact_key, identity, let, name_identity, safe_fact, safe_source_id, trimmed
 from factmill.functions.urls import FALLBACK, domain_matches, safe_domain, safe_public_url
 from factmill.operators import coerce
-from factmill.operators.validation import profile_error, trimmed
+from factmill.operators.validation import profile_error
+from factmill.sources.files import written
 
 # Fixed values.
 GOVERNMENT = ["healthcare.gov", "cms.gov", "medicare.gov", "nppes.cms.hhs.gov"]
@@ -50,9 +51,14 @@ def looks_official(source: Column, name: Column) -> Column:
 
 def source_rank(source: Column, name: Column) -> Column:
     """Official 0, government 1, directory 2, blocked, personal or unknown 99."""
-    out = lambda s: s.isNull() | domain_matches(s["domain"], BLOCKED) | s["title"].rlike(PERSONAL_TITLE)
-    rank = lambda s: F.when(out(s), UNRANKED).when(looks_official(s, name), 0).when(domain_matches(s["domain"], GOVERNMENT), 1).when(domain_matches(s["domain"], DIRECTORIES), 2).otherwise(UNRANKED)
-    return let(source, rank)
+    return let(source, lambda s: rank_given(s, looks_official(s, name)))
+
+
+def rank_given(source: Column, official: Column) -> Column:
+    """The rank of a source of which it is known whether it looks official."""
+    domain = source["domain"]
+    out = source.isNull() | domain_matches(domain, BLOCKED) | source["title"].rlike(PERSONAL_TITLE)
+    return F.when(out, UNRANKED).when(official, 0).when(domain_matches(domain, GOVERNMENT), 1).when(domain_matches(domain, DIRECTORIES), 2).otherwise(UNRANKED)
 
 
 def displayable(domain: Column) -> Column:
@@ -121,10 +127,10 @@ def location_hint(loc: Column, zip_: Column, city: Column, state: Column) -> Col
     return F.when(other_zip, 4).otherwise(0) + F.when(differs(loc["city"], city), 2).otherwise(0) + F.when(differs(loc["state"], state), 1).otherwise(0)
 
 
-def prioritized(df: DataFrame, name: Column, zip_: Column, city: Column, state: Column) -> DataFrame:
-    """Phones, locations, ratings and websites each once and by rank; sources by rank and domain."""
+def prioritized(df: DataFrame, rank_of: Callable[[Column], Column], zip_: Column, city: Column, state: Column, shown: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """Phones, locations, ratings and websites each once and by rank; sources by rank and domain, as shown."""
     columns = df.columns
-    df = settled(df.withColumn("_ranked", F.transform("sources", lambda s, i: F.struct(source_rank(s, name).alias("rank"), F.collate(s["domain"], COLLATION).alias("order"), i.alias("at"), s.alias("x")))))
+    df = settled(df.withColumn("_ranked", F.transform("sources", lambda s, i: F.struct(rank_of(s).alias("rank"), F.collate(s["domain"], COLLATION).alias("order"), i.alias("at"), shown(s).alias("x")))))
     rank = lambda f: F.coalesce(F.try_element_at(F.filter("_ranked", lambda r: r["x"]["id"] == f["sourceId"]), F.lit(-1))["rank"], F.lit(UNRANKED))
     place = lambda v: fact_key(format_location(v["addressLine1"], v["addressLine2"], v["city"], v["state"], v["zip"]))
     out = df.withColumns(
@@ -154,7 +160,7 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
     p = settled(df.select(*keys, typed.alias("p"), *([cited.alias("cited")] if cited is not None else [])))
     p = p.withColumn("kept", clean_sources(F.col("p.sources"), F.col("cited") if cited is not None else None)).withColumn("name", F.coalesce(safe_fact(F.col("p.providerName"), 255), F.lit("Provider")))
     p = settled(p)
-    judged = lambda s: s.withField("official", looks_official(s, F.col("name"))).withField("rank", source_rank(s, F.col("name")))
+    judged = lambda s: let(looks_official(s, F.col("name")), lambda o: s.withField("official", o).withField("rank", rank_given(s, o)))
     p = settled(p.withColumn("kept", F.transform("kept", judged)))
     kept, name, none = F.col("kept"), F.col("name"), F.lit(None).cast("string")
     sourced = lambda s: (s["id"].alias("sourceId"), s["title"].alias("sourceName"))
@@ -176,9 +182,9 @@ def sanitize(df: DataFrame, typed: Column, keys: list[str], cited: Column | None
     made = settled(made).withColumns({"specialties": F.get("plain", 0), "publicInsuranceMentions": F.get("plain", 1)}).select(*keys, *PROFILE[:-1], "kept")
     used = F.array_distinct(F.concat(*(F.transform(c, lambda f: f["sourceId"]) for c in PROFILE[3:9])))
     shown = F.filter(distinct_sources(kept), lambda s: F.array_contains(used, s["id"]))
-    made = made.withColumn("sources", F.transform(shown, lambda s: s.dropFields("raw", "at", "official", "rank"))).drop("kept")
+    made = made.withColumn("sources", shown).drop("kept")
     made = settled(made).where((F.size("phoneNumbers") > 0) | (F.size("locations") > 0) | (F.size("ratings") > 0) | (F.size("websites") > 0))
-    return prioritized(made, F.col("providerName"), none, none, none)
+    return prioritized(made, lambda s: s["rank"], none, none, none, lambda s: s.dropFields("raw", "at", "official", "rank"))
 
 
 def first_ordinals(asked: DataFrame, scope: list[str]) -> DataFrame:
@@ -197,7 +203,8 @@ def match_requests(profiles: DataFrame, requests: DataFrame, key: str, within: l
 
     A profile never meets the requests that it matches, only the least ordinals of its identities: without an NPI those
     of all requests, with one those of requests without and with the same. So it makes five lookups at most, however
-    often a name is asked for, and each lookup finds one row at most.
+    often a name is asked for, and each lookup finds one row at most. The joins are sorted ones: requests grow with the
+    profiles, and by the size of a file that is small while packed Spark would send all of them through the driver.
     """
     scope = within or []
     asked = requests.where(F.coalesce("name", "providerId", "npi").isNotNull()).withColumn("rnpi", identity(requested_npi(F.col("npi"), F.col("providerId")))).withColumn("rid", identity(F.col("providerId"))).withColumn("rname", name_identity(F.col("name")))
@@ -210,9 +217,9 @@ def match_requests(profiles: DataFrame, requests: DataFrame, key: str, within: l
     looks = F.array_distinct(F.array(*(look(kind, c, n) for kind, c in (("id", "pid"), ("name", "pname")) for n in npis), look("npi", "pnpi", npis[0])))
     tried = slim.select(key, *(f"_p{i}" for i in range(len(scope))), F.explode(F.filter(looks, lambda x: x["_value"] != "")).alias("x")).select(key, *(f"_p{i}" for i in range(len(scope))), "x.*")
     same = [F.col("kind") == F.col("_kind"), F.col("value") == F.col("_value"), F.col("npi").eqNullSafe(F.col("_npi")), *(F.col(f"_p{i}") == F.col(f"_w{i}") for i in range(len(scope)))]
-    first = tried.join(index, same).groupBy(key).agg(F.min("ordinal").alias("ordinal"))
+    first = tried.join(index.hint("merge"), same).groupBy(key).agg(F.min("ordinal").alias("ordinal"))
     named = asked.select("ordinal", *scope, F.struct("providerId", F.nullif("rnpi", F.lit("")).alias("npi"), "name", *(c for c in ("city", "state", "zip") if c in requests.columns)).alias("request"))
-    return profiles.join(first, key).join(named, ["ordinal", *scope])
+    return profiles.join(first.hint("merge"), key).join(named.hint("merge"), ["ordinal", *scope])
 
 
 def bind_requests(matched: DataFrame) -> DataFrame:
@@ -221,7 +228,8 @@ def bind_requests(matched: DataFrame) -> DataFrame:
     named = F.when(name_identity(own) == "provider", F.coalesce("request.name", own)).otherwise(own)
     bound = matched.withColumns({"providerId": F.coalesce("request.providerId", "providerId"), "npi": F.coalesce("request.npi", "npi"), "providerName": named})
     hint = lambda c: F.col(f"request.{c}")
-    return prioritized(bound, F.coalesce(F.nullif(hint("name"), F.lit("")), F.col("providerName")), hint("zip"), hint("city"), hint("state"))
+    name = F.coalesce(F.nullif(hint("name"), F.lit("")), F.col("providerName"))
+    return prioritized(bound, lambda s: source_rank(s, name), hint("zip"), hint("city"), hint("state"))
 
 
 def replace_by_identity(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -270,7 +278,8 @@ def parse_responses(raw: DataFrame, column: str, keys: list[str]) -> DataFrame:
 def profiles_for_requests(raw: DataFrame, column: str, key: str, requests: DataFrame) -> DataFrame:
     """raw: ``key``, the id of a job, and a response text. requests: the providers that each job asks for. The profiles
     of a job's responses that match one of its providers, bound to the first that each matches."""
-    each = parse_responses(raw, column, [key]).withColumn("_row", F.struct(key, "profile_ordinal"))
+    # Written, as they are read to look their identities up and again to be bound.
+    each = written(parse_responses(raw, column, [key]).withColumn("_row", F.struct(key, "profile_ordinal")), "profiles")
     return bind_requests(match_requests(each, requests, "_row", [key])).drop("_row")
 
 

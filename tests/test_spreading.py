@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.functions import text
 from factmill.operators import coerce
 from factmill.plans import profile_queries
 
@@ -27,6 +28,28 @@ def test_a_part_of_a_response_is_not_read_again_for_each_use(spark, sf, query, m
     assert len(plan(getattr(profile_queries, query)(spark, sf))) < most
 
 
+def test_requests_are_not_sent_through_the_driver(spark, sf):
+    """Nor are profiles parsed once for their identities and once more to be bound."""
+    said = profile_queries.profile_matches(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in said and "phone_numbers" not in said
+
+
+@pytest.mark.parametrize("query", ["profile_phones", "profile_locations", "profile_ratings", "profile_websites"])
+def test_a_list_is_computed_once_to_be_exploded(spark, sf, query):
+    said = plan(getattr(profile_queries, query)(spark, sf)).split("Project")
+    assert not any("array_sort" in node and "Filter ((size(transform(array_sort" in node for node in said)
+
+
+def test_suspect_texts_are_all_that_may_be_unsafe(spark):
+    texts = ["plain", "two  spaces", " led", "ended ", "a\tb", "it is quoted", "Quote", "x@y", "see www.x", "http://x", '"url":', "a 555-0100", "123-4567", "Demo", "resource", "n/a", "unknown", "é", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    c = F.col("t")
+    cleaned = text.clean_public_text(c, None)
+    bad = df.where((text.contains_unsafe(cleaned) | text.contains_placeholder(cleaned) | (cleaned != c)) & ~c.rlike(text.SUSPECT))
+    assert bad.count() == 0
+    assert df.where(~c.rlike(text.SUSPECT) & (c != "")).count() == 1
+
+
 def test_kinds_of_values_are_told_without_their_schema(spark):
     values = ['{"a": {"b": 1}}', "{}", "[]", "[1, {}]", '"x"', '""', "0", "-0.5", "1e300", "true", "false", "null", None, "no JSON"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", F.try_parse_json("v").alias("v"))
