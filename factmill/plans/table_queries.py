@@ -218,7 +218,8 @@ def score_reports(spark, sf_dir):
     phone = lambda n: text("216444", F.lpad(n.cast("string"), 4, "0"))
     fact = F.struct(phone(k % 10000).alias("value"), F.lit(None).cast("string").alias("valueHash"), F.lit("confirmed_current").alias("status"), F.lit(True).alias("displaySafe"), source.alias("sources"))
     none = F.filter(F.array(fact), lambda x: F.lit(False))
-    supplier = table(spark, sf_dir, "supplier")
+    # Dealt to all cores, as each document is a file of its own, which takes far longer than its row.
+    supplier = files.spread(table(spark, sf_dir, "supplier"))
     request = F.struct(npi.alias("npi"), c("s_name").alias("name"), F.lit("Cardiology").alias("specialty"), F.lit("Ames").alias("city"), F.lit("IA").alias("state"), F.lit("50010").alias("zip"))
     strata = F.struct(F.lit("individual").alias("entityType"), F.lit("midwest").alias("region"), F.lit("urban").alias("rurality"), F.lit("g").alias("specialtyGroup"), F.array().cast("array<string>").alias("edgeCases"))
     base = F.struct(moment.alias("capturedAt"), npi.alias("providerId"), c("s_name").alias("name"), F.when(k % 4 > 0, text(k, " Main Street")).alias("address"))

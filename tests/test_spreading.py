@@ -1,13 +1,16 @@
 """Queries over one small file use all cores, and do no work that they don't show."""
 
+import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from factmill.functions import text
 from factmill.operators import coerce
-from factmill.plans import profile_queries
+from factmill.plans import profile_queries, table_queries
+from factmill.sources.files import scratch
 
 
 def plan(df):
@@ -64,3 +67,14 @@ def test_kinds_of_values_are_told_without_their_schema(spark):
 def test_a_member_of_a_member(spark):
     df = spark.createDataFrame([(json.dumps(v),) for v in ({"source": {"id": "a"}}, {"source": "a"}, {"source": [{"id": "a"}]}, ["source"])], "v string")
     assert [r[0] for r in df.select(coerce.text_of(coerce.part(F.try_parse_json("v"), "source.id"))).collect()] == ["a", None, None, None]
+
+
+def test_observations_are_written_on_all_cores(spark, sf, monkeypatch):
+    """A document for each supplier is a file of its own: one task that writes them all takes most of the time."""
+    written = []
+    monkeypatch.setattr(table_queries.files, "scratch", lambda s, name: written.append(scratch(s, name)) or written[-1])
+    table_queries.score_reports(spark, sf)
+    found = glob.glob(f"{written[0].removeprefix('file://')}/observations/part=*/part-*.json")
+    tasks = {os.path.basename(f).split("-")[1] for f in found}
+    assert len(found) == spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert len(tasks) > 1
